@@ -21,15 +21,13 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import sys
-import types
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfloor.llm.common import row_key
+from wayfloor.llm.common import process_cache, row_key
 
 #: Characters of a chunk, and by how many it reaches into the next one.
 CHUNK_CHARS, OVERLAP_CHARS = 1 << 16, 1 << 9
@@ -41,21 +39,16 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-def _cache() -> dict:
-    """Per-process cache; the functions of this package are pickled by value, so module globals would not last."""
-    return sys.modules.setdefault("_wayfloor_process_cache", types.ModuleType("_wayfloor_process_cache")).__dict__
-
-
 def encoder(path: str, pattern: str):
     """The tiktoken encoding of a rank file, one per process."""
     import tiktoken
 
     key = ("bpe", path, pattern)
-    if key not in _cache():
+    if key not in process_cache():
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-        _cache()[key] = tiktoken.Encoding("wayfloor", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return _cache()[key]
+        process_cache()[key] = tiktoken.Encoding("wayfloor", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return process_cache()[key]
 
 
 def _pattern(pattern: str | None) -> str:

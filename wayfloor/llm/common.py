@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +32,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def process_cache() -> dict:
+    """A cache that lasts as long as the worker process: functions are pickled by value, so module globals would not."""
+    return sys.modules.setdefault("_wayfloor_process_cache", types.ModuleType("_wayfloor_process_cache")).__dict__
+
+
 def row_key(id_col: str, text_col: str):
     """A 64-bit key of a document row; rows that repeat in id and text share it, nulls have a value of their own."""
     return F.xxhash64(

@@ -7,6 +7,30 @@ from pyspark.sql import DataFrame, SparkSession
 from wayfloor.llm.common import table
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wayfloor.llm.language import language_predictions
+
+    return language_predictions(table(spark, sf_dir, "documents"))
+
+
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wayfloor.llm.minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wayfloor.llm.quality import quality_scores
+
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wayfloor.llm.chat import chat_digest
+
+    return chat_digest(table(spark, sf_dir, "conversations"))
+
+
 def op6_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wayfloor.llm.bpe import token_digest
 
