@@ -1,11 +1,10 @@
 """Classes of similar sets from banded signatures, with every link verified exactly.
 
 The members of a bucket (a band value) are compared with the bucket's leader,
-its least node.  The rest of the links cannot be lost: Jaccard distance is a
-metric, so two members can only be within the threshold if their distances to
-the leader differ by no more than it.  Members that the leaders left in
-different components are compared under that condition, and only they.  No
-bucket is expanded into all its pairs.
+its least node; what is linked by then is not compared again.  Members that
+their leader's component does not hold are compared with all of the bucket, in
+blocks, so that no link between components is lost.  No bucket is expanded into
+its pairs, and none is gathered in one task.
 """
 
 from __future__ import annotations
@@ -18,6 +17,10 @@ from pyspark.sql import functions as F
 from wayfloor.llm.common import connected_components, materialize
 
 
+#: Sets of a block, about.
+BLOCK = 64
+
+
 def bands_for(threshold: float, rows: int, miss: float) -> int:
     """How many bands of ``rows`` rows find a pair at the threshold but for a chance of ``miss``."""
     return int(np.ceil(np.log(miss) / np.log(1 - threshold**rows)))
@@ -44,8 +47,8 @@ def jaccard_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long, similarity double")
 
 
-def link_classes(nodes: DataFrame, fetch, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """``nodes(node long, bands array<long>)`` -> (links ``(a, b, similarity)``, components ``(id, component)``).
+def link_classes(nodes: DataFrame, fetch, threshold: float) -> DataFrame:
+    """``nodes(node long, bands array<long>)`` -> components ``(id, component)`` of the links at the threshold.
 
     ``fetch(ids)`` returns ``(node, shingles)`` for a DataFrame of node ids.
     Nodes without a link are in no component.
@@ -53,33 +56,89 @@ def link_classes(nodes: DataFrame, fetch, threshold: float) -> tuple[DataFrame,
     flat = nodes.select("node", F.explode("bands").alias("band"))
     leaders = flat.groupBy("band").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "leader")
     members = materialize(flat.join(leaders, "band").where("node <> leader").select("band", "leader", "node"), "members")
-    pairs = members.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     ids = members.select("node").union(members.select(F.col("leader").alias("node"))).distinct()
     sets = materialize(fetch(ids), "sets")
+
+    # First every node with its least leader alone: that joins the copies of a text, however many buckets they share.
+    pairs = members.groupBy(F.col("node").alias("b")).agg(F.min("leader").alias("a"))
     compared = materialize(jaccard_pairs(pairs, sets), "compared")
-    links = compared.where(F.col("similarity") >= threshold)
+    links = compared.where(F.col("similarity") >= threshold).select("a", "b")
     labels = connected_components(links)
 
-    # The members that their leader's component does not hold, and whom they may still be close to.
-    label = labels.select(F.col("id").alias("node"), "component")
-    placed = members.join(compared.select(F.col("a").alias("leader"), F.col("b").alias("node"), (1 - F.col("similarity")).alias("far")), ["leader", "node"])
-    placed = placed.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    home = label.select(F.col("node").alias("leader"), F.col("component").alias("home"))
-    placed = placed.join(home, "leader", "left").withColumn("home", F.coalesce("home", "leader"))
-    placed = materialize(placed.select("band", "node", "far", "component", (F.col("component") != F.col("home")).alias("apart")), "placed")
-    apart = placed.where("apart")
-    if not apart.limit(1).count():
-        return links, labels
-    near = 1 - threshold + 1e-9
-    other = placed.select("band", F.col("node").alias("other"), F.col("far").alias("far2"), F.col("component").alias("component2"), F.col("apart").alias("apart2"))
-    more = (
-        apart.join(other, "band")
-        .where((F.col("component") != F.col("component2")) & (F.abs(F.col("far") - F.col("far2")) <= near) & (~F.col("apart2") | (F.col("node") < F.col("other"))))
-        .select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
-        .distinct()
-    )
-    found = materialize(jaccard_pairs(more, sets).where(F.col("similarity") >= threshold), "late-links")
+    # Then with the leaders that are still in other components.
+    placed = _placed(members, labels)
+    pairs = placed.where("component <> home").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    more = materialize(jaccard_pairs(pairs.join(compared, ["a", "b"], "left_anti"), sets).where(F.col("similarity") >= threshold), "compared")
+    if more.limit(1).count():
+        links = links.union(more.select("a", "b"))
+        labels = connected_components(links)
+
+    # Last the members of a bucket that its leader's component does not hold, with all of the bucket, in blocks.
+    placed = materialize(_placed(members, labels), "placed")
+    mixed = placed.where("component <> home").select("band").distinct()
+    if not mixed.limit(1).count():
+        return labels
+    here = placed.select("band", "node", "component", F.expr("component <> home").alias("apart")).join(mixed, "band", "left_semi")
+    found = materialize(_block_links(here, sets, threshold), "late-links")
     if not found.limit(1).count():
-        return links, labels
-    links = links.unionByName(found)
-    return links, connected_components(links)
+        return labels
+    return connected_components(links.union(found))
+
+
+def _block_links(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links that join components, of ``members(band, node, component, apart)``: those apart against all of their bucket.
+
+    Both sides are dealt into blocks of about ``BLOCK`` sets, so a bucket's work
+    is spread over tasks and a set is moved once a block, not once a pair.
+    """
+    counts = members.groupBy("band").agg(F.count(F.lit(1)).alias("m"), F.sum(F.col("apart").cast("long")).alias("q"))
+    rows = members.join(counts, "band").join(sets, "node")
+
+    def blocks(df, n, to):
+        block = F.pmod(F.xxhash64("node"), F.ceil(F.col(n) / BLOCK))
+        return df.groupBy("band", block.alias(f"{to}_block")).agg(F.collect_list(F.struct("node", "component", "shingles")).alias(to))
+
+    pairs = blocks(rows, "m", "x").join(blocks(rows.where("apart"), "q", "y"), "band").select("x", "y")
+
+    def run(batches):
+        for batch in batches:
+            out = [link for x, y in zip(batch.column(0), batch.column(1)) for link in _joining(x.as_py(), y.as_py(), threshold)]
+            yield pa.RecordBatch.from_arrays([pa.array([v[i] for v in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    return pairs.mapInArrow(run, "a long, b long").distinct()
+
+
+def _joining(xs: list[dict], ys: list[dict], threshold: float) -> list[tuple[int, int]]:
+    """Of the links between two blocks, enough to join the components that they join."""
+    of = {}
+
+    def root(c):
+        while of.setdefault(c, c) != c:
+            of[c] = c = of[of[c]]
+        return c
+
+    y_sets = [np.frombuffer(y["shingles"], np.uint64) for y in ys]
+    size = np.array([len(s) for s in y_sets])
+    values = np.concatenate(y_sets)
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], np.repeat(np.arange(len(ys)), size)[order]
+    out = []
+    for x in xs:
+        s = np.frombuffer(x["shingles"], np.uint64)
+        lo, hi = np.searchsorted(values, s), np.searchsorted(values, s, side="right")
+        width = hi - lo
+        at = np.repeat(lo - np.concatenate(([0], np.cumsum(width)[:-1])), width) + np.arange(width.sum())
+        same = np.bincount(owner[at], minlength=len(ys))
+        for j in np.flatnonzero(same >= threshold * (len(s) + size - same)).tolist():
+            if root(x["component"]) != root(ys[j]["component"]):
+                of[root(x["component"])] = root(ys[j]["component"])
+                out.append((min(x["node"], ys[j]["node"]), max(x["node"], ys[j]["node"])))
+    return out
+
+
+def _placed(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """``members`` with the component of the node and of its leader (home)."""
+    label = labels.select(F.col("id").alias("node"), "component")
+    home = labels.select(F.col("id").alias("leader"), F.col("component").alias("home"))
+    placed = members.join(label, "node", "left").join(home, "leader", "left")
+    return placed.select("band", "leader", "node", F.coalesce("component", "node").alias("component"), F.coalesce("home", "leader").alias("home"))

@@ -139,7 +139,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> D
         texts = docs.select(row_key(id_col, text_col).alias("key"), F.col(text_col).cast("string").alias("__text")).join(wanted, "key")
         return _sets(texts.select("node", "__text")).dropDuplicates(["node"])
 
-    _, labels = link_classes(nodes.select("node", "bands"), fetch, threshold)
+    labels = link_classes(nodes.select("node", "bands"), fetch, threshold)
     placed = nodes.select("node", "least").join(labels.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = placed.join(placed.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("node", "component_id")
     return signed.join(named, "node", "left").select(
