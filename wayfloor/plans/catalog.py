@@ -1,9 +1,18 @@
 """All queries of the engine's own operators, with their SQL counterparts."""
 
+from __future__ import annotations
+
+from importlib import import_module
+
+from wayfloor.plans import registry
+
+for _name in ("points_queries",):
+    import_module(f"wayfloor.plans.{_name}")
+
 
 def queries() -> dict:
-    return {}
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(registry.ORACLES)
