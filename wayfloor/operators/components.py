@@ -9,6 +9,7 @@ component of a cell is named by the least cell, row by row.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,56 +25,139 @@ def runs(cells: DataFrame, rows: list[str], along: str = "gx") -> DataFrame:
     return cells.select(*rows, along).distinct().withColumn("__g", island).groupBy(*rows, "__g").agg(F.min(along).alias("a"), F.max(along).alias("b")).drop("__g")
 
 
-def spread_labels(nodes: DataFrame, edges: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """``nodes(id)``, ``edges(s, t)`` both ways -> ``(id, label)`` with the least id of each component."""
+#: Edges up to which a map's labels are found in one task instead of in rounds.
+LOCAL_EDGES = 200_000
+
+
+def _labelled_in_one_task(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The same labels by union-find over rows of a checked, small number."""
+    rows = nodes.select(F.col("id").alias("s"), F.col("id").alias("t")).unionByName(edges.select("s", "t")).coalesce(1)
+
+    def run(batches):
+        parent: dict[int, int] = {}
+
+        def root(i):
+            top = i
+            while parent[top] != top:
+                top = parent[top]
+            while parent[i] != top:
+                parent[i], i = top, parent[i]
+            return top
+
+        for batch in batches:
+            for s, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                parent.setdefault(s, s)
+                parent.setdefault(t, t)
+                a, b = root(s), root(t)
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+        ids = list(parent)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([root(i) for i in ids], pa.int64())], names=["id", "label"])
+
+    return rows.mapInArrow(run, "id long, label long")
+
+
+def spread_labels(nodes: DataFrame, edges: DataFrame, local_edges: int = 0, max_rounds: int = 64) -> DataFrame:
+    """``nodes(id)``, ``edges(s, t)`` both ways -> ``(id, label)`` with the least id of each component.
+
+    Every node points at a label, at first itself.  A round takes the least
+    label of the labels of a node's neighbours, for the node and for the node it
+    points at, and shortens pointers to pointers: trees are joined at their
+    roots, so the rounds grow with the logarithm of a component's length.  All
+    steps are joins and minima with partial aggregation.
+    """
     edges = saved(edges.select("s", "t"))
+    if local_edges and edges.count() <= local_edges and nodes.count() <= local_edges:
+        return _labelled_in_one_task(nodes, edges)
     labels = saved(nodes.select("id", F.col("id").alias("label")))
     for _ in range(max_rounds):
-        heard = edges.join(labels.select(F.col("id").alias("s"), "label"), "s").groupBy(F.col("t").alias("id")).agg(F.min("label").alias("heard"))
-        hooked = labels.join(heard, "id", "left").select("id", F.col("label").alias("old"), F.least("label", F.coalesce("heard", "label")).alias("p"))
-        jumped = hooked.join(labels.select(F.col("id").alias("p"), F.col("label").alias("up")), "p").select("id", "old", F.least("p", "up").alias("label"))
-        jumped = saved(jumped)
-        moved = jumped.where("label <> old").limit(1).count()
-        labels = jumped.select("id", "label")
+        up = labels.select(F.col("id").alias("label"), F.col("label").alias("up"))
+        high = saved(labels.join(up, "label").select("id", "label", "up"))
+        heard = edges.join(high.select(F.col("id").alias("s"), "up"), "s").groupBy(F.col("t").alias("id")).agg(F.min("up").alias("heard"))
+        joined = high.join(heard, "id", "left").withColumn("heard", F.coalesce("heard", "label"))
+        # What a node hears is for the node it points at, too.
+        offers = joined.select(F.col("label").alias("id"), F.col("heard").alias("best")).union(joined.select("id", F.least("label", "up", "heard").alias("best")))
+        best = offers.groupBy("id").agg(F.min("best").alias("best"))
+        new = saved(labels.join(best, "id").select("id", F.least("label", "best").alias("label"), F.col("label").alias("old")))
+        moved = new.where("label <> old").limit(1).count()
+        labels = new.select("id", "label")
         if not moved:
             return labels
     raise RuntimeError("labels did not settle; raise max_rounds")
 
 
-def components(cells: DataFrame, space: bool = False) -> DataFrame:
-    """``(gy, gx)`` cells, or ``(vz, gy, gx)`` with ``space``, with ``component``."""
-    rows = ["vz", "gy"] if space else ["gy"]
+def components(cells: DataFrame, space: bool = False, by: str | None = None) -> DataFrame:
+    """``(gy, gx)`` cells, or ``(vz, gy, gx)`` with ``space``, with ``component``.
+
+    ``by`` names a small integer column (map, scenario, level): components stay
+    inside one value of it, and all values are labelled in the same rounds.
+    """
+    rows = [*([by] if by else []), *(["vz"] if space else []), "gy"]
     number = F.col("gy") * PITCH + F.col("a")
     if space:
         number = (F.col("vz") * (1 << 19) + F.col("gy")) * (1 << 19) + F.col("a")
+    if by:
+        number = F.col(by).cast("long") * (1 << 57 if space else 1 << 48) + number
     r = saved(runs(cells, rows).withColumn("id", number))
     other = r.select(*(F.col(c).alias(f"{c}2") for c in (*rows, "a", "b", "id")))
     touch = (F.col("a") <= F.col("b2")) & (F.col("a2") <= F.col("b"))
+    if by:
+        touch = touch & (F.col(by) == F.col(f"{by}2"))
     pairs = r.join(other, (F.col("gy2") == F.col("gy") + 1) & touch & (F.col("vz2") == F.col("vz") if space else F.lit(True)))
     if space:
         pairs = pairs.unionByName(r.join(other, (F.col("vz2") == F.col("vz") + 1) & (F.col("gy2") == F.col("gy")) & touch))
     edges = pairs.select(F.explode(F.array(F.struct(F.col("id").alias("s"), F.col("id2").alias("t")), F.struct(F.col("id2").alias("s"), F.col("id").alias("t")))).alias("e")).select("e.*")
-    labels = spread_labels(r, edges)
-    return r.join(labels, "id").select(*rows, F.explode(F.sequence("a", "b")).alias("gx"), F.col("label").alias("component"))
+    labels = spread_labels(r, edges, LOCAL_EDGES)
+    named = labels.select("id", F.col("label").alias("component"))
+    return r.join(named, "id").select(*rows, F.explode(F.sequence("a", "b")).alias("gx"), "component")
 
 
 def sizes(labelled: DataFrame) -> DataFrame:
     return labelled.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
 
 
-def largest(labelled: DataFrame) -> DataFrame:
-    """The cells of the largest component; of equal ones the first, row by row."""
-    best = sizes(labelled).agg(F.max(F.struct("n", (-F.col("component")).alias("c"))).alias("m")).select((-F.col("m.c")).alias("component"))
-    return labelled.join(F.broadcast(best), "component", "left_semi")
+def largest(labelled: DataFrame, by: str | None = None) -> DataFrame:
+    """The cells of the largest component (of every value of ``by``); of equal ones the first, row by row."""
+    keys = [by] if by else []
+    n = labelled.groupBy(*keys, "component").agg(F.count(F.lit(1)).alias("n"))
+    best = n.groupBy(*keys).agg(F.max(F.struct("n", (-F.col("component")).alias("c"))).alias("m")).select((-F.col("m.c")).alias("component"))
+    return labelled.join(best, "component", "left_semi")
 
 
 def drop_small(labelled: DataFrame, least: int) -> DataFrame:
     return labelled.join(sizes(labelled).where(F.col("n") >= least), "component", "left_semi")
 
 
+def _distances_in_one_task(cells: DataFrame, start: DataFrame) -> DataFrame:
+    """The same walk lengths for a map of a checked, small size."""
+    flagged = cells.join(start.select("gy", "gx").distinct().withColumn("on", F.lit(True)), ["gy", "gx"], "left")
+    rows = flagged.select(F.col("gy").cast("long").alias("gy"), F.col("gx").cast("long").alias("gx"), F.coalesce("on", F.lit(False)).alias("on")).coalesce(1)
+
+    def run(batches):
+        free, ring = set(), []
+        for batch in batches:
+            for y, x, on in zip(*(c.to_pylist() for c in batch.columns)):
+                free.add((y, x))
+                if on:
+                    ring.append((y, x))
+        out, d = [], 0
+        free.difference_update(ring)
+        while ring:
+            out += [(y, x, d) for y, x in ring]
+            nxt = {c for y, x in ring for c in ((y + 1, x), (y - 1, x), (y, x + 1), (y, x - 1)) if c in free}
+            free -= nxt
+            ring, d = list(nxt), d + 1
+        kinds = (pa.int64(), pa.int64(), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=["gy", "gx", "d"])
+
+    return rows.mapInArrow(run, "gy long, gx long, d int")
+
+
 def distances(cells: DataFrame, start: DataFrame, max_rounds: int = 100_000) -> DataFrame:
     """Steps of 4-neighbour walks from the ``start`` cells inside ``cells``; the frontier alone is joined in each round."""
     cells = saved(cells.select("gy", "gx").distinct())
+    if cells.count() <= LOCAL_EDGES:
+        return _distances_in_one_task(cells, start)
     frontier = saved(start.join(cells, ["gy", "gx"], "left_semi").select("gy", "gx").distinct())
     seen = saved(frontier.withColumn("d", F.lit(0)))
     steps = F.array(*(F.struct(F.lit(y).alias("dy"), F.lit(x).alias("dx")) for y, x in ((1, 0), (-1, 0), (0, 1), (0, -1))))

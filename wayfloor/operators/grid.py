@@ -125,10 +125,10 @@ def dilate(mask: DataFrame, steps) -> DataFrame:
     return mask.join(offsets(mask, steps)).select((F.col("gy") + F.col("dy")).alias("gy"), (F.col("gx") + F.col("dx")).alias("gx")).distinct()
 
 
-def dilate_rectangle(cells: DataFrame, flag: str, rx: int, ry: int) -> DataFrame:
+def dilate_rectangle(cells: DataFrame, flag: str, rx: int, ry: int, by: tuple[str, ...] = ()) -> DataFrame:
     """Dilation of a flag on a dense grid by a rectangle: two passes of window functions, no join."""
-    row = Window.partitionBy("gy").orderBy("gx").rangeBetween(-rx, rx)
-    column = Window.partitionBy("gx").orderBy("gy").rangeBetween(-ry, ry)
+    row = Window.partitionBy(*by, "gy").orderBy("gx").rangeBetween(-rx, rx)
+    column = Window.partitionBy(*by, "gx").orderBy("gy").rangeBetween(-ry, ry)
     return cells.withColumn(flag, F.max(flag).over(row)).withColumn(flag, F.max(flag).over(column))
 
 

@@ -78,10 +78,11 @@ def voxel_downsample(points: DataFrame, size: float) -> DataFrame:
 
 def neighbours(cells: DataFrame, keys: list[str], value: str, radius: int = 1) -> DataFrame:
     """For each cell, the sum of ``value`` over the cells within ``radius`` along every key, itself included."""
-    span = F.sequence(F.lit(-radius), F.lit(radius))
-    moved = cells.select(*keys, value)
-    for k in keys:
-        moved = moved.withColumn("__d", F.explode(span)).withColumn(k, F.col(k) + F.col("__d")).drop("__d")
+    from itertools import product
+
+    names = [f"__d{k}" for k in keys]
+    steps = cells.sparkSession.createDataFrame(list(product(range(-radius, radius + 1), repeat=len(keys))), ", ".join(f"{n} int" for n in names))
+    moved = cells.select(*keys, value).join(F.broadcast(steps)).select(*((F.col(k) + F.col(n)).alias(k) for k, n in zip(keys, names)), value)
     spread = moved.groupBy(*keys).agg(F.sum(value).alias("around"))
     return cells.join(spread, keys)
 
