@@ -10,13 +10,14 @@ from wayfloor.plans import catalog
 DIR = "/root/testdata/sf0.001"
 QUERIES, ORACLES = catalog.queries(), catalog.oracle_sql()
 #: Sequential rules without a SQL counterpart; they have tests of their own.
-WITHOUT = {"w4_greedy_segments", "w9_d3_profile_ramps", "c7_surface_continuity"}
+WITHOUT = {"w4_greedy_segments", "w9_d3_profile_ramps", "c7_surface_continuity", "p6_spiral_path"}
 
 
 @pytest.fixture(scope="module")
 def con():
     c = duckdb.connect()
-    c.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{DIR}/lineitem.parquet'")
+    for t in ("lineitem", "events"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DIR}/{t}.parquet'")
     return c
 
 
