@@ -231,13 +231,17 @@ def pose_moves(model: str, k: int) -> list[tuple[int, int]]:
 def reachable_poses(free: DataFrame, seed: tuple[int, int], model: str = "differential") -> DataFrame:
     """``free(map_id, k, gy, gx)``, the poses without collision -> those reached from any heading at the seed.
 
+    A seed without an open pose gives way to the nearest centre that has one.
     A turn goes to the next heading either way; a diagonal step needs both
     cells beside it.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         open_ = set(zip(pdf["k"].tolist(), pdf["gy"].tolist(), pdf["gx"].tolist()))
-        seen = {(k, *seed) for k in range(HEADINGS)} & open_
+        if not open_:
+            return pdf.head(0)[["map_id", "k", "gy", "gx"]]
+        _, *at = min((abs(y - seed[0]) + abs(x - seed[1]), y, x) for _, y, x in open_)
+        seen = {(k, *at) for k in range(HEADINGS)} & open_
         ring = list(seen)
         while ring:
             nxt = []

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from wayfloor.plans import registry
 
-for _name in ("points_queries", "grid_queries", "reach_queries", "scene_queries", "terrain_queries"):
+for _name in ("points_queries", "grid_queries", "reach_queries", "scene_queries", "terrain_queries", "path_queries"):
     import_module(f"wayfloor.plans.{_name}")
 
 
