@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfloor.llm.common import process_cache, row_key
+from wayfloor.llm.common import process_cache, row_key, small
 
 #: Characters of a chunk, and by how many it reaches into the next one.
 CHUNK_CHARS, OVERLAP_CHARS = 1 << 16, 1 << 9
@@ -107,7 +107,7 @@ def _pieces(long: DataFrame, id_col: str, pattern: str, chunk: int, overlap: int
     ).repartition("doc_key", "k")
 
     def bounds(batches):
-        for batch in batches:
+        for batch in small(batches):
             heads, tails = [], []
             for part in batch.column(3).to_pylist():
                 b = boundaries(part, pattern)
@@ -152,7 +152,7 @@ def _encode_pieces(pieces: DataFrame, id_col: str, path: str, pattern: str) -> D
 
     def run(batches):
         enc, none = encoder(path, pattern), np.zeros(0, np.int32)
-        for batch in batches:
+        for batch in small(batches):
             ids = [enc.encode_to_numpy(t, disallowed_special=()).view(np.int32) if t else none for t in batch.column(4).to_pylist()]
             ends = np.cumsum([0, *map(len, ids)])
             yield pa.RecordBatch.from_arrays(
@@ -187,7 +187,7 @@ def token_digest(docs: DataFrame, path: str | None = None, pattern: str | None =
     def run(batches):
         enc = encoder(path, pattern)
         ids_hash = data_hash = n = None
-        for batch in batches:
+        for batch in small(batches):
             rows, column = {"doc_id": [], "n_tokens": [], "ids_sha256": [], "decoded_sha256": []}, batch.column(4)
             flat, ends = column.values.to_numpy(), column.offsets.to_numpy()
             for i, (key, piece, last) in enumerate(zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)))):

@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayfloor.llm.common import small
+
 #: Tokens of a window for the span, and for repeated history.
 BUDGET, HISTORY = 2048, 512
 BLOCK = 256
@@ -163,7 +165,7 @@ def read_back(windows: DataFrame) -> DataFrame:
             return (state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4])
 
         kind = None
-        for batch in batches:
+        for batch in small(batches):
             ids, out = [], []
             kind = batch.schema.field(0).type
             for conv, text, repeated, loss in zip(*(batch.column(i).to_pylist() for i in range(4))):

@@ -10,6 +10,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wayfloor.operators.components import spread_labels
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
@@ -37,6 +39,13 @@ def process_cache() -> dict:
     return sys.modules.setdefault("_wayfloor_process_cache", types.ModuleType("_wayfloor_process_cache")).__dict__
 
 
+def small(batches, rows: int = 512):
+    """Arrow batches in slices, so that a worker holds the Python objects of few rows at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def row_key(id_col: str, text_col: str):
     """A 64-bit key of a document row; rows that repeat in id and text share it, nulls have a value of their own."""
     return F.xxhash64(
@@ -49,32 +58,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Components of an undirected graph: ``edges(a, b)`` longs -> ``(id, component)``, component the least id.
-
-    Least-label propagation with pointer jumping.  Each round aggregates with a
-    map-side minimum, so a vertex of very many edges is no hot task, and writes
-    its labels to the shared folder.  Only counts reach the driver.
-    """
+def connected_components(edges: DataFrame) -> DataFrame:
+    """Components of an undirected graph: ``edges(a, b)`` longs -> ``(id, component)``, component the least id."""
     both = materialize(
-        edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(),
-        "cc-edges",
+        edges.select(F.col("a").alias("s"), F.col("b").alias("t")).union(edges.select(F.col("b").alias("s"), F.col("a").alias("t"))).where("s <> t").distinct(), "edges"
     )
-    labels = both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m"))
-    labels = materialize(labels.select("id", F.least("id", "m").alias("component")), "cc-labels")
-    for _ in range(max_rounds):
-        heard = (
-            both.join(labels.select(F.col("id").alias("b"), F.col("component").alias("c")), "b")
-            .groupBy(F.col("a").alias("id"))
-            .agg(F.min("c").alias("c"))
-        )
-        hooked = labels.join(heard, "id").select("id", F.least("component", "c").alias("p"), F.col("component").alias("old"))
-        jump = labels.select(F.col("id").alias("p"), F.col("component").alias("pp"))
-        nxt = materialize(
-            hooked.join(jump, "p", "left").select("id", F.least("p", F.coalesce("pp", "p")).alias("component"), "old"), "cc-labels"
-        )
-        changed = nxt.where("component <> old").limit(1).count()
-        labels = nxt.select("id", "component")
-        if not changed:
-            return labels
-    raise RuntimeError("components did not settle; raise max_rounds")
+    return spread_labels(both.select(F.col("s").alias("id")).distinct(), both).withColumnRenamed("label", "component")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfloor.llm.common import materialize, row_key
+from wayfloor.llm.common import materialize, row_key, small
 
 WINDOW = 13
 #: Words of benchmark items that one automaton may hold; more items go in further passes.
@@ -193,7 +193,7 @@ def _one_pass(docs: DataFrame, auto: SuffixAutomaton, id_col: str) -> DataFrame:
 
     def run(batches):
         a = shared.value
-        for batch in batches:
+        for batch in small(batches):
             texts = batch.column(2).cast(pa.binary()).to_pylist()
             n, ranges, spans, items = [], [], [], []
             for data in texts:
@@ -339,7 +339,7 @@ def _apply(docs, auto, text_col, how, max_span_words, max_coverage):
 
     def run(batches):
         a = shared.value
-        for batch in batches:
+        for batch in small(batches):
             texts = batch.column(at).cast(pa.binary()).to_pylist()
             keep, new = [], []
             for data in texts:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfloor.llm.common import connected_components, materialize
+from wayfloor.llm.common import connected_components, materialize, small
 
 THRESHOLD = 0.98
 BITS, MAX_HAMMING = 64, 14
@@ -112,7 +112,7 @@ def _links(nodes: DataFrame, d: int, n: int, threshold: float) -> DataFrame:
 
     def code(batches):
         mean, projection, cuts = model.value
-        for batch in batches:
+        for batch in small(batches):
             v = _matrix(batch.column(2), d)
             v = v / np.abs(v).max(axis=1, keepdims=True)
             v = v / np.linalg.norm(v, axis=1, keepdims=True)
@@ -138,7 +138,7 @@ def _links(nodes: DataFrame, d: int, n: int, threshold: float) -> DataFrame:
     two = coded.select(F.col("node").alias("b"), F.col("unit").alias("y"))
 
     def cosine(batches):
-        for batch in batches:
+        for batch in small(batches):
             x, y = _matrix(batch.column(2), d), _matrix(batch.column(3), d)
             good = pa.array(np.einsum("ij,ij->i", x, y) >= threshold)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], names=["a", "b"])

@@ -22,12 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfloor.llm.common import process_cache
+from wayfloor.llm.common import process_cache, small
 
 #: Length of a profile, longest n-gram, and the bound of the learning sample.
 PROFILE, MAX_N, MAX_DOCS_PER_LANGUAGE = 400, 3, 20_000
 UNKNOWN = "und"
-_CHUNK = 1 << 20
+_CHUNK = 1 << 17
 
 
 def _letters() -> np.ndarray:
@@ -126,7 +126,7 @@ def learn_profiles(docs: DataFrame, lang_col: str = "lang", text_col: str = "tex
 
     def count(batches):
         found: dict[str, list] = {}
-        for batch in batches:
+        for batch in small(batches):
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if text:
                     parts = found.setdefault(lang, [])
@@ -155,7 +155,7 @@ def identify(docs: DataFrame, profiles: Profiles, text_col: str = "text", keep:
 
     def run(batches):
         p = shared.value
-        for batch in batches:
+        for batch in small(batches):
             found = [p.predict(t) for t in batch.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[: len(keep)], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
@@ -182,7 +182,7 @@ def keep_identified(docs: DataFrame, profiles: Profiles, text_col: str = "text",
 
     def run(batches):
         p = shared.value
-        for batch in batches:
+        for batch in small(batches):
             found = [p.predict(t) for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array([lang != UNKNOWN and score >= min_score for lang, score in found], pa.bool_()))
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfloor.llm.common import materialize, row_key
+from wayfloor.llm.common import materialize, row_key, small
 from wayfloor.llm.lsh import bands_for, link_classes
 from wayfloor.llm.shingles import mix, set_node, shingle_set
 
@@ -102,7 +102,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def run(batches):
         many = pa.list_(pa.int64())
-        for batch in batches:
+        for batch in small(batches):
             nodes, values = [], []
             for data in batch.column(2).cast(pa.binary()).to_pylist():
                 s = shingle_set(data)
@@ -118,7 +118,7 @@ def _sets(rows: DataFrame) -> DataFrame:
     """``(node, __text)`` -> ``(node, shingles)``."""
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             sets = [shingle_set(data).tobytes() for data in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "shingles"])
 

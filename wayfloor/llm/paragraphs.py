@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfloor.llm.common import materialize, row_key
+from wayfloor.llm.common import materialize, row_key, small
 from wayfloor.llm.lsh import bands_for, link_classes
 from wayfloor.llm.shingles import SHINGLE, TABLE, mix, shingle_hashes, word_hashes
 
@@ -121,7 +121,7 @@ def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             rows, columns, values, offsets = [], [[], [], [], []], [np.zeros(0, np.int64)], [0]
             for i, data in enumerate(batch.column(2).cast(pa.binary()).to_pylist()):
                 spans, begin, end, shingles, lines = paragraphs(data) if data else (None, (), (), None, 0)
@@ -148,7 +148,7 @@ def _line_sets(texts: DataFrame) -> DataFrame:
     """``(__text)`` -> ``(node, shingles)`` of the whole lines."""
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             nodes, sets = [], []
             for data in batch.column(0).cast(pa.binary()).to_pylist():
                 _, begin, end, shingles, lines = paragraphs(data)
@@ -207,7 +207,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     at = names.index(text_col)
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             new = []
             for data, spans in zip(batch.column(at).cast(pa.binary()).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
                 if data and spans:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfloor.llm.common import process_cache
+from wayfloor.llm.common import process_cache, small
 
 #: Bound of the fitting sample.
 MAX_ROWS = 20_000
@@ -197,7 +197,7 @@ def _featured(rows: DataFrame, schema: str, finish) -> DataFrame:
     """Rows whose last column is the text, through ``finish(columns, feature matrix)``."""
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             x = np.array([features(t) for t in batch.column(batch.num_columns - 1).to_pylist()], dtype=np.float64).reshape(-1, len(FEATURES))
             yield finish(batch.columns[:-1], x)
 

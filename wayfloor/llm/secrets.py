@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wayfloor.llm.common import small
+
 # The base patterns, their least lengths, and the order of kinds.
 ASSIGN = r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -110,7 +112,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             spans = [[{"kind": KINDS[k], "start": a, "end": b} for a, b, k in spans_of(t)] if t else [] for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, kind)], names=[id_col, "spans"])
 
@@ -147,7 +149,7 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET
     at = docs.columns.index(text_col)
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             new = [redact_text(t, mark) if t else t for t in batch.column(at).to_pylist()]
             field = batch.schema.field(at)
             yield batch.set_column(at, field, pa.array(new, field.type))

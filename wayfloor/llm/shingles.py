@@ -14,7 +14,7 @@ _KEEP = set(range(0x30, 0x3A)) | set(range(0x61, 0x7B)) | set(range(0x80, 0x100)
 TABLE = bytes((b + 32 if 0x41 <= b <= 0x5A else b if b in _KEEP else 0x20) for b in range(256))
 
 _ODD, _MUL = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
-_CHUNK = 1 << 20
+_CHUNK = 1 << 17
 
 
 def mix(x: np.ndarray) -> np.ndarray:
