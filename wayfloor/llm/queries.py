@@ -72,4 +72,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from wayfloor.llm.sql import ORACLES
+
+    return dict(ORACLES)
