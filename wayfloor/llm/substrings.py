@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfloor.llm.common import materialize, process_cache, row_key
+from wayfloor.llm.common import materialize, process_cache, row_key, small
 from wayfloor.llm.shingles import mix
 
 MIN_BYTES, GRAM = 200, 64
@@ -41,8 +41,6 @@ _WINDOW = MIN_BYTES - GRAM + 1
 _CHUNK = 1 << 19
 #: Bytes of a batch that is sorted, and of one fingerprint's runs beyond which its windows are counted.
 BATCH_BYTES, HOT_BYTES = 800_000, 1_000_000
-#: Rows up to which a side is broadcast to find its texts; more are joined with a shuffle.
-MAX_BROADCAST_ROWS = 300_000
 
 
 def _gram_hashes(raw: np.ndarray) -> np.ndarray:
@@ -85,7 +83,7 @@ def _runs(docs: DataFrame) -> DataFrame:
     """``(uid, t)`` -> ``(uid, fp, ctx, a, b, n)``: n counts equal runs of one text; their places have rows without fp."""
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             rows = []
             for uid, data in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
                 if not data or len(data) < MIN_BYTES:
@@ -218,7 +216,7 @@ def _compared(rows: DataFrame) -> DataFrame:
 
     def run(batches):
         held, size, fp_now = [], 0, None
-        for batch in batches:
+        for batch in small(batches):
             for fp, uid, a, alone, data in zip(*(c.to_pylist() for c in batch.columns)):
                 if fp != fp_now and size > BATCH_BYTES:
                     yield finish(held)
@@ -236,7 +234,7 @@ def _counted(rows: DataFrame) -> DataFrame:
     """The same for fingerprints of very many bytes: window hashes are counted with partial sums."""
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             out = [[], [], [], []]
             for uid, a, data in zip(*(batch.column(i).to_pylist() for i in (1, 2, 4))):
                 for j in range(len(data) - MIN_BYTES + 1):
@@ -250,11 +248,6 @@ def _counted(rows: DataFrame) -> DataFrame:
     return windows.join(many, ["h1", "h2"]).select("uid", "begin", (F.col("begin") + MIN_BYTES).alias("end"))
 
 
-def _with_texts(docs: DataFrame, lists: DataFrame, n: int) -> DataFrame:
-    """``docs(uid, t)`` joined to ``lists(uid, ...)`` of one row a uid, which is broadcast if it is small."""
-    return docs.join(F.broadcast(lists) if n <= MAX_BROADCAST_ROWS else lists, "uid")
-
-
 def repeated_ranges(docs: DataFrame) -> DataFrame:
     """``docs(uid, t)`` -> ``(uid, ranges array<struct<begin,end>>, n_removed)`` of the texts that lose bytes; ranges are maximal."""
     runs = materialize(_runs(docs), "runs")
@@ -275,14 +268,14 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
         lists = parts.groupBy("uid").agg(F.collect_list(F.struct("fp", "a", "b", "alone", (F.col("size") > HOT_BYTES).alias("hot"))).alias("list"))
 
         def cut(batches):
-            for batch in batches:
+            for batch in small(batches):
                 out = []
                 for uid, data, wanted in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist()):
                     out += [(w["fp"], uid, w["a"], w["alone"], data[w["a"] : w["b"] + MIN_BYTES], w["hot"]) for w in wanted]
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.bool_())
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=["fp", "uid", "a", "alone", "bytes", "hot"])
 
-        texts = _with_texts(docs, lists, n).select("uid", "t", "list")
+        texts = docs.join(lists, "uid").select("uid", "t", "list")
         pieces = materialize(texts.mapInArrow(cut, "fp long, uid long, a long, alone boolean, bytes binary, hot boolean"), "pieces")
         columns = ["fp", "uid", "a", "alone", "bytes"]
         cold = pieces.where("NOT hot").select(columns).repartition(max(1, -(-int(total) // BATCH_BYTES)), "fp").sortWithinPartitions("fp")
@@ -323,7 +316,7 @@ def substring_digest(docs: DataFrame) -> DataFrame:
     part = materialize(ranges.join(n_bytes, "uid").where("n_removed < n_bytes").select("uid", "ranges"), "part")
 
     def digest(batches):
-        for batch in batches:
+        for batch in small(batches):
             out = []
             for data, ranges in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist()):
                 kept, last = hashlib.sha256(), 0
@@ -334,8 +327,7 @@ def substring_digest(docs: DataFrame) -> DataFrame:
                 out.append(kept.hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["uid", "cut"])
 
-    n = part.agg(F.sum(F.size("ranges"))).first()[0] or 0
-    cut = _with_texts(source, part, n).select("uid", "t", "ranges").mapInArrow(digest, "uid long, cut string").dropDuplicates(["uid"])
+    cut = source.join(part, "uid").select("uid", "t", "ranges").mapInArrow(digest, "uid long, cut string").dropDuplicates(["uid"])
     return facts.join(ranges.select("uid", "n_removed", F.size("ranges").alias("n_spans")), "uid", "left").join(cut, "uid", "left").select(
         "doc_id",
         "n_bytes",
