@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfloor.llm.common import connected_components, materialize
+from wayfloor.llm.common import connected_components, materialize, small
 
 
 #: Sets of a block, about.
@@ -33,7 +33,7 @@ def jaccard_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     rows = pairs.select("a", "b").join(two, "b").join(one, "a").select("a", "b", "sa", "sb")
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             out = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
@@ -62,16 +62,13 @@ def link_classes(nodes: DataFrame, fetch, threshold: float) -> DataFrame:
     # First every node with its least leader alone: that joins the copies of a text, however many buckets they share.
     pairs = members.groupBy(F.col("node").alias("b")).agg(F.min("leader").alias("a"))
     compared = materialize(jaccard_pairs(pairs, sets), "compared")
-    links = compared.where(F.col("similarity") >= threshold).select("a", "b")
-    labels = connected_components(links)
+    labels = connected_components(compared.where(F.col("similarity") >= threshold).select("a", "b"))
 
     # Then with the leaders that are still in other components.
     placed = _placed(members, labels)
     pairs = placed.where("component <> home").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     more = materialize(jaccard_pairs(pairs.join(compared, ["a", "b"], "left_anti"), sets).where(F.col("similarity") >= threshold), "compared")
-    if more.limit(1).count():
-        links = links.union(more.select("a", "b"))
-        labels = connected_components(links)
+    labels = _joined(labels, more)
 
     # Last the members of a bucket that its leader's component does not hold, with all of the bucket, in blocks.
     placed = materialize(_placed(members, labels), "placed")
@@ -79,10 +76,20 @@ def link_classes(nodes: DataFrame, fetch, threshold: float) -> DataFrame:
     if not mixed.limit(1).count():
         return labels
     here = placed.select("band", "node", "component", F.expr("component <> home").alias("apart")).join(mixed, "band", "left_semi")
-    found = materialize(_block_links(here, sets, threshold), "late-links")
+    return _joined(labels, materialize(_block_links(here, sets, threshold), "late-links"))
+
+
+def _joined(labels: DataFrame, found: DataFrame) -> DataFrame:
+    """``labels`` after more links ``found(a, b)``: only the graph of components is labelled anew."""
     if not found.limit(1).count():
         return labels
-    return connected_components(links.union(found))
+    of = lambda end: labels.select(F.col("id").alias(end), F.col("component").alias(f"of_{end}"))
+    ends = found.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left")
+    ends = materialize(ends.select("a", "b", F.coalesce("of_a", "a").alias("of_a"), F.coalesce("of_b", "b").alias("of_b")), "ends")
+    top = connected_components(ends.select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))).select(F.col("id").alias("component"), F.col("component").alias("top"))
+    fresh = ends.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(labels, "id", "left_anti").select("id", F.col("id").alias("component"))
+    whole = labels.unionByName(fresh).join(top, "component", "left")
+    return materialize(whole.select("id", F.coalesce("top", "component").alias("component")), "labels")
 
 
 def _block_links(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -101,7 +108,7 @@ def _block_links(members: DataFrame, sets: DataFrame, threshold: float) -> DataF
     pairs = blocks(rows, "m", "x").join(blocks(rows.where("apart"), "q", "y"), "band").select("x", "y")
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             out = [link for x, y in zip(batch.column(0), batch.column(1)) for link in _joining(x.as_py(), y.as_py(), threshold)]
             yield pa.RecordBatch.from_arrays([pa.array([v[i] for v in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
