@@ -74,3 +74,53 @@ def test_edges(edge_docs, empty_docs):
     assert remove_repeats(edge_docs).count() == edge_docs.count()
     assert remove_repeats(edge_docs).columns == edge_docs.columns
     assert len(paragraphs(b"a. " * 200)[1]) > 0
+
+
+def test_exact_runs_of_50_words_are_found_without_sentences(spark):
+    rng = random.Random(9)
+    unpunctuated, short, wrapped, long_sentences = (text_of(rng, n, 10**6) for n in (70, 51, 60, 52))
+    a, b = long_sentences[:150].rsplit(" ", 1)[0], long_sentences[150:].split(" ", 1)[1]
+    long_sentences = f"{a}. {b}."
+    split = lambda n: "\n".join(" ".join(wrapped.split()[i : i + n]) for i in range(0, 60, n))
+    own = lambda n: text_of(rng, n, 10**6)
+    passages = [(unpunctuated, unpunctuated), (short, short), (split(9), split(13)), (long_sentences, long_sentences)]
+    docs = []
+    for i, (p, q) in enumerate(passages):
+        n = 4 if i == 1 else 100
+        docs += [(2 * i, f"{own(n)} {p} {own(n)}"), (2 * i + 1, f"{own(n)} {q} {own(n + 3)}")]
+    docs += [(100 + i, own(120)) for i in range(5)]
+    texts = dict(docs)
+    got = [r for r in repeated_paragraphs(spark.createDataFrame(docs, "doc_id long, text string")).collect() if r.n_words >= 50]
+    mine = {r.doc_id: (words(texts[r.doc_id].encode()[r.begin : r.end].decode()), r.first_id, r.removed) for r in got}
+    assert len(got) == len(mine)
+    assert mine == {2 * i + c: (words(p), 2 * i, c == 1) for i, (p, _) in enumerate(passages) for c in (0, 1)}
+
+
+def test_runs_of_50_words_match_brute_force(spark):
+    rng = random.Random(10)
+    bases = [[f"w{rng.randrange(10**6)}" for _ in range(130)] for _ in range(3)] + [["x"] * 130]
+    docs = []
+    for d in range(24):
+        w = []
+        for _ in range(3):
+            w += [f"o{rng.random()}" for _ in range(rng.randint(0, 20))]
+            base, at = rng.choice(bases), rng.randrange(80)
+            w += base[at : at + rng.randint(30, 110)]
+        docs.append((d, " ".join(w)))
+    places, text = {}, {d: t.split() for d, t in docs}
+    text = {d: [x for w in ws for x in words(w)] for d, ws in text.items()}
+    for d, w in text.items():
+        for i in range(len(w) - 49):
+            places.setdefault(tuple(w[i : i + 50]), []).append((d, i))
+    want = set()
+    for (d0, i0), *others in (sorted(p) for p in places.values()):
+        want |= {(d, i + k) for d, i in others if d != d0 or i >= i0 + 50 for k in range(50)}
+    got = set()
+    for r in repeated_paragraphs(spark.createDataFrame(docs, "doc_id long, text string")).collect():
+        if r.removed and r.n_words >= 50:
+            data = dict(docs)[r.doc_id].encode()
+            at = len(words(data[: r.begin].decode()))
+            here = set((r.doc_id, at + k) for k in range(len(words(data[r.begin : r.end].decode()))))
+            if len(here) < len(text[r.doc_id]):  # not a whole line
+                got |= here
+    assert got == want

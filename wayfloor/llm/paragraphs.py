@@ -5,11 +5,20 @@ that reaches so many words.  Lines of ``LONG_WORDS`` or more also hold passages
 that begin and end at sentences, the beginnings chosen by content, so that a
 passage copied into different lines is cut the same way in both.
 
+Any run of ``PASSAGE_WORDS`` words or more that stands elsewhere too is a
+paragraph as well, wherever it begins and ends and however its lines are
+broken.  Every window of so many words is anchored at its least hash of
+``GRAM`` words, so equal windows have equal anchors; windows whose anchor
+repeats are compared by their words, one for every distinct surrounding of the
+anchor.  A window belongs to the first place of its words, and windows that
+keep step with one first place are one run, which is maximal.
+
 Lines get MinHash signatures whose bands find pairs at the threshold but for
 ``MISS``; colliding lines are verified by exact Jaccard similarity of their
 word shingles.  Runs and passages are classed by equality.  Connected
 components are the classes; the first paragraph of a class, by document and
-place, stays and the others are removals.
+place, stays and the others are removals.  A run of windows is classed with the
+run at its first place; one that overlaps that place is no removal.
 
 Defined cases: null, empty and short texts have no paragraphs; rows that
 repeat id and text count as one place, so neither is a removal of the other;
@@ -22,30 +31,39 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfloor.llm.common import materialize, row_key, small
 from wayfloor.llm.lsh import bands_for, link_classes
 from wayfloor.llm.shingles import SHINGLE, TABLE, mix, shingle_hashes, word_hashes
+from wayfloor.llm.substrings import _least
 
 MIN_WORDS, LONG_WORDS = 20, 60
 THRESHOLD, ROWS, MISS = 0.8, 4, 1e-3
 BANDS = bands_for(THRESHOLD, ROWS, MISS)
+#: Words of a window of a passage, and of an anchor (two shingles).
+PASSAGE_WORDS, GRAM = 50, 2 * SHINGLE
 MAX_BROADCAST_IDS = 1_000_000
+#: Windows of a text anchored at once.
+_CHUNK = 1 << 19
 _TERMINAL = np.zeros(256, bool)
 _TERMINAL[[0x2E, 0x21, 0x3F]] = True
 #: Paragraphs handled at once, which bounds the matrix of hash values.
 _AT_ONCE = 64
 
 
+def word_spans(data: bytes) -> np.ndarray:
+    """Begin and end in bytes of every normalised word."""
+    inside = np.zeros(len(data) + 2, np.int8)
+    inside[1:-1] = np.frombuffer(data.translate(TABLE), np.uint8) != 32
+    return np.flatnonzero(np.diff(inside)).reshape(-1, 2)
+
+
 def paragraphs(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
     """(words, begin, end, shingles, lines): word spans in bytes, word ranges of paragraphs; the first ``lines`` ranges are whole lines."""
     raw = np.frombuffer(data, np.uint8)
-    inside = np.zeros(len(raw) + 2, np.int8)
-    inside[1:-1] = np.frombuffer(data.translate(TABLE), np.uint8) != 32
-    edge = np.flatnonzero(np.diff(inside))
-    spans = edge.reshape(-1, 2)
+    spans = word_spans(data)
     n = len(spans)
     none = np.zeros(0, np.int64)
     if n < MIN_WORDS:
@@ -89,6 +107,23 @@ def paragraphs(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return spans, np.concatenate(begin), np.concatenate(end), shingles, int(long.sum())
 
 
+def anchored_windows(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(fingerprint, hash of the run's words, first window, last window) of the runs of windows with one anchor."""
+    out = [[np.zeros(0, np.int64)] for _ in range(4)]
+    width = PASSAGE_WORDS - SHINGLE  # shingles of a window, less one
+    for at in range(0, len(shingles) - width, _CHUNK):
+        part = shingles[at : at + _CHUNK + width]
+        h = mix(part[:-SHINGLE] * np.uint64(0xD1342543DE82EF95) + part[SHINGLE:])
+        place = np.uint64((1 << 20) - 1)
+        anchor = (_least((h & ~place) | np.arange(len(h), dtype=np.uint64), PASSAGE_WORDS - GRAM + 1) & place).astype(np.int64)
+        first = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
+        last = np.concatenate((first[1:], [len(anchor)])) - 1
+        words = np.array([_node(part[a : b + width + 1]) for a, b in zip(first.tolist(), last.tolist())], np.int64)
+        for column, values in zip(out, (h[anchor[first]].view(np.int64), words, first + at, last + at)):
+            column.append(values)
+    return tuple(np.concatenate(c) for c in out)
+
+
 def _multipliers(k: int) -> tuple[np.ndarray, np.ndarray]:
     a = mix(np.arange(1, k + 1, dtype=np.uint64)) | np.uint64(1)
     return a, mix(a)
@@ -117,14 +152,23 @@ def _node(shingles: np.ndarray) -> int:
 
 
 def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, key, begin, end, n_words, node, bands)``: the paragraphs of every text; runs and passages have no bands."""
+    """``(id, key, begin, end, n_words, node, bands, anchor)``: the paragraphs of every text; runs and passages have no bands.
+
+    Rows with an anchor are runs of windows instead, from window begin to end, and node a hash of their words.
+    """
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
         for batch in small(batches):
-            rows, columns, values, offsets = [], [[], [], [], []], [np.zeros(0, np.int64)], [0]
+            rows, columns, values, offsets, anchored, runs = [], [[], [], [], []], [np.zeros(0, np.int64)], [0], [], [[], [], [], []]
             for i, data in enumerate(batch.column(2).cast(pa.binary()).to_pylist()):
                 spans, begin, end, shingles, lines = paragraphs(data) if data else (None, (), (), None, 0)
+                if shingles is None or not len(shingles):
+                    continue
+                found = anchored_windows(shingles)
+                anchored += [i] * len(found[0])
+                for column, part in zip(runs, found):
+                    column.append(part)
                 if not len(begin):
                     continue
                 rows += [i] * len(begin)
@@ -135,13 +179,17 @@ def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 if lines:
                     values.append(line_bands(shingles, begin[:lines], end[:lines], BANDS, ROWS).ravel())
                 offsets += [offsets[-1] + BANDS * min(j + 1, lines) for j in range(len(begin))]
-            take = pa.array(rows, pa.int64())
-            flat = [pa.array(np.concatenate([np.zeros(0, np.int64), *c]).astype(np.int64)) for c in columns]
-            bands = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(values)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *flat, bands], names=[id_col, "key", "begin", "end", "n_words", "node", "bands"])
+            take = pa.array(rows + anchored, pa.int64())
+            anchor, words, first, last = (np.concatenate([np.zeros(0, np.int64), *c]) for c in runs)
+            more = first, last, last - first + PASSAGE_WORDS, words
+            flat = [pa.array(np.concatenate([*c, m]).astype(np.int64)) for c, m in zip(columns, more)]
+            bands = pa.ListArray.from_arrays(pa.array(offsets + offsets[-1:] * len(anchored), pa.int32()), pa.array(np.concatenate(values)))
+            anchor = pa.concat_arrays([pa.nulls(len(rows), pa.int64()), pa.array(anchor)])
+            names = [id_col, "key", "begin", "end", "n_words", "node", "bands", "anchor"]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *flat, bands, anchor], names=names)
 
     rows_in = docs.select(F.col(id_col), row_key(id_col, text_col).alias("key"), F.col(text_col).cast("string").alias("__text"))
-    return rows_in.mapInArrow(run, f"`{id_col}` {id_type}, key long, begin long, end long, n_words long, node long, bands array<long>")
+    return rows_in.mapInArrow(run, f"`{id_col}` {id_type}, key long, begin long, end long, n_words long, node long, bands array<long>, anchor long")
 
 
 def _line_sets(texts: DataFrame) -> DataFrame:
@@ -161,12 +209,105 @@ def _line_sets(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "node long, shingles binary")
 
 
+def _with_texts(docs: DataFrame, lists: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``lists(key, list)`` -> ``(id, key, __text, list)``: the rows of the documents that have a list."""
+    lists = materialize(lists, "lists")
+    wanted = lists.select("key")
+    if wanted.count() <= MAX_BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
+    texts = docs.select(F.col(id_col), row_key(id_col, text_col).alias("key"), F.col(text_col).cast("string").alias("__text"))
+    return texts.join(wanted, "key", "left_semi").join(lists, "key").select(id_col, "key", "__text", "list")
+
+
+def repeated_passages(docs: DataFrame, anchors: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The maximal runs of ``PASSAGE_WORDS`` words or more that stand at several places, in columns as of ``repeated_paragraphs``.
+
+    ``anchors`` are the rows of ``extract`` with an anchor.
+    """
+    id_type = docs.schema[id_col].dataType.simpleString()
+    place = F.struct(F.col(id_col).alias("id"), F.col("key"), F.col("begin").alias("at"))
+    spot = F.xxhash64("key", "begin")
+    several = F.min(spot) != F.max(spot)  # rows that repeat id and text are one place
+    often = anchors.groupBy("anchor").agg(several.alias("several")).where("several").select("anchor")
+    again = materialize(anchors.join(often, "anchor", "left_semi").select(id_col, "key", "begin", "end", "anchor", "node"), "anchors")
+    kinds = materialize(
+        again.groupBy("anchor", "node").agg(F.min(place).alias("first"), F.first(F.col("end") - F.col("begin")).alias("last"), several.alias("several")), "surroundings"
+    )
+    mixed = kinds.groupBy("anchor").count().where("count > 1").select("anchor")
+    whole = kinds.where("several").join(mixed, "anchor", "left_anti").select("anchor", "node", F.lit(0).cast("long").alias("low"), F.col("last").alias("high"), "first")
+
+    # Of anchors in different surroundings, the windows of the first place of each.
+    one = kinds.join(mixed, "anchor", "left_semi").select("first.key", F.struct("anchor", "node", F.col("first.at").alias("at"), "last", "several").alias("one"))
+
+    def cut(batches):
+        width = PASSAGE_WORDS - SHINGLE + 1
+        for batch in small(batches, 64):
+            rows, out = [], [[], [], [], [], [], []]
+            for i, data, wanted in zip(range(batch.num_rows), batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).to_pylist()):
+                shingles = shingle_hashes(word_hashes(data))
+                for w in wanted:
+                    for j in range(w["last"] + 1):
+                        rows.append(i)
+                        at = w["at"] + j
+                        for column, value in zip(out, (w["anchor"], w["node"], j, _node(shingles[at : at + width]), at, w["several"])):
+                            column.append(value)
+            take = pa.array(rows, pa.int64())
+            kinds = [pa.int64()] * 5 + [pa.bool_()]
+            flat = [pa.array(c, k) for c, k in zip(out, kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *flat], names=[id_col, "key", "anchor", "node", "j", "words", "begin", "several"])
+
+    texts = _with_texts(docs, one.groupBy("key").agg(F.collect_list("one").alias("list")), id_col, text_col)
+    windows = texts.mapInArrow(cut, f"`{id_col}` {id_type}, key long, anchor long, node long, j long, words long, begin long, several boolean")
+    same = Window.partitionBy("anchor", "words")
+    some = F.max("several").over(same) | (F.min(spot).over(same) != F.max(spot).over(same))
+    step = windows.select("anchor", "node", "j", F.min(place).over(same).alias("first"), some.alias("some")).where("some")
+    # Windows of one surrounding overlap, so what lies between two that keep step with a place does so too.
+    parts = step.groupBy("anchor", "node", "first.id", "first.key", (F.col("first.at") - F.col("j")).alias("shift")).agg(F.min("j").alias("low"), F.max("j").alias("high"))
+    parts = parts.select("anchor", "node", "low", "high", F.struct("id", "key", (F.col("shift") + F.col("low")).alias("at")).alias("first"))
+
+    at = again.select(id_col, "key", "begin", "anchor", "node").join(materialize(whole.unionByName(parts), "shared"), ["anchor", "node"])
+    at = at.select(id_col, "key", (F.col("begin") + F.col("low")).alias("a"), (F.col("begin") + F.col("high")).alias("b"), F.col("first.id").alias("first_id"), F.col("first.key").alias("to"), F.col("first.at").alias("start"))
+    at = at.where((F.col("key") != F.col("to")) | (F.col("a") >= F.col("start") + PASSAGE_WORDS)).withColumn("shift", F.col("a") - F.col("start"))
+    line = Window.partitionBy("key", "to", "shift").orderBy("a")
+    reach = F.max("b").over(line.rowsBetween(Window.unboundedPreceding, -1))
+    at = at.withColumn("new", F.coalesce((F.col("a") > reach + PASSAGE_WORDS).cast("long"), F.lit(0)))
+    at = at.withColumn("n", F.sum("new").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = at.groupBy("key", "to", "shift", "n").agg(F.first("first_id").alias("first_id"), F.min("a").alias("a"), F.max("b").alias("b"))
+    start, end = F.col("a") - F.col("shift"), F.col("b") - F.col("shift")
+    runs = materialize(runs.select("key", "a", "b", "to", start.alias("x"), end.alias("y"), F.xxhash64("to", start, end).alias("component"), "first_id"), "passages")
+    places = runs.select("key", "a", "b", "component", "first_id", F.lit(True).alias("removed")).union(
+        runs.select("to", "x", "y", "component", "first_id", F.lit(False)).distinct()
+    )
+    out_type = f"`{id_col}` {id_type}, key long, begin long, end long, n_words long, component long, first_id {id_type}, removed boolean"
+
+    def in_bytes(batches):
+        for batch in small(batches):
+            rows, out, first = [], [[], [], [], [], []], []
+            for i, data, wanted in zip(range(batch.num_rows), batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).to_pylist()):
+                spans = word_spans(data)
+                for w in wanted:
+                    rows.append(i)
+                    end = w["b"] + PASSAGE_WORDS
+                    for column, value in zip(out, (int(spans[w["a"], 0]), int(spans[end - 1, 1]), end - w["a"], w["component"], w["removed"])):
+                        column.append(value)
+                    first.append(w["first_id"])
+            take = pa.array(rows, pa.int64())
+            flat = [pa.array(c, pa.int64()) for c in out[:4]]
+            columns = [batch.column(0).take(take), batch.column(1).take(take), *flat, pa.array(first, batch.schema.field(0).type), pa.array(out[4], pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, names=[id_col, "key", "begin", "end", "n_words", "component", "first_id", "removed"])
+
+    lists = places.groupBy("key").agg(F.collect_list(F.struct("a", "b", "component", "first_id", "removed")).alias("list"))
+    return _with_texts(docs, lists, id_col, text_col).mapInArrow(in_bytes, out_type)
+
+
 def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The paragraphs that are not alone in their class: ``(id, key, begin, end, n_words, component, first_id, removed)``.
 
     ``first_id`` is the document of the paragraph that stays.
     """
-    found = materialize(extract(docs, id_col, text_col), "paragraphs")
+    rows = materialize(extract(docs, id_col, text_col), "paragraphs")
+    passages = repeated_passages(docs, rows.where("anchor IS NOT NULL"), id_col, text_col)
+    found = rows.where("anchor IS NULL")
     nodes = materialize(
         found.where(F.size("bands") > 0).groupBy("node").agg(F.first("bands").alias("bands"), F.min("key").alias("key")), "paragraph-nodes"
     )
@@ -184,9 +325,15 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     placed = placed.withColumn("component", F.coalesce("component", "node"))
     classes = placed.groupBy("component").agg(F.min(where).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("component", "first")
     out = placed.join(classes, "component")
-    return out.select(
+    out = out.select(
         id_col, "key", "begin", "end", "n_words", "component", F.col("first.id").alias("first_id"), (~where.eqNullSafe(F.col("first"))).alias("removed")
     )
+    # A passage that lies in a removal removes nothing more, and a first place in a reported paragraph is no news.
+    both = out.withColumn("passage", F.lit(False)).union(passages.withColumn("passage", F.lit(True)))
+    before = Window.partitionBy("key").orderBy("begin").rangeBetween(Window.unboundedPreceding, 0)
+    reach = lambda which: F.max(F.when(~F.col("passage") & which, F.col("end"))).over(before)
+    covered = F.when(F.col("removed"), reach(F.col("removed"))).otherwise(reach(F.lit(True))) >= F.col("end")
+    return both.withColumn("covered", F.coalesce(covered, F.lit(False))).where("NOT (passage AND covered)").drop("passage", "covered")
 
 
 def paragraph_classes(docs: DataFrame) -> DataFrame:
