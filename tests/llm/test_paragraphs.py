@@ -124,3 +124,27 @@ def test_runs_of_50_words_match_brute_force(spark):
             if len(here) < len(text[r.doc_id]):  # not a whole line
                 got |= here
     assert got == want
+
+
+def test_short_lines_are_compared_in_blocks(spark):
+    rng = random.Random(11)
+    own = lambda n: text_of(rng, n, 10**6)
+    wrap = lambda w, n: "\n".join(" ".join(w[i : i + n]) for i in range(0, len(w), n))
+    other_width, added, changed, stanzas = (own(n).split() for n in (30, 32, 48, 36))
+    pairs = [
+        (wrap(other_width, 9), wrap(other_width, 13)),
+        (wrap(added, 16), wrap(added + ["more"], 16)),
+        (wrap(changed, 8), wrap(["first", *changed[1:]], 11)),
+        ("\n\n".join(" ".join(stanzas[i : i + 12]) for i in (0, 12, 24)), wrap(stanzas, 12)),
+        (wrap(own(19).split(), 7),) * 2,
+    ]
+    docs = []
+    for i, (p, q) in enumerate(pairs):
+        docs += [(2 * i, f"{own(25)}\n{p}\n{own(25)}"), (2 * i + 1, f"{wrap(own(40).split(), 10)}\n\n{q}\n\n{wrap(own(22).split(), 11)}")]
+    texts = dict(docs)
+    got = {}
+    for r in repeated_paragraphs(spark.createDataFrame(docs, "doc_id long, text string")).collect():
+        got.setdefault(r.doc_id, set()).add((texts[r.doc_id].encode()[r.begin : r.end].decode(), r.first_id, r.removed))
+    for i, (p, q) in enumerate(pairs[:4]):
+        assert (p, 2 * i, False) in got[2 * i] and (q, 2 * i, True) in got[2 * i + 1]
+    assert set(got) == set(range(8))

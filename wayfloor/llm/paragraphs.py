@@ -1,7 +1,9 @@
 """Substring deduplication by paragraph MinHash banding (operator 7).
 
-A paragraph is a line of ``MIN_WORDS`` words or more, or a run of shorter lines
-that reaches so many words.  Lines of ``LONG_WORDS`` or more also hold passages
+A paragraph is a line of ``MIN_WORDS`` words or more, or a block of shorter
+lines that holds so many words; blocks end at blank lines and at long lines,
+and blocks with fewer words that follow each other are one.  Any run of shorter
+lines that reaches so many words is a paragraph besides.  Lines of ``LONG_WORDS`` or more also hold passages
 that begin and end at sentences, the beginnings chosen by content, so that a
 passage copied into different lines is cut the same way in both.
 
@@ -13,8 +15,8 @@ repeats are compared by their words, one for every distinct surrounding of the
 anchor.  A window belongs to the first place of its words, and windows that
 keep step with one first place are one run, which is maximal.
 
-Lines get MinHash signatures whose bands find pairs at the threshold but for
-``MISS``; colliding lines are verified by exact Jaccard similarity of their
+Lines and blocks get MinHash signatures whose bands find pairs at the threshold
+but for ``MISS``; those that collide are verified by exact Jaccard similarity of their
 word shingles.  Runs and passages are classed by equality.  Connected
 components are the classes; the first paragraph of a class, by document and
 place, stays and the others are removals.  A run of windows is classed with the
@@ -61,7 +63,7 @@ def word_spans(data: bytes) -> np.ndarray:
 
 
 def paragraphs(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
-    """(words, begin, end, shingles, lines): word spans in bytes, word ranges of paragraphs; the first ``lines`` ranges are whole lines."""
+    """(words, begin, end, shingles, lines): word spans in bytes, word ranges of paragraphs; the first ``lines`` ranges are whole lines and blocks of short lines, in order."""
     raw = np.frombuffer(data, np.uint8)
     spans = word_spans(data)
     n = len(spans)
@@ -74,7 +76,13 @@ def paragraphs(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     last = np.concatenate((first[1:], [n]))
     size = last - first
     long = size >= MIN_WORDS
-    begin, end = [first[long]], [last[long]]
+    # Blocks between blank lines; a long line is a block of its own, and small blocks in a row are one.
+    new = np.concatenate(([True], (line[first[1:]] - line[first[:-1]] > 1) | long[1:] | long[:-1]))
+    little = np.diff(np.append(first[new], n)) < MIN_WORDS
+    block = first[new][np.concatenate(([True], ~(little[1:] & little[:-1])))]
+    stop = np.append(block[1:], n)
+    whole = stop - block >= MIN_WORDS
+    begin, end = [block[whole]], [stop[whole]]
     # Runs of short lines: from each, to the line that completes MIN_WORDS, if no long line comes before.
     short = np.flatnonzero(~long)
     if len(short):
@@ -82,6 +90,7 @@ def paragraphs(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
         before = np.concatenate(([0], np.cumsum(long)))
         ok = to < len(last)
         ok[ok] &= before[to[ok] + 1] == before[short[ok]]
+        ok[ok] &= ~np.isin(first[short[ok]] * (n + 1) + last[to[ok]], begin[0] * (n + 1) + end[0])  # a block is no run besides
         begin.append(first[short[ok]])
         end.append(last[to[ok]])
     if (size >= LONG_WORDS).any():
@@ -104,7 +113,7 @@ def paragraphs(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
         ok = (to - at >= MIN_WORDS) & (to <= last[line_of]) & ~((at == first[line_of]) & (to == last[line_of]))
         begin.append(at[ok])
         end.append(to[ok])
-    return spans, np.concatenate(begin), np.concatenate(end), shingles, int(long.sum())
+    return spans, np.concatenate(begin), np.concatenate(end), shingles, int(whole.sum())
 
 
 def anchored_windows(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -193,7 +202,7 @@ def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def _line_sets(texts: DataFrame) -> DataFrame:
-    """``(__text)`` -> ``(node, shingles)`` of the whole lines."""
+    """``(__text)`` -> ``(node, shingles)`` of the whole lines and blocks."""
 
     def run(batches):
         for batch in small(batches):
