@@ -56,3 +56,13 @@ def test_edges(edge_docs, empty_docs):
     assert secrets_digest(edge_docs).count() == edge_docs.count()
     assert secrets_digest(empty_docs).count() == 0
     assert find_secrets(edge_docs).where("size(spans) > 0").count() == 1  # the run of a is hexadecimal
+
+
+def test_typed_chained_and_nested_assignments():
+    for t in ('password: str = "{}"', 'let api_key: String = "{}";', "const authToken: string | undefined = '{}'", 'secret: Optional[str] = "{}"'):
+        assert "Zx9-kkQw81pT" in lexed(t.format("Zx9-kkQw81pT")), t
+    assert lexed('a = db_pwd = "Zx9-kkQw81pT"') == ["Zx9-kkQw81pT"]
+    assert lexed('db_pwd = a = "Zx9-kkQw81pT"') == ["Zx9-kkQw81pT"]
+    assert lexed("env:DB_PWD=Zx9-kkQw81pT") == ["Zx9-kkQw81pT"]
+    assert lexed('K: str = "Zx9-kkQw81pT"\nsigning_secret = K\n') == ["Zx9-kkQw81pT"]
+    assert lexed('def f(password: str, url="Zx9-kkQw81pT")') == []

@@ -46,6 +46,13 @@ _ASSIGN = re.compile(ASSIGN, re.I | re.A)
 _PAIR = re.compile(
     r"""(?<![\w.\-])([A-Za-z_][\w.\-]*)["']?[ \t]*(?::=|=>|=(?!=)|:(?![:/]))[ \t]*(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|([^\s"',;#(){}\[\]<>]+))""", re.A
 )
+_TYPE = r"[&*]?'?[A-Za-z_][\w.:]*(?:<[^=\n]{0,80}>|\[[^=\n]{0,80}\])*[?*]?"
+#: name, colon and type, equals sign, then a literal as above.
+_TYPED = re.compile(
+    rf"""(?<![\w.\-])([A-Za-z_][\w.\-]*)[?!]?[ \t]*:[ \t]*{_TYPE}(?:(?:[ \t]*\|[ \t]*|[ \t]+){_TYPE}){{0,4}}[ \t]*=(?![=>])[ \t]*"""
+    r"""(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|([^\s"',;#(){}\[\]<>]+))""",
+    re.A,
+)
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+", re.A)
 
 
@@ -78,20 +85,40 @@ def literal_score(value: str) -> float:
     return 0.3 * classes * min(1.0, variety)
 
 
+def _pairs(text: str) -> list[tuple[list[str], re.Match]]:
+    """Matches with their target names by place; what a bare literal holds is read too, and a chain's names share its last literal."""
+    out = []
+    m = _PAIR.search(text)
+    names: list[str] = []
+    while m:
+        names = [*names, m[1]]
+        out.append((names, m))
+        if m[4] is None:
+            names, m = [], _PAIR.search(text, m.end())
+            continue
+        last, m = m, _PAIR.search(text, m.start(4))
+        if not m or m.span(1) != last.span(4):
+            names = []
+    if "=" in text and ":" in text:
+        out += [([m[1]], m) for m in _TYPED.finditer(text)]
+        out.sort(key=lambda x: x[1].end())
+    return out
+
+
 def lexed_spans(text: str) -> list[tuple[int, int, int]]:
     """Literals of assignments whose target name, or a name they flow to, is sensitive."""
     if "=" not in text and ":" not in text:
         return []
     constants: dict[str, tuple[int, int]] = {}
     out = set()
-    for m in _PAIR.finditer(text):
+    for names, m in _pairs(text):
         group = next(g for g in (2, 3, 4) if m[g] is not None)
         value, at = m[group], m.span(group)
         if group == 4 and value in constants:  # a name that stands for an earlier literal
             at = constants[value]
             value = text[slice(*at)]
-        constants[m[1]] = at
-        by_name = name_score(m[1])
+        constants.update(dict.fromkeys(names, at))
+        by_name = max(map(name_score, names))
         if by_name and (by_value := literal_score(value)) and by_name + by_value >= LEXED_THRESHOLD:
             out.add((*at, 3))
     return list(out)
