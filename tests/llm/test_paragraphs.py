@@ -1,7 +1,7 @@
 import random
 
 from tests.llm.test_minhash import brute, words
-from wayfloor.llm.paragraphs import paragraphs, remove_repeats, repeated_paragraphs
+from wayfloor.llm.paragraphs import Texts, line_bands, paragraphs, remove_repeats, repeated_paragraphs
 
 
 def text_of(rng, n, vocab=4000):
@@ -73,7 +73,7 @@ def test_edges(edge_docs, empty_docs):
     assert repeated_paragraphs(empty_docs).count() == 0
     assert remove_repeats(edge_docs).count() == edge_docs.count()
     assert remove_repeats(edge_docs).columns == edge_docs.columns
-    assert len(paragraphs(b"a. " * 200)[1]) > 0
+    assert len(paragraphs(Texts([b"a. " * 200]))[1]) > 0
 
 
 def test_exact_runs_of_50_words_are_found_without_sentences(spark):
@@ -148,3 +148,31 @@ def test_short_lines_are_compared_in_blocks(spark):
     for i, (p, q) in enumerate(pairs[:4]):
         assert (p, 2 * i, False) in got[2 * i] and (q, 2 * i, True) in got[2 * i + 1]
     assert set(got) == set(range(8))
+
+
+def test_texts_together_are_read_like_each_alone():
+    rng = random.Random(12)
+    texts = ["\n".join(sentences(rng, rng.randint(1, 12)) if rng.random() < 0.5 else text_of(rng, rng.randint(1, 30)) for _ in range(rng.randint(1, 8))).encode() for _ in range(40)]
+    texts += [b"one", b"\n\n", b"...", b"a " * 30000]
+
+    def read(batch):
+        t = Texts(batch)
+        begin, end, lines = paragraphs(t)
+        bands = line_bands(t.shingles, begin[:lines], end[:lines], 3, 2)
+        out = [[] for _ in batch]
+        for k, (x, y) in enumerate(zip(begin.tolist(), end.tolist())):
+            d = t.doc[x]
+            out[d].append((k < lines, int(t.spans[x, 0] - t.start[d]), int(t.spans[y - 1, 1] - t.start[d]), tuple(bands[k]) if k < lines else None))
+        return [sorted(o, key=str) for o in out]
+
+    assert read(texts) == [read([t])[0] for t in texts]
+
+
+def test_repeats_inside_one_document_are_no_copies(spark):
+    rng = random.Random(13)
+    line, shared = text_of(rng, 60, 10**6), text_of(rng, 70, 10**6)
+    docs = [(1, f"{line}\n{text_of(rng, 30, 10**6)}\n{line}"), (2, shared), (3, f"x\n{shared}"), (4, "Of " * 300)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r.doc_id for r in repeated_paragraphs(df, within=False).collect()} == {2, 3}
+    assert {r.doc_id for r in repeated_paragraphs(df).collect()} >= {1, 2, 3}
+    assert {r.doc_id: r.text.count(line) for r in remove_repeats(df).collect()}[1] == 1

@@ -22,6 +22,10 @@ components are the classes; the first paragraph of a class, by document and
 place, stays and the others are removals.  A run of windows is classed with the
 run at its first place; one that overlaps that place is no removal.
 
+A class counts if it has paragraphs of two documents: what a document repeats
+of itself alone (refrains, junk of one word) is no sign of a copy.  With
+``within`` such classes are returned too (the default); the query leaves them out.
+
 Defined cases: null, empty and short texts have no paragraphs; rows that
 repeat id and text count as one place, so neither is a removal of the other;
 rows without a doc_id come first.  Offsets are in bytes of UTF-8 text.  Extra
@@ -38,7 +42,7 @@ from pyspark.sql import functions as F
 
 from wayfloor.llm.common import materialize, row_key, small
 from wayfloor.llm.lsh import bands_for, link_classes
-from wayfloor.llm.shingles import SHINGLE, TABLE, mix, shingle_hashes, word_hashes
+from wayfloor.llm.shingles import SHINGLE, mix, shingle_hashes, word_hashes, words_of
 from wayfloor.llm.substrings import _least
 
 MIN_WORDS, LONG_WORDS = 20, 60
@@ -51,82 +55,116 @@ MAX_BROADCAST_IDS = 1_000_000
 _CHUNK = 1 << 19
 _TERMINAL = np.zeros(256, bool)
 _TERMINAL[[0x2E, 0x21, 0x3F]] = True
-#: Paragraphs handled at once, which bounds the matrix of hash values.
-_AT_ONCE = 64
-
-
-def word_spans(data: bytes) -> np.ndarray:
-    """Begin and end in bytes of every normalised word."""
-    inside = np.zeros(len(data) + 2, np.int8)
-    inside[1:-1] = np.frombuffer(data.translate(TABLE), np.uint8) != 32
-    return np.flatnonzero(np.diff(inside)).reshape(-1, 2)
-
-
-def paragraphs(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
-    """(words, begin, end, shingles, lines): word spans in bytes, word ranges of paragraphs; the first ``lines`` ranges are whole lines and blocks of short lines, in order."""
-    raw = np.frombuffer(data, np.uint8)
-    spans = word_spans(data)
-    n = len(spans)
+#: Words whose hash values are computed at once, and bytes of texts handled together.
+_AT_ONCE, _TOGETHER = 1 << 13, 1 << 22
+_GAP = b"\n\n\n"
+
+
+class Texts:
+    """The words of several texts in a row, so that one pass of whole-array operations serves all of them."""
+
+    def __init__(self, texts: list[bytes]):
+        size = np.array([len(t) for t in texts], np.int64)
+        #: First byte of every text in ``data``; what parts two texts is wider than a blank line.
+        self.start = np.cumsum(size + len(_GAP)) - size - len(_GAP)
+        self.data = _GAP.join(texts)
+        self.spans, self.words = words_of(self.data)
+        n = len(self.words)
+        self.doc = np.searchsorted(self.start, self.spans[:, 0], side="right") - 1
+        #: Number of the first word of every text.
+        self.first = np.searchsorted(self.doc, np.arange(len(texts)))
+        self.shingles = shingle_hashes(self.words) if n >= SHINGLE else np.zeros(0, np.uint64)
+
+    def within(self, words: int) -> np.ndarray:
+        """Whether so many words from each on are of one text."""
+        return self.doc[words - 1 :] == self.doc[: len(self.doc) - words + 1] if len(self.doc) >= words else np.zeros(0, bool)
+
+
+def in_parts(texts: list[bytes | None]):
+    """``(rows, Texts)`` of the texts that are not empty, in parts of about ``_TOGETHER`` bytes."""
+    rows, size = [], 0
+    for i, t in enumerate(texts):
+        if not t:
+            continue
+        if rows and size + len(t) > _TOGETHER:
+            yield np.array(rows), Texts([texts[j] for j in rows])
+            rows, size = [], 0
+        rows.append(i)
+        size += len(t)
+    if rows:
+        yield np.array(rows), Texts([texts[j] for j in rows])
+
+
+def paragraphs(t: Texts) -> tuple[np.ndarray, np.ndarray, int]:
+    """(begin, end, lines): word ranges of paragraphs; the first ``lines`` ranges are whole lines and blocks of short lines, in order."""
+    spans, n = t.spans, len(t.spans)
     none = np.zeros(0, np.int64)
     if n < MIN_WORDS:
-        return spans, none, none, np.zeros(0, np.uint64), 0
-    shingles = shingle_hashes(word_hashes(data))
+        return none, none, 0
+    raw = np.frombuffer(t.data, np.uint8)
     line = np.searchsorted(np.flatnonzero(raw == 10), spans[:, 0])
     first = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1])))
     last = np.concatenate((first[1:], [n]))
-    size = last - first
+    doc, size = t.doc[first], last - first
     long = size >= MIN_WORDS
-    # Blocks between blank lines; a long line is a block of its own, and small blocks in a row are one.
+    # Blocks between blank lines; a long line is a block of its own, and small blocks of a text in a row are one.
     new = np.concatenate(([True], (line[first[1:]] - line[first[:-1]] > 1) | long[1:] | long[:-1]))
     little = np.diff(np.append(first[new], n)) < MIN_WORDS
-    block = first[new][np.concatenate(([True], ~(little[1:] & little[:-1])))]
+    joined = little[1:] & little[:-1] & (doc[new][1:] == doc[new][:-1])
+    block = first[new][np.concatenate(([True], ~joined))]
     stop = np.append(block[1:], n)
     whole = stop - block >= MIN_WORDS
     begin, end = [block[whole]], [stop[whole]]
     # Runs of short lines: from each, to the line that completes MIN_WORDS, if no long line comes before.
     short = np.flatnonzero(~long)
     if len(short):
+        of_block = np.zeros(n, np.int64)
+        of_block[begin[0]] = end[0]
         to = np.searchsorted(last, first[short] + MIN_WORDS)
+        short, to = short[to < len(last)], to[to < len(last)]
         before = np.concatenate(([0], np.cumsum(long)))
-        ok = to < len(last)
-        ok[ok] &= before[to[ok] + 1] == before[short[ok]]
-        ok[ok] &= ~np.isin(first[short[ok]] * (n + 1) + last[to[ok]], begin[0] * (n + 1) + end[0])  # a block is no run besides
+        ok = (before[to + 1] == before[short]) & (doc[to] == doc[short]) & (of_block[first[short]] != last[to])  # a block is no run besides
         begin.append(first[short[ok]])
         end.append(last[to[ok]])
     if (size >= LONG_WORDS).any():
-        stops = np.concatenate(([0], np.cumsum(_TERMINAL[raw])))
+        stops = np.flatnonzero(_TERMINAL[raw])
         new = np.zeros(n, bool)
         new[first] = True
-        new[1:] |= stops[spans[1:, 0]] > stops[spans[:-1, 1]]
-        at = np.flatnonzero(new & np.repeat(size >= LONG_WORDS, size))
-        at = at[at < len(shingles)]
+        new[1:] |= np.searchsorted(stops, spans[1:, 0]) > np.searchsorted(stops, spans[:-1, 1])
+        here = new & np.repeat(size >= LONG_WORDS, size)
+        at = np.flatnonzero(here[: n - SHINGLE + 1] & t.within(SHINGLE))
         line_of = np.repeat(np.arange(len(first)), size)[at]
-        h = mix(shingles[at] ^ np.uint64(0xA0761D6478BD642F))
+        h = mix(t.shingles[at] ^ np.uint64(0xA0761D6478BD642F))
         chosen = np.zeros(len(at), bool)
-        for shift in range(len(at) - 2) if len(at) < 3 else (0, 1, 2):  # least of some three sentences in a row
-            window = np.lib.stride_tricks.sliding_window_view(h, 3)
+        if len(at) >= 3:  # least of some three sentences in a row
+            least = np.minimum(np.minimum(h[:-2], h[1:-1]), h[2:])
             same = line_of[2:] == line_of[:-2]
-            chosen[np.flatnonzero(same & (np.argmin(window, axis=1) == shift)) + shift] = True
+            for shift in (0, 1, 2):
+                part = slice(shift, len(at) - 2 + shift)
+                chosen[part] |= same & (h[part] == least)
         at, line_of = at[chosen], line_of[chosen]
         starts = np.concatenate((np.flatnonzero(new), [n]))
         to = starts[np.minimum(np.searchsorted(starts, at + MIN_WORDS), len(starts) - 1)]
         ok = (to - at >= MIN_WORDS) & (to <= last[line_of]) & ~((at == first[line_of]) & (to == last[line_of]))
         begin.append(at[ok])
         end.append(to[ok])
-    return spans, np.concatenate(begin), np.concatenate(end), shingles, int(whole.sum())
+    return np.concatenate(begin), np.concatenate(end), int(whole.sum())
 
 
-def anchored_windows(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def anchored_windows(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(fingerprint, hash of the run's words, first window, last window) of the runs of windows with one anchor."""
     out = [[np.zeros(0, np.int64)] for _ in range(4)]
     width = PASSAGE_WORDS - SHINGLE  # shingles of a window, less one
-    for at in range(0, len(shingles) - width, _CHUNK):
-        part = shingles[at : at + _CHUNK + width]
+    inside = t.within(PASSAGE_WORDS)
+    for at in range(0, len(inside), _CHUNK):
+        part, ok = t.shingles[at : at + _CHUNK + width], inside[at : at + _CHUNK]
         h = mix(part[:-SHINGLE] * np.uint64(0xD1342543DE82EF95) + part[SHINGLE:])
         place = np.uint64((1 << 20) - 1)
         anchor = (_least((h & ~place) | np.arange(len(h), dtype=np.uint64), PASSAGE_WORDS - GRAM + 1) & place).astype(np.int64)
-        first = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
+        # Windows of two texts are parted by windows that lie in both and count in neither.
+        first = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (ok[1:] != ok[:-1]))))
         last = np.concatenate((first[1:], [len(anchor)])) - 1
+        first, last = first[ok[first]], last[ok[first]]
         words = np.array([_node(part[a : b + width + 1]) for a, b in zip(first.tolist(), last.tolist())], np.int64)
         for column, values in zip(out, (h[anchor[first]].view(np.int64), words, first + at, last + at)):
             column.append(values)
@@ -139,20 +177,25 @@ def _multipliers(k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def line_bands(shingles: np.ndarray, begin: np.ndarray, end: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """Band values (paragraph x band) of ranges of words that do not overlap."""
-    a, b = _multipliers(bands * rows)
-    out = np.zeros((len(begin), bands), np.int64)
-    for i in range(0, len(begin), _AT_ONCE):
-        lo, hi = begin[i : i + _AT_ONCE], end[i : i + _AT_ONCE] - (SHINGLE - 1)
-        part = shingles[lo[0] : hi[-1]]
-        cuts = np.column_stack((lo, hi)).ravel() - lo[0]
-        values = part[None, :] * a[:, None] + b[:, None]
-        least = np.minimum.reduceat(values, cuts[:-1], axis=1)[:, ::2]
-        code = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64)[:, None], (bands, len(lo)))
-        for r in range(rows):
-            code = mix(code * np.uint64(0xD1342543DE82EF95) + least[r * bands : (r + 1) * bands])
-        out[i : i + _AT_ONCE] = code.T.view(np.int64)
-    return out
+    """Band values (paragraph x band) of ranges of words in order that do not overlap."""
+    a, b = (v[:, None] for v in _multipliers(bands * rows))
+    end = end - (SHINGLE - 1)
+    least = np.empty((bands * rows, len(begin)), np.uint64)
+    i = 0
+    while i < len(begin):
+        j = max(i + 1, int(np.searchsorted(end, begin[i] + _AT_ONCE, side="right")))
+        if j > i + 1 or end[i] - begin[i] <= _AT_ONCE:
+            values = shingles[None, begin[i] : end[j - 1]] * a
+            values += b
+            least[:, i:j] = np.minimum.reduceat(values, np.column_stack((begin[i:j], end[i:j])).ravel()[:-1] - begin[i], axis=1)[:, ::2]
+        else:  # a paragraph of very many words
+            parts = [(shingles[None, x : min(x + _AT_ONCE, int(end[i]))] * a + b).min(axis=1) for x in range(int(begin[i]), int(end[i]), _AT_ONCE)]
+            least[:, i] = np.minimum.reduce(parts)
+        i = j
+    code = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64)[:, None], (bands, len(begin)))
+    for r in range(rows):
+        code = mix(code * np.uint64(0xD1342543DE82EF95) + least[r * bands : (r + 1) * bands])
+    return code.T.view(np.int64)
 
 
 def _node(shingles: np.ndarray) -> int:
@@ -168,34 +211,26 @@ def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
+        names = [id_col, "key", "begin", "end", "n_words", "node", "bands", "anchor"]
         for batch in small(batches):
-            rows, columns, values, offsets, anchored, runs = [], [[], [], [], []], [np.zeros(0, np.int64)], [0], [], [[], [], [], []]
-            for i, data in enumerate(batch.column(2).cast(pa.binary()).to_pylist()):
-                spans, begin, end, shingles, lines = paragraphs(data) if data else (None, (), (), None, 0)
-                if shingles is None or not len(shingles):
-                    continue
-                found = anchored_windows(shingles)
-                anchored += [i] * len(found[0])
-                for column, part in zip(runs, found):
-                    column.append(part)
-                if not len(begin):
-                    continue
-                rows += [i] * len(begin)
-                columns[0].append(spans[begin, 0])
-                columns[1].append(spans[end - 1, 1])
-                columns[2].append(end - begin)
-                columns[3].append(np.array([_node(shingles[x : y - SHINGLE + 1]) for x, y in zip(begin.tolist(), end.tolist())], np.int64))
-                if lines:
-                    values.append(line_bands(shingles, begin[:lines], end[:lines], BANDS, ROWS).ravel())
-                offsets += [offsets[-1] + BANDS * min(j + 1, lines) for j in range(len(begin))]
-            take = pa.array(rows + anchored, pa.int64())
-            anchor, words, first, last = (np.concatenate([np.zeros(0, np.int64), *c]) for c in runs)
-            more = first, last, last - first + PASSAGE_WORDS, words
-            flat = [pa.array(np.concatenate([*c, m]).astype(np.int64)) for c, m in zip(columns, more)]
-            bands = pa.ListArray.from_arrays(pa.array(offsets + offsets[-1:] * len(anchored), pa.int32()), pa.array(np.concatenate(values)))
-            anchor = pa.concat_arrays([pa.nulls(len(rows), pa.int64()), pa.array(anchor)])
-            names = [id_col, "key", "begin", "end", "n_words", "node", "bands", "anchor"]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *flat, bands, anchor], names=names)
+            for rows, t in in_parts(batch.column(2).cast(pa.binary()).to_pylist()):
+                begin, end, lines = paragraphs(t)
+                nodes = np.array([_node(t.shingles[x : y - SHINGLE + 1]) for x, y in zip(begin.tolist(), end.tolist())], np.int64)
+                anchor, words, first, last = anchored_windows(t)
+                of, at = t.doc[begin], t.doc[first]
+                columns = (
+                    (t.spans[begin, 0] - t.start[of], first - t.first[at]),
+                    (t.spans[end - 1, 1] - t.start[of], last - t.first[at]),
+                    (end - begin, last - first + PASSAGE_WORDS),
+                    (nodes, words),
+                )
+                flat = [pa.array(np.concatenate(c).astype(np.int64)) for c in columns]
+                offsets = BANDS * np.minimum(np.arange(len(begin) + len(anchor) + 1), lines)
+                values = line_bands(t.shingles, begin[:lines], end[:lines], BANDS, ROWS).ravel()
+                bands = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int64()))
+                anchors = pa.concat_arrays([pa.nulls(len(begin), pa.int64()), pa.array(anchor, pa.int64())])
+                take = pa.array(rows[np.concatenate((of, at))], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *flat, bands, anchors], names=names)
 
     rows_in = docs.select(F.col(id_col), row_key(id_col, text_col).alias("key"), F.col(text_col).cast("string").alias("__text"))
     return rows_in.mapInArrow(run, f"`{id_col}` {id_type}, key long, begin long, end long, n_words long, node long, bands array<long>, anchor long")
@@ -206,14 +241,11 @@ def _line_sets(texts: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in small(batches):
-            nodes, sets = [], []
-            for data in batch.column(0).cast(pa.binary()).to_pylist():
-                _, begin, end, shingles, lines = paragraphs(data)
-                for x, y in zip(begin[:lines].tolist(), end[:lines].tolist()):
-                    s = shingles[x : y - SHINGLE + 1]
-                    nodes.append(_node(s))
-                    sets.append(np.unique(s).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], names=["node", "shingles"])
+            for _, t in in_parts(batch.column(0).cast(pa.binary()).to_pylist()):
+                begin, end, lines = paragraphs(t)
+                parts = [t.shingles[x : y - SHINGLE + 1] for x, y in zip(begin[:lines].tolist(), end[:lines].tolist())]
+                sets = [np.unique(s).tobytes() for s in parts]
+                yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in parts], pa.int64()), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
     return texts.mapInArrow(run, "node long, shingles binary")
 
@@ -228,7 +260,7 @@ def _with_texts(docs: DataFrame, lists: DataFrame, id_col: str, text_col: str) -
     return texts.join(wanted, "key", "left_semi").join(lists, "key").select(id_col, "key", "__text", "list")
 
 
-def repeated_passages(docs: DataFrame, anchors: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def repeated_passages(docs: DataFrame, anchors: DataFrame, id_col: str, text_col: str, within: bool = True) -> DataFrame:
     """The maximal runs of ``PASSAGE_WORDS`` words or more that stand at several places, in columns as of ``repeated_paragraphs``.
 
     ``anchors`` are the rows of ``extract`` with an anchor.
@@ -283,6 +315,9 @@ def repeated_passages(docs: DataFrame, anchors: DataFrame, id_col: str, text_col
     at = at.withColumn("n", F.sum("new").over(line.rowsBetween(Window.unboundedPreceding, 0)))
     runs = at.groupBy("key", "to", "shift", "n").agg(F.first("first_id").alias("first_id"), F.min("a").alias("a"), F.max("b").alias("b"))
     start, end = F.col("a") - F.col("shift"), F.col("b") - F.col("shift")
+    if not within:  # a run that another document has at its first place, too
+        across = runs.where("key <> to").select("to", start.alias("x"), end.alias("y")).distinct()
+        runs = runs.withColumns({"x": start, "y": end}).join(across, ["to", "x", "y"], "left_semi")
     runs = materialize(runs.select("key", "a", "b", "to", start.alias("x"), end.alias("y"), F.xxhash64("to", start, end).alias("component"), "first_id"), "passages")
     places = runs.select("key", "a", "b", "component", "first_id", F.lit(True).alias("removed")).union(
         runs.select("to", "x", "y", "component", "first_id", F.lit(False)).distinct()
@@ -293,7 +328,7 @@ def repeated_passages(docs: DataFrame, anchors: DataFrame, id_col: str, text_col
         for batch in small(batches):
             rows, out, first = [], [[], [], [], [], []], []
             for i, data, wanted in zip(range(batch.num_rows), batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).to_pylist()):
-                spans = word_spans(data)
+                spans = words_of(data)[0]
                 for w in wanted:
                     rows.append(i)
                     end = w["b"] + PASSAGE_WORDS
@@ -309,13 +344,14 @@ def repeated_passages(docs: DataFrame, anchors: DataFrame, id_col: str, text_col
     return _with_texts(docs, lists, id_col, text_col).mapInArrow(in_bytes, out_type)
 
 
-def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, within: bool = True) -> DataFrame:
     """The paragraphs that are not alone in their class: ``(id, key, begin, end, n_words, component, first_id, removed)``.
 
-    ``first_id`` is the document of the paragraph that stays.
+    ``first_id`` is the document of the paragraph that stays; without ``within``
+    classes of paragraphs of one document alone are left out.
     """
     rows = materialize(extract(docs, id_col, text_col), "paragraphs")
-    passages = repeated_passages(docs, rows.where("anchor IS NOT NULL"), id_col, text_col)
+    passages = repeated_passages(docs, rows.where("anchor IS NOT NULL"), id_col, text_col, within)
     found = rows.where("anchor IS NULL")
     nodes = materialize(
         found.where(F.size("bands") > 0).groupBy("node").agg(F.first("bands").alias("bands"), F.min("key").alias("key")), "paragraph-nodes"
@@ -330,10 +366,16 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     labels = link_classes(nodes.select("node", "bands"), fetch, threshold)
     where = F.struct(F.col(id_col).alias("id"), F.col("key"), F.col("begin"), F.col("end"))
-    placed = found.select(id_col, "key", "begin", "end", "n_words", "node").join(labels.withColumnRenamed("id", "node"), "node", "left")
-    placed = placed.withColumn("component", F.coalesce("component", "node"))
-    classes = placed.groupBy("component").agg(F.min(where).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("component", "first")
-    out = placed.join(classes, "component")
+    # Classes are summed up by words first, so that rows are joined once and no class meets in one task.
+    sums = (F.min("first").alias("first"), F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+    each = found.select("node", where.alias("first"), F.lit(1).alias("n"), F.col("key").alias("low"), F.col("key").alias("high")).groupBy("node").agg(*sums)
+    each = materialize(each.join(labels.withColumnRenamed("id", "node"), "node", "left").where("component IS NOT NULL OR n > 1"), "paragraph-classes")
+    repeats = F.col("n") > 1 if within else F.col("low") < F.col("high")
+    linked = each.where("component IS NOT NULL")
+    named = linked.groupBy("component").agg(*sums).where(repeats).select("component", "first")
+    classes = linked.select("node", "component").join(named, "component").select("node", "component", "first")
+    classes = materialize(classes.union(each.where(F.col("component").isNull() & repeats).select("node", F.col("node").alias("component"), "first")), "classes")
+    out = found.select(id_col, "key", "begin", "end", "n_words", "node").join(classes, "node")
     out = out.select(
         id_col, "key", "begin", "end", "n_words", "component", F.col("first.id").alias("first_id"), (~where.eqNullSafe(F.col("first"))).alias("removed")
     )
@@ -346,8 +388,8 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def paragraph_classes(docs: DataFrame) -> DataFrame:
-    """The query's rows: the repeated paragraphs with their documents."""
-    return repeated_paragraphs(docs).drop("key")
+    """The query's rows: the paragraphs that several documents share, with their documents."""
+    return repeated_paragraphs(docs, within=False).drop("key")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

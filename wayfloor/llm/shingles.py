@@ -40,30 +40,37 @@ def _powers() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def word_hashes(data: bytes) -> np.ndarray:
     """A hash of every normalised word of UTF-8 bytes, in order.  It depends on the word's bytes alone."""
+    return words_of(data)[1]
+
+
+def words_of(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(begin and end in bytes, hash) of every normalised word of UTF-8 bytes, in order."""
     data = data.translate(TABLE)
     if len(data) <= _CHUNK:
         return _hashes(data)
-    parts, at = [], 0
+    spans, hashes, at = [], [], 0
     while at < len(data):
         end = data.find(b" ", at + _CHUNK)
         end = len(data) if end < 0 else end
-        parts.append(_hashes(data[at:end]))
+        found = _hashes(data[at:end])
+        spans.append(found[0] + at)
+        hashes.append(found[1])
         at = end
-    return np.concatenate(parts)
+    return np.concatenate(spans), np.concatenate(hashes)
 
 
-def _hashes(data: bytes) -> np.ndarray:
+def _hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     a = np.frombuffer(data, np.uint8)
-    inside = np.zeros(len(a) + 2, np.int8)
+    inside = np.zeros(len(a) + 2, bool)
     inside[1:-1] = a != 32
-    edge = np.flatnonzero(np.diff(inside))
-    start, end = edge[::2], edge[1::2]
+    spans = np.flatnonzero(inside[1:] != inside[:-1]).reshape(-1, 2)
+    start, end = spans[:, 0], spans[:, 1]
     up, down, value = _powers()
     if len(a) > len(up):  # a single word of more than a chunk
-        return np.array([xxhash.xxh3_64_intdigest(w) for w in data.split()], np.uint64)
+        return spans, np.array([xxhash.xxh3_64_intdigest(w) for w in data.split()], np.uint64)
     total = np.zeros(len(a) + 1, np.uint64)
     np.cumsum(value[a] * up[: len(a)], out=total[1:])
-    return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+    return spans, mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
 
 
 def shingle_hashes(words: np.ndarray, size: int = SHINGLE) -> np.ndarray:
