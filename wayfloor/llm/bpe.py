@@ -51,10 +51,10 @@ def encoder(path: str, pattern: str):
     return process_cache()[key]
 
 
-def _pattern(pattern: str | None) -> str:
+def tokenizer_pattern() -> str:
     import public_tokenizers
 
-    return pattern or public_tokenizers.PATTERN
+    return public_tokenizers.PATTERN
 
 
 def boundaries(text: str, pattern: str) -> np.ndarray:
@@ -80,7 +80,7 @@ def encode(
     number.  ``doc_key`` tells rows with the same id apart, unless they repeat
     whole.
     """
-    path, pattern = path or tokenizer_path(), _pattern(pattern)
+    path, pattern = path or tokenizer_path(), pattern or tokenizer_pattern()
     short, long = _split(docs, pattern, id_col, text_col, chunk_chars, overlap_chars)
     return _encode_pieces(short, id_col, path, pattern).unionByName(_encode_pieces(long, id_col, path, pattern))
 
@@ -164,7 +164,7 @@ def _encode_pieces(pieces: DataFrame, id_col: str, path: str, pattern: str) -> D
 
 def decode(pieces: DataFrame, path: str | None = None, pattern: str | None = None, ids_col: str = "ids") -> DataFrame:
     """``pieces`` with a binary column ``data``: the raw bytes of the ids, which may end inside a character."""
-    path, pattern = path or tokenizer_path(), _pattern(pattern)
+    path, pattern = path or tokenizer_path(), pattern or tokenizer_pattern()
 
     @F.pandas_udf("binary")
     def raw(ids):
@@ -180,7 +180,7 @@ def token_digest(docs: DataFrame, path: str | None = None, pattern: str | None =
     Documents of one piece are digested where they are encoded; the pieces of
     longer ones are brought together by key and hashed in order, one at a time.
     """
-    path, pattern = path or tokenizer_path(), _pattern(pattern)
+    path, pattern = path or tokenizer_path(), pattern or tokenizer_pattern()
     short, long = (_encode_pieces(x, "doc_id", path, pattern) for x in _split(docs, pattern, **options))
     id_type = short.schema["doc_id"].dataType.simpleString()
 

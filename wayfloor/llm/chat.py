@@ -2,20 +2,27 @@
 
 Every turn becomes ``<s>role newline text</s>``; control strings inside roles
 and texts are escaped with a backslash, which is undone when a window is read
-back.  Prefix sums of the turns' tokens deal the turns into spans that never
-cut a turn: a turn belongs to the half budget in which it starts, and a turn
-longer than half a budget, which is always the last to start there, is a span
-of its own.  Spans therefore need no sequential pass.  A window is a span with
-the system turn and a limited history repeated before it; repeated turns are
-never targets, so each assistant text is under the loss mask once.
+back.  A window holds, in this order and within the budget, the system turn,
+some history and a span of new turns; what is repeated is never a target, so
+each assistant text is under the loss mask once.
+
+The system turn and the history are reserved first; the rest of the budget is
+the room of a span.  Prefix sums of the turns' tokens deal the turns into spans
+that never cut a turn: a turn belongs to the half room in which it starts, and
+a turn longer than half a room, which is always the last to start there, is a
+span of its own; two halves whose turns fit in one room are one span.  Spans
+therefore need no sequential pass.  History takes what a span leaves of the
+budget, up to its limit.
 
 Prefix sums go by blocks of turn numbers, so one conversation of very many
-turns is spread over tasks.
+turns is spread over tasks.  Windows are planned on numbers alone; texts move
+to their prefix sums, to their window, and to be read back.
 
 Defined cases: null role or text is empty; a null conversation id is a
 conversation of its own; turns order by number, then role and text, nulls first;
-repeated rows are repeated turns; an empty table gives no windows.  A turn over
-the budget stays whole.  Extra columns are ignored.
+repeated rows are repeated turns; an empty table gives no windows.  A turn stays
+whole: only one that exceeds the budget by itself, or with the system turn, makes
+a window that does.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,9 +35,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfloor.llm.common import small
+from wayfloor.llm.bpe import encoder, tokenizer_path, tokenizer_pattern
+from wayfloor.llm.common import materialize, small
 
-#: Tokens of a window for the span, and for repeated history.
+#: Tokens of a window, and how many of them history may take.
 BUDGET, HISTORY = 2048, 512
 BLOCK = 256
 
@@ -42,10 +50,22 @@ _ESCAPED = re.compile(r"\\(.)", re.S)
 
 
 def count_tokens(text: Column) -> Column:
-    """Words and single marks; the default count of tokens."""
+    """Words and single marks, a count that needs no tokenizer."""
     return F.regexp_count(text, F.lit(r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]")).cast("long")
 
 
+def count_bpe(text: Column) -> Column:
+    """Tokens of the byte-level BPE of operator 6; the default count."""
+    path, pattern = tokenizer_path(), tokenizer_pattern()
+
+    @F.pandas_udf("long")
+    def count(texts):
+        enc = encoder(path, pattern)
+        return texts.map(lambda t: len(enc.encode_ordinary(t)))
+
+    return count(text)
+
+
 def escaped(text: Column) -> Column:
     return F.regexp_replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), CONTROL, r"$1\\")
 
@@ -58,66 +78,83 @@ def unescape(text: str) -> str:
     return _ESCAPED.sub(r"\1", text)
 
 
-def format_windows(
-    conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY, tokens: Callable[[Column], Column] = count_tokens, overhead: int = 4
-) -> DataFrame:
-    """One row a window: ``conv_id, window, text, n_turns, n_repeated, n_tokens, loss array<struct<start,end>>``.
-
-    ``window`` orders the windows of a conversation; the first ``n_repeated``
-    turns are the repeated ones; ``loss`` has code-point spans of ``text``.
-    ``history`` is at most half of ``budget``.
-    """
-    half = max(1, budget // 2)
-    history = min(history, half)
-    key, block = Window.partitionBy("ck"), Window.partitionBy("ck", "block")
+def _turns(conversations: DataFrame, budget: int, history: int, tokens: Callable[[Column], Column]) -> DataFrame:
+    """Every turn with its number, prefix sum, room and place: ``pair`` counts rooms, ``sub`` the spans inside."""
+    role, text = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("role", "text"))
     turns = conversations.select(
-        F.coalesce(F.col("conv_id").cast("string"), F.lit("\x00null")).alias("ck"),
-        F.col("conv_id"),
-        F.col("turn").cast("long").alias("turn"),
-        F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
-        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
+        F.coalesce(F.col("conv_id").cast("string"), F.lit("\x00null")).alias("ck"), "conv_id", F.col("turn").cast("long").alias("turn"), role.alias("role"), text.alias("text")
     )
-    turns = turns.withColumns({"n": tokens(F.col("role")) + tokens(F.col("text")) + overhead, "block": F.floor(F.col("turn") / BLOCK)})
-    sums = turns.groupBy("ck", "block").agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("rows"))
-    upto = key.orderBy(F.col("block").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    turns = turns.withColumns({"head": F.concat(F.lit(OPEN), escaped_role(F.col("role")), F.lit("\n")), "body": escaped(F.col("text"))})
+    turns = turns.withColumn("n", F.greatest(tokens(F.concat("head", "body", F.lit(CLOSE))), F.lit(1).cast("long")))
+    turns = turns.withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(1 << 62))))
+    inside = Window.partitionBy("ck", "block").orderBy(F.col("turn").asc_nulls_first(), "role", "text").rowsBetween(Window.unboundedPreceding, 0)
+    turns = turns.withColumns({"end0": F.sum("n").over(inside), "row0": F.count(F.lit(1)).over(inside)})
+    lead = F.max(F.when((F.col("row0") == 1) & (F.col("role") == "system"), F.col("n")))
+    sums = turns.groupBy("ck", "block").agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("rows"), lead.alias("lead"))
+    upto = Window.partitionBy("ck").orderBy("block")
+    before = upto.rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(
-        F.col("ck").alias("ck2"), F.col("block").alias("block2"),
-        F.coalesce(F.sum("tokens").over(upto), F.lit(0)).alias("tokens0"), F.coalesce(F.sum("rows").over(upto), F.lit(0)).alias("rows0"),
+        "ck", "block",
+        F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("tokens0"), F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("rows0"),
+        F.coalesce(F.first("lead").over(upto), F.lit(0)).alias("system"),
     )
-    inside = block.orderBy(F.col("turn").asc_nulls_first(), "role", "text").rowsBetween(Window.unboundedPreceding, 0)
-    turns = turns.withColumns({"end0": F.sum("n").over(inside), "row0": F.count(F.lit(1)).over(inside)})
-    turns = turns.join(sums, (F.col("ck") == F.col("ck2")) & F.col("block").eqNullSafe(F.col("block2"))).select(
-        "ck", "conv_id", "role", "text", "n", (F.col("rows0") + F.col("row0") - 1).alias("seq"), (F.col("tokens0") + F.col("end0")).alias("end")
-    )
-    turns = turns.withColumn("start", F.col("end") - F.col("n")).withColumn("bucket", F.floor(F.col("start") / half))
-    turns = turns.withColumn("window", F.col("bucket") * 2 + (F.col("n") > half).cast("int"))
-    turns = turns.withColumn("turn", F.struct("seq", "role", "text", "n"))
-
-    windows = turns.groupBy("ck", "window").agg(F.min("start").alias("wstart"), F.min("seq").alias("wseq"))
-    fresh = turns.select("ck", "window", "conv_id", F.lit(False).alias("repeated"), "turn")
-    system = turns.where((F.col("seq") == 0) & (F.col("role") == "system"))
-    first = system.select("ck", "conv_id", "turn").join(windows.where("wseq > 0").select("ck", "window"), "ck")
-    near = turns.join(system.select("ck", "seq"), ["ck", "seq"], "left_anti").select(
-        "ck", "conv_id", "turn", "start", "end", F.explode(F.sequence(F.floor(F.col("end") / half), F.floor((F.col("start") + history) / half))).alias("b")
-    ).where(F.col("end") <= F.col("start") + history)
-    before = near.join(windows.withColumn("b", F.floor(F.col("wstart") / half)), ["ck", "b"]).where(
-        (F.col("end") <= F.col("wstart")) & (F.col("start") >= F.col("wstart") - history)
-    )
-    repeated = first.select("ck", "window", "conv_id", F.lit(True).alias("repeated"), "turn").unionByName(
-        before.select("ck", "window", "conv_id", F.lit(True).alias("repeated"), "turn")
-    )
-    # Every turn has overhead tokens, so the turns of a window are bounded by its budget.
-    rows = fresh.unionByName(repeated).select(
-        "ck", "window", "conv_id", "repeated", F.col("turn.seq").alias("seq"), F.col("turn.n").alias("n"),
-        F.concat(F.lit(OPEN), escaped_role(F.col("turn.role")), F.lit("\n")).alias("head"), escaped(F.col("turn.text")).alias("body"),
-        (~F.col("repeated") & (F.col("turn.role") == "assistant")).alias("target"),
+    turns = turns.join(sums, ["ck", "block"]).withColumn("seq", F.col("rows0") + F.col("row0") - 1)
+    # The system turn stands in every window, so it takes no part of a span.
+    turns = turns.withColumn("first", (F.col("seq") == 0) & (F.col("role") == "system"))
+    start = F.when(F.col("first"), 0).otherwise(F.col("tokens0") + F.col("end0") - F.col("n") - F.col("system"))
+    rest = budget - F.col("system")
+    room = F.greatest(F.lit(1).cast("long"), rest - F.least(F.lit(history), F.floor(rest / 2)))
+    half = F.greatest(F.lit(1).cast("long"), F.floor(F.col("room") / 2))
+    turns = turns.withColumns({"m": F.when(F.col("first"), 0).otherwise(F.col("n")), "start": start, "room": room})
+    turns = turns.withColumns({"half": half, "bucket": F.floor(F.col("start") / half)})
+    return turns.select(
+        "ck", "conv_id", "seq", "start", "n", "m", "room", "system", "head", "body", (F.col("role") == "assistant").alias("target"), "first",
+        F.floor(F.col("bucket") / 2).alias("pair"), (F.col("bucket") % 2 * 2 + (F.col("m") > F.col("half")).cast("long")).alias("sub"),
     )
-    whole = rows.groupBy("ck", "window").agg(
-        F.first("conv_id").alias("conv_id"),
-        F.sort_array(F.collect_list(F.struct("seq", "head", "body", "target"))).alias("turns"),
-        F.sum(F.col("repeated").cast("long")).alias("n_repeated"),
-        F.sum("n").alias("n_tokens"),
+
+
+def _repeats(turns: DataFrame, budget: int, history: int) -> DataFrame:
+    """``(ck, seq, pair, sub)``: the turns that each window repeats, planned on numbers alone."""
+    numbers = turns.select("ck", "seq", "start", "n", "m", "room", "pair", "sub", "first")
+    spans = numbers.groupBy("ck", "pair", "sub").agg(F.min("start").alias("start"), F.min("seq").alias("seq"), F.sum("m").alias("m"), F.first("room").alias("room"))
+    merged = F.sum("m").over(Window.partitionBy("ck", "pair")) <= F.col("room")
+    spans = spans.withColumn("sub", F.when(merged, F.lit(0).cast("long")).otherwise(F.col("sub")))
+    windows = spans.groupBy("ck", "pair", "sub").agg(F.min("start").alias("wstart"), F.min("seq").alias("wseq"), F.sum("m").alias("span")).where("wseq > 0")
+    system = numbers.where("first").select("ck", F.col("seq").alias("seq0"), F.col("n").alias("n0"))
+    windows = windows.join(system, "ck", "left").withColumn("left", F.least(F.lit(history), budget - F.coalesce("n0", F.lit(0)) - F.col("span")))
+    again = windows.where("n0 IS NOT NULL").select("ck", F.col("seq0").alias("seq"), "pair", "sub")
+    if not history:
+        return again
+    # A turn of the history starts in the step of so many tokens in which its window starts, or in the one before.
+    step = lambda c: F.floor(c / history)
+    near = windows.where("left > 0").select("ck", "pair", "sub", "wstart", "left", F.explode(F.sequence(step(F.col("wstart") - F.col("left")), step(F.col("wstart")))).alias("step"))
+    past = numbers.where("NOT first").select("ck", "seq", "start", (F.col("start") + F.col("m")).alias("end"), step(F.col("start")).alias("step"))
+    near = past.join(near, ["ck", "step"]).where("end <= wstart AND start >= wstart - left")
+    return again.unionByName(near.select("ck", "seq", "pair", "sub"))
+
+
+def format_windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY, tokens: Callable[[Column], Column] = count_bpe) -> DataFrame:
+    """One row a window: ``conv_id, window, text, n_turns, n_repeated, n_tokens, loss array<struct<start,end>>``.
+
+    ``window`` orders the windows of a conversation; the first ``n_repeated``
+    turns are the repeated ones; ``loss`` has code-point spans of ``text``.
+    ``tokens`` counts a formatted turn; ``n_tokens`` is at most ``budget``
+    unless a turn, with the system turn if there is one, exceeds it.
+    """
+    turns = materialize(_turns(conversations, budget, history, tokens), "turns")
+    columns = ["ck", "conv_id", "pair", "sub", "seq", "n", "m", "room", "head", "body"]
+    fresh = turns.select(*columns, "target", F.lit(False).alias("repeated"))
+    again = turns.drop("pair", "sub").join(_repeats(turns, budget, history), ["ck", "seq"]).select(*columns, F.lit(False).alias("target"), F.lit(True).alias("repeated"))
+    # Every turn has a token at least, so the turns that start in a room are bounded by it.
+    pairs = fresh.unionByName(again).groupBy("ck", "pair").agg(
+        F.first("conv_id").alias("conv_id"), F.first("room").alias("room"), F.sort_array(F.collect_list(F.struct("seq", "repeated", "sub", "n", "m", "head", "body", "target"))).alias("turns")
     )
+    total = lambda turns, of: F.aggregate(turns, F.lit(0).cast("long"), lambda s, t: s + t[of])
+    one = total(F.filter("turns", lambda t: ~t["repeated"]), "m") <= F.col("room")
+    of = lambda i: F.filter("turns", lambda t: t["sub"] == i)
+    subs = F.array(*(F.struct(F.lit(i).cast("long").alias("sub"), of(i).alias("turns")) for i in range(4)))
+    spans = F.when(one, F.array(F.struct(F.lit(0).cast("long").alias("sub"), F.col("turns")))).otherwise(F.filter(subs, lambda x: F.size(x["turns"]) > 0))
+    whole = pairs.select("conv_id", "pair", F.explode(spans).alias("span")).select("conv_id", (F.col("pair") * 4 + F.col("span.sub")).alias("window"), F.col("span.turns").alias("turns"))
     at = F.aggregate(
         "turns",
         F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:long,end:long>>").alias("loss")),
@@ -136,8 +173,8 @@ def format_windows(
         "window",
         F.array_join(F.transform("turns", lambda t: F.concat(t["head"], t["body"], F.lit(CLOSE))), "").alias("text"),
         F.size("turns").cast("long").alias("n_turns"),
-        "n_repeated",
-        "n_tokens",
+        F.size(F.filter("turns", lambda t: t["repeated"])).cast("long").alias("n_repeated"),
+        total("turns", "n").alias("n_tokens"),
         at["loss"].alias("loss"),
     )
 
