@@ -66,3 +66,72 @@ def test_typed_chained_and_nested_assignments():
     assert lexed("env:DB_PWD=Zx9-kkQw81pT") == ["Zx9-kkQw81pT"]
     assert lexed('K: str = "Zx9-kkQw81pT"\nsigning_secret = K\n') == ["Zx9-kkQw81pT"]
     assert lexed('def f(password: str, url="Zx9-kkQw81pT")') == []
+
+
+V = "Zx9-kkQw81pT"
+
+
+def test_syntaxes():
+    """Every target of a literal that the lexer knows."""
+    for t in [
+        'x = 1\ndb_pwd = """{}"""', "config[\"db_pwd\"] = '{}'", "var dbPwd string = \"{}\"", "const dbPwd: string = `{}`", '#define DB_PWD "{}"', "db_pwd = b'{}'", 'db_pwd = f"{}"',
+        "db_pwd := '{}'", "'db_pwd' => '{}',", "define('DB_PWD', '{}');", "ENV DB_PWD {}", "export DB_PWD={}", "- db-pwd: {}\n  user: me", '<db_pwd>{}</db_pwd>', '<server db-pwd="{}" port="1"/>',
+        '<add key="DbPwd" value="{}"/>', "db_pwd: |\n  {}\nnext: 1", "char db_pwd[] = \"{}\";", "Dim dbPwd As String = \"{}\"", "self.db_pwd = ('{}')", 'obj->db_pwd = "{}";', "# db_pwd = '{}'",
+        'connect(host="h", db_pwd="{}")', 'let dbPwd: Option<&str> = "{}";', 'db_pwd = SecretStr("{}")', '{{"db": {{"db_pwd": "{}"}}}}', "db_pwd ?= '{}'", "url?x=1&db_pwd={}&y=2",
+    ]:
+        assert lexed(t.format(V)) == [V], t
+
+
+def test_sums_scopes_and_order():
+    assert lexed('db_pwd = "Zx9-kk" + "Qw81pT"') == ["Zx9-kk", "Qw81pT"]
+    assert lexed('db_pwd = ("Zx9-kk"\n   "Qw81pT")') == ["Zx9-kk", "Qw81pT"]
+    assert lexed('def f():\n    db_pwd = K\n\nK = "Zx9-kkQw81pT"\n') == [V]
+    assert lexed('def f():\n    K = "Zx9-kkQw81pT"\n\ndb_pwd = K\n') == []
+    assert lexed('K = "aaaaaaaaaaaa"\nK = "Zx9-kkQw81pT"\ndb_pwd = K\nK = "bbbb-bbbb-bbbb"\n') == [V]
+    assert lexed('A = "Zx9-kkQw81pT"\nB = A\ndb_pwd = B\n') == [V]
+    assert lexed("A = B\nB = A\ndb_pwd = A\n") == []
+
+
+def test_what_is_no_secret():
+    for t in ["The db_pwd: {} is shown", 'db_pwd = os.getenv("{}")', 'print("db_pwd {}")', "db_pwd_hint = '{}'", 'see https://db_pwd/{}', "if db_pwd == '{}':", "db_pwd = '${{{}}}'", "my pwd, '{}'"]:
+        assert lexed(t.format(V)) == [], t
+
+
+def test_lexed_spans_match_brute_force():
+    """Random files of lines whose secrets are known by construction."""
+    rng = random.Random(5)
+    secret = lambda: "".join(rng.choice("abcdefghXYZ23456789_-") for _ in range(14)) + "aX7-"
+    harmless = ["# it's a comment", "x = compute(1, 'a b')", "for k in range(3):", "say 'hello world' to you", "color: blue", "}", "{", '"open quote', "(a, b)", "port = 8080", "<p>text</p>"]
+    for _ in range(300):
+        lines, want, constants, at = [], [], [], 0
+        for _ in range(rng.randint(1, 14)):
+            v, which = secret(), rng.randrange(9)
+            name = rng.choice(["db_pwd", "authToken", "SIGNING_SECRET", "apiKey", "client.passphrase"])
+            line, found = rng.choice(harmless), None
+            if which == 0:
+                line, found = f'{name} = "{v}"', v
+            elif which == 1:
+                line, found = f"{name}: {v}", v
+            elif which == 2:
+                line, found = f"conf['{name.replace('.', '_')}'] = '{v}'", v
+            elif which == 3:
+                line = f"K{len(constants)} = '{v}'"
+                constants.append([v, at, False])
+            elif which == 4 and constants:
+                k = rng.randrange(len(constants))
+                line, constants[k][2] = f"{name} = K{k}", True
+            elif which == 5:
+                line, found = f'<{name.split(".")[0]}_pwd>{v}</{name.split(".")[0]}_pwd>', v
+            elif which == 6:
+                line = f'other_name = "{v}"'
+            if found:
+                want.append(at + line.index(v))
+            if which == 3:
+                constants[-1][1] = at + line.index(v)
+            lines.append(line)
+            at += len(line) + 1
+        text = "\n".join(lines)
+        want += [a for _, a, used in constants if used]
+        got = sorted(a for a, b, k in spans_of(text) if k == 3)
+        assert got == sorted(want), text
+        assert all(b - a == 18 for a, b, k in spans_of(text) if k == 3), text

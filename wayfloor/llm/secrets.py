@@ -1,10 +1,12 @@
 """Secret scan with assignment-aware lexing (operator 8).
 
-Three base patterns are searched in every text.  Beyond them a lexer reads
-source and configuration syntax into (name, literal) pairs, follows names that
-stand for earlier literals, and scores each literal by how sensitive its target
-name is and how much it looks like a credential.  Literals over the threshold
-become spans of kind ``lexed``; base spans always stay.
+Three base patterns are searched in every text.  Beyond them a lexer (``lexing``)
+reads source and configuration syntax into name-literal pairs and follows names
+that stand for other literals; each literal is scored by how sensitive its
+target name is and how much it looks like a credential.  Literals over the
+threshold become spans of kind ``lexed``, those of a sum or a block one span
+each; base spans always stay.  A text that holds no sensitive word anywhere has
+no sensitive target and is not lexed.
 
 Spans are code points, the end exclusive.  Defined cases: null text is empty
 and has no spans; repeated rows give repeated results; a literal that equals a
@@ -21,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfloor.llm.common import small
+from wayfloor.llm.lexing import name_literals
 
 # The base patterns, their least lengths, and the order of kinds.
 ASSIGN = r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
@@ -36,24 +39,15 @@ SENSITIVE = {
 }
 #: Words that say the value only describes a secret.
 HARMLESS = {"name", "id", "type", "length", "size", "count", "url", "path", "file", "limit", "expires", "ttl", "hint", "label", "public"}
-PLACEHOLDER = re.compile(r"(?i)^(?:x{3,}|\*+|\.+|<.*>|\$\{.*\}|\{\{.*\}\}|your[_-].*|changeme|example|none|null|true|false|todo|redacted|\[redacted\])$")
+PLACEHOLDER = re.compile(r"(?i)^(?:x{3,}|\*+|\.+|<.*>|\$\{.*\}|\{.*\}|%.*%|your[_-].*|changeme|example|none|null|true|false|todo|redacted|\[redacted\])$")
 LEXED_THRESHOLD = 1.0
 
 _HEX_RUN = re.compile(r"[0-9a-f]{%d,}" % HEX_LEAST)
 _ACCESS = re.compile(ACCESS)
 _ASSIGN = re.compile(ASSIGN, re.I | re.A)
-#: name, separator, then a quoted literal or a bare one.
-_PAIR = re.compile(
-    r"""(?<![\w.\-])([A-Za-z_][\w.\-]*)["']?[ \t]*(?::=|=>|=(?!=)|:(?![:/]))[ \t]*(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|([^\s"',;#(){}\[\]<>]+))""", re.A
-)
-_TYPE = r"[&*]?'?[A-Za-z_][\w.:]*(?:<[^=\n]{0,80}>|\[[^=\n]{0,80}\])*[?*]?"
-#: name, colon and type, equals sign, then a literal as above.
-_TYPED = re.compile(
-    rf"""(?<![\w.\-])([A-Za-z_][\w.\-]*)[?!]?[ \t]*:[ \t]*{_TYPE}(?:(?:[ \t]*\|[ \t]*|[ \t]+){_TYPE}){{0,4}}[ \t]*=(?![=>])[ \t]*"""
-    r"""(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|([^\s"',;#(){}\[\]<>]+))""",
-    re.A,
-)
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+", re.A)
+#: Sensitive words of which no other is a part: one of them is in every sensitive name.
+_HINT = re.compile("|".join(sorted(w for w in SENSITIVE if not any(o != w and o in w for o in SENSITIVE))), re.I | re.A)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -85,42 +79,19 @@ def literal_score(value: str) -> float:
     return 0.3 * classes * min(1.0, variety)
 
 
-def _pairs(text: str) -> list[tuple[list[str], re.Match]]:
-    """Matches with their target names by place; what a bare literal holds is read too, and a chain's names share its last literal."""
-    out = []
-    m = _PAIR.search(text)
-    names: list[str] = []
-    while m:
-        names = [*names, m[1]]
-        out.append((names, m))
-        if m[4] is None:
-            names, m = [], _PAIR.search(text, m.end())
-            continue
-        last, m = m, _PAIR.search(text, m.start(4))
-        if not m or m.span(1) != last.span(4):
-            names = []
-    if "=" in text and ":" in text:
-        out += [([m[1]], m) for m in _TYPED.finditer(text)]
-        out.sort(key=lambda x: x[1].end())
-    return out
-
-
 def lexed_spans(text: str) -> list[tuple[int, int, int]]:
     """Literals of assignments whose target name, or a name they flow to, is sensitive."""
-    if "=" not in text and ":" not in text:
+    if not _HINT.search(text):
         return []
-    constants: dict[str, tuple[int, int]] = {}
     out = set()
-    for names, m in _pairs(text):
-        group = next(g for g in (2, 3, 4) if m[g] is not None)
-        value, at = m[group], m.span(group)
-        if group == 4 and value in constants:  # a name that stands for an earlier literal
-            at = constants[value]
-            value = text[slice(*at)]
-        constants.update(dict.fromkeys(names, at))
+    for names, spans in name_literals(text):
         by_name = max(map(name_score, names))
-        if by_name and (by_value := literal_score(value)) and by_name + by_value >= LEXED_THRESHOLD:
-            out.add((*at, 3))
+        if not by_name:
+            continue
+        lines = [text[a:b] for a, b in spans]
+        by_value = max(literal_score("".join(lines)), *map(literal_score, lines))
+        if by_value and by_name + by_value >= LEXED_THRESHOLD:
+            out.update((a, b, 3) for a, b in spans if b > a)
     return list(out)
 
 
