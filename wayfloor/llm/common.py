@@ -7,6 +7,8 @@ import tempfile
 import types
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +48,25 @@ def small(batches, rows: int = 512):
             yield batch.slice(at, rows)
 
 
+def groups(batches, keys: int):
+    """One Arrow table for every run of rows that agree in the first ``keys`` columns, of batches sorted by them."""
+    held, last = [], None
+    for batch in batches:
+        columns = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(keys)]) if batch.num_rows else np.zeros((0, keys))
+        cuts = [0, *(np.flatnonzero((columns[1:] != columns[:-1]).any(axis=1)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            if a == b:
+                continue
+            key = tuple(columns[a].tolist())
+            if held and key != last:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def row_key(id_col: str, text_col: str):
     """A 64-bit key of a document row; rows that repeat in id and text share it, nulls have a value of their own."""
     return F.xxhash64(
