@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfloor.functions.shared import saved
+from wayfloor.functions.shared import discard, saved
 
 #: Row pitch of cell numbers; columns are below it.
 PITCH = 1 << 24
@@ -60,16 +60,17 @@ def _labelled_in_one_task(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def spread_labels(nodes: DataFrame, edges: DataFrame, local_edges: int = 0, max_rounds: int = 64) -> DataFrame:
     """``nodes(id)``, ``edges(s, t)`` both ways -> ``(id, label)`` with the least id of each component.
 
-    Every node points at a label, at first itself.  A round takes the least
-    label of the labels of a node's neighbours, for the node and for the node it
+    Every node points at a label, at first the least of itself and its
+    neighbours.  A round takes the least label of the labels of a node's neighbours, for the node and for the node it
     points at, and shortens pointers to pointers: trees are joined at their
     roots, so the rounds grow with the logarithm of a component's length.  All
     steps are joins and minima with partial aggregation.
     """
-    edges = saved(edges.select("s", "t"))
+    edges = edges if getattr(edges, "_saved_at", None) else saved(edges.select("s", "t"))
     if local_edges and edges.count() <= local_edges and nodes.count() <= local_edges:
         return _labelled_in_one_task(nodes, edges)
-    labels = saved(nodes.select("id", F.col("id").alias("label")))
+    least = nodes.select("id", F.col("id").alias("label")).union(edges.select(F.col("t").alias("id"), F.col("s").alias("label"))).groupBy("id").agg(F.min("label").alias("label"))
+    labels = table = saved(least)
     for _ in range(max_rounds):
         up = labels.select(F.col("id").alias("label"), F.col("label").alias("up"))
         high = saved(labels.join(up, "label").select("id", "label", "up"))
@@ -80,7 +81,8 @@ def spread_labels(nodes: DataFrame, edges: DataFrame, local_edges: int = 0, max_
         best = offers.groupBy("id").agg(F.min("best").alias("best"))
         new = saved(labels.join(best, "id").select("id", F.least("label", "best").alias("label"), F.col("label").alias("old")))
         moved = new.where("label <> old").limit(1).count()
-        labels = new.select("id", "label")
+        discard(high, table)
+        table, labels = new, new.select("id", "label")
         if not moved:
             return labels
     raise RuntimeError("labels did not settle; raise max_rounds")
