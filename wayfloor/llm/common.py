@@ -3,37 +3,20 @@
 from __future__ import annotations
 
 import sys
-import tempfile
 import types
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wayfloor.functions.shared import discard, saved
 from wayfloor.operators.components import spread_labels
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
-
-    Only where the session names none (tests, one machine) a temporary folder is set.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="wayfloor-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/wayfloor-{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    return saved(df, name)
 
 
 def process_cache() -> dict:
@@ -84,4 +67,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
     both = materialize(
         edges.select(F.col("a").alias("s"), F.col("b").alias("t")).union(edges.select(F.col("b").alias("s"), F.col("a").alias("t"))).where("s <> t").distinct(), "edges"
     )
-    return spread_labels(both.select(F.col("s").alias("id")).distinct(), both).withColumnRenamed("label", "component")
+    labels = spread_labels(both.select(F.col("s").alias("id")).distinct(), both)
+    discard(both)
+    return labels.withColumnRenamed("label", "component")

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfloor.llm.common import connected_components, materialize, small
+from wayfloor.llm.common import connected_components, discard, groups, materialize, small
 
 
 #: Sets of a block, about.
@@ -72,11 +72,15 @@ def link_classes(nodes: DataFrame, fetch, threshold: float) -> DataFrame:
 
     # Last the members of a bucket that its leader's component does not hold, with all of the bucket, in blocks.
     placed = materialize(_placed(members, labels), "placed")
+    discard(members, compared)
     mixed = placed.where("component <> home").select("band").distinct()
     if not mixed.limit(1).count():
+        discard(placed, sets)
         return labels
     here = placed.select("band", "node", "component", F.expr("component <> home").alias("apart")).join(mixed, "band", "left_semi")
-    return _joined(labels, materialize(_block_links(here, sets, threshold), "late-links"))
+    late = materialize(_block_links(here, sets, threshold), "late-links")
+    discard(placed, sets)
+    return _joined(labels, late)
 
 
 def _joined(labels: DataFrame, found: DataFrame) -> DataFrame:
@@ -95,24 +99,27 @@ def _joined(labels: DataFrame, found: DataFrame) -> DataFrame:
 def _block_links(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Links that join components, of ``members(band, node, component, apart)``: those apart against all of their bucket.
 
-    Both sides are dealt into blocks of about ``BLOCK`` sets, so a bucket's work
-    is spread over tasks and a set is moved once a block, not once a pair.
+    Both sides are dealt into blocks of about ``BLOCK`` sets and every pair of
+    blocks is a group of its own, so a bucket's work is spread over tasks and a
+    set is moved once a block, not once a pair.
     """
     counts = members.groupBy("band").agg(F.count(F.lit(1)).alias("m"), F.sum(F.col("apart").cast("long")).alias("q"))
-    rows = members.join(counts, "band").join(sets, "node")
-
-    def blocks(df, n, to):
-        block = F.pmod(F.xxhash64("node"), F.ceil(F.col(n) / BLOCK))
-        return df.groupBy("band", block.alias(f"{to}_block")).agg(F.collect_list(F.struct("node", "component", "shingles")).alias(to))
-
-    pairs = blocks(rows, "m", "x").join(blocks(rows.where("apart"), "q", "y"), "band").select("x", "y")
+    rows, columns = F.ceil(F.col("m") / BLOCK), F.ceil(F.col("q") / BLOCK)
+    at = members.join(counts, "band")
+    block = F.abs(F.hash("node").cast("long"))
+    sides = at.select("band", "node", "component", F.lit(0).alias("side"), (block % rows).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), columns - 1)).alias("j"))
+    sides = sides.unionByName(
+        at.where("apart").select("band", "node", "component", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0).cast("long"), rows - 1)).alias("i"), (block % columns).alias("j"))
+    )
+    dealt = sides.join(sets, "node").select("band", "i", "j", "side", "node", "component", "shingles")
 
     def run(batches):
-        for batch in small(batches):
-            out = [link for x, y in zip(batch.column(0), batch.column(1)) for link in _joining(x.as_py(), y.as_py(), threshold)]
+        for group in groups(batches, 3):
+            rows = group.to_pylist()
+            out = _joining([r for r in rows if not r["side"]], [r for r in rows if r["side"]], threshold)
             yield pa.RecordBatch.from_arrays([pa.array([v[i] for v in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    return pairs.mapInArrow(run, "a long, b long").distinct()
+    return dealt.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(run, "a long, b long").distinct()
 
 
 def _joining(xs: list[dict], ys: list[dict], threshold: float) -> list[tuple[int, int]]:
@@ -124,6 +131,8 @@ def _joining(xs: list[dict], ys: list[dict], threshold: float) -> list[tuple[int
             of[c] = c = of[of[c]]
         return c
 
+    if not xs or not ys:
+        return []
     y_sets = [np.frombuffer(y["shingles"], np.uint64) for y in ys]
     size = np.array([len(s) for s in y_sets])
     values = np.concatenate(y_sets)

@@ -40,9 +40,9 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfloor.llm.common import materialize, row_key, small
+from wayfloor.llm.common import discard, materialize, row_key, small
 from wayfloor.llm.lsh import bands_for, link_classes
-from wayfloor.llm.shingles import SHINGLE, mix, shingle_hashes, word_hashes, words_of
+from wayfloor.llm.shingles import SHINGLE, Texts, in_parts, mix, shingle_hashes, word_hashes, words_of
 from wayfloor.llm.substrings import _least
 
 MIN_WORDS, LONG_WORDS = 20, 60
@@ -55,44 +55,8 @@ MAX_BROADCAST_IDS = 1_000_000
 _CHUNK = 1 << 19
 _TERMINAL = np.zeros(256, bool)
 _TERMINAL[[0x2E, 0x21, 0x3F]] = True
-#: Words whose hash values are computed at once, and bytes of texts handled together.
-_AT_ONCE, _TOGETHER = 1 << 13, 1 << 22
-_GAP = b"\n\n\n"
-
-
-class Texts:
-    """The words of several texts in a row, so that one pass of whole-array operations serves all of them."""
-
-    def __init__(self, texts: list[bytes]):
-        size = np.array([len(t) for t in texts], np.int64)
-        #: First byte of every text in ``data``; what parts two texts is wider than a blank line.
-        self.start = np.cumsum(size + len(_GAP)) - size - len(_GAP)
-        self.data = _GAP.join(texts)
-        self.spans, self.words = words_of(self.data)
-        n = len(self.words)
-        self.doc = np.searchsorted(self.start, self.spans[:, 0], side="right") - 1
-        #: Number of the first word of every text.
-        self.first = np.searchsorted(self.doc, np.arange(len(texts)))
-        self.shingles = shingle_hashes(self.words) if n >= SHINGLE else np.zeros(0, np.uint64)
-
-    def within(self, words: int) -> np.ndarray:
-        """Whether so many words from each on are of one text."""
-        return self.doc[words - 1 :] == self.doc[: len(self.doc) - words + 1] if len(self.doc) >= words else np.zeros(0, bool)
-
-
-def in_parts(texts: list[bytes | None]):
-    """``(rows, Texts)`` of the texts that are not empty, in parts of about ``_TOGETHER`` bytes."""
-    rows, size = [], 0
-    for i, t in enumerate(texts):
-        if not t:
-            continue
-        if rows and size + len(t) > _TOGETHER:
-            yield np.array(rows), Texts([texts[j] for j in rows])
-            rows, size = [], 0
-        rows.append(i)
-        size += len(t)
-    if rows:
-        yield np.array(rows), Texts([texts[j] for j in rows])
+#: Words whose hash values are computed at once.
+_AT_ONCE = 1 << 13
 
 
 def paragraphs(t: Texts) -> tuple[np.ndarray, np.ndarray, int]:
@@ -269,7 +233,8 @@ def repeated_passages(docs: DataFrame, anchors: DataFrame, id_col: str, text_col
     place = F.struct(F.col(id_col).alias("id"), F.col("key"), F.col("begin").alias("at"))
     spot = F.xxhash64("key", "begin")
     several = F.min(spot) != F.max(spot)  # rows that repeat id and text are one place
-    often = anchors.groupBy("anchor").agg(several.alias("several")).where("several").select("anchor")
+    # Written first, so that a very common anchor is a join of two tables, which Spark splits where one key has most rows.
+    often = materialize(anchors.groupBy("anchor").agg(several.alias("several")).where("several").select("anchor"), "repeated-anchors")
     again = materialize(anchors.join(often, "anchor", "left_semi").select(id_col, "key", "begin", "end", "anchor", "node"), "anchors")
     kinds = materialize(
         again.groupBy("anchor", "node").agg(F.min(place).alias("first"), F.first(F.col("end") - F.col("begin")).alias("last"), several.alias("several")), "surroundings"
@@ -306,7 +271,8 @@ def repeated_passages(docs: DataFrame, anchors: DataFrame, id_col: str, text_col
     parts = step.groupBy("anchor", "node", "first.id", "first.key", (F.col("first.at") - F.col("j")).alias("shift")).agg(F.min("j").alias("low"), F.max("j").alias("high"))
     parts = parts.select("anchor", "node", "low", "high", F.struct("id", "key", (F.col("shift") + F.col("low")).alias("at")).alias("first"))
 
-    at = again.select(id_col, "key", "begin", "anchor", "node").join(materialize(whole.unionByName(parts), "shared"), ["anchor", "node"])
+    shared = materialize(whole.unionByName(parts), "shared")
+    at = again.select(id_col, "key", "begin", "anchor", "node").join(shared, ["anchor", "node"])
     at = at.select(id_col, "key", (F.col("begin") + F.col("low")).alias("a"), (F.col("begin") + F.col("high")).alias("b"), F.col("first.id").alias("first_id"), F.col("first.key").alias("to"), F.col("first.at").alias("start"))
     at = at.where((F.col("key") != F.col("to")) | (F.col("a") >= F.col("start") + PASSAGE_WORDS)).withColumn("shift", F.col("a") - F.col("start"))
     line = Window.partitionBy("key", "to", "shift").orderBy("a")
@@ -319,6 +285,7 @@ def repeated_passages(docs: DataFrame, anchors: DataFrame, id_col: str, text_col
         across = runs.where("key <> to").select("to", start.alias("x"), end.alias("y")).distinct()
         runs = runs.withColumns({"x": start, "y": end}).join(across, ["to", "x", "y"], "left_semi")
     runs = materialize(runs.select("key", "a", "b", "to", start.alias("x"), end.alias("y"), F.xxhash64("to", start, end).alias("component"), "first_id"), "passages")
+    discard(often, again, kinds, shared)
     places = runs.select("key", "a", "b", "component", "first_id", F.lit(True).alias("removed")).union(
         runs.select("to", "x", "y", "component", "first_id", F.lit(False)).distinct()
     )
@@ -365,6 +332,7 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         return _line_sets(texts.select("__text")).join(ids, "node", "left_semi").dropDuplicates(["node"])
 
     labels = link_classes(nodes.select("node", "bands"), fetch, threshold)
+    discard(nodes)
     where = F.struct(F.col(id_col).alias("id"), F.col("key"), F.col("begin"), F.col("end"))
     # Classes are summed up by words first, so that rows are joined once and no class meets in one task.
     sums = (F.min("first").alias("first"), F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))

@@ -15,6 +15,8 @@ TABLE = bytes((b + 32 if 0x41 <= b <= 0x5A else b if b in _KEEP else 0x20) for b
 
 _ODD, _MUL = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 _CHUNK = 1 << 17
+#: Bytes of texts handled together, and what parts them: more than a blank line.
+_TOGETHER, _GAP = 1 << 22, b"\n\n\n"
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -85,15 +87,68 @@ def shingle_hashes(words: np.ndarray, size: int = SHINGLE) -> np.ndarray:
     return mix(out)
 
 
-def shingle_set(data: bytes | None, size: int = SHINGLE) -> np.ndarray:
-    """The distinct shingles of a text, sorted.  Text without a word but not blank is one shingle of its own."""
-    if not data:
-        return np.zeros(0, np.uint64)
-    words = word_hashes(data)
-    if not len(words):
-        bare = data.strip()
-        return np.array([xxhash.xxh3_64_intdigest(bare, seed=1)], np.uint64) if bare else np.zeros(0, np.uint64)
-    return np.unique(shingle_hashes(words, size))
+class Texts:
+    """The words of several texts in a row, so that one pass of whole-array operations serves all of them."""
+
+    def __init__(self, texts: list[bytes]):
+        size = np.array([len(t) for t in texts], np.int64)
+        #: First byte of every text in ``data``; what parts two texts is wider than a blank line.
+        self.start = np.cumsum(size + len(_GAP)) - size - len(_GAP)
+        self.data = _GAP.join(texts)
+        self.spans, self.words = words_of(self.data)
+        n = len(self.words)
+        self.doc = np.searchsorted(self.start, self.spans[:, 0], side="right") - 1
+        #: Number of the first word of every text.
+        self.first = np.searchsorted(self.doc, np.arange(len(texts)))
+        self.shingles = shingle_hashes(self.words) if n >= SHINGLE else np.zeros(0, np.uint64)
+
+    def within(self, words: int) -> np.ndarray:
+        """Whether so many words from each on are of one text."""
+        return self.doc[words - 1 :] == self.doc[: len(self.doc) - words + 1] if len(self.doc) >= words else np.zeros(0, bool)
+
+
+def in_parts(texts: list[bytes | None]):
+    """``(rows, Texts)`` of the texts that are not empty, in parts of about ``_TOGETHER`` bytes."""
+    rows, size = [], 0
+    for i, t in enumerate(texts):
+        if not t:
+            continue
+        if rows and size + len(t) > _TOGETHER:
+            yield np.array(rows), Texts([texts[j] for j in rows])
+            rows, size = [], 0
+        rows.append(i)
+        size += len(t)
+    if rows:
+        yield np.array(rows), Texts([texts[j] for j in rows])
+
+
+def weighted_shingles(texts: list[bytes | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(distinct shingles, weights) of every text; the weight is the binary length of the number of places.
+
+    Text without a word but not blank is one shingle of its own.
+    """
+    out = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))] * len(texts)
+    for rows, t in in_parts(texts):
+        ends = np.append(t.first[1:], len(t.words))
+        for i, a, b in zip(rows.tolist(), t.first.tolist(), ends.tolist()):
+            if b - a >= SHINGLE:
+                found = t.shingles[a : b - SHINGLE + 1]
+            elif b > a:
+                found = shingle_hashes(t.words[a:b])
+            else:
+                bare = texts[i].strip()
+                found = np.array([xxhash.xxh3_64_intdigest(bare, seed=1)] if bare else [], np.uint64)
+            elements, count = np.unique(found, return_counts=True)
+            out[i] = elements, np.frexp(count)[1].astype(np.int64)
+    return out
+
+
+def expanded(elements: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """A sorted set with an element for every unit of weight, whose Jaccard similarities are the weighted ones."""
+    if not len(elements) or weights.max() == 1:
+        return elements
+    levels = [mix(elements[weights > k] + np.uint64(k * _ODD % (1 << 64))) for k in range(1, int(weights.max()))]
+    return np.unique(np.concatenate((elements, *levels)))
 
 
 def set_node(shingles: np.ndarray) -> int:
