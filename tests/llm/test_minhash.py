@@ -1,10 +1,11 @@
 import random
 import re
+from collections import Counter
 
 import numpy as np
 
-from wayfloor.llm.minhash import dart_signature, keep_one_of_each, near_duplicates
-from wayfloor.llm.shingles import shingle_set, word_hashes
+from wayfloor.llm.minhash import dart_signature, dart_signatures, keep_one_of_each, near_duplicates
+from wayfloor.llm.shingles import expanded, weighted_shingles, word_hashes
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
@@ -17,7 +18,8 @@ def plain_set(text):
     w = words(text)
     if not w:
         return {b"bare:" + text.encode().strip()} if text and text.strip() else set()
-    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+    count = Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)))
+    return {(s, k) for s, n in count.items() for k in range(n.bit_length())}
 
 
 def brute(rows, threshold=0.8):
@@ -39,6 +41,14 @@ def brute(rows, threshold=0.8):
     return {doc_id: least[find(i)] for i, (doc_id, _) in enumerate(rows)}
 
 
+def test_repeats_weigh(spark):
+    """Sets of one shingle set but other weights are apart; the brute force knows weights, too."""
+    a, b = "x y z u v w " * 3, "x y z u v w " * 40
+    rows = [(1, a), (2, b), (3, b + "x"), (4, a)]
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows) == {1: 1, 2: 2, 3: 2, 4: 1}
+
+
 def corpus(seed=1, groups=25):
     rng = random.Random(seed)
     vocab = [f"w{i}" for i in range(500)]
@@ -74,8 +84,20 @@ def test_signatures_estimate_weighted_jaccard():
         want = both / (wa.sum() + wb.sum() - both)
         got = (dart_signature(a, 4000, wa) == dart_signature(b, 4000, wb)).mean()
         assert abs(got - want) < 0.03
-    short = shingle_set(b"one two")
-    assert len(short) == 1 and len(set(dart_signature(short, 50).tolist())) == 50
+    (short, weight), *_ = weighted_shingles([b"one two"])
+    assert len(short) == 1 and weight == 1 and len(set(dart_signature(short, 50).tolist())) == 50
+
+
+def test_sets_together_sign_like_each_alone():
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice("abcde") for _ in range(n)).encode() for n in (0, 1, 4, 5, 60, 400)] + [None, b"??", b"same words again " * 90]
+    sets = weighted_shingles(texts)
+    assert [len(e) for e, _ in sets][:3] == [0, 1, 1] and sets[-1][1].max() == 7
+    together = dart_signatures(sets, 40)
+    for s, t, row in zip(sets, texts, together):
+        (alone,) = weighted_shingles([t])
+        assert (alone[0] == s[0]).all() and (alone[1] == s[1]).all() and len(expanded(*s)) == s[1].sum()
+        assert (dart_signatures([s], 40)[0] == row).all() and row.any() == bool(len(s[0]))
 
 
 def test_classes_match_brute_force(spark):

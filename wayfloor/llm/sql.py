@@ -23,10 +23,10 @@ FROM d LEFT JOIN n USING (rid) LEFT JOIN i USING (rid)
 
 OP2 = f"""
 WITH RECURSIVE d AS (SELECT doc_id, text, {WORDS} AS w FROM documents),
-sh AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[j:j + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS j FROM d WHERE len(w) > 0) q
-    UNION ALL SELECT doc_id, '#' || trim(text) FROM d WHERE len(w) = 0 AND trim(coalesce(text, '')) <> ''),
-n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
-both_ AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+sh AS MATERIALIZED (SELECT doc_id, s, len(bin(count(*))) AS u FROM (SELECT doc_id, array_to_string(w[j:j + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS j FROM d WHERE len(w) > 0) q
+    UNION ALL SELECT doc_id, '#' || trim(text) FROM d WHERE len(w) = 0 AND trim(coalesce(text, '')) <> '') q GROUP BY doc_id, s),
+n AS (SELECT doc_id, sum(u) AS n FROM sh GROUP BY 1),
+both_ AS (SELECT a.doc_id AS a, b.doc_id AS b, sum(least(a.u, b.u)) AS k FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
 e AS MATERIALIZED (SELECT unnest([a, b]) AS s, unnest([b, a]) AS t FROM both_ JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE k * 10 >= 8 * (x.n + y.n - k)),
 v AS (SELECT doc_id AS id FROM documents), {COMPONENTS}
 SELECT doc_id, l AS component_id, doc_id = l AS kept FROM documents JOIN cc ON cc.id = doc_id
