@@ -3,14 +3,17 @@
 Texts are cut into chunks that overlap.  Each chunk is pre-tokenised by
 itself, so the chunks of one long text are dealt to many tasks.  Where two
 neighbours have a pre-token boundary in common inside their overlap, the later
-chunk is in step with the whole text from there on; these points cut the text
-into pieces, and each piece is encoded as if it stood alone.  Decoding
-concatenates the raw bytes of the ids.
-
-Cut points come after a character that is no white space: look-ahead for white
-space, the only context the pattern uses, then sees the same on both sides.
-Neighbours without a common point stay one piece, so the ids are right in
-every case.
+chunk is in step with the earlier one from there on; these points cut the text
+into pieces, which are dealt to tasks again, and each piece is encoded as if it
+stood alone.  Decoding concatenates the raw bytes of the ids.
+
+Why the ids are right: the first chunk is in step with the whole text.  A match
+depends only on where it begins and on what follows, so a chunk that shares a
+boundary with a neighbour in step is in step from there on.  The first chunk
+without a common point breaks the chain: what follows has boundaries that prove
+nothing, so the rest of the text stays one piece.  Cut points come after a
+character that is no white space: look-ahead for white space, the only context
+the pattern uses, then sees the same on both sides.
 
 Defined cases: null text is empty and has no tokens; repeated rows are encoded
 each; texts shorter than a chunk are one piece and are not shuffled.  Extra
@@ -27,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfloor.llm.common import process_cache, row_key, small
+from wayfloor.llm.common import materialize, process_cache, row_key, small
 
 #: Characters of a chunk, and by how many it reaches into the next one.
 CHUNK_CHARS, OVERLAP_CHARS = 1 << 16, 1 << 9
@@ -97,54 +100,53 @@ def _split(docs, pattern, id_col="doc_id", text_col="text", chunk_chars=CHUNK_CH
 
 def _pieces(long: DataFrame, id_col: str, pattern: str, chunk: int, overlap: int) -> DataFrame:
     """Texts cut at the points where the chunks resynchronise."""
+    id_type = long.schema[id_col].dataType.simpleString()
     # Whole repeated rows share a key: they are cut once and counted.
     docs = long.groupBy("doc_key").agg(F.first(id_col).alias(id_col), F.first("t").alias("t"), F.count(F.lit(1)).alias("copies"))
-    chunks = docs.select(
-        "doc_key",
-        F.posexplode(F.sequence(F.lit(0), F.length("t") - 1, F.lit(chunk))).alias("k", "at"),
-        F.expr(f"substring(t, at + 1, {chunk + overlap})").alias("part"),
-        F.length("t").alias("n"),
-    ).repartition("doc_key", "k")
+
+    def cut(batches):
+        for batch in small(batches, 16):
+            rows, ks, lasts, parts = [], [], [], []
+            for i, t in enumerate(batch.column(3).to_pylist()):
+                starts = range(0, len(t), chunk)
+                rows += [i] * len(starts)
+                ks += range(len(starts))
+                lasts += [len(starts) - 1] * len(starts)
+                parts += [t[at : at + chunk + overlap] for at in starts]
+            take = pa.array(rows, pa.int64())
+            kept = [batch.column(c).take(take) for c in range(3)]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(ks, pa.int64()), pa.array(lasts, pa.int64()), pa.array(parts, pa.string())], names=["doc_key", id_col, "copies", "k", "last", "part"])
+
+    chunks = docs.select("doc_key", id_col, "copies", "t").mapInArrow(cut, f"doc_key long, `{id_col}` {id_type}, copies long, k long, last long, part string")
+    chunks = materialize(chunks.repartition("doc_key", "k"), "chunks")
 
     def bounds(batches):
-        for batch in small(batches):
+        many = pa.list_(pa.int64())
+        for batch in small(batches, 16):
             heads, tails = [], []
-            for part in batch.column(3).to_pylist():
+            for part in batch.column(2).to_pylist():
                 b = boundaries(part, pattern)
                 if len(part) == chunk + overlap and len(b):
                     b = b[:-1]  # the last match may have been cut short by the chunk's end
                 heads.append(b[b < overlap].tolist())
                 tails.append((b[(b >= chunk) & (b < chunk + overlap)] - chunk).tolist())
-            many = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(2), pa.array(heads, many), pa.array(tails, many)], names=["doc_key", "k", "at", "heads", "tails"]
-            )
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(heads, many), pa.array(tails, many)], names=["doc_key", "k", "heads", "tails"])
 
-    found = chunks.select("doc_key", F.col("k").cast("long").alias("k"), F.col("at").cast("long").alias("at"), "part").mapInArrow(
-        bounds, "doc_key long, k long, at long, heads array<long>, tails array<long>"
-    )
+    found = materialize(chunks.select("doc_key", "k", "part").mapInArrow(bounds, "doc_key long, k long, heads array<long>, tails array<long>"), "bounds")
     before = found.select("doc_key", (F.col("k") + 1).alias("k"), F.col("tails").alias("before"))
-    cuts = (
-        found.join(before, ["doc_key", "k"])
-        .select("doc_key", (F.col("at") + F.array_min(F.array_intersect("before", "heads"))).alias("cut"))
-        .where("cut IS NOT NULL")
-        .groupBy("doc_key")
-        .agg(F.sort_array(F.collect_list("cut")).alias("cuts"))
-    )
-    whole = docs.join(cuts, "doc_key", "left").withColumn(
-        "cuts", F.concat(F.array(F.lit(0).cast("long")), F.coalesce("cuts", F.array().cast("array<long>")), F.array(F.length("t").cast("long")))
-    )
-    pieces = whole.select(
-        "doc_key",
-        id_col,
-        "t",
-        "cuts",
-        (F.size("cuts") - 2).cast("long").alias("last_piece"),
-        F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"),
-    ).select("doc_key", id_col, "last_piece", "cuts", "t", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last_piece"))).alias("piece"))
-    return pieces.select(
-        "doc_key", id_col, "piece", "last_piece", F.expr("substring(t, cast(cuts[piece] + 1 as int), cast(cuts[piece + 1] - cuts[piece] as int))").alias("t")
+    common = found.join(before, ["doc_key", "k"], "left").select("doc_key", "k", F.array_min(F.array_intersect("before", "heads")).alias("cut"))
+    upto = Window.partitionBy("doc_key").orderBy("k")
+    cuts = common.withColumn("in_step", F.min(F.col("cut").isNotNull() | (F.col("k") == 0)).over(upto)).withColumn("cut", F.when(F.col("in_step"), F.col("cut")))
+    cuts = cuts.select("doc_key", "k", "cut", F.lead("cut").over(upto).alias("next"), F.count("cut").over(upto).alias("piece"), F.count("cut").over(Window.partitionBy("doc_key")).alias("last_piece"))
+    begin = F.coalesce("cut", F.lit(0))
+    end = F.when(F.col("k") == F.col("last"), F.length("part")).otherwise(chunk + F.coalesce("next", F.lit(0)))
+    text = F.substring(F.col("part"), (begin + 1).cast("int"), (end - begin).cast("int"))
+    segments = chunks.join(cuts, ["doc_key", "k"]).select("doc_key", id_col, "copies", "piece", "last_piece", F.struct("k", text.alias("text")).alias("segment"))
+    pieces = segments.groupBy("doc_key", "piece").agg(
+        F.first(id_col).alias(id_col), F.first("copies").alias("copies"), F.first("last_piece").alias("last_piece"), F.sort_array(F.collect_list("segment")).alias("segments")
     )
+    joined = F.array_join(F.transform("segments", lambda x: x["text"]), "").alias("t")
+    return pieces.select("doc_key", id_col, "piece", "last_piece", joined, F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).drop("col")
 
 
 def _encode_pieces(pieces: DataFrame, id_col: str, path: str, pattern: str) -> DataFrame:
