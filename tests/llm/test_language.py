@@ -70,3 +70,19 @@ def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = language_predictions(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert sum(r.lang_pred == r.lang for r in got) >= 0.97 * len(got)
+
+
+def test_the_stage_rejects_what_is_in_no_learned_language(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    p = learn_profiles(docs)
+    rng = __import__("random").Random(1)
+    cyrillic = "".join(chr(rng.randint(0x430, 0x44F)) if rng.random() < 0.8 else " " for _ in range(600))
+    letters = "".join(rng.choice("qxzjkwvyf ") for _ in range(600))
+    han = "".join(chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(300))
+    mine = spark.createDataFrame([(1, cyrillic), (2, letters), (3, han), (4, "123"), (5, None)], "doc_id long, text string")
+    assert keep_identified(mine, p).count() == 0
+    clean = docs.where("text IS NOT NULL AND regexp_count(text, '[a-zA-Z]') > 0")
+    assert keep_identified(clean, p).count() == clean.count()
+    assert set(r.lang_pred for r in identify(keep_identified(clean, p, languages=["fr"]), p).collect()) == {"fr"}
+    nothing = Profiles({}, 50)
+    assert {r.doc_id for r in keep_identified(mine, nothing).collect()} == {1, 2, 3}

@@ -27,6 +27,8 @@ from wayfloor.llm.common import process_cache, small
 #: Length of a profile, longest n-gram, and the bound of the learning sample.
 PROFILE, MAX_N, MAX_DOCS_PER_LANGUAGE = 400, 3, 20_000
 UNKNOWN = "und"
+#: Least score of a text that counts as written in its nearest language; prose scores 0.43 and more, another script or random letters under 0.2.
+MIN_SCORE = 0.3
 _CHUNK = 1 << 17
 
 
@@ -175,15 +177,24 @@ def language_predictions(docs: DataFrame) -> DataFrame:
     return identify(docs.select("doc_id", held_out().alias("held_out"), "text"), profiles)
 
 
-def keep_identified(docs: DataFrame, profiles: Profiles, text_col: str = "text", min_score: float = 0.0) -> DataFrame:
-    """``docs`` without the rows that have no language, or one of a score under ``min_score``."""
+def keep_identified(docs: DataFrame, profiles: Profiles, text_col: str = "text", min_score: float = MIN_SCORE, languages: list[str] | None = None) -> DataFrame:
+    """``docs`` in one of ``languages`` (all that were learned, if not given) at a score of ``min_score`` or more.
+
+    A text without a letter goes; where nothing could be learned, no other does.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(profiles)
     at = docs.columns.index(text_col)
 
     def run(batches):
         p = shared.value
+
+        def stays(text):
+            if not p.languages:
+                return bool(text) and len(padded_words(text)) > 0
+            lang, score = p.predict(text)
+            return lang != UNKNOWN and score >= min_score and (languages is None or lang in languages)
+
         for batch in small(batches):
-            found = [p.predict(t) for t in batch.column(at).to_pylist()]
-            yield batch.filter(pa.array([lang != UNKNOWN and score >= min_score for lang, score in found], pa.bool_()))
+            yield batch.filter(pa.array([stays(t) for t in batch.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
