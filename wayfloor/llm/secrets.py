@@ -47,7 +47,7 @@ _ACCESS = re.compile(ACCESS)
 _ASSIGN = re.compile(ASSIGN, re.I | re.A)
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+", re.A)
 #: Sensitive words of which no other is a part: one of them is in every sensitive name.
-_HINT = re.compile("|".join(sorted(w for w in SENSITIVE if not any(o != w and o in w for o in SENSITIVE))), re.I | re.A)
+_HINTS = sorted(w for w in SENSITIVE if not any(o != w and o in w for o in SENSITIVE))
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -81,7 +81,8 @@ def literal_score(value: str) -> float:
 
 def lexed_spans(text: str) -> list[tuple[int, int, int]]:
     """Literals of assignments whose target name, or a name they flow to, is sensitive."""
-    if not _HINT.search(text):
+    low = text.lower()
+    if not any(w in low for w in _HINTS):
         return []
     out = set()
     for names, spans in name_literals(text):
