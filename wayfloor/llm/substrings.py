@@ -10,9 +10,10 @@ starts anywhere else.  The work is cut so that equal strings meet in one place:
 2. Runs whose fingerprint occurs once share no window with anything.  Runs that
    are equal as a whole repeat as a whole.
 3. What is left, runs with one fingerprint and different bytes, is compared by
-   suffixes: a batch of such runs is one text, sorted to the depth of
-   ``MIN_BYTES`` and transformed, and breadth-first backward extension splits
-   its intervals at common prefixes of increasing length.  It stops at
+   suffixes: a batch of such runs is one text, whose suffixes are sorted to the
+   ends of the runs and transformed.  The order alone does not say how much
+   neighbours share; breadth-first backward extension splits the intervals of
+   the transform at common prefixes of increasing length, and stops at
    ``MIN_BYTES``: suffixes not split by then share that much.
 4. A fingerprint with more bytes than a batch holds is not compared in one
    task: the hashes of its windows are counted, with partial sums, instead.
@@ -134,7 +135,9 @@ def common_prefix_groups(text: np.ndarray, symbols: int, depth: int) -> tuple[np
     largest need not be looked at.  Symbol 0 ends a string and is never extended.
     """
     n = len(text)
-    order = sorted_suffixes(text, symbols, depth)
+    ends = np.flatnonzero(text == 0)
+    longest = int(np.diff(np.concatenate(([-1], ends))).max()) if len(ends) else n
+    order = sorted_suffixes(text, symbols, max(longest, depth))
     last = text[order - 1]
     column = np.argsort(last, kind="stable")
     to = np.empty(n, np.int64)
