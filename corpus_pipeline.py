@@ -17,7 +17,7 @@ from wayfloor.llm.secrets import redact_secrets
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter in their text go."""
+    """Documents go whose text has no letter, or is too far from the profile of every language that the documents teach."""
     return keep_identified(docs, learn_profiles(docs))
 
 
