@@ -82,13 +82,28 @@ def gaussian(cells: DataFrame, sigma: float, value: str = "z") -> DataFrame:
 
 
 def fill_holes(cells: DataFrame, rounds: int, meta: DataFrame, value: str = "z") -> DataFrame:
-    """Unknown cells take the mean of their known 4-neighbours, round by round; neighbours wrap around the map."""
+    """Unknown cells of a dense grid take the mean of their known 4-neighbours, round by round; neighbours wrap around the map.
+
+    Each round is a window along the rows and one along the columns; the plan grows by those two alone.
+    """
+    cells = cells.join(F.broadcast(meta.select(F.col("width").alias("__w"), F.col("height").alias("__h"))))
     for _ in range(rounds):
-        near = gathered(cells, value, FOUR).join(F.broadcast(meta.select("width", "height")))
-        near = near.select(F.pmod("gy", "height").alias("gy"), F.pmod("gx", "width").alias("gx"), "near")
-        m = near.groupBy("gy", "gx").agg(F.avg("near").alias("__m"))
-        cells = cells.join(m, ["gy", "gx"], "left").withColumn(value, F.coalesce(value, "__m")).drop("__m")
-    return cells
+        near = []
+        for line, axis, size in (("gy", "gx", "__w"), ("gx", "gy", "__h")):
+            order = Window.partitionBy(line).orderBy(axis)
+            whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+            before, after = f"__{axis}0", f"__{axis}1"
+            cells = cells.withColumns(
+                {
+                    before: F.when(F.col(axis) == 0, F.last(value).over(whole)).otherwise(F.lag(value).over(order)),
+                    after: F.when(F.col(axis) == F.col(size) - 1, F.first(value).over(whole)).otherwise(F.lead(value).over(order)),
+                }
+            )
+            near += [before, after]
+        known = sum((F.col(c).isNotNull().cast("int") for c in near[1:]), F.col(near[0]).isNotNull().cast("int"))
+        total = sum((F.coalesce(c, F.lit(0.0)) for c in near[1:]), F.coalesce(near[0], F.lit(0.0)))
+        cells = cells.withColumn(value, F.coalesce(F.col(value), F.when(known > 0, total / known))).drop(*near)
+    return cells.drop("__w", "__h")
 
 
 def gradients(cells: DataFrame, size: float, value: str = "z") -> DataFrame:

@@ -48,6 +48,21 @@ def layered(scored: DataFrame) -> DataFrame:
     return scored.select("*", gain("rii").alias("rii_gain"), gain("accessible_area").alias("area_gain"))
 
 
+def removable_objects(cells: DataFrame, labels: DataFrame, dimension: DataFrame) -> DataFrame:
+    """``(label, gy, gx, component)``: blocked cells of labels that are not fixed, by components of one label."""
+    names = dimension.where(F.col("fixation") != "Fixed")
+    objects = cells.where("blocked").select("gy", "gx").join(labels.select("gy", "gx", "label"), ["gy", "gx"]).join(F.broadcast(names.select("label")), "label", "left_semi")
+    return C.components(objects.select("label", "gy", "gx"), by="label")
+
+
+def selected_objects(objects: DataFrame, dimension: DataFrame, fixations: list[str], selected: DataFrame, share: float = 0.5) -> DataFrame:
+    """Objects of some fixation groups of which at least ``share`` of the cells are ``selected(gy, gx)``: ``(label, component, cells)``."""
+    names = dimension.where(F.col("fixation").isin(fixations)).select("label")
+    at = objects.join(F.broadcast(names), "label", "left_semi").join(selected.select("gy", "gx").withColumn("__on", F.lit(1)), ["gy", "gx"], "left")
+    found = at.groupBy("label", "component").agg(F.count(F.lit(1)).alias("cells"), F.avg(F.coalesce("__on", F.lit(0)).cast("double")).alias("__share"))
+    return found.where(F.col("__share") >= share).drop("__share")
+
+
 def removal_candidates(cells: DataFrame, labels: DataFrame, dimension: DataFrame, resolution: float, margin: int, least_area: float = 0.04, most: int = 120) -> DataFrame:
     """Objects whose removal could open floor, best first.
 
@@ -56,8 +71,7 @@ def removal_candidates(cells: DataFrame, labels: DataFrame, dimension: DataFrame
     by ``margin`` cells, from prefix sums.  ``cells`` has blocked, floor, accessible.
     """
     names = dimension.where(F.col("fixation") != "Fixed")
-    objects = cells.where("blocked").select("gy", "gx").join(labels.select("gy", "gx", "label"), ["gy", "gx"]).join(F.broadcast(names.select("label")), "label", "left_semi")
-    labelled = C.components(objects.select("label", "gy", "gx"), by="label")
+    labelled = removable_objects(cells, labels, dimension)
     boxes = labelled.groupBy("label", "component").agg(
         F.count(F.lit(1)).alias("cells"), F.min("gy").alias("y0"), F.max("gy").alias("y1"), F.min("gx").alias("x0"), F.max("gx").alias("x1")
     ).where(F.col("cells") >= math.ceil(least_area / resolution**2))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayfloor.functions.shared import saved
+
 BIN, PROMINENCE, SEPARATION, CEILING = 0.10, 0.15, 1.8, 3.0
 
 
@@ -57,3 +59,21 @@ def levels(points: DataFrame) -> DataFrame:
     )
     inside = points.select("z").join(F.broadcast(slabs), F.col("z").between(F.col("z_low"), F.col("z_high")))
     return inside.groupBy("level", "anchor", "z_low", "z_high").agg(F.count(F.lit(1)).alias("n"))
+
+
+def level_maps(points: DataFrame, slabs: DataFrame, resolution: float = 0.05, padding: float = 0.5, least: int = 1) -> DataFrame:
+    """``(level, gy, gx, n, occupied)``: the obstacle map of every level's slab, all on the map of all points, in one job.
+
+    The band of a level is over its own floor, the 5th percentile of its heights.
+    """
+    from wayfloor.operators import grid as G
+
+    slabs = saved(slabs.select("level", "z_low", "z_high"))  # a row a level
+    meta = G.bounds(points, resolution, padding)
+    inside = points.select("x", "y", "z").join(F.broadcast(slabs), F.col("z").between(F.col("z_low"), F.col("z_high"))).drop("z_low", "z_high")
+    floors = inside.groupBy("level").agg(F.percentile("z", F.lit(0.05)).alias("floor"))
+    band = inside.join(F.broadcast(floors), "level").where(F.col("z").between(F.col("floor") + 0.05, F.col("floor") + 1.0))
+    counts = G.binned(band.select("level", "x", "y"), meta, resolution).groupBy("level", "gy", "gx").agg(F.count(F.lit(1)).alias("n"))
+    edge = (F.col("gy") == 0) | (F.col("gx") == 0) | (F.col("gy") == F.col("height") - 1) | (F.col("gx") == F.col("width") - 1)
+    grid = G.scaffold(meta).join(F.broadcast(slabs.select("level"))).join(counts, ["level", "gy", "gx"], "left")
+    return grid.select("level", "gy", "gx", F.coalesce("n", F.lit(0)).alias("n"), (edge | (F.coalesce("n", F.lit(0)) >= max(1, least))).alias("occupied"))

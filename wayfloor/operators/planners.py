@@ -229,15 +229,17 @@ def pose_moves(model: str, k: int) -> list[tuple[int, int]]:
 
 
 def reachable_poses(free: DataFrame, seed: tuple[int, int], model: str = "differential") -> DataFrame:
-    """``free(map_id, k, gy, gx)``, the poses without collision -> those reached from any heading at the seed.
+    """``free(map_id, k, gy, gx[, turn])``, the poses without collision -> those reached from any heading at the seed.
 
     A seed without an open pose gives way to the nearest centre that has one.
-    A turn goes to the next heading either way; a diagonal step needs both
-    cells beside it.
+    A turn goes to the next heading either way, if ``turn`` of the lower of the
+    two allows it; a diagonal step needs both cells beside it.
     """
+    turning = "turn" in free.columns
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         open_ = set(zip(pdf["k"].tolist(), pdf["gy"].tolist(), pdf["gx"].tolist()))
+        fixed = set(pdf.loc[~pdf["turn"], ["k", "gy", "gx"]].itertuples(index=False, name=None)) if turning else set()
         if not open_:
             return pdf.head(0)[["map_id", "k", "gy", "gx"]]
         _, *at = min((abs(y - seed[0]) + abs(x - seed[1]), y, x) for _, y, x in open_)
@@ -246,7 +248,9 @@ def reachable_poses(free: DataFrame, seed: tuple[int, int], model: str = "differ
         while ring:
             nxt = []
             for k, y, x in ring:
-                to = [((k + 1) % HEADINGS, y, x), ((k - 1) % HEADINGS, y, x)]
+                back = ((k - 1) % HEADINGS, y, x)
+                to = [((k + 1) % HEADINGS, y, x)] if (k, y, x) not in fixed else []
+                to += [back] if back not in fixed else []
                 for dy, dx in pose_moves(model, k):
                     if not (dy and dx) or ((k, y + dy, x) in open_ and (k, y, x + dx) in open_):
                         to.append((k, y + dy, x + dx))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayfloor.functions.shared import saved
 from wayfloor.operators import components as C
 from wayfloor.operators.points import cell
 
@@ -64,9 +67,12 @@ def assessed(transitions: DataFrame, max_slope: float, max_step: float) -> DataF
 
 def profiles(points: DataFrame, strip: float = 0.5, step: float = 0.20, least_strip: int = 10, least_bin: int = 3, least_profile: int = 5, percentile: float = 0.10) -> DataFrame:
     """Height profiles along x in strips of y: ``(strip, bin, x, z)``; bins start at each strip's first point."""
-    keyed = points.select("x", "z", cell(F.col("y"), strip).alias("strip"))
+    return _profiles(points.select("x", "z", cell(F.col("y"), strip).alias("strip")), step, least_strip, least_bin, least_profile, percentile)
+
+
+def _profiles(keyed: DataFrame, step: float, least_strip: int, least_bin: int, least_profile: int, percentile: float) -> DataFrame:
     starts = keyed.groupBy("strip").agg(F.min("x").alias("x0"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_strip).select("strip", "x0")
-    bins = keyed.join(F.broadcast(starts), "strip").groupBy("strip", "x0", F.floor((F.col("x") - F.col("x0")) / F.lit(step)).alias("bin"))
+    bins = keyed.join(starts, "strip").groupBy("strip", "x0", F.floor((F.col("x") - F.col("x0")) / F.lit(step)).alias("bin"))
     z = bins.agg(F.count(F.lit(1)).alias("n"), F.percentile("z", F.lit(percentile)).alias("z")).where(F.col("n") >= least_bin)
     z = z.select("strip", "bin", (F.col("x0") + (F.col("bin") + 0.5) * step).alias("x"), "z")
     return z.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy("strip"))).where(F.col("__n") >= least_profile).drop("__n")
@@ -114,3 +120,83 @@ def profile_ramps(segments: DataFrame, least_slope: float = 4.0, least_length: f
     beside = F.coalesce(F.lag("is_flat").over(order), F.lit(False)) | F.coalesce(F.lead("is_flat").over(order), F.lit(False))
     s = segments.withColumns({"beside": beside, "angle": F.degrees(F.atan(F.abs("slope"))), "length": F.col("x1") - F.col("x0"), "rise": F.abs(F.col("z1") - F.col("z0"))})
     return s.where(~F.col("is_flat") & F.col("beside") & (F.col("angle") >= least_slope) & (F.col("length") >= least_length) & (F.col("rise") >= least_rise))
+
+
+#: Headings of the cross-sections, in degrees, and the number of strips a heading may have.
+DIRECTIONS = (0, 45, 90, 135)
+_STRIPS = 1 << 32
+
+
+def section_candidates(points: DataFrame, strip: float = 0.5, step: float = 0.20, least_slope: float = 4.0, least_length: float = 1.0) -> DataFrame:
+    """Ramp segments of the profiles along every heading, in one job: ``(heading, strip_y, x0, x1, angle, rise, length, r2, wx0, wy0, wx1, wy1)``.
+
+    ``x0`` and ``x1`` are places along the heading, the w columns the ends in the frame of the points.
+    """
+    rows = [(i, math.cos(math.radians(d)), math.sin(math.radians(d))) for i, d in enumerate(DIRECTIONS)]
+    turns = F.broadcast(points.sparkSession.createDataFrame(rows, "i int, c double, s double"))
+    turned = points.join(turns).select("i", "z", (F.col("x") * F.col("c") + F.col("y") * F.col("s")).alias("x"), (F.col("y") * F.col("c") - F.col("x") * F.col("s")).alias("y"))
+    keyed = turned.select("x", "z", (F.col("i") * _STRIPS + cell(F.col("y"), strip) + _STRIPS // 2).alias("strip"))
+    found = profile_ramps(greedy_segments(_profiles(keyed, step, 10, 3, 5, 0.10)), least_slope, least_length)
+    i = F.floor(F.col("strip") / _STRIPS).cast("int")
+    y = (F.col("strip") - i * _STRIPS - _STRIPS // 2 + 0.5) * strip
+    found = found.withColumns({"i": i, "strip_y": y}).join(turns, "i")
+    world = lambda x: ((F.col(x) * F.col("c") - F.col("strip_y") * F.col("s")).alias(f"w{x}"), (F.col(x) * F.col("s") + F.col("strip_y") * F.col("c")).alias(f"wy{x[1]}"))
+    out = found.select("i", "strip_y", "x0", "x1", "angle", "rise", "length", "r2", *world("x0"), *world("x1"))
+    return out.withColumn("heading", F.element_at(F.array(*(F.lit(d) for d in DIRECTIONS)), F.col("i") + 1)).drop("i")
+
+
+def radius_clusters(candidates: DataFrame, radius: float) -> DataFrame:
+    """Adds ``cluster``: by heading, strip and place, the first free candidate takes all free ones nearer than the radius to it.
+
+    The rule is sequential and not transitive; candidates are few, a segment a
+    strip and heading, so they meet in one group.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["heading", "strip_y", "x0"], kind="stable").reset_index(drop=True)
+        mx, my = (pdf["wx0"] + pdf["wx1"]).to_numpy() / 2, (pdf["wy0"] + pdf["wy1"]).to_numpy() / 2
+        cluster = [-1] * len(pdf)
+        for i in range(len(pdf)):
+            if cluster[i] < 0:
+                near = ((mx - mx[i]) ** 2 + (my - my[i]) ** 2) ** 0.5 < radius
+                for j in range(i, len(pdf)):
+                    if cluster[j] < 0 and (j == i or near[j]):
+                        cluster[j] = i
+        pdf["cluster"] = cluster
+        return pdf
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in candidates.schema) + ", cluster long"
+    return candidates.groupBy(F.lit("all")).applyInPandas(run, schema)
+
+
+def section_ramps(points: DataFrame, max_slope: float = 35.0, radius: float = 5.0, strip: float = 0.5, least_length: float = 1.0, least_rise: float = 0.10, least_width: float = 0.8) -> DataFrame:
+    """Ramps from cross-sections along four headings, the steepest first: clusters of three candidates or more, the best fit for each."""
+    c = radius_clusters(section_candidates(points, strip, least_length=least_length), radius)
+    best = F.max_by(F.struct("wx0", "wy0", "wx1", "wy1", "length", "rise", "r2", "heading"), F.struct("r2", -F.col("heading"), -F.col("strip_y"), -F.col("x0"))).alias("b")
+    by = c.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), best, F.greatest(F.max("strip_y") - F.min("strip_y"), F.lit(strip)).alias("width"), F.avg("angle").alias("angle"))
+    by = by.where((F.col("n") >= 3) & (F.col("b.length") >= least_length) & (F.col("b.rise") >= least_rise) & (F.col("width") >= least_width))
+    return by.select("cluster", "n", "angle", "width", "b.*", (F.col("angle") <= max_slope).alias("traversable"))
+
+
+def refined_angles(ramps: DataFrame, points: DataFrame, margin: float = 2.0, strip: float = 0.5, step: float = 0.15, least_points: int = 20, least_bins: int = 4, least_r2: float = 0.5) -> DataFrame:
+    """``ramps(ramp, wx0, wy0, wx1, wy1, angle)`` with ``refined``: the median angle of the lines through strips along the ramp.
+
+    The points within ``margin`` of the ramp's box are cut into strips beside
+    its axis and bins along it, both from the first point on; bins take a low
+    percentile of three heights or more.  Strips of fewer than ten points, few
+    bins or a poor fit do not count; without any the angle stays.
+    """
+    box = {"bx0": F.least("wx0", "wx1"), "bx1": F.greatest("wx0", "wx1"), "by0": F.least("wy0", "wy1"), "by1": F.greatest("wy0", "wy1"), "long": F.sqrt((F.col("wx1") - F.col("wx0")) ** 2 + (F.col("wy1") - F.col("wy0")) ** 2)}
+    r = ramps.select("ramp", "wx0", "wy0", "wx1", "wy1").withColumns(box).where(F.col("long") >= 0.1)  # few rows: a ramp each
+    near = points.join(F.broadcast(r), F.col("x").between(F.col("bx0") - margin, F.col("bx1") + margin) & F.col("y").between(F.col("by0") - margin, F.col("by1") + margin))
+    ux, uy = (F.col("wx1") - F.col("wx0")) / F.col("long"), (F.col("wy1") - F.col("wy0")) / F.col("long")
+    dx, dy = F.col("x") - (F.col("wx0") + F.col("wx1")) / 2, F.col("y") - (F.col("wy0") + F.col("wy1")) / 2
+    at = saved(near.select("ramp", "z", (dx * ux + dy * uy).alias("t"), (dy * ux - dx * uy).alias("u")))
+    sides = at.groupBy("ramp").agg(F.count(F.lit(1)).alias("n"), F.min("u").alias("u0"), F.greatest(F.lit(1), F.floor((F.max("u") - F.min("u")) / strip)).alias("strips")).where(F.col("n") >= least_points)
+    cut = at.join(F.broadcast(sides.drop("n")), "ramp").withColumn("strip", F.floor((F.col("u") - F.col("u0")) / strip)).where(F.col("strip") < F.col("strips"))
+    lines = cut.groupBy("ramp", "strip").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("t0"), F.greatest(F.lit(1), F.floor((F.max("t") - F.min("t")) / step)).alias("bins")).where("n >= 10")
+    bins = cut.join(lines.drop("n"), ["ramp", "strip"]).withColumn("bin", F.floor((F.col("t") - F.col("t0")) / step)).where(F.col("bin") < F.col("bins")).groupBy("ramp", "strip", "t0", "bin")
+    rows = bins.agg(F.count(F.lit(1)).alias("n"), F.percentile("z", F.lit(0.10)).alias("z")).where("n >= 3").withColumn("x", F.col("t0") + (F.col("bin") + 0.5) * step)
+    fits = line_fit(rows, ["ramp", "strip"], flat_r2=0.0).where((F.col("n") >= least_bins) & (F.col("r2") >= least_r2))
+    angle = fits.groupBy("ramp").agg(F.percentile(F.degrees(F.atan(F.abs("slope"))), F.lit(0.5)).alias("refined"))
+    return ramps.join(angle, "ramp", "left").withColumn("refined", F.coalesce("refined", "angle"))

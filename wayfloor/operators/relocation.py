@@ -4,10 +4,16 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayfloor.functions.shared import saved
 from wayfloor.operators import grid as G
+from wayfloor.operators import horizontal as H
+
+#: Zones nearer than this (Manhattan, cells) to a better one are dropped; so many are tried.
+APART, TRIED = 20, 80
 
 
 def placements(cells: DataFrame, height: int, width: int) -> DataFrame:
@@ -39,12 +45,112 @@ def peer_distance(zones: DataFrame, peers: DataFrame, cap: float, resolution: fl
 def ranked(zones: DataFrame, peer_weight: float = 0.05, distance_weight: float = 0.25, farthest: float = 8.0, k: int = 5) -> DataFrame:
     """``(zone_id, gain, peer, distance)`` -> the best k: net gain first, near its like, not far away."""
     score = F.col("gain") + peer_weight * F.col("peer") - distance_weight * F.col("distance")
-    order = Window.orderBy(F.desc("score"), F.desc("peer"), "distance", "zone_id")
+    ties = [F.desc("walls")] if "walls" in zones.columns else []
+    by = (F.desc("score"), F.desc("peer"), "distance", *ties, "zone_id")
     kept = zones.where((F.col("gain") > 0) & (F.col("distance") <= farthest)).withColumn("score", score)
-    return kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    # The best k are few rows; only those are numbered.
+    return kept.orderBy(*by).limit(k).withColumn("rank", F.row_number().over(Window.orderBy(*by)))
 
 
 def translated(cells: DataFrame, dy: int, dx: int) -> DataFrame:
     """Object cells moved and clipped to the map: ``(gy, gx, height, width)``."""
     moved = cells.withColumns({"gy": F.col("gy") + dy, "gx": F.col("gx") + dx})
     return moved.where(F.col("gy").between(0, F.col("height") - 1) & F.col("gx").between(0, F.col("width") - 1))
+
+
+def _flag(cells: DataFrame, marked: DataFrame, name: str) -> DataFrame:
+    on = marked.select("gy", "gx").distinct().withColumn("__on", F.lit(True))
+    return cells.join(on, ["gy", "gx"], "left").withColumn(name, F.coalesce("__on", F.lit(False))).drop("__on")
+
+
+def doorways(cells: DataFrame) -> DataFrame:
+    """Free cells with at most two free 4-neighbours."""
+    near = G.gathered(cells.withColumn("__v", (~F.col("blocked")).cast("int")), "__v", G.FOUR).groupBy("gy", "gx").agg(F.sum("near").alias("__n"))
+    return cells.where("NOT blocked").join(near, ["gy", "gx"], "left").where(F.coalesce("__n", F.lit(0)) <= 2).select("gy", "gx")
+
+
+def _apart(candidates: DataFrame) -> DataFrame:
+    """Down the order of ``score``, candidates that are not near a better one, ``TRIED`` of them; sequential, one group for one object."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        kept: list[tuple[int, int]] = []
+        for y, x in pdf.sort_values(["score", "gy", "gx"], ascending=[False, True, True])[["gy", "gx"]].itertuples(index=False, name=None):
+            if len(kept) >= TRIED:
+                break
+            if all(abs(y - a) + abs(x - b) >= APART for a, b in kept):
+                kept.append((y, x))
+        return pd.DataFrame({"zone_id": range(len(kept)), "gy": [c[0] for c in kept], "gx": [c[1] for c in kept]}, columns=["zone_id", "gy", "gx"])
+
+    return candidates.groupBy(F.lit("all")).applyInPandas(run, "zone_id long, gy long, gx long")
+
+
+def relocation_zones(cells: DataFrame, thing: DataFrame, rx: int, ry: int, resolution: float, peers: DataFrame | None = None, relax: int = 0, k: int = 5) -> DataFrame:
+    """The best places for an object ``thing(gy, gx)`` of a dense map ``cells(gy, gx, blocked, floor)``.
+
+    A place fits the object's box into floor that is reached once the object is
+    gone; below ``relax`` 2 it keeps clear of the robot's present floor, below 1
+    of doorways.  Of those, best first by walls around, no two near each other,
+    each is tried: all maps with the object at its place are scored in one job.
+    Places count that open floor within eight metres; gain, nearness to
+    ``peers(gy, gx)`` and distance rank them.
+    """
+    cells = saved(cells.select("gy", "gx", "blocked", "floor"))
+    box = thing.agg(*(f(c).alias(f"{n}_{c}") for c in ("gy", "gx") for n, f in (("min", F.min), ("max", F.max), ("avg", F.avg)))).first()
+    tall, wide = box["max_gy"] - box["min_gy"] + 1, box["max_gx"] - box["min_gx"] + 1
+    cleared = saved(_flag(cells, thing, "__own").withColumn("blocked", F.col("blocked") & ~F.col("__own")).drop("__own"))
+    now = saved(H.reach(cells, rx, ry))
+    then = H.reach(cleared, rx, ry)
+    before = now.agg(F.coalesce(F.sum(F.col("accessible").cast("long")), F.lit(0))).first()[0]
+
+    short = max(1, min(rx, ry))
+    near = G.dilate_rectangle(now.select("gy", "gx", "accessible"), "accessible", short, short).where("accessible")
+    walls = G.gathered(cells.withColumn("__b", F.col("blocked").cast("int")), "__b", [c for c in G.SQUARE if c != (0, 0)]).groupBy("gy", "gx").agg(F.sum("near").alias("walls"))
+    flags = saved(_flag(_flag(cells, near, "busy"), doorways(cells), "door").join(walls, ["gy", "gx"], "left"))
+    fits = saved(placements(then.withColumn("free", F.col("accessible") & ~F.col("blocked")), tall, wide))
+    for flag, rule in (("busy", relax < 2), ("door", relax < 1)):
+        if rule:
+            sums = G.prefix_sums(flags.withColumn("__v", F.col(flag).cast("long")), "__v")
+            number = F.col("gy") * (1 << 24) + F.col("gx")
+            boxes = fits.select(number.alias("id"), F.col("gy").alias("y0"), F.col("gx").alias("x0"), (F.col("gy") + tall - 1).alias("y1"), (F.col("gx") + wide - 1).alias("x1"))
+            clear = G.rectangle_sums(sums, boxes).where("total = 0").select("id")
+            fits = fits.withColumn("id", number).join(clear, "id", "left_semi").drop("id")
+    scored = fits.join(flags.select("gy", "gx", "busy", F.coalesce("walls", F.lit(0)).alias("walls")), ["gy", "gx"])
+    zones = saved(_apart(scored.withColumn("score", F.when(F.col("busy"), -1000.0).otherwise(0.0) + F.col("walls"))))
+
+    spots = F.broadcast(zones.select(F.col("zone_id").cast("int").alias("zone"), F.col("gy").alias("zy"), F.col("gx").alias("zx")))
+    inside = F.col("gy").between(F.col("zy"), F.col("zy") + tall - 1) & F.col("gx").between(F.col("zx"), F.col("zx") + wide - 1)
+    tries = cleared.join(spots).select("zone", "gy", "gx", (F.col("blocked") | inside).alias("blocked"), "floor")
+    after = H.reach(tries, rx, ry, "zone").groupBy(F.col("zone").cast("long").alias("zone_id")).agg(F.sum(F.col("accessible").cast("long")).alias("n"))
+    away = F.sqrt((F.col("gy") + tall / 2.0 - box["avg_gy"]) ** 2 + (F.col("gx") + wide / 2.0 - box["avg_gx"]) ** 2) * resolution
+    out = zones.join(after, "zone_id").join(flags.select("gy", "gx", F.coalesce("walls", F.lit(0)).alias("walls")), ["gy", "gx"])
+    out = out.withColumns({"gain": (F.col("n") - before) * resolution * resolution, "distance": away})
+    if peers is None:
+        out = out.withColumn("peer", F.lit(0.0))
+    else:
+        others = peers.select("gy", "gx").join(thing.select("gy", "gx"), ["gy", "gx"], "left_anti")
+        middle = zones.select("zone_id", (F.col("gy") + tall // 2).alias("gy"), (F.col("gx") + wide // 2).alias("gx"))
+        reach = peer_distance(middle.select("gy", "gx").distinct(), others, 50.0, resolution)
+        out = out.join(middle.join(reach, ["gy", "gx"]).select("zone_id", (1.0 / (1.0 + F.col("distance"))).alias("peer")), "zone_id")
+    return ranked(out.select("zone_id", "gy", "gx", F.lit(tall).alias("height"), F.lit(wide).alias("width"), "gain", "peer", "distance", "walls"), k=k)
+
+
+def relocate(cells: DataFrame, objects: DataFrame, order: list, rx: int, ry: int, resolution: float) -> tuple[DataFrame, list[dict]]:
+    """Move objects ``(component, gy, gx)`` one after the other to their best places; the map after that, and the moves.
+
+    Each move changes the map that the next is judged on, so objects follow one
+    another, each through jobs over the whole map.  Rules are relaxed step by
+    step until a place is found; without one the object stays.
+    """
+    moves = []
+    for component in order:
+        thing = saved(objects.where(F.col("component") == component).select("gy", "gx"))
+        for relax in range(4):
+            found = relocation_zones(cells, thing, rx, ry, resolution, relax=relax, k=1).collect()
+            if found:
+                z = found[0]
+                inside = F.col("gy").between(z["gy"], z["gy"] + z["height"] - 1) & F.col("gx").between(z["gx"], z["gx"] + z["width"] - 1)
+                moved = _flag(cells, thing, "__own").withColumn("blocked", (F.col("blocked") & ~F.col("__own")) | inside).drop("__own")
+                cells = saved(moved)
+                moves.append({"component": component, "gy": z["gy"], "gx": z["gx"], "relax": relax, "gain": z["gain"], "distance": z["distance"]})
+                break
+    return cells, moves

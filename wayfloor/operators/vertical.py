@@ -27,6 +27,37 @@ def wall_voxels(points: DataFrame, size: float = 0.05, majority: float = 0.60, l
     return v.select("vx", "vy", "vz", "n", wall.alias("wall"), (wall & z.between(F.col("floor") + low, F.col("floor") + high)).alias("in_band"))
 
 
+def tool_origins(reached: DataFrame, meta: DataFrame, points: DataFrame, resolution: float, size: float, stride: int = 3, low: float = 0.40, high: float = 2.00, step: float = 0.20) -> DataFrame:
+    """``(oid, px, py, vz)`` in voxel units: every ``stride``-th reached cell of a map in both directions, at every tool height.
+
+    ``reached(gy, gx)`` are cells of the map that ``meta(ox, oy)`` places; heights are over the floor of the points.
+    """
+    o = points.agg((F.min("x") - size).alias("vx0"), (F.min("y") - size).alias("vy0"), (F.min("z") - size).alias("vz0"), F.percentile("z", F.lit(0.05)).alias("floor"))
+    at = reached.where((F.col("gy") % stride == 0) & (F.col("gx") % stride == 0)).select("gy", "gx")
+    at = at.join(F.broadcast(meta.select("ox", "oy"))).join(F.broadcast(o))
+    levels = F.sequence(F.lit(0), F.lit(round((high - low) / step)))
+    at = at.select("*", F.explode(levels).alias("h"))
+    centre = lambda c, o, v: (F.col(o) + (F.col(c) + 0.5) * resolution - F.col(v)) / F.lit(size)
+    z = F.col("floor") + low + F.col("h") * step
+    number = (F.col("gy") * (1 << 24) + F.col("gx")) * 64 + F.col("h")
+    return at.select(number.alias("oid"), centre("gx", "ox", "vx0").alias("px"), centre("gy", "oy", "vy0").alias("py"), F.floor((z - F.col("vz0")) / F.lit(size)).cast("long").alias("vz"))
+
+
+def wall_colours(points: DataFrame, cells: DataFrame, focused: DataFrame, selected: DataFrame, wall_label: int = 1, size: float = 0.20) -> DataFrame:
+    """Points with r, g, b: walls orange, those of the focused segments cyan, of the selected ones pink, the rest grey.
+
+    ``cells(gy, gx, component)`` are the cells of wall segments, ``focused`` and ``selected`` hold components.
+    """
+    # The colours.
+    grey, orange, cyan, pink = (140, 140, 140), (255, 160, 0), (80, 220, 255), (255, 90, 180)
+    kind = cells.join(focused.select("component").distinct().withColumn("__f", F.lit(True)), "component", "left").join(selected.select("component").distinct().withColumn("__s", F.lit(True)), "component", "left")
+    keyed = points.withColumns({"__gy": cell(F.col("y"), size), "__gx": cell(F.col("x"), size)})
+    at = keyed.join(kind.select(F.col("gy").alias("__gy"), F.col("gx").alias("__gx"), "__f", "__s"), ["__gy", "__gx"], "left")
+    wall = F.col("label") == wall_label
+    colour = lambda i: F.when(wall & F.col("__f"), cyan[i]).when(wall & F.col("__s"), pink[i]).when(wall, orange[i]).otherwise(grey[i])
+    return at.select(*points.columns, *(colour(i).alias(c) for i, c in enumerate("rgb")))
+
+
 def first_hits(origins: DataFrame, voxels: DataFrame, size: float, reach: float = 1.0, step_degrees: int = 10) -> DataFrame:
     """``origins(oid, px, py, vz)`` in voxel units -> ``(oid, k, hx, hy, vz, in_band)``: the first occupied voxel of each ray.
 
@@ -34,6 +65,12 @@ def first_hits(origins: DataFrame, voxels: DataFrame, size: float, reach: float
     """
     n = math.ceil(reach / size) + 1
     spark = origins.sparkSession
+    # Only origins with a voxel of their height in the nine tiles around them can meet one.
+    near = F.sequence(F.lit(-1), F.lit(1))
+    tiles = voxels.select("vz", F.floor(F.col("vy") / n).alias("ty"), F.floor(F.col("vx") / n).alias("tx")).distinct()
+    tiles = tiles.select("vz", "ty", "tx", F.explode(near).alias("a")).select("*", F.explode(near).alias("b")).select("vz", (F.col("ty") + F.col("a")).alias("ty"), (F.col("tx") + F.col("b")).alias("tx")).distinct()
+    keyed = origins.withColumns({"ty": F.floor(F.floor("py") / n), "tx": F.floor(F.floor("px") / n)})
+    origins = keyed.join(tiles, ["vz", "ty", "tx"], "left_semi").select("oid", "px", "py", "vz")
     rays = [(k, math.cos(math.radians(k * step_degrees)), math.sin(math.radians(k * step_degrees))) for k in range(360 // step_degrees)]
     fan = origins.join(F.broadcast(spark.createDataFrame(rays, "k int, dx double, dy double")))
     i = F.explode(F.sequence(F.lit(0), F.lit(n)))

@@ -216,10 +216,10 @@ def a6(spark, d):
     return G.binned(df, G.bounds(df, 0.2, 0.5), 0.2).groupBy("gy", "gx").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("a7_ground_height", f", {meta_sql('2e-1')} SELECT gy, gx, count(*) AS n, round(quantile_cont(z, 1e-1) + 33e-9, 6) AS z FROM (SELECT {bin_sql('2e-1')}, z FROM scan, meta) q GROUP BY gy, gx")
+@query("a7_ground_height", f", {meta_sql('2e-1')} SELECT gy, gx, count(*) AS n, round(quantile_cont(z, 1e-1), 6) + 0e0 AS z FROM (SELECT {bin_sql('2e-1')}, z FROM scan, meta) q GROUP BY gy, gx")
 def a7(spark, d):
     df = scan(spark, d)
-    return rounded(G.height_map(df, G.bounds(df, 0.2, 0.5), 0.2).withColumn("z", F.col("z") + 33e-9))
+    return rounded(G.height_map(df, G.bounds(df, 0.2, 0.5), 0.2))
 
 
 @query("a8_ramp_height", f", {HEIGHTS} SELECT {FIELD.format('z')} FROM hm")

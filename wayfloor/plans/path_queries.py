@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import functions as F
 
+from wayfloor.functions.shared import saved
+from wayfloor.operators import coverage as O
 from wayfloor.operators import grid as G
-from wayfloor.operators import robots as B
-from wayfloor.operators.planners import HEADINGS, coverage_paths, reachable_poses
+from wayfloor.operators import maps as M
+from wayfloor.operators.planners import coverage_paths, reachable_poses
 from wayfloor.plans.grid_queries import obstacle_grid
-from wayfloor.plans.registry import query
+from wayfloor.plans.registry import query, rounded
 
 
 def free_tiles(spark, d):
@@ -32,13 +32,33 @@ for _name, _planner_name in (("p1_spanning_tree_path", "stc"), ("p2_column_sweep
 
 @query("c14_c16_swept_poses")
 def c14(spark, d):
-    """Poses without collision that are reached from the seed, and the floor their footprints sweep."""
-    grid = obstacle_grid(spark, d, 0.1)
-    rows = [(k, y, x) for k in range(HEADINGS) for y, x in B.rectangle_offsets(0.2, 0.3, 2 * math.pi * k / HEADINGS, 0.1)]
-    prints = F.broadcast(spark.createDataFrame(rows, "k int, dy int, dx int"))
-    hit = grid.where("occupied").join(prints).select("k", (F.col("gy") - F.col("dy")).alias("gy"), (F.col("gx") - F.col("dx")).alias("gx")).distinct()
-    poses = grid.select("gy", "gx", F.explode(F.sequence(F.lit(0), F.lit(HEADINGS - 1))).alias("k")).join(hit, ["k", "gy", "gx"], "left_anti")
-    seen = reachable_poses(poses.select(F.lit(0).cast("long").alias("map_id"), "k", "gy", "gx"), (30, 30), "combined")
-    swept = seen.join(prints, "k").select((F.col("gy") + F.col("dy")).alias("gy"), (F.col("gx") + F.col("dx")).alias("gx")).distinct()
-    swept = swept.join(grid.where("NOT occupied").select("gy", "gx"), ["gy", "gx"], "left_semi")
+    """Poses without collision that are reached from the seed by turns and moves, and the floor their footprints sweep."""
+    cells = saved(map_cells(spark, d))
+    poses = O.pose_space(cells, 0.2, 0.3, 0.1).withColumn("map_id", F.lit(0).cast("long"))
+    seen = saved(reachable_poses(poses, (30, 30), "combined"))
+    swept = O.covered(cells, "footprint_fit", 0.2, 0.3, 0.1, (30, 30), "combined").where("accessible")
     return seen.agg(F.count(F.lit(1)).alias("poses"), F.count_distinct("gy", "gx").alias("centres")).join(swept.agg(F.count(F.lit(1)).alias("swept")))
+
+
+def map_cells(spark, d):
+    return obstacle_grid(spark, d, 0.1).select("gy", "gx", F.col("occupied").alias("blocked"), (~F.col("occupied")).alias("floor"))
+
+
+def _mode(name, mode):
+    @query(name)
+    def run(spark, d):
+        return rounded(M.score(O.covered(saved(map_cells(spark, d)), mode, 0.2, 0.3, 0.1, (30, 30)), 0.1))
+
+    return run
+
+
+for _name, _mode_name in (("d6_footprint_fit", "footprint_fit"), ("d6_coverage_path", "coverage_path")):
+    _mode(_name, _mode_name)
+
+
+@query("a26_spiral_traffic")
+def spiral_traffic(spark, d):
+    """Visits of the spiral's path to every tile of the component that holds the start."""
+    tiles, _ = O.start_component(free_tiles(spark, d), (15, 15))
+    path = coverage_paths(tiles.select(F.lit(0).cast("long").alias("map_id"), "gy", "gx"), "spiral")
+    return O.traffic(path, 1)

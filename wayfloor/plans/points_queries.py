@@ -98,10 +98,10 @@ def f16(spark, d):
 V = lambda s: ", ".join(f"CAST(floor({c} / {s}) AS BIGINT) AS v{c}" for c in "xyz")
 
 
-@query("a1_voxel_downsample", f" SELECT {V('1e-1')}, count(*) AS n, {', '.join(f'round(avg({c}) + 33e-9, 6) AS {c}' for c in 'xyz')} FROM scan GROUP BY ALL")
+@query("a1_voxel_downsample", f" SELECT {V('1e-1')}, count(*) AS n, {', '.join(f'round(avg({c}) * count(*), 6) + 0e0 AS sum_{c}' for c in 'xyz')} FROM scan GROUP BY ALL")
 def a1(spark, d):
-    # The means lie on a fine lattice: a small shift keeps halves from rounding by the order of summation.
-    return rounded(P.voxel_downsample(scan(spark, d), 0.1).withColumns({c: F.col(c) + 33e-9 for c in "xyz"}))
+    # The means are shown times their points: the sums lie on a lattice that six places hold, where means may be halves.
+    return rounded(P.voxel_downsample(scan(spark, d), 0.1).select("vx", "vy", "vz", "n", *((F.col(c) * F.col("n")).alias(f"sum_{c}") for c in "xyz")))
 
 
 def density_sql(source: str, size: str, limit: str, prefix: str = "") -> str:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wayfloor.functions.fixtures import scan
+from wayfloor.functions.shared import saved
 from wayfloor.operators import components as C
 from wayfloor.operators import grid as G
 from wayfloor.operators import horizontal as H
@@ -85,8 +86,8 @@ def reach_sql(rx: int, ry: int, name: str) -> str:
     return f"{name}di AS ({dilated_sql(rx, ry)}), {name}mask AS (SELECT gy, gx FROM cells ANTI JOIN {name}di USING (gy, gx)), {cc_sql(f'{name}mask', name)}, {largest_sql(name)}"
 
 
-def reached(spark, d, rx, ry):
-    cells = obstacle_grid(spark, d).select("gy", "gx", F.col("occupied").alias("blocked"), (~F.col("occupied")).alias("floor"))
+def reached(spark, d, rx, ry, grid=None):
+    cells = (obstacle_grid(spark, d) if grid is None else grid).select("gy", "gx", F.col("occupied").alias("blocked"), (~F.col("occupied")).alias("floor"))
     return H.reach(cells, rx, ry)
 
 
@@ -102,8 +103,9 @@ BOTH = f"{OCC}, {reach_sql(1, 1, 'r')}, {reach_sql(4, 6, 'a')}, lc AS (SELECT gy
 
 
 def two_robots(spark, d):
-    ref = reached(spark, d, 1, 1).select("gy", "gx", "blocked", "floor", F.col("accessible").alias("ref"))
-    act = reached(spark, d, 4, 6).select("gy", "gx", F.col("accessible").alias("act"))
+    grid = saved(obstacle_grid(spark, d))
+    ref = reached(spark, d, 1, 1, grid).select("gy", "gx", "blocked", "floor", F.col("accessible").alias("ref"))
+    act = reached(spark, d, 4, 6, grid).select("gy", "gx", F.col("accessible").alias("act"))
     return ref.join(act, ["gy", "gx"])
 
 
@@ -134,17 +136,25 @@ def labels(spark, d, size=0.05):
     return best.select("gy", "gx", (-F.col("m.l")).cast("int").alias("label"))
 
 
+def map_labels(spark, d, size=0.05):
+    """The most frequent label of every cell of the map, over all heights, so that free floor has one."""
+    df = scan(spark, d)
+    binned = G.binned(df.select("x", "y", "label"), G.bounds(df, size, 0.5), size)
+    counts = binned.groupBy("gy", "gx", "label").agg(F.count(F.lit(1)).alias("n"))
+    best = counts.groupBy("gy", "gx").agg(F.max(F.struct("n", (-F.col("label")).alias("l"))).alias("m"))
+    return best.select("gy", "gx", (-F.col("m.l")).cast("int").alias("label"))
+
+
 NAMES = "dim(label, name, fixation, priority) AS (VALUES " + ", ".join(f"({i}, '{n}', '{f}', {S.PRIORITY.index(f)})" for i, n, f, *_ in S.LABELS) + ")"
-GAP = f"""{BOTH}, {NAMES}, missed AS (SELECT gy, gx FROM rbig ANTI JOIN abig USING (gy, gx)), near AS (SELECT m.gy, m.gx, min(l.label) AS label FROM missed m JOIN lbl l ON l.gy BETWEEN m.gy - 6 AND m.gy + 6 AND l.gx BETWEEN m.gx - 4 AND m.gx + 4 GROUP BY ALL),
+GAP = f"""{BOTH}, {NAMES}, missed AS (SELECT gy, gx FROM rbig ANTI JOIN abig USING (gy, gx)), mc AS (SELECT gy, gx, label, count(*) AS n FROM (SELECT {bin_sql('5e-2')}, label FROM scan, meta) q GROUP BY ALL),
+    near AS (SELECT gy, gx, label FROM missed JOIN (SELECT gy, gx, label FROM mc QUALIFY row_number() OVER (PARTITION BY gy, gx ORDER BY n DESC, label) = 1) ml USING (gy, gx)),
     gap AS (SELECT coalesce(n.label, -1) AS label, coalesce(name, 'No semantic data') AS name, coalesce(fixation, 'Unknown') AS fixation, coalesce(priority, 4) AS priority, count(*) AS cells, count(*) * 25e-4 AS area, 100e0 * count(*) / (SELECT count(*) FROM missed) AS pct FROM missed LEFT JOIN near n USING (gy, gx) LEFT JOIN dim ON dim.label = n.label WHERE name IS NOT NULL OR n.label IS NULL GROUP BY 1, 2, 3, 4)"""
 
 
 def gap(spark, d):
-    """Missed cells by the least label around them, so that free cells have one."""
-    both = two_robots(spark, d)
-    missed = both.where("ref AND NOT act").select("gy", "gx")
-    spread = labels(spark, d).join(G.offsets(missed, G.rectangle(4, 6))).select((F.col("gy") + F.col("dy")).alias("gy"), (F.col("gx") + F.col("dx")).alias("gx"), "label")
-    return S.gap_by_label(missed, spread.groupBy("gy", "gx").agg(F.min("label").alias("label")), S.label_dimension(spark), 0.0025)
+    """Missed cells by their own label."""
+    missed = two_robots(spark, d).where("ref AND NOT act").select("gy", "gx")
+    return S.gap_by_label(missed, map_labels(spark, d), S.label_dimension(spark), 0.0025)
 
 
 @query("a14_gap_by_label", f", {GAP} SELECT label, name, fixation, priority, cells, round(area, 6) AS area, round(pct, 6) AS pct FROM gap", recursive=True)
@@ -178,7 +188,7 @@ LAYERED = f"""{OCC}, lc AS (SELECT gy, gx, label, count(*) AS n FROM (SELECT {bi
 
 def scenario_cells(spark, d):
     """Dense cells per scenario; what is removed is floor from then on."""
-    grid = obstacle_grid(spark, d).select("gy", "gx", F.col("occupied").alias("was"))
+    grid = saved(obstacle_grid(spark, d).select("gy", "gx", F.col("occupied").alias("was")))
     scenarios, dim = S.layer_scenarios(spark), S.label_dimension(spark)
     left = S.without_groups(grid.where("was").select("gy", "gx").join(labels(spark, d), ["gy", "gx"], "left"), scenarios, dim).withColumn("on", F.lit(True))
     dense = grid.join(F.broadcast(scenarios.select("scenario"))).join(left, ["scenario", "gy", "gx"], "left")

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from wayfloor.functions.fixtures import scan
+from wayfloor.functions.shared import saved
 from wayfloor.operators import components as C
 from wayfloor.operators import grid as G
 from wayfloor.operators import levels as L
@@ -15,7 +16,7 @@ from wayfloor.operators import ramps as R
 from wayfloor.operators import robots as B
 from wayfloor.operators import vertical as V
 from wayfloor.plans.grid_queries import HEIGHTS, OCC, fill_sql, grad_sql, height_grid, obstacle_grid
-from wayfloor.plans.reach_queries import PITCH, cc_sql
+from wayfloor.plans.reach_queries import PITCH, cc_sql, reach_sql, reached
 from wayfloor.plans.registry import query, rounded
 
 HIST = """r AS (SELECT min(z) AS z0, max(z) AS z1, greatest(8, CAST(ceil((max(z) - min(z)) / 1e-1) AS BIGINT)) AS bins FROM scan), rs AS (SELECT *, (z1 - z0) / bins AS size FROM r),
@@ -39,23 +40,20 @@ def w2(spark, d):
     return rounded(L.peaks(L.smoothed(L.histogram(scan(spark, d)))))
 
 
-@query(
-    "w3_d4_floor_levels",
-    f""", {HIST}, op AS (SELECT row_number() OVER (ORDER BY anchor) AS i, anchor, s FROM hp), mg(i, kept) AS (SELECT 0::BIGINT, []::STRUCT(anchor DOUBLE, s DOUBLE)[] UNION ALL
+LEVELS_SQL = f"""{HIST}, op AS (SELECT row_number() OVER (ORDER BY anchor) AS i, anchor, s FROM hp), mg(i, kept) AS (SELECT 0::BIGINT, []::STRUCT(anchor DOUBLE, s DOUBLE)[] UNION ALL
     SELECT o.i, CASE WHEN len(kept) = 0 OR o.anchor - kept[-1].anchor >= 18e-1 THEN list_append(kept, {{'anchor': o.anchor, 's': o.s}}) WHEN o.s > kept[-1].s THEN list_append(kept[:-2], {{'anchor': o.anchor, 's': o.s}}) ELSE kept END FROM mg JOIN op o ON o.i = mg.i + 1),
-    k AS (SELECT unnest(kept).anchor AS anchor FROM (SELECT kept FROM mg ORDER BY i DESC LIMIT 1) q), sl AS (SELECT row_number() OVER (ORDER BY anchor) - 1 AS level, anchor, coalesce((anchor + lag(anchor) OVER (ORDER BY anchor)) / 2, z0) AS z_low, coalesce((anchor + lead(anchor) OVER (ORDER BY anchor)) / 2, least(z1, anchor + 3e0)) AS z_high FROM k, r)
-    SELECT level, round(anchor, 6) + 0e0 AS anchor, round(z_low, 6) + 0e0 AS z_low, round(z_high, 6) + 0e0 AS z_high, count(*) AS n FROM sl JOIN scan ON z BETWEEN z_low AND z_high GROUP BY ALL""",
-    recursive=True,
-)
+    k AS (SELECT unnest(kept).anchor AS anchor FROM (SELECT kept FROM mg ORDER BY i DESC LIMIT 1) q), sl AS (SELECT row_number() OVER (ORDER BY anchor) - 1 AS level, anchor, coalesce((anchor + lag(anchor) OVER (ORDER BY anchor)) / 2, z0) AS z_low, coalesce((anchor + lead(anchor) OVER (ORDER BY anchor)) / 2, least(z1, anchor + 3e0)) AS z_high FROM k, r)"""
+
+
+@query("w3_d4_floor_levels", f", {LEVELS_SQL} SELECT level, round(anchor, 6) + 0e0 AS anchor, round(z_low, 6) + 0e0 AS z_low, round(z_high, 6) + 0e0 AS z_high, count(*) AS n FROM sl JOIN scan ON z BETWEEN z_low AND z_high GROUP BY ALL", recursive=True)
 def d4(spark, d):
     return rounded(L.levels(scan(spark, d)))
 
 
-@query("a22_line_fit", f", {HEIGHTS} SELECT gy, count(*) AS n, round(regr_slope(z, gx * 2e-1) + 33e-9, 6) AS slope, round(regr_intercept(z, gx * 2e-1) + 33e-9, 6) AS intercept, round(CASE WHEN var_pop(z) < 1e-12 THEN 1e0 ELSE regr_r2(z, gx * 2e-1) END + 33e-9, 6) AS r2 FROM hm WHERE z IS NOT NULL AND gx BETWEEN 33 AND 41 GROUP BY gy HAVING count(*) >= 3")
+@query("a22_line_fit", f", {HEIGHTS} SELECT gy, count(*) AS n, round(regr_slope(z, gx * 2e-1), 6) + 0e0 AS slope, round(regr_intercept(z, gx * 2e-1), 6) + 0e0 AS intercept, round(CASE WHEN var_pop(z) < 1e-12 THEN 1e0 ELSE regr_r2(z, gx * 2e-1) END, 6) AS r2 FROM hm WHERE z IS NOT NULL AND gx BETWEEN 33 AND 41 GROUP BY gy HAVING count(*) >= 3")
 def a22(spark, d):
     cells = height_grid(spark, d)[0].where("z IS NOT NULL AND gx BETWEEN 33 AND 41").withColumn("x", F.col("gx") * 0.2)
-    fit = R.line_fit(cells, ["gy"]).where("n >= 3")
-    return rounded(fit.withColumns({c: F.col(c) + 33e-9 for c in ("slope", "intercept", "r2")}))
+    return rounded(R.line_fit(cells, ["gy"]).where("n >= 3"))
 
 
 RAMPC = f"""{HEIGHTS}, {fill_sql('hm', 4)}, {grad_sql('f3')}, mask AS (SELECT gy, gx FROM sl WHERE slope >= 5e0 AND slope <= 6e1), {cc_sql('mask')},
@@ -87,15 +85,25 @@ def a24(spark, d):
     return rounded(R.direction_consistency(R.slope_candidates(sloped(spark, d), 0.2), ["component"]))
 
 
-@query("d1_slope_ramps", f", {RAMPC}, {AXIS}, {DIRS}, st AS (SELECT component, median(slope) AS angle, max(z) - min(z) AS rise FROM cand GROUP BY 1) SELECT component, cells, round(length, 6) AS length, round(width, 6) AS width, round(consistency, 6) AS consistency, round(angle, 6) AS angle, round(rise, 6) AS rise, round(cells * 2e-1 * 2e-1, 6) AS area FROM ext JOIN dirs USING (component) JOIN st USING (component) WHERE length >= 1 AND width >= 5e-1 AND cells * 2e-1 * 2e-1 >= 1 AND consistency >= CASE WHEN cells * 2e-1 * 2e-1 > 5 THEN 4e-1 ELSE 6e-1 END AND rise >= 15e-2", recursive=True)
+RAMPS = "st AS (SELECT component, median(slope) AS angle, max(z) - min(z) AS rise FROM cand GROUP BY 1), rmp AS (SELECT *, cells * 2e-1 * 2e-1 AS area FROM ext JOIN dirs USING (component) JOIN st USING (component) WHERE length >= 1 AND width >= 5e-1 AND cells * 2e-1 * 2e-1 >= 1 AND consistency >= CASE WHEN cells * 2e-1 * 2e-1 > 5 THEN 4e-1 ELSE 6e-1 END AND rise >= 15e-2)"
+
+
+@query("d1_slope_ramps", f", {RAMPC}, {AXIS}, {DIRS}, {RAMPS} SELECT component, cells, round(length, 6) AS length, round(width, 6) AS width, round(consistency, 6) AS consistency, round(angle, 6) AS angle, round(rise, 6) AS rise, round(area, 6) AS area FROM rmp", recursive=True)
 def d1(spark, d):
     return rounded(R.slope_ramps(sloped(spark, d), 0.2))
 
 
-@query("d2_assessed_transitions", ", t(kind, angle, height) AS (VALUES ('ramp', 1e1, NULL), ('ramp', 4e1, NULL), ('step', NULL, 2e-1), ('step', NULL, 3e-1), ('gap', NULL, NULL)) SELECT kind, angle, height, CASE kind WHEN 'ramp' THEN angle <= 35e0 WHEN 'step' THEN height <= 25e-2 ELSE FALSE END AS traversable FROM t")
+STEPS = f"nb AS (SELECT gy + dy AS gy, gx + dx AS gx, z AS q FROM hm, (VALUES (-1, 0), (1, 0), (0, -1), (0, 1)) o(dy, dx) WHERE z IS NOT NULL), stp AS (SELECT gy, gx, max(abs(z - q)) AS step FROM hm JOIN nb USING (gy, gx) WHERE z IS NOT NULL GROUP BY ALL HAVING max(abs(z - q)) >= 15e-2), {cc_sql('stp', 'sp')}, sc AS (SELECT c.l AS component, r.gy, unnest(range(r.a, r.b + 1)) AS gx FROM spcc c JOIN spruns r USING (id))"
+
+
+@query("d2_assessed_transitions", f", {RAMPC}, {AXIS}, {DIRS}, {RAMPS}, {STEPS}, t AS (SELECT 'ramp' AS kind, component, angle, rise AS height FROM rmp UNION ALL SELECT 'step', component, NULL, max(step) FROM sc JOIN stp USING (gy, gx) GROUP BY component) SELECT kind, component, round(angle, 6) AS angle, round(height, 6) AS height, CASE kind WHEN 'ramp' THEN angle <= 35e0 WHEN 'step' THEN height <= 25e-2 ELSE FALSE END AS traversable FROM t", recursive=True)
 def d2(spark, d):
-    t = [("ramp", 10.0, None), ("ramp", 40.0, None), ("step", None, 0.2), ("step", None, 0.3), ("gap", None, None)]
-    return R.assessed(spark.createDataFrame(t, "kind string, angle double, height double"), 35.0, 0.25)
+    """The ramps of the scan by their angle, and components of cells with a step by the highest."""
+    ramps = R.slope_ramps(sloped(spark, d), 0.2).select(F.lit("ramp").alias("kind"), "component", "angle", F.col("rise").alias("height"))
+    cells = G.step_height(height_grid(spark, d)[0]).where("z IS NOT NULL AND step >= 0.15")
+    steps = C.components(cells.select("gy", "gx")).join(cells.select("gy", "gx", "step"), ["gy", "gx"]).groupBy("component").agg(F.max("step").alias("height"))
+    found = ramps.unionByName(steps.select(F.lit("step").alias("kind"), "component", F.lit(None).cast("double").alias("angle"), "height"))
+    return rounded(R.assessed(found, 35.0, 0.25))
 
 
 PROF = """anc AS (SELECT quantile_cont(z, 5e-2) AS a FROM scan), pk AS (SELECT x, z, CAST(floor(y / 5e-1) AS BIGINT) AS strip FROM scan, anc WHERE z BETWEEN a AND a + 15e-1), p0 AS (SELECT strip, min(x) AS x0 FROM pk GROUP BY 1 HAVING count(*) >= 10),
@@ -108,9 +116,9 @@ def band(spark, d):
     return df.join(F.broadcast(p)).where(F.col("z").between(F.col("anchor"), F.col("anchor") + 1.5)).select("x", "y", "z")
 
 
-@query("w7_profiles", f", {PROF} SELECT strip, bin, round(x + 33e-9, 6) AS x, round(z + 33e-9, 6) AS z FROM prof")
+@query("w7_profiles", f", {PROF} SELECT strip, bin, round(x, 6) + 0e0 AS x, round(z, 6) + 0e0 AS z FROM prof")
 def w7(spark, d):
-    return rounded(R.profiles(band(spark, d)).withColumns({"x": F.col("x") + 33e-9, "z": F.col("z") + 33e-9}))
+    return rounded(R.profiles(band(spark, d)))
 
 
 @query("w4_greedy_segments")
@@ -120,7 +128,9 @@ def w4(spark, d):
 
 @query("w9_d3_profile_ramps")
 def w9(spark, d):
-    return rounded(R.profile_ramps(R.greedy_segments(R.profiles(band(spark, d)))))
+    """Ramps from cross-sections along four headings, with their angles refined."""
+    ramps = R.section_ramps(band(spark, d)).withColumnRenamed("cluster", "ramp")
+    return rounded(R.refined_angles(ramps, band(spark, d)).drop("r2"))
 
 
 VOX = """o AS (SELECT min(x) - 1e-1 AS ox, min(y) - 1e-1 AS oy, min(z) - 1e-1 AS oz, quantile_cont(z, 5e-2) AS fl FROM scan),
@@ -133,7 +143,8 @@ def a16(spark, d):
     return V.wall_voxels(scan(spark, d), 0.1)
 
 
-ORIGINS = "og AS (SELECT i * 20 + j AS oid, i * 7 + 35e-1 AS px, j * 5 + 25e-1 AS py, 9 AS vz FROM range(13) a(i), range(11) b(j)), rays AS (SELECT k, cos(radians(k * 10e0)) AS dx, sin(radians(k * 10e0)) AS dy FROM range(36) r(k))"
+ORIGINS = f"""{OCC}, {reach_sql(4, 6, 'a')}, og AS (SELECT (gy * {PITCH} + gx) * 64 + hh.i AS oid, (m.ox + (gx + 5e-1) * 5e-2 - o.ox) / 1e-1 AS px, (m.oy + (gy + 5e-1) * 5e-2 - o.oy) / 1e-1 AS py, CAST(floor((o.fl + 4e-1 + hh.i * 2e-1 - o.oz) / 1e-1) AS BIGINT) AS vz FROM abig SEMI JOIN (SELECT gy, gx FROM grid WHERE NOT occ) fl USING (gy, gx), meta m, o, range(9) hh(i) WHERE gy % 3 = 0 AND gx % 3 = 0),
+    rays AS (SELECT k, cos(radians(k * 10e0)) AS dx, sin(radians(k * 10e0)) AS dy FROM range(36) r(k))"""
 # An independent way to the same voxels: points just before and after every crossing, by their cell.
 RAYS = f"""{VOX}, {ORIGINS}, fan AS (SELECT * FROM og, rays), cr AS (
     SELECT oid, k, vz, px, py, dx, dy, 0e0 AS t FROM fan UNION ALL
@@ -144,18 +155,20 @@ RAYS = f"""{VOX}, {ORIGINS}, fan AS (SELECT * FROM og, rays), cr AS (
 
 
 def hits(spark, d):
-    o = spark.range(13).select(F.col("id").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(10).cast("long"))).alias("j"))
-    o = o.select((F.col("i") * 20 + F.col("j")).alias("oid"), (F.col("i") * 7 + 3.5).alias("px"), (F.col("j") * 5 + 2.5).alias("py"), F.lit(9).cast("long").alias("vz"))
-    voxels = V.wall_voxels(scan(spark, d), 0.1)
-    return V.first_hits(o, voxels, 0.1), voxels, o
+    """First voxels of the rays from the floor that the robot reaches, at every tool height."""
+    points = scan(spark, d)
+    floor = reached(spark, d, 4, 6).where("accessible").select("gy", "gx")
+    o = V.tool_origins(floor, G.bounds(points, 0.05, 0.5), points, 0.05, 0.1)
+    voxels = V.wall_voxels(points, 0.1)
+    return saved(V.first_hits(o, voxels, 0.1)), voxels, o
 
 
-@query("d13_ray_hits", f", {RAYS} SELECT in_band, count(*) AS rays, count(DISTINCT oid) AS origins FROM hits GROUP BY 1")
+@query("d13_ray_hits", f", {RAYS} SELECT in_band, count(*) AS rays, count(DISTINCT oid) AS origins FROM hits GROUP BY 1", recursive=True)
 def d13(spark, d):
     return hits(spark, d)[0].groupBy("in_band").agg(F.count(F.lit(1)).alias("rays"), F.count_distinct("oid").alias("origins"))
 
 
-@query("j11_painted_walls", f", {RAYS}, box AS (SELECT DISTINCT hx + a.i AS vx, hy + b.i AS vy, vz + c.i AS vz FROM hits, range(-2, 3) a(i), range(-2, 3) b(i), range(-2, 3) c(i) WHERE in_band) SELECT (SELECT count(*) FROM vox SEMI JOIN box USING (vx, vy, vz) WHERE in_band) AS painted, (SELECT count(*) FROM vox WHERE in_band) AS wall")
+@query("j11_painted_walls", f", {RAYS}, box AS (SELECT DISTINCT hx + a.i AS vx, hy + b.i AS vy, vz + c.i AS vz FROM hits, range(-2, 3) a(i), range(-2, 3) b(i), range(-2, 3) c(i) WHERE in_band) SELECT (SELECT count(*) FROM vox SEMI JOIN box USING (vx, vy, vz) WHERE in_band) AS painted, (SELECT count(*) FROM vox WHERE in_band) AS wall", recursive=True)
 def j11(spark, d):
     h, voxels, _ = hits(spark, d)
     n = V.painted(h, voxels, 0.1).agg(F.count(F.lit(1)).alias("painted"))
@@ -168,6 +181,19 @@ def c7(spark, d):
     return V.continuity(V.painted(h, voxels, 0.1))
 
 
+@query("d14_vertical_score")
+def d14(spark, d):
+    """The combined score of the scan: reached floor, painted wall, rays that met wall rather than obstacles, continuity."""
+    h, voxels, _ = hits(spark, d)
+    done = saved(V.painted(h, voxels, 0.1))
+    share = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
+    parts = done.agg(F.count(F.lit(1)).alias("painted")).join(voxels.agg(F.count_if("in_band").alias("wall"))).join(V.continuity(done).select("largest"))
+    parts = parts.join(h.agg(F.count_if("in_band").alias("met"), F.count(F.lit(1)).alias("rays"))).join(M.score(reached(spark, d, 4, 6), 0.05).select("rii"))
+    n = F.col
+    scores = parts.select(n("rii").alias("rii_h"), share(n("painted"), n("wall")).alias("tcr"), share(n("met"), n("rays")).alias("oe"), share(n("largest"), n("painted")).alias("sc"))
+    return rounded(M.combined(scores))
+
+
 @query(
     "c8_a25_wall_segments",
     f""", w AS (SELECT x, y, z, CAST(floor(y / 2e-1) AS BIGINT) AS gy, CAST(floor(x / 2e-1) AS BIGINT) AS gx FROM scan WHERE label = 1), mask AS (SELECT DISTINCT gy, gx FROM w), {cc_sql('mask')}, lab AS (SELECT r.gy, unnest(range(r.a, r.b + 1)) AS gx, c.l AS component FROM cc c JOIN runs r USING (id))
@@ -242,13 +268,13 @@ def g17(spark, d):
 
 @query(
     "g18_collision_cube",
-    f", {OCC}, {SUB}, th AS (SELECT k, radians(k * 225e-1) AS t FROM range(0, 16, 4) r(k)), fp AS (SELECT DISTINCT k, a.i AS dy, b.i AS dx FROM range(-12, 13) a(i), range(-12, 13) b(i), s p, s q, th WHERE {RECT.format('t')}), hit AS (SELECT DISTINCT k, gy + dy AS gy, gx + dx AS gx FROM grid, fp WHERE occ) SELECT k, count(*) AS blocked FROM hit SEMI JOIN cells USING (gy, gx) GROUP BY k",
+    f", {OCC}, {SUB}, th AS (SELECT k, radians(k * 225e-1) AS t FROM range(16) r(k)), fp AS (SELECT DISTINCT k, a.i AS dy, b.i AS dx FROM range(-12, 13) a(i), range(-12, 13) b(i), s p, s q, th WHERE {RECT.format('t')}), hit AS (SELECT DISTINCT k, gy + dy AS gy, gx + dx AS gx FROM grid, fp WHERE occ) SELECT k, count(*) AS blocked FROM hit SEMI JOIN cells USING (gy, gx) GROUP BY k",
 )
 def g18(spark, d):
     import math
 
     grid = obstacle_grid(spark, d)
-    rows = [(k, y, x) for k in range(0, 16, 4) for y, x in B.rectangle_offsets(0.2, 0.3, math.radians(22.5 * k), 0.05)]
+    rows = [(k, y, x) for k in range(16) for y, x in B.rectangle_offsets(0.2, 0.3, math.radians(22.5 * k), 0.05)]
     prints = F.broadcast(spark.createDataFrame(rows, "k int, dy int, dx int"))
     hit = grid.where("occupied").join(prints).select("k", (F.col("gy") + F.col("dy")).alias("gy"), (F.col("gx") + F.col("dx")).alias("gx")).distinct()
     return hit.join(grid.select("gy", "gx"), ["gy", "gx"], "left_semi").groupBy("k").agg(F.count(F.lit(1)).alias("blocked"))

@@ -6,16 +6,21 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from wayfloor.functions.fixtures import scan
+from wayfloor.functions.shared import saved
+from wayfloor.operators import components as C
 from wayfloor.operators import grid as G
 from wayfloor.operators import horizontal as H
 from wayfloor.operators import levels as L
 from wayfloor.operators import points as P
+from wayfloor.operators import ramps as R
 from wayfloor.operators import relocation as X
 from wayfloor.operators import semantic as S
 from wayfloor.operators import terrain as T
-from wayfloor.plans.grid_queries import HEIGHTS, MASK, MEDIAN, OCC, fill_sql, grad_sql, height_grid, mask_sum, obstacle_grid
-from wayfloor.plans.reach_queries import NAMES, cc_sql, labels, reach_sql, reached
+from wayfloor.operators import vertical as V
+from wayfloor.plans.grid_queries import CELLS, HEIGHTS, MASK, MEDIAN, OCC, bin_sql, fill_sql, grad_sql, height_grid, mask_sum, meta_sql, obstacle_grid
+from wayfloor.plans.reach_queries import BOTH, NAMES, cc_sql, labels, reach_sql, reached
 from wayfloor.plans.registry import query, rounded
+from wayfloor.plans.scene_queries import AXIS, DIRS, LEVELS_SQL, RAMPC, RAMPS, RECT, SUB
 
 SMOOTH2 = """sm AS (SELECT md.gy, md.gx, md.w, md.h, CASE WHEN md.z IS NOT NULL THEN m.z END AS z FROM md LEFT JOIN
     (SELECT gy + a.i AS gy, gx + b.i AS gx, sum(exp(-(a.i * a.i + b.i * b.i) / 8e0) * z) / sum(exp(-(a.i * a.i + b.i * b.i) / 8e0)) AS z FROM md, range(-4, 5) a(i), range(-4, 5) b(i) WHERE z IS NOT NULL GROUP BY ALL) m USING (gy, gx))"""
@@ -49,14 +54,19 @@ def g14(spark, d):
     return T.map_pixels(terrain(spark, d), "traversable").groupBy("pixel").agg(F.count(F.lit(1)).alias("n"))
 
 
-RAMP = "rp AS (SELECT a.i AS row, b.i AS col, b.i % 2 = 0 AS ok FROM range(10, 20) a(i), range(20, 40) b(i))"
+FAILED = f"{RAMPC}, {AXIS}, {DIRS}, {RAMPS}, bad AS (SELECT component FROM rmp WHERE angle > 5e0)"
 
 
-@query("j8_d18_failed_ramps", f", {OCC}, {RAMP}, f AS (SELECT DISTINCT CAST(floor((row + 5e-1) * 2e-1 / 5e-2) AS BIGINT) AS gy, CAST(floor((col + 5e-1) * 2e-1 / 5e-2) AS BIGINT) AS gx FROM rp WHERE NOT ok) SELECT count(*) FILTER (occ OR f.gy IS NOT NULL) AS blocked FROM grid g LEFT JOIN f ON f.gy = g.gy AND f.gx = g.gx")
+@query("j8_d18_failed_ramps", f", {FAILED}, {OCC.replace('anc AS', 'anc5 AS').replace('FROM scan, meta, anc ', 'FROM scan, meta5, anc5 ').replace('meta AS', 'meta5 AS').replace('cells AS', 'cells5 AS').replace('FROM meta)', 'FROM meta5)').replace('FROM cells ', 'FROM cells5 ')}, f AS (SELECT DISTINCT CAST(floor((gy + 5e-1) * 2e-1 / 5e-2) AS BIGINT) AS gy, CAST(floor((gx + 5e-1) * 2e-1 / 5e-2) AS BIGINT) AS gx FROM cand SEMI JOIN bad USING (component)) SELECT count(*) FILTER (occ OR f.gy IS NOT NULL) AS blocked FROM grid g LEFT JOIN f ON f.gy = g.gy AND f.gx = g.gx", recursive=True)
 def j8(spark, d):
-    ramps = spark.range(10, 20).select(F.col("id").alias("row"), F.explode(F.sequence(F.lit(20), F.lit(39))).alias("col")).withColumn("traversable", F.col("col") % 2 == 0)
-    cells = obstacle_grid(spark, d).select("gy", "gx", F.col("occupied").alias("blocked"))
-    return T.blocked_by_ramps(cells, ramps, 0.2, 0.05).agg(F.count_if("blocked").alias("blocked"))
+    """A robot that climbs 5 degrees: the cells of steeper ramps block the map."""
+    from wayfloor.plans.scene_queries import sloped
+
+    cells = sloped(spark, d)
+    ramps = R.assessed(R.slope_ramps(cells, 0.2).withColumns({"kind": F.lit("ramp"), "height": F.col("rise")}), 5.0, 0.25).select("component", "traversable")
+    at = R.slope_candidates(cells, 0.2).join(ramps, "component").select(F.col("gy").alias("row"), F.col("gx").alias("col"), "traversable")
+    grid = obstacle_grid(spark, d).select("gy", "gx", F.col("occupied").alias("blocked"))
+    return T.blocked_by_ramps(grid, at, 0.2, 0.05).agg(F.count_if("blocked").alias("blocked"))
 
 
 @query("f19_manual_ramp", ", r(y0, x0, y1, x1, angle) AS (VALUES (10, 20, 14, 29, 1e1), (40, 40, 41, 41, 4e1)) SELECT angle, angle <= 35e0 AS traversable, count(*) AS cells, CAST(sum(gy * 1000 + gx) AS BIGINT) AS where_ FROM (SELECT angle, unnest(range(y0, y1 + 1)) AS gy, x0, x1 FROM r) a, LATERAL (SELECT unnest(range(a.x0, a.x1 + 1)) AS gx) b GROUP BY 1, 2")
@@ -66,17 +76,32 @@ def f19(spark, d):
     return cells.groupBy("angle", (F.col("angle") <= 35.0).alias("traversable")).agg(F.count(F.lit(1)).alias("cells"), F.sum(F.col("gy") * 1000 + F.col("gx")).alias("where_"))
 
 
-@query("f17_wall_colours", " SELECT CASE WHEN label = 1 AND z BETWEEN 4e-1 AND 2e0 THEN 'band' WHEN label = 1 THEN 'wall' ELSE 'other' END AS colour, count(*) AS n FROM scan GROUP BY 1")
+@query(
+    "f17_wall_colours",
+    f""", w AS (SELECT *, CAST(floor(y / 2e-1) AS BIGINT) AS gy, CAST(floor(x / 2e-1) AS BIGINT) AS gx FROM scan), mask AS (SELECT DISTINCT gy, gx FROM w WHERE label = 1), {cc_sql('mask')}, lab AS (SELECT r.gy, unnest(range(r.a, r.b + 1)) AS gx, c.l AS component FROM cc c JOIN runs r USING (id)),
+    f AS (SELECT component FROM lab GROUP BY 1 ORDER BY count(*) DESC, component LIMIT 1), s AS (SELECT component FROM lab GROUP BY 1 ORDER BY count(*) DESC, component LIMIT 3 OFFSET 1)
+    SELECT CASE WHEN label <> 1 THEN 140 WHEN f.component IS NOT NULL THEN 80 ELSE 255 END AS r, CASE WHEN label <> 1 THEN 140 WHEN f.component IS NOT NULL THEN 220 WHEN s.component IS NOT NULL THEN 90 ELSE 160 END AS g, CASE WHEN label <> 1 THEN 140 WHEN f.component IS NOT NULL THEN 255 WHEN s.component IS NOT NULL THEN 180 ELSE 0 END AS b, count(*) AS n
+    FROM w LEFT JOIN lab USING (gy, gx) LEFT JOIN f USING (component) LEFT JOIN s USING (component) GROUP BY ALL""",
+    recursive=True,
+)
 def f17(spark, d):
-    wall = F.col("label") == 1
-    colour = F.when(wall & F.col("z").between(0.4, 2.0), "band").when(wall, "wall").otherwise("other")
-    return scan(spark, d).groupBy(colour.alias("colour")).agg(F.count(F.lit(1)).alias("n"))
+    """The largest wall segment in focus, the three next ones selected."""
+    points = scan(spark, d)
+    cells = C.components(points.where("label = 1").select(P.cell(F.col("y"), 0.2).alias("gy"), P.cell(F.col("x"), 0.2).alias("gx")).distinct())
+    best = C.sizes(cells).orderBy(F.desc("n"), "component").limit(4).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "component")))
+    return V.wall_colours(points, cells, best.where("rank = 1"), best.where("rank > 1")).groupBy("r", "g", "b").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("f21_candidate_filter", f", {OCC}, {NAMES}, o AS (SELECT CAST(floor(gy / 10) AS BIGINT) * 1000 + CAST(floor(gx / 10) AS BIGINT) AS id, gx >= 60 AS sel FROM grid WHERE occ) SELECT id, count(*) AS cells FROM o GROUP BY 1 HAVING avg(CASE WHEN sel THEN 1e0 ELSE 0e0 END) >= 5e-1")
+@query(
+    "f21_candidate_filter",
+    f", {BOTH}, {NAMES}, obj AS (SELECT label, g.gy, g.gx FROM grid g JOIN lbl USING (gy, gx) JOIN dim USING (label) WHERE occ AND fixation <> 'Fixed'), {cc_sql('obj', 'ob', by='label')}, oc AS (SELECT r.label, c.l AS component, r.gy, unnest(range(r.a, r.b + 1)) AS gx FROM obcc c JOIN obruns r USING (id)) SELECT label, component, count(*) AS cells FROM oc JOIN dim USING (label) WHERE fixation IN ('Movable', 'Portable') GROUP BY label, component HAVING avg(CASE WHEN gx BETWEEN 60 AND 140 THEN 1e0 ELSE 0e0 END) >= 5e-1",
+    recursive=True,
+)
 def f21(spark, d):
-    o = obstacle_grid(spark, d).where("occupied").select((F.floor(F.col("gy") / 10) * 1000 + F.floor(F.col("gx") / 10)).alias("id"), (F.col("gx") >= 60).alias("sel"))
-    return o.groupBy("id").agg(F.count(F.lit(1)).alias("cells"), F.avg(F.col("sel").cast("double")).alias("share")).where("share >= 0.5").drop("share")
+    """Movable and portable objects that lie at least half in a rectangle of the map."""
+    grid = obstacle_grid(spark, d).select("gy", "gx", F.col("occupied").alias("blocked"))
+    dim = S.label_dimension(spark)
+    return H.selected_objects(H.removable_objects(grid, labels(spark, d), dim), dim, ["Movable", "Portable"], grid.where("gx BETWEEN 60 AND 140").select("gy", "gx"))
 
 
 @query("g19_placements", f", {OCC}, f AS (SELECT gy, gx FROM grid WHERE NOT occ), b AS (SELECT gy - a.i AS gy, gx - b.i AS gx FROM f, range(8) a(i), range(12) b(i)), k AS (SELECT gy, gx FROM b GROUP BY ALL HAVING count(*) = 96) SELECT {MASK.format('TRUE')} FROM k SEMI JOIN cells USING (gy, gx)")
@@ -85,18 +110,24 @@ def g19(spark, d):
     return mask_sum(X.placements(free, 8, 12).withColumn("on", F.lit(True)), "on")
 
 
-@query("g21_peer_distance", f", {OCC}, z AS (SELECT gy, gx FROM grid WHERE NOT occ AND gy % 8 = 0 AND gx % 8 = 0), p AS (SELECT gy AS py, gx AS px FROM grid WHERE occ AND gx % 10 = 0) SELECT gy, gx, round(least(min(sqrt((gy - py) * (gy - py) + (gx - px) * (gx - px)) * 5e-2), 1e0), 6) AS distance FROM z, p GROUP BY 1, 2")
+@query("g21_peer_distance", f", {BOTH}, z AS (SELECT gy, gx FROM grid WHERE NOT occ), p AS (SELECT gy AS py, gx AS px FROM lbl WHERE label = 13) SELECT gy, gx, round(least(coalesce(min(sqrt((gy - py) * (gy - py) + (gx - px) * (gx - px)) * 5e-2), 1e0), 1e0), 6) AS distance FROM z LEFT JOIN p ON py BETWEEN gy - 20 AND gy + 20 AND px BETWEEN gx - 20 AND gx + 20 GROUP BY 1, 2", recursive=True)
 def g21(spark, d):
-    grid = obstacle_grid(spark, d)
-    zones = grid.where("NOT occupied AND gy % 8 = 0 AND gx % 8 = 0").select("gy", "gx")
-    return rounded(X.peer_distance(zones, grid.where("occupied AND gx % 10 = 0").select("gy", "gx"), 1.0, 0.05))
+    """From every free cell to the nearest cell of movable objects, up to a metre."""
+    zones = obstacle_grid(spark, d).where("NOT occupied").select("gy", "gx")
+    return rounded(X.peer_distance(zones, labels(spark, d).where("label = 13").select("gy", "gx"), 1.0, 0.05))
 
 
-@query("d11_ranked_zones", ", z AS (SELECT i AS zone_id, CAST(i * 7 % 11 - 2 AS DOUBLE) AS gain, CAST(i % 3 AS DOUBLE) AS peer, CAST(i * 5 % 13 AS DOUBLE) AS distance FROM range(40) r(i)), s AS (SELECT *, gain + 5e-2 * peer - 25e-2 * distance AS score FROM z WHERE gain > 0 AND distance <= 8) SELECT zone_id, gain, peer, distance, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (ORDER BY score DESC, peer DESC, distance, zone_id) AS rank FROM s) q WHERE rank <= 5")
+@query("d11_ranked_zones")
 def d11(spark, d):
-    i = F.col("id")
-    zones = spark.range(40).select(i.alias("zone_id"), (i * 7 % 11 - 2).cast("double").alias("gain"), (i % 3).cast("double").alias("peer"), (i * 5 % 13).cast("double").alias("distance"))
-    return rounded(X.ranked(zones))
+    """Places for the object whose removal opens most floor, with the rules as far relaxed as needed."""
+    cells = saved(obstacle_grid(spark, d, 0.1).select("gy", "gx", F.col("occupied").alias("blocked"), (~F.col("occupied")).alias("floor")))
+    named = labels(spark, d, 0.1)
+    objects = saved(H.removable_objects(cells, named, S.label_dimension(spark)))
+    first = C.sizes(objects).orderBy(F.desc("n"), "component").limit(1)
+    thing = saved(objects.join(F.broadcast(first), "component", "left_semi").select("label", "gy", "gx"))
+    peers = named.join(thing.select("label").distinct(), "label", "left_semi").select("gy", "gx")
+    zones = X.relocation_zones(cells, thing, 2, 3, 0.1, peers, relax=2)
+    return rounded(zones.select("rank", "gy", "gx", "height", "width", "gain", "peer", "distance", "score"))
 
 
 @query("d15_manual_relocation", f", {OCC} SELECT count(*) AS n, CAST(sum(gy + 30) AS BIGINT) AS sum_gy, CAST(sum(gx - 60) AS BIGINT) AS sum_gx FROM grid WHERE occ AND gy + 30 BETWEEN 0 AND (SELECT max(gy) FROM grid) AND gx - 60 BETWEEN 0 AND (SELECT max(gx) FROM grid)")
@@ -105,13 +136,20 @@ def d15(spark, d):
     return X.translated(df, 30, -60).agg(F.count(F.lit(1)).alias("n"), F.sum("gy").alias("sum_gy"), F.sum("gx").alias("sum_gx"))
 
 
-@query("d17_points_by_level", ", lv(level, lo, hi) AS (VALUES (0, -1e0, 15e-1), (1, 15e-1, 9e0)), k AS (SELECT level, quantile_cont(z, 5e-2) AS a FROM scan JOIN lv ON z BETWEEN lo AND hi GROUP BY 1) SELECT level, count(DISTINCT CAST(floor(y / 2e-1) AS BIGINT) * 10000 + CAST(floor(x / 2e-1) AS BIGINT)) AS occupied FROM scan JOIN lv ON z BETWEEN lo AND hi JOIN k USING (level) WHERE z BETWEEN a + 5e-2 AND a + 1e0 GROUP BY 1")
+BY_LEVEL = f"""{LEVELS_SQL}, {meta_sql('1e-1')}, {CELLS}, pl AS (SELECT level, x, y, z FROM sl JOIN scan ON z BETWEEN z_low AND z_high), la AS (SELECT level, quantile_cont(z, 5e-2) AS a FROM pl GROUP BY 1),
+    lc AS (SELECT level, {bin_sql('1e-1')}, count(*) AS n FROM pl JOIN la USING (level), meta WHERE z BETWEEN a + 5e-2 AND a + 1e0 GROUP BY ALL),
+    lg AS (SELECT level, gy, gx, (gy = 0 OR gx = 0 OR gy = h - 1 OR gx = w - 1 OR n IS NOT NULL) AS occ FROM (SELECT level, gy, gx, w, h FROM la, cells) q LEFT JOIN lc USING (level, gy, gx))"""
+
+
+def level_cells(spark, d, size=0.1):
+    return L.level_maps(scan(spark, d), L.levels(scan(spark, d)), size, 0.5).select("level", "gy", "gx", F.col("occupied").alias("blocked"), (~F.col("occupied")).alias("floor"))
+
+
+@query("d17_points_by_level", f", {BY_LEVEL} SELECT level, count(*) FILTER (occ) AS occupied, count(*) FILTER (NOT occ) AS free FROM lg GROUP BY 1", recursive=True)
 def d17(spark, d):
-    lv = F.broadcast(spark.createDataFrame([(0, -1.0, 1.5), (1, 1.5, 9.0)], "level int, lo double, hi double"))
-    inside = scan(spark, d).join(lv, F.col("z").between(F.col("lo"), F.col("hi")))
-    floor = inside.groupBy("level").agg(F.percentile("z", F.lit(0.05)).alias("a"))
-    band = inside.join(F.broadcast(floor), "level").where(F.col("z").between(F.col("a") + 0.05, F.col("a") + 1.0))
-    return band.groupBy("level").agg(F.count_distinct(P.cell(F.col("y"), 0.2), P.cell(F.col("x"), 0.2)).alias("occupied"))
+    """The obstacle map of every floor level that the heights show, in one job."""
+    n = level_cells(spark, d).groupBy("level").agg(F.count_if("blocked").alias("occupied"), F.count_if("floor").alias("free"))
+    return n.select(F.col("level").cast("long").alias("level"), "occupied", "free")
 
 
 TILES = "tl AS (SELECT gy // 4 AS gy, gx // 4 AS gx FROM grid GROUP BY ALL HAVING bool_and(NOT occ) AND count(*) = 16)"
@@ -139,24 +177,47 @@ def p6p(spark, d):
     return path.agg(F.count_distinct("gy", "gx").alias("tiles"), F.count(F.lit(1)).alias("steps"))
 
 
-@query("p7_sweep_stripes", f", {OCC}, c AS (SELECT gy, gx FROM grid WHERE NOT occ AND (gy - 20) % 8 = 0), r AS (SELECT gy, dense_rank() OVER (ORDER BY gy) AS k, gx FROM c) SELECT gy, k % 2 = 1 AS forward, count(*) AS cells, min(gx) AS x0, max(gx) AS x1 FROM r GROUP BY 1, 2")
+ZIGZAG = f"{OCC}, {reach_sql(6, 4, 'a')}, zc AS (SELECT gy, gx, dense_rank() OVER (ORDER BY gy) AS k FROM abig WHERE (gy - (SELECT min(gy) FROM abig)) % 7 = 0)"
+
+
+def zigzag_path(spark, d):
+    """Stripes over the centres at which the body, heading east, is clear."""
+    from wayfloor.operators import coverage as V2
+
+    cells = reached(spark, d, 6, 4)
+    centres = saved(cells.where("accessible").select("gy", "gx"))
+    anchor = centres.agg(F.min("gy")).first()[0]
+    return V2.zigzag(centres, anchor, V2.stripe_step(0.2, 0.05)), cells
+
+
+@query("p7_sweep_stripes", f", {ZIGZAG} SELECT gy, k % 2 = 1 AS forward, count(*) AS cells, min(gx) AS x0, max(gx) AS x1 FROM zc GROUP BY 1, 2", recursive=True)
 def p7(spark, d):
-    rows = obstacle_grid(spark, d).where("NOT occupied AND (gy - 20) % 8 = 0").groupBy("gy").agg(F.count(F.lit(1)).alias("cells"), F.min("gx").alias("x0"), F.max("gx").alias("x1"))
-    return rows.withColumn("forward", F.row_number().over(Window.orderBy("gy")) % 2 == 1)
+    return zigzag_path(spark, d)[0].groupBy("gy", "forward").agg(F.count(F.lit(1)).alias("cells"), F.min("gx").alias("x0"), F.max("gx").alias("x1"))
+
+
+@query("p7_swept_floor", f", {ZIGZAG}, {SUB}, fp AS (SELECT DISTINCT a.i AS dy, b.i AS dx FROM range(-12, 13) a(i), range(-12, 13) b(i), s p, s q WHERE {RECT.format('0e0')}), sw AS (SELECT DISTINCT gy + dy AS gy, gx + dx AS gx FROM zc, fp), pt AS (SELECT gx, gy, row_number() OVER (ORDER BY k, CASE WHEN k % 2 = 1 THEN gx ELSE -gx END) - 1 AS seq FROM zc) SELECT (SELECT count(*) FROM pt) AS waypoints, (SELECT CAST(sum(seq * gx) AS BIGINT) FROM pt) AS by_gx, (SELECT count(*) FROM sw SEMI JOIN (SELECT gy, gx FROM grid WHERE NOT occ) f USING (gy, gx)) AS swept", recursive=True)
+def p7s(spark, d):
+    from wayfloor.operators import coverage as V2
+    from wayfloor.operators import robots as B
 
+    path, cells = zigzag_path(spark, d)
+    swept = V2.stamped(path, B.rectangle_offsets(0.2, 0.3, 0.0, 0.05), cells.where("NOT blocked"))
+    return path.agg(F.count(F.lit(1)).alias("waypoints"), F.sum(F.col("seq") * F.col("gx")).alias("by_gx")).join(swept.agg(F.count(F.lit(1)).alias("swept")))
 
-@query("a26_traffic", f", {OCC}, p AS (SELECT gy // 4 AS ty, gx // 4 AS tx, count(*) AS visits FROM grid WHERE NOT occ AND gy % 3 = 0 GROUP BY ALL) SELECT ty, tx, visits FROM p")
+
+@query("a26_traffic", f", {ZIGZAG} SELECT gy // 4 AS ty, gx // 4 AS tx, count(*) AS visits FROM zc GROUP BY ALL", recursive=True)
 def a26(spark, d):
-    path = obstacle_grid(spark, d).where("NOT occupied AND gy % 3 = 0")
-    return path.groupBy(F.floor(F.col("gy") / 4).alias("ty"), F.floor(F.col("gx") / 4).alias("tx")).agg(F.count(F.lit(1)).alias("visits"))
+    from wayfloor.operators import coverage as V2
+
+    return V2.traffic(zigzag_path(spark, d)[0], 4)
 
 
-@query("j5_frames_with_poses", ", f AS (SELECT DISTINCT user_id AS frame FROM events WHERE user_id % 10 = 0), a AS (SELECT frame, row_number() OVER (ORDER BY frame) AS idx FROM f), p AS (SELECT event_id, row_number() OVER (ORDER BY event_id) AS idx FROM events) SELECT frame, event_id FROM a JOIN p USING (idx)")
+@query("j5_frames_with_poses", ", f AS (SELECT DISTINCT user_id AS frame FROM events), a AS (SELECT frame, row_number() OVER (ORDER BY frame) AS idx FROM f), p AS (SELECT event_id, row_number() OVER (ORDER BY event_id) AS idx FROM events) SELECT frame, event_id FROM a JOIN p USING (idx)")
 def j5(spark, d):
     from wayfloor.streaming.replay import paired_poses
 
     events = spark.read.parquet(f"{d}/events.parquet")
-    return paired_poses(events.where("user_id % 10 = 0").select(F.col("user_id").alias("frame")), events.select(F.col("event_id").alias("t"), "event_id")).select("frame", "event_id")
+    return paired_poses(events.select(F.col("user_id").alias("frame")), events.select(F.col("event_id").alias("t"), "event_id")).select("frame", "event_id")
 
 
 @query("st_event_windows", " SELECT event_type, CAST(time_bucket(INTERVAL '1 hour', ts) AS VARCHAR) AS hour, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wayfloor.functions.shared import saved
 from wayfloor.operators.points import cell, finite, z_band
 
 
@@ -34,10 +35,18 @@ def event_windows(events: DataFrame, length: str = "10 minutes", late: str = "1
     return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", length), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
 
 
-def paired_poses(frames: DataFrame, poses: DataFrame) -> DataFrame:
-    """The n-th frame by number with the n-th pose by time; what has no partner goes."""
+def numbered(rows: DataFrame, order: str, name: str = "idx", parts: int = 64) -> DataFrame:
+    """Adds the place of every row in the order of a column, from 1: ranges are sorted apart, after the sizes of those before."""
     from pyspark.sql import Window
 
-    a = frames.select("frame").distinct().withColumn("idx", F.row_number().over(Window.orderBy("frame")))
-    b = poses.withColumn("idx", F.row_number().over(Window.orderBy("t")))
-    return a.join(b, "idx").drop("idx")
+    at = saved(rows.repartitionByRange(parts, order).sortWithinPartitions(order).withColumn("__p", F.spark_partition_id()))
+    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = at.groupBy("__p").agg(F.count(F.lit(1)).alias("__n")).withColumn("__b", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    inside = F.row_number().over(Window.partitionBy("__p").orderBy(order))
+    return at.withColumn("__i", inside).join(F.broadcast(sizes.select("__p", "__b")), "__p").withColumn(name, F.col("__i") + F.col("__b")).drop("__p", "__i", "__b")
+
+
+def paired_poses(frames: DataFrame, poses: DataFrame) -> DataFrame:
+    """The n-th frame by number with the n-th pose by time; what has no partner goes."""
+    a = numbered(frames.select("frame").distinct(), "frame")
+    return a.join(numbered(poses, "t"), "idx").drop("idx")
