@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from wayfloor.llm.common import connected_components, discard, groups, materialize, small
 
 
-#: Sets of a block, about.
-BLOCK = 64
+#: Sets of a block, about: a set is moved once for every block of the other side.
+BLOCK = 256
 
 
 def bands_for(threshold: float, rows: int, miss: float) -> int:
@@ -103,7 +103,7 @@ def _block_links(members: DataFrame, sets: DataFrame, threshold: float) -> DataF
     blocks is a group of its own, so a bucket's work is spread over tasks and a
     set is moved once a block, not once a pair.
     """
-    counts = members.groupBy("band").agg(F.count(F.lit(1)).alias("m"), F.sum(F.col("apart").cast("long")).alias("q"))
+    counts = materialize(members.groupBy("band").agg(F.count(F.lit(1)).alias("m"), F.sum(F.col("apart").cast("long")).alias("q")), "counts")
     rows, columns = F.ceil(F.col("m") / BLOCK), F.ceil(F.col("q") / BLOCK)
     at = members.join(counts, "band")
     block = F.abs(F.hash("node").cast("long"))
