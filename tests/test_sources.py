@@ -85,3 +85,28 @@ def test_metadata_and_poses(spark, tmp_path):
     t.write_text("# c\n\n1 0 0 0 0 0 0 2\n2 1 1 1 0 3 0 4\nshort line\n")
     got = read_poses(spark, str(t)).collect()
     assert len(got) == 2 and got[0].qw == 1.0 and abs(got[1].qy - 0.6) < 1e-12
+
+
+def test_text_bodies_are_read_in_ranges(spark, tmp_path, monkeypatch):
+    """Every line once, wherever the ranges cut; a body with faces stays in one."""
+    import pyarrow as pa
+
+    from wayfloor.sources import clouds
+
+    body = "".join(f"{i} {i * 0.5} -{i}\n" + ("\n" if i % 7 == 0 else "") for i in range(200))
+    path = str(tmp_path / "a.pcd")
+    head = "VERSION 0.7\nFIELDS x y z\nSIZE 8 8 8\nTYPE F F F\nCOUNT 1 1 1\nWIDTH 200\nHEIGHT 1\nPOINTS 200\nDATA ascii\n"
+    open(path, "w").write(head + body)
+    for size in (5, 17, 64, 1 << 20):
+        monkeypatch.setattr(clouds, "PARTITION_BYTES", size)
+        reader = clouds.CloudReader(path, clouds.read_header(path))
+        parts = reader.partitions()
+        assert (len(parts) > 1) == (size < 1 << 20)
+        rows = pa.Table.from_batches([b for p in parts for b in reader.read(p)]).to_pylist()
+        assert [(r["x"], r["y"], r["z"]) for r in rows] == [(i, i * 0.5, -i) for i in range(200)]
+    faces = str(tmp_path / "b.ply")
+    open(faces, "w").write("ply\nformat ascii 1.0\nelement vertex 2\nproperty float x\nproperty float y\nproperty float z\nelement face 1\nproperty list uchar int vertex_indices\nend_header\n0 0 0\n1 1 1\n3 0 1 1\n")
+    monkeypatch.setattr(clouds, "PARTITION_BYTES", 4)
+    reader = clouds.CloudReader(faces, clouds.read_header(faces))
+    assert [b.num_rows for p in reader.partitions() for b in reader.read(p)] == [2]
+    assert clouds.read_cloud(spark, "file://" + path).count() == 200

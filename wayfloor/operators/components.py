@@ -171,4 +171,4 @@ def distances(cells: DataFrame, start: DataFrame, max_rounds: int = 100_000) ->
         seen = seen.unionByName(frontier.withColumn("d", F.lit(d)))
         if d % 16 == 0:
             seen = saved(seen)
-    return seen
+    raise RuntimeError("walks did not end; raise max_rounds")

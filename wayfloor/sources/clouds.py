@@ -2,7 +2,10 @@
 
 ``spark.read.format("cloud").load(path)`` after ``register(spark)``.  The
 schema comes from the file's header.  A binary body has records of one size, so
-it is read in ranges of bytes, one partition each, as Arrow batches.
+it is read in ranges of bytes, one partition each, as Arrow batches; so is an
+ASCII body that holds points alone, each line with the range it begins in.
+Paths with a scheme (``hdfs://``, ``s3://`` and the like) are read through
+Arrow's file systems, from the tasks.
 """
 
 from __future__ import annotations
@@ -31,13 +34,46 @@ def _local(path: str) -> str:
     return path.removeprefix("file://")
 
 
+def _opened(path: str):
+    """The file at a path or address, open for reading at any place, and its size."""
+    from pyarrow import fs
+
+    store, at = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    if store.get_file_info(at).type != fs.FileType.File:
+        raise FileNotFoundError(path)
+    f = store.open_input_file(at)
+    return f, f.size()
+
+
+class _Lines:
+    """The first lines of a file, read as a whole."""
+
+    def __init__(self, data: bytes):
+        self.data, self.at = data, 0
+
+    def readline(self) -> bytes:
+        end = self.data.find(b"\n", self.at)
+        end = len(self.data) if end < 0 else end + 1
+        line, self.at = self.data[self.at : end], end
+        return line
+
+    def tell(self) -> int:
+        return self.at
+
+
+#: Bytes within which a header must end.
+HEADER_BYTES = 1 << 16
+
+
 def read_header(path: str) -> dict:
-    """``{kind, fields [(name, code, count)], points, data, offset}`` of a PCD or PLY file; raises on what cannot be read."""
+    """``{fields [(name, code, count)], points, data, order, offset, alone, size}`` of a PCD or PLY file; raises on what cannot be read."""
     lower = path.lower()
     if not lower.endswith((".pcd", ".ply")):
         raise ValueError(f"neither a .pcd nor a .ply file: {path}")
-    with open(_local(path), "rb") as f:
-        return _pcd_header(f) if lower.endswith(".pcd") else _ply_header(f)
+    f, size = _opened(path)
+    with f:
+        head = _Lines(f.read(HEADER_BYTES))
+    return (_pcd_header(head) if lower.endswith(".pcd") else _ply_header(head)) | {"size": size}
 
 
 def _pcd_header(f) -> dict:
@@ -59,13 +95,13 @@ def _pcd_header(f) -> dict:
     codes = [PCD_TYPES[t.upper(), int(s)] for t, s in zip(found["TYPE"], found["SIZE"])]
     n = found.get("POINTS")
     points = int(n[0]) if n else int(found["WIDTH"][0]) * int(found.get("HEIGHT", ["1"])[0])
-    return {"fields": list(zip(found["FIELDS"], codes, counts)), "points": points, "data": data, "order": "<", "offset": f.tell()}
+    return {"fields": list(zip(found["FIELDS"], codes, counts)), "points": points, "data": data, "order": "<", "offset": f.tell(), "alone": True}
 
 
 def _ply_header(f) -> dict:
     if f.readline().strip() != b"ply":
         raise ValueError("not a PLY file")
-    fields, form, points, element = [], None, 0, None
+    fields, form, points, element, elements = [], None, 0, None, 0
     while True:
         line = f.readline()
         if not line:
@@ -79,6 +115,7 @@ def _ply_header(f) -> dict:
             form = words[1]
         elif words[0] == "element":
             element = words[1]
+            elements += int(words[2]) > 0
             points = int(words[2]) if element == "vertex" else points
         elif words[0] == "property" and element == "vertex":
             if words[1] == "list":
@@ -89,7 +126,7 @@ def _ply_header(f) -> dict:
         raise ValueError(f"format {form} is not supported")
     if points <= 0:
         raise ValueError("the file has no vertices")
-    return {"fields": fields, "points": points, "data": orders[form][0], "order": orders[form][1], "offset": f.tell()}
+    return {"fields": fields, "points": points, "data": orders[form][0], "order": orders[form][1], "offset": f.tell(), "alone": elements == 1}
 
 
 def _record(header: dict) -> np.dtype:
@@ -113,47 +150,87 @@ def _batch(rows: np.ndarray, header: dict) -> pa.RecordBatch:
 
 
 class _Range(InputPartition):
-    def __init__(self, first: int, count: int):
-        self.first, self.count = first, count
+    """Bytes of the body, and the points to find there (for lines, None if only the whole body tells)."""
+
+    def __init__(self, begin: int, end: int, count: int | None):
+        self.begin, self.end, self.count = begin, end, count
+
+
+def _split(f, at: int):
+    """(place, line) of the lines from a place on."""
+    left = b""
+    while block := f.read(1 << 20):
+        *lines, left = (left + block).split(b"\n")
+        for line in lines:
+            yield at, line
+            at += len(line) + 1
+    if left:
+        yield at, left
 
 
 class CloudReader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path, self.header = path, read_header(path)
+    def __init__(self, path: str, header: dict):
+        self.path, self.header = path, header
 
     def partitions(self):
-        import os
-
         h = self.header
         if h["data"] == "ascii":
-            return [_Range(0, h["points"])]
+            if h["size"] - h["offset"] <= PARTITION_BYTES or not h["alone"]:
+                return [_Range(h["offset"], h["size"], h["points"])]
+            return [_Range(a, min(a + PARTITION_BYTES, h["size"]), None) for a in range(h["offset"], h["size"], PARTITION_BYTES)]
         size = _record(h).itemsize
-        held = (os.path.getsize(_local(self.path)) - h["offset"]) // size
+        held = (h["size"] - h["offset"]) // size
         if held < h["points"]:
             raise ValueError(f"the header tells of {h['points']} points, the file holds {held}")
         step = max(1, PARTITION_BYTES // size)
-        return [_Range(a, min(step, h["points"] - a)) for a in range(0, h["points"], step)]
+        at = lambda k: h["offset"] + k * size
+        return [_Range(at(a), at(min(a + step, h["points"])), min(step, h["points"] - a)) for a in range(0, h["points"], step)]
 
     def read(self, part):
         h = self.header
-        kind = _record(h)
-        with open(_local(self.path), "rb") as f:
-            f.seek(h["offset"] + part.first * kind.itemsize * (h["data"] == "binary"))
+        f, _ = _opened(self.path)
+        with f:
+            f.seek(part.begin)
             if h["data"] == "binary":
-                yield _batch(np.frombuffer(f.read(part.count * kind.itemsize), kind), h)
+                yield _batch(np.frombuffer(f.read(part.end - part.begin), _record(h)), h)
                 return
-            values = [line.split() for line in f if line.strip()][: part.count]
+            yield from self._lines(f, part)
+
+    def _lines(self, f, part):
+        """Points of the lines that begin in a range, some thousand at once; the line that a range cuts belongs to the one before."""
+        cut = part.begin > self.header["offset"]
+        f.seek(part.begin - cut)
+        held, found = [], 0
+        for at, line in _split(f, part.begin - cut):
+            if cut:
+                cut = False
+                continue
+            if at >= part.end or found == part.count:
+                break
+            if line.strip():
+                held.append(line.split())
+                found += 1
+            if len(held) >= 8192:
+                yield self._points(held)
+                held = []
+        if part.count is not None and found != part.count:
+            raise ValueError(f"the header tells of {part.count} points; the body differs")
+        if held:
+            yield self._points(held)
+
+    def _points(self, values):
+        h = self.header
         width = sum(k for *_, k in h["fields"])
-        if len(values) != h["points"] or any(len(v) < width for v in values):
-            raise ValueError(f"the header tells of {h['points']} points of {width} values; the body differs")
-        rows = np.zeros(len(values), kind)
+        if any(len(v) < width for v in values):
+            raise ValueError(f"the header tells of {width} values a point; the body differs")
+        rows = np.zeros(len(values), _record(h))
         at = 0
         for name, code, count in h["fields"]:
-            cast = (lambda x: float(x)) if code[0] == "f" else (lambda x: int(float(x)))
+            cast = float if code[0] == "f" else (lambda x: int(float(x)))
             cells = [[cast(x) for x in v[at : at + count]] for v in values]
             rows[name] = cells if count > 1 else [c[0] for c in cells]
             at += count
-        yield _batch(rows, h)
+        return _batch(rows, h)
 
 
 class CloudSource(DataSource):
@@ -161,11 +238,16 @@ class CloudSource(DataSource):
     def name(cls):
         return "cloud"
 
+    def _header(self) -> dict:
+        if not hasattr(self, "_read"):
+            self._read = read_header(self.options["path"])
+        return self._read
+
     def schema(self):
-        return spark_schema(read_header(self.options["path"]))
+        return spark_schema(self._header())
 
     def reader(self, schema):
-        return CloudReader(self.options["path"])
+        return CloudReader(self.options["path"], self._header())
 
 
 def register(spark: SparkSession) -> None:

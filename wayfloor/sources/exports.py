@@ -47,3 +47,39 @@ def save_project(spark: SparkSession, folder: str, scalars: dict, tables: dict[s
 def load_project(spark: SparkSession, folder: str) -> tuple[dict, dict[str, DataFrame]]:
     manifest = json.loads("\n".join(r["value"] for r in spark.read.text(f"{folder}/manifest").collect()))
     return manifest["scalars"], {n: spark.read.parquet(f"{folder}/{n}") for n in manifest["tables"]}
+
+
+def candidate_rows(candidates: DataFrame) -> DataFrame:
+    """Removal candidates as text columns for a CSV sink."""
+    names = ("rank", "label", "name", "fixation", "cells", "area", "unlock_area")
+    return candidates.select(*(F.col(c).cast("string").alias(c) for c in names))
+
+
+def validation_bundle(folder: str, layers: dict[str, DataFrame], resolution: float) -> None:
+    """A folder with a table of colours for every layer and a summary of its counts, all through Spark's writers.
+
+    ``layers`` may hold ``obstacle`` (blocked), ``reference`` and ``actual``
+    (blocked, floor, covered); with both of these there is ``compare``, too.
+    """
+    from wayfloor.operators import maps as M
+
+    if not layers:
+        raise ValueError("no layers to export")
+    rows = []
+    for name, cells in layers.items():
+        if name == "obstacle":
+            shade = F.when(F.col("blocked"), 0).otherwise(254)
+            colours, counts = cells.select("gy", "gx", *(shade.alias(c) for c in "rgb")), M.obstacle_counts(cells, resolution, "blocked")
+        else:
+            colours, counts = coverage_colours(cells), M.coverage_counts(cells)
+        colours.write.mode("overwrite").parquet(f"{folder}/{name}")
+        rows.append(metric_rows(counts).select(F.lit(name).alias("layer"), "metric", "value"))
+    if "reference" in layers and "actual" in layers:
+        both = layers["reference"].select("gy", "gx", F.col("covered").alias("ref")).join(layers["actual"].select("gy", "gx", F.col("covered").alias("act")), ["gy", "gx"])
+        pick = lambda only, shared, none: F.when(F.col("ref") & F.col("act"), shared).when(F.col("ref"), only).otherwise(none)
+        both.select("gy", "gx", pick(230, 60, 128).alias("r"), pick(90, 180, 128).alias("g"), pick(40, 75, 128).alias("b")).write.mode("overwrite").parquet(f"{folder}/compare")
+        rows.append(metric_rows(M.compare_counts(both)).select(F.lit("compare").alias("layer"), "metric", "value"))
+    summary = rows[0]
+    for r in rows[1:]:
+        summary = summary.unionByName(r)
+    summary.write.mode("overwrite").option("header", True).csv(f"{folder}/summary")

@@ -105,3 +105,41 @@ def with_image(text: str, image: str) -> str:
     """The metadata with another image line, put on top if there was none."""
     new, n = re.subn(r"(?m)^image:.*$", lambda _: f"image: {image}", text, count=1)
     return new if n else f"image: {image}\n{text}"
+
+
+def level_maps(spark: SparkSession, folder: str) -> DataFrame:
+    """``(level, path)`` of the images ``map_level<number>.pgm`` of a folder; their contents are not read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "map_level*.pgm").load(folder).select("path")
+    level = F.regexp_extract("path", r"map_level(\d+)\.pgm$", 1)
+    return files.where(level != "").select(level.cast("int").alias("level"), "path")
+
+
+#: Endings of the images that stand beside a map.
+SIDECARS = ("_traversable", "_floor")
+
+
+def sidecar_paths(path: str) -> dict[str, str]:
+    """Where the images beside a map are looked for."""
+    stem, dot, ending = path.rpartition(".")
+    return {s[1:]: f"{stem}{s}{dot}{ending}" for s in SIDECARS}
+
+
+def first_existing(spark: SparkSession, folder: str, stems: list[str], endings: list[str]) -> str | None:
+    """The first file of a folder named by a stem and an ending, in that order; through Spark's file systems."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(folder)
+    store = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    for stem in stems:
+        for ending in endings:
+            name = f"{folder.rstrip('/')}/{stem}{ending}"
+            if store.exists(jvm.org.apache.hadoop.fs.Path(name)):
+                return name
+    return None
+
+
+def costmap_pixels(cells: DataFrame, rx: int, ry: int) -> DataFrame:
+    """``(gy, gx, pixel)`` of a map whose obstacles are grown by a robot's half sizes: 0 blocked, 254 free."""
+    from wayfloor.operators import grid as G
+
+    grown = G.dilate_rectangle(cells.select("gy", "gx", "blocked"), "blocked", rx, ry)
+    return grown.select("gy", "gx", F.when(F.col("blocked"), 0).otherwise(254).alias("pixel"))

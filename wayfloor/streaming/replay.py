@@ -50,3 +50,23 @@ def paired_poses(frames: DataFrame, poses: DataFrame) -> DataFrame:
     """The n-th frame by number with the n-th pose by time; what has no partner goes."""
     a = numbered(frames.select("frame").distinct(), "frame")
     return a.join(numbered(poses, "t"), "idx").drop("idx")
+
+
+def with_poses(points: DataFrame, poses: DataFrame) -> DataFrame:
+    """A stream of frames with the pose of their number, ``poses(frame, tx, ty, tz, qx, qy, qz, qw)``, a table; coordinates stay the sensor's."""
+    return points.join(poses, "frame")
+
+
+def published(stream: DataFrame, folder: str, checkpoint: str, seconds: float | None = None):
+    """Write every batch once to a folder of its number, at most every so many seconds, or all that is there and stop.
+
+    A batch that is run again after a failure replaces what it wrote, so no
+    result of an earlier attempt stays.
+    """
+
+    def sink(df: DataFrame, batch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{folder}/batch={batch}")
+
+    writer = stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
+    writer = writer.trigger(processingTime=f"{seconds} seconds") if seconds else writer.trigger(availableNow=True)
+    return writer.start()
