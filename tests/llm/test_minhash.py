@@ -128,3 +128,11 @@ def test_edges(edge_docs, empty_docs):
     assert kept.columns == edge_docs.columns
     assert sum(bool(r.text) and r.text.startswith("the cat") for r in kept.collect()) == 1
     assert keep_one_of_each(empty_docs).count() == 0
+
+
+def test_one_row_of_a_class_stays_whatever_its_ids(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, base), (1, base + " more"), (2, base), (None, base), (3, "other text of five words"), (3, "other text of five words"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id or 0, len(r.text or "")) for r in keep_one_of_each(docs).collect())
+    assert len(got) == 3 and got[0] == (0, 0) and got[1][0] == 1 and got[2][0] == 3

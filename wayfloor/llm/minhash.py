@@ -142,10 +142,11 @@ def _sets(rows: DataFrame) -> DataFrame:
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
-    """``(id, key, component_id, kept)`` for every row."""
+    """``(id, key, component_id, kept, first)`` for every row; ``first`` holds for one text of a class, the first by id."""
     signed = materialize(signatures(docs, id_col, text_col), "signatures")
+    place = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("key"))
     nodes = materialize(
-        signed.where("node IS NOT NULL").groupBy("node").agg(F.first("bands").alias("bands"), F.min("key").alias("key"), F.min(id_col).alias("least")), "nodes"
+        signed.where("node IS NOT NULL").groupBy("node").agg(F.first("bands").alias("bands"), F.min("key").alias("key"), F.min(id_col).alias("least"), F.min(place).alias("place")), "nodes"
     )
 
     def fetch(ids: DataFrame) -> DataFrame:
@@ -156,28 +157,30 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> D
         return _sets(texts.select("node", "__text")).dropDuplicates(["node"])
 
     labels = link_classes(nodes.select("node", "bands"), fetch, threshold)
-    placed = nodes.select("node", "least").join(labels.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    named = placed.join(placed.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("node", "component_id")
+    placed = nodes.select("node", "least", "place").join(labels.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = materialize(placed, "placed")
+    named = placed.join(placed.groupBy("component").agg(F.min("least").alias("component_id"), F.min("place").alias("first")), "component").select("node", "component_id", F.col("first.key").alias("first"))
     return signed.join(named, "node", "left").select(
         id_col,
         "key",
         F.when(F.col("node").isNull(), F.col(id_col)).otherwise(F.col("component_id")).alias("component_id"),
         F.coalesce(F.col("node").isNull() | (F.col(id_col) == F.col("component_id")), F.col("component_id").isNull()).alias("kept"),
+        (F.col("node").isNull() | (F.col("key") == F.col("first"))).alias("first"),
     )
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row a document: id, ``component_id`` (the least id of its class) and ``kept`` (it has that id)."""
-    return _classes(docs, id_col, text_col, threshold).drop("key")
+    return _classes(docs, id_col, text_col, threshold).drop("key", "first")
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with one document of each class; all columns stay.  Of rows that repeat id and text one stays."""
+    """``docs`` with one document of each class, the first by id; all columns stay.  Of rows that repeat id and text one stays, and of rows of one id with texts of one class, too."""
     found = materialize(_classes(docs, id_col, text_col, threshold), "classes")
-    gone = found.where(~F.col("kept")).select(F.col("key").alias("__wf_key")).distinct()
+    gone = found.where(~F.col("first")).select(F.col("key").alias("__wf_key")).distinct()
     gone = F.broadcast(gone) if gone.count() <= MAX_BROADCAST_IDS else gone
     keyed = docs.withColumn("__wf_key", row_key(id_col, text_col))
     rest = keyed.join(gone, "__wf_key", "left_anti")
-    if found.where("kept").groupBy("key").count().where(F.col("count") > 1).limit(1).count():
+    if found.where("first").groupBy("key").count().where(F.col("count") > 1).limit(1).count():
         rest = rest.dropDuplicates(["__wf_key"])
     return rest.select(*docs.columns)
