@@ -267,15 +267,16 @@ def find_contamination(
         F.flatten(F.collect_list("ranges")).alias("r2"), F.flatten(F.collect_list("spans")).alias("s2"), F.flatten(F.collect_list("items")).alias("i2")
     )
 
-    @F.udf("array<struct<start:long,end:long>>")
-    def united(a, b):
-        return _united([*a, *(b or [])])
+    @F.pandas_udf("array<struct<start:long,end:long>>")
+    def united(ranges):
+        return ranges.map(lambda v: [{"start": a, "end": b} for a, b in _united(v)])
 
+    with_more = lambda a, b: united(F.concat(a, F.coalesce(b, F.array().cast("array<struct<start:long,end:long>>"))))
     whole = first.join(more, "__key", "left").select(
         F.col(id_col),
         "n_words",
-        united("ranges", "r2").alias("ranges"),
-        united("spans", "s2").alias("spans"),
+        with_more("ranges", "r2").alias("ranges"),
+        with_more("spans", "s2").alias("spans"),
         F.array_sort(F.array_distinct(F.concat("items", F.coalesce("i2", F.array().cast("array<string>"))))).alias("items"),
     )
     return whole.select(
