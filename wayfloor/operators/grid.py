@@ -17,9 +17,18 @@ FOUR = CROSS[1:]
 SQUARE = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
 
 
+def extremes() -> list[Column]:
+    """Aggregates that ``geometry`` needs."""
+    return [F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")]
+
+
 def bounds(points: DataFrame, resolution: float, padding: float) -> DataFrame:
     """One row of map geometry: origin, width and height in cells."""
-    b = points.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+    return geometry(points.agg(*extremes()), resolution, padding)
+
+
+def geometry(b: DataFrame, resolution: float, padding: float) -> DataFrame:
+    """The same from a row of ``extremes``."""
     size = lambda a, z: (F.ceil((F.col(z) + padding - (F.col(a) - padding)) / F.lit(float(resolution))) + 1).cast("long")
     return b.select((F.col("x0") - padding).alias("ox"), (F.col("y0") - padding).alias("oy"), size("x0", "x1").alias("width"), size("y0", "y1").alias("height"))
 
@@ -36,9 +45,12 @@ def binned(points: DataFrame, meta: DataFrame, resolution: float) -> DataFrame:
     return points.join(F.broadcast(meta)).withColumns({"gx": clip("x", "ox", "width"), "gy": clip("y", "oy", "height")}).drop("ox", "oy", "width", "height")
 
 
-def occupancy(points: DataFrame, band: DataFrame, resolution: float = 0.05, padding: float = 0.5, least: int = 1) -> DataFrame:
-    """``(gy, gx, n, occupied)``: cells with ``least`` points of the band; the border is occupied.  ``band`` has one row (z_min, z_max)."""
-    meta = bounds(points, resolution, padding)
+def occupancy(points: DataFrame, band: DataFrame, resolution: float = 0.05, padding: float = 0.5, least: int = 1, meta: DataFrame | None = None) -> DataFrame:
+    """``(gy, gx, n, occupied)``: cells with ``least`` points of the band; the border is occupied.  ``band`` has one row (z_min, z_max).
+
+    ``meta`` is the map's geometry, if it is known.
+    """
+    meta = bounds(points, resolution, padding) if meta is None else meta
     inside = points.join(F.broadcast(band)).where(F.col("z").between(F.col("z_min"), F.col("z_max")))
     counts = binned(inside.select("x", "y"), meta, resolution).groupBy("gy", "gx").agg(F.count(F.lit(1)).alias("n"))
     edge = (F.col("gy") == 0) | (F.col("gx") == 0) | (F.col("gy") == F.col("height") - 1) | (F.col("gx") == F.col("width") - 1)

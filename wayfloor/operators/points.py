@@ -36,7 +36,16 @@ def z_band(points: DataFrame, low: float | None, high: float | None) -> DataFram
 
 def floor_preset(points: DataFrame) -> DataFrame:
     """One row: floor percentiles and the bands for cleaning and mapping that follow from them."""
-    p = points.agg(F.percentile("z", F.array(F.lit(0.02), F.lit(0.05))).alias("p"))
+    return preset_of(points.agg(floor_percentiles()))
+
+
+def floor_percentiles() -> Column:
+    """The aggregate that ``preset_of`` needs."""
+    return F.percentile("z", F.array(F.lit(0.02), F.lit(0.05))).alias("p")
+
+
+def preset_of(p: DataFrame) -> DataFrame:
+    """The same from a row of ``floor_percentiles``."""
     low, anchor = F.col("p")[0], F.col("p")[1]
     return p.select(
         low.alias("floor_low"), anchor.alias("anchor"), (low - 0.25).alias("clean_min"), (low + 4.0).alias("clean_max"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wayfloor.functions.fixtures import scan
+from wayfloor.functions.shared import saved
 from wayfloor.operators import grid as G
 from wayfloor.operators import points as P
 from wayfloor.plans.registry import query, rounded
@@ -33,10 +34,16 @@ OCC = occupancy_sql("5e-2")
 OCC20 = occupancy_sql("2e-1")
 
 
-def obstacle_grid(spark, d, size=0.05):
+def scan_facts(spark, d):
+    """The scan, with one row of its extremes and floor percentiles: read once, written, and used from there."""
     df = scan(spark, d)
-    band = P.floor_preset(df).select(F.col("map_min").alias("z_min"), F.col("map_max").alias("z_max"))
-    return G.occupancy(df, band, size)
+    return df, saved(df.agg(*G.extremes(), P.floor_percentiles()), "facts")
+
+
+def obstacle_grid(spark, d, size=0.05):
+    df, facts = scan_facts(spark, d)
+    band = P.preset_of(facts).select(F.col("map_min").alias("z_min"), F.col("map_max").alias("z_max"))
+    return G.occupancy(df, band, size, meta=G.geometry(facts, size, 0.5))
 
 
 HEIGHTS = f"""{ANCHOR}, {meta_sql('2e-1')}, {CELLS}, obs AS (SELECT {bin_sql('2e-1')}, count(*) AS n, quantile_cont(z, 1e-1) AS z FROM scan, meta, anc WHERE z BETWEEN a AND a + 1e0 GROUP BY ALL HAVING count(*) >= 3),
@@ -45,9 +52,9 @@ HEIGHTS = f"""{ANCHOR}, {meta_sql('2e-1')}, {CELLS}, obs AS (SELECT {bin_sql('2e
 
 def height_grid(spark, d, size=0.2, least=3):
     """Dense ``(gy, gx, z)`` with nulls, and the geometry."""
-    df = scan(spark, d)
-    meta = G.bounds(df, size, 0.5)
-    p = P.floor_preset(df).select(F.col("anchor").alias("z_min"), (F.col("anchor") + 1.0).alias("z_max"))
+    df, facts = scan_facts(spark, d)
+    meta = G.geometry(facts, size, 0.5)
+    p = P.preset_of(facts).select(F.col("anchor").alias("z_min"), (F.col("anchor") + 1.0).alias("z_max"))
     band = df.join(F.broadcast(p)).where(F.col("z").between(F.col("z_min"), F.col("z_max")))
     known = G.height_map(band, meta, size, 0.10, least)
     return G.scaffold(meta).select("gy", "gx").join(known.select("gy", "gx", "z"), ["gy", "gx"], "left"), meta

@@ -11,7 +11,7 @@ from wayfloor.operators import grid as G
 from wayfloor.operators import horizontal as H
 from wayfloor.operators import maps as M
 from wayfloor.operators import semantic as S
-from wayfloor.plans.grid_queries import MASK, OCC, OCC20, bin_sql, mask_sum, obstacle_grid
+from wayfloor.plans.grid_queries import MASK, OCC, OCC20, bin_sql, mask_sum, obstacle_grid, scan_facts
 from wayfloor.plans.registry import query, rounded
 
 PITCH = 1 << 24
@@ -127,10 +127,9 @@ def a13(spark, d):
 def labels(spark, d, size=0.05):
     from wayfloor.operators import points as P
 
-    df = scan(spark, d)
-    p = P.floor_preset(df)
-    band = df.join(F.broadcast(p)).where(F.col("z").between(F.col("map_min"), F.col("map_max")))
-    binned = G.binned(band.select("x", "y", "label"), G.bounds(df, size, 0.5), size)
+    df, facts = scan_facts(spark, d)
+    band = df.join(F.broadcast(P.preset_of(facts))).where(F.col("z").between(F.col("map_min"), F.col("map_max")))
+    binned = G.binned(band.select("x", "y", "label"), G.geometry(facts, size, 0.5), size)
     counts = binned.groupBy("gy", "gx", "label").agg(F.count(F.lit(1)).alias("n"))
     best = counts.groupBy("gy", "gx").agg(F.max(F.struct("n", (-F.col("label")).alias("l"))).alias("m"))
     return best.select("gy", "gx", (-F.col("m.l")).cast("int").alias("label"))
