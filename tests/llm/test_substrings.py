@@ -50,7 +50,7 @@ def test_bounded_prefix_groups():
         assert [m.tolist() for m in shared_windows(runs, depth)] == want
 
 
-@pytest.mark.parametrize("hot, chunk, batch", [(1_000_000, 1 << 19, 800_000), (2_000, 1 << 19, 800_000), (1_000_000, 300, 1_000)])
+@pytest.mark.parametrize("hot, chunk, batch", [(1_000_000, 1 << 19, 800_000), (2_000, 1 << 19, 800_000), (300, 1 << 19, 800_000), (1_000_000, 300, 1_000)])
 def test_matches_brute_force(spark, monkeypatch, hot, chunk, batch):
     monkeypatch.setattr(module, "HOT_BYTES", hot)
     monkeypatch.setattr(module, "_CHUNK", chunk)

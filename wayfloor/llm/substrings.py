@@ -16,7 +16,10 @@ starts anywhere else.  The work is cut so that equal strings meet in one place:
    the transform at common prefixes of increasing length, and stops at
    ``MIN_BYTES``: suffixes not split by then share that much.
 4. A fingerprint with more bytes than a batch holds is not compared in one
-   task: the hashes of its windows are counted, with partial sums, instead.
+   task: its runs are anchored anew by another hash, so that they part into
+   shorter runs under more fingerprints, and steps 2 and 3 follow for these.
+   What is still as large after ``LEVELS`` such hashes is one passage in ever
+   other surroundings; the hashes of its windows are counted, with partial sums.
 
 Defined cases: null text is empty; texts shorter than ``MIN_BYTES`` are kept
 whole; a repeated row is a second place, so both rows lose what they share,
@@ -40,8 +43,8 @@ MIN_BYTES, GRAM = 200, 64
 _WINDOW = MIN_BYTES - GRAM + 1
 #: Windows of a text handled at once.
 _CHUNK = 1 << 19
-#: Bytes of a batch that is sorted, and of one fingerprint's runs beyond which its windows are counted.
-BATCH_BYTES, HOT_BYTES = 800_000, 1_000_000
+#: Bytes of a batch that is sorted, and of one fingerprint's runs beyond which these are anchored anew, so often at most.
+BATCH_BYTES, HOT_BYTES, LEVELS = 800_000, 1_000_000, 3
 
 
 def _gram_hashes(raw: np.ndarray) -> np.ndarray:
@@ -251,6 +254,51 @@ def _counted(rows: DataFrame) -> DataFrame:
     return windows.join(many, ["h1", "h2"]).select("uid", "begin", (F.col("begin") + MIN_BYTES).alias("end"))
 
 
+def _anchored_anew(rows: DataFrame, level: int) -> DataFrame:
+    """``(fp, uid, a, alone, bytes)`` -> the same of shorter runs, by the least of another hash, with ``ctx`` of the bytes."""
+    seed = np.uint64((0xA0761D6478BD642F * (2 * level + 1)) % (1 << 64))
+
+    def run(batches):
+        for batch in small(batches):
+            out = []
+            for fp, uid, a, alone, data in zip(*(c.to_pylist() for c in batch.columns)):
+                h = mix(_gram_hashes(np.frombuffer(data, np.uint8)) ^ seed)
+                place = np.uint64((1 << 20) - 1)
+                anchor = (_least((h & ~place) | np.arange(len(h), dtype=np.uint64), _WINDOW) & place).astype(np.int64)
+                first = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
+                last = np.concatenate((first[1:], [len(anchor)])) - 1
+                names = mix(h[anchor[first]] + np.uint64(fp & (1 << 64) - 1)).view(np.int64).tolist()
+                for name, x, y in zip(names, first.tolist(), last.tolist()):
+                    part = data[x : y + MIN_BYTES]
+                    out.append((name, uid, a + x, alone, part, xxhash.xxh3_64_intdigest(part) - (1 << 63)))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=["fp", "uid", "a", "alone", "bytes", "ctx"])
+
+    return rows.mapInArrow(run, "fp long, uid long, a long, alone boolean, bytes binary, ctx long")
+
+
+def _shared_ranges(pieces: DataFrame, level: int = 0) -> DataFrame:
+    """``(fp, uid, a, alone, bytes, size)``, distinct bytes of each fingerprint and their size together -> covered ranges of those alone."""
+    columns = ["fp", "uid", "a", "alone", "bytes"]
+    cold = pieces.where(F.col("size") <= HOT_BYTES).select(columns)
+    total = cold.agg(F.sum(F.octet_length("bytes") + 1)).first()[0] or 0
+    covered = materialize(_compared(cold.repartition(max(1, -(-int(total) // BATCH_BYTES)), "fp").sortWithinPartitions("fp")), "compared-ranges")
+    hot = pieces.where(F.col("size") > HOT_BYTES).select(columns)
+    if not hot.limit(1).count():
+        return covered
+    if level == LEVELS:
+        return covered.union(_counted(hot))
+    rows = materialize(_anchored_anew(hot, level), "anchored-anew")
+    kinds = rows.groupBy("fp", "ctx").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("uid", "a")).alias("one"), F.min("alone").alias("alone"))
+    kinds = materialize(kinds.withColumn("alone", F.col("alone") & (F.col("k") == 1)), "contexts")
+    whole = rows.where("alone").join(kinds.where("k > 1").select("fp", "ctx"), ["fp", "ctx"], "left_semi")
+    covered = covered.union(whole.select("uid", F.col("a").alias("begin"), (F.col("a") + F.octet_length("bytes")).cast("long").alias("end")))
+    left = rows.join(kinds.select("fp", "ctx", "one.uid", "one.a", F.col("alone").alias("single")), ["fp", "ctx", "uid", "a"]).select("fp", "uid", "a", F.col("single").alias("alone"), "bytes")
+    left = left.dropDuplicates(["fp", "uid", "a"])
+    sizes = left.groupBy("fp").agg(F.count(F.lit(1)).alias("c"), F.max("alone").alias("some"), F.sum(F.octet_length("bytes").cast("long")).alias("size")).where("c > 1 AND some").select("fp", "size")
+    return covered.union(_shared_ranges(materialize(left.join(materialize(sizes, "sizes"), "fp"), "pieces"), level + 1))
+
+
 def repeated_ranges(docs: DataFrame) -> DataFrame:
     """``docs(uid, t)`` -> ``(uid, ranges array<struct<begin,end>>, n_removed)`` of the texts that lose bytes; ranges are maximal."""
     runs = materialize(_runs(docs), "runs")
@@ -266,25 +314,20 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     size = F.col("one.b") - F.col("one.a") + MIN_BYTES
     mixed = kinds.groupBy("fp").agg(F.count(F.lit(1)).alias("c"), F.min("k").alias("least"), F.sum(size).alias("size")).where("c > 1 AND least = 1")
     parts = materialize(kinds.join(mixed.select("fp", "size"), "fp").select("fp", "one.*", (F.col("k") == 1).alias("alone"), "size"), "mixed")
-    n, total = parts.agg(F.count(F.lit(1)), F.sum(F.col("b") - F.col("a") + MIN_BYTES + 1)).first()
-    if n:
-        lists = parts.groupBy("uid").agg(F.collect_list(F.struct("fp", "a", "b", "alone", (F.col("size") > HOT_BYTES).alias("hot"))).alias("list"))
+    if parts.limit(1).count():
+        lists = parts.groupBy("uid").agg(F.collect_list(F.struct("fp", "a", "b", "alone", "size")).alias("list"))
 
         def cut(batches):
             for batch in small(batches):
                 out = []
                 for uid, data, wanted in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist()):
-                    out += [(w["fp"], uid, w["a"], w["alone"], data[w["a"] : w["b"] + MIN_BYTES], w["hot"]) for w in wanted]
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.bool_())
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=["fp", "uid", "a", "alone", "bytes", "hot"])
+                    out += [(w["fp"], uid, w["a"], w["alone"], data[w["a"] : w["b"] + MIN_BYTES], w["size"]) for w in wanted]
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=["fp", "uid", "a", "alone", "bytes", "size"])
 
         texts = docs.join(lists, "uid").select("uid", "t", "list")
-        pieces = materialize(texts.mapInArrow(cut, "fp long, uid long, a long, alone boolean, bytes binary, hot boolean"), "pieces")
-        columns = ["fp", "uid", "a", "alone", "bytes"]
-        cold = pieces.where("NOT hot").select(columns).repartition(max(1, -(-int(total) // BATCH_BYTES)), "fp").sortWithinPartitions("fp")
-        covered = covered.union(materialize(_compared(cold), "compared-ranges"))
-        if parts.where(F.col("size") > HOT_BYTES).limit(1).count():
-            covered = covered.union(_counted(pieces.where("hot").select(columns)))
+        pieces = materialize(texts.mapInArrow(cut, "fp long, uid long, a long, alone boolean, bytes binary, size long"), "pieces")
+        covered = covered.union(_shared_ranges(pieces))
 
     @F.pandas_udf("array<struct<begin:long,end:long>>")
     def united(ranges):
