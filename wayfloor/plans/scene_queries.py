@@ -50,10 +50,10 @@ def d4(spark, d):
     return rounded(L.levels(scan(spark, d)))
 
 
-@query("a22_line_fit", f", {HEIGHTS} SELECT gy, count(*) AS n, round(regr_slope(z, gx * 2e-1), 6) + 0e0 AS slope, round(regr_intercept(z, gx * 2e-1), 6) + 0e0 AS intercept, round(CASE WHEN var_pop(z) < 1e-12 THEN 1e0 ELSE regr_r2(z, gx * 2e-1) END, 6) AS r2 FROM hm WHERE z IS NOT NULL AND gx BETWEEN 33 AND 41 GROUP BY gy HAVING count(*) >= 3")
+@query("a22_line_fit", f", {HEIGHTS} SELECT gy, count(*) AS n, round(regr_slope(z, gx * 2e-1), 9) + 0e0 AS slope, round(regr_intercept(z, gx * 2e-1), 9) + 0e0 AS intercept, round(CASE WHEN var_pop(z) < 1e-12 THEN 1e0 ELSE regr_r2(z, gx * 2e-1) END, 9) AS r2 FROM hm WHERE z IS NOT NULL AND gx BETWEEN 33 AND 41 GROUP BY gy HAVING count(*) >= 3")
 def a22(spark, d):
     cells = height_grid(spark, d)[0].where("z IS NOT NULL AND gx BETWEEN 33 AND 41").withColumn("x", F.col("gx") * 0.2)
-    return rounded(R.line_fit(cells, ["gy"]).where("n >= 3"))
+    return rounded(R.line_fit(cells, ["gy"]).where("n >= 3"), 9)
 
 
 RAMPC = f"""{HEIGHTS}, {fill_sql('hm', 4)}, {grad_sql('f3')}, mask AS (SELECT gy, gx FROM sl WHERE slope >= 5e0 AND slope <= 6e1), {cc_sql('mask')},
