@@ -282,7 +282,7 @@ def repeated_passages(docs: DataFrame, anchors: DataFrame, id_col: str, text_col
     runs = at.groupBy("key", "to", "shift", "n").agg(F.first("first_id").alias("first_id"), F.min("a").alias("a"), F.max("b").alias("b"))
     start, end = F.col("a") - F.col("shift"), F.col("b") - F.col("shift")
     if not within:  # a run that another document has at its first place, too
-        across = runs.where("key <> to").select("to", start.alias("x"), end.alias("y")).distinct()
+        across = materialize(runs.where("key <> to").select("to", start.alias("x"), end.alias("y")).distinct(), "across")
         runs = runs.withColumns({"x": start, "y": end}).join(across, ["to", "x", "y"], "left_semi")
     runs = materialize(runs.select("key", "a", "b", "to", start.alias("x"), end.alias("y"), F.xxhash64("to", start, end).alias("component"), "first_id"), "passages")
     discard(often, again, kinds, shared)
