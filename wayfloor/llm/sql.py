@@ -41,4 +41,31 @@ n AS (SELECT s AS vec_id, count(*) AS n FROM e GROUP BY 1)
 SELECT vec_id, coalesce(n, 0) AS n_links, l AS component_id, vec_id = l AS kept FROM embeddings JOIN cc ON cc.id = vec_id LEFT JOIN n USING (vec_id)
 """
 
-ORACLES = {"op2_minhash_near_dedup": OP2, "op9_benchmark_decontamination": OP9, "op10_embedding_near_dedup": OP10}
+
+
+def _op13(rounds: int = 4) -> str:
+    """Rounds of codebooks written out; dot products of doubles are exact below 2^53."""
+    steps = [
+        """kept AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) AS rid, vec_id, label, list_transform(embedding, lambda c: floor(CAST(c AS DOUBLE) * 1024)) AS v FROM embeddings
+    WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+x AS MATERIALIZED (SELECT rid, p, v[p * (len(v) // 4) + 1:(p + 1) * (len(v) // 4)] AS x FROM kept, unnest(range(4)) t(p)),
+b0 AS MATERIALIZED (SELECT p, rid - 1 AS e, x AS c FROM x WHERE rid <= 256)"""
+    ]
+    assign = "SELECT rid, p, e, x, d FROM (SELECT rid, p, e, x, d, row_number() OVER (PARTITION BY rid, p ORDER BY d, e) AS k FROM (SELECT rid, p, e, x, list_dot_product(x, x) - 2 * list_dot_product(x, c) + list_dot_product(c, c) AS d FROM x JOIN b{r} USING (p)) q) q WHERE k = 1"
+    for r in range(rounds + 1):
+        steps.append(f"a{r} AS MATERIALIZED ({assign.format(r=r)})")
+        if r < rounds:
+            steps.append(
+                f"""m{r} AS (SELECT p, e, list(CAST((s - ((s % n) + n) % n) // n AS DOUBLE) ORDER BY i) AS c FROM (SELECT p, e, i, sum(CAST(y AS BIGINT)) AS s, count(*) AS n FROM (SELECT p, e, unnest(x) AS y, generate_subscripts(x, 1) AS i FROM a{r}) q GROUP BY p, e, i) q GROUP BY p, e),
+b{r + 1} AS MATERIALIZED (SELECT p, e, coalesce(m{r}.c, b{r}.c) AS c FROM b{r} LEFT JOIN m{r} USING (p, e))"""
+            )
+    steps.append(
+        f"""books AS (SELECT sha256(string_agg(CAST(CAST(y AS BIGINT) AS VARCHAR), ',' ORDER BY p, e, i)) AS sha FROM (SELECT p, e, unnest(c) AS y, generate_subscripts(c, 1) AS i FROM b{rounds}) q),
+coded AS (SELECT rid, string_agg(lower(printf('%02x', e)), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY rid)"""
+    )
+    return "WITH " + ",\n".join(steps) + """
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, sha AS codebooks_sha256 FROM kept JOIN coded USING (rid), books
+"""
+
+
+ORACLES = {"op2_minhash_near_dedup": OP2, "op9_benchmark_decontamination": OP9, "op10_embedding_near_dedup": OP10, "op13_vector_codes": _op13()}
