@@ -42,6 +42,22 @@ SELECT vec_id, coalesce(n, 0) AS n_links, l AS component_id, vec_id = l AS kept
 """
 
 
+OP12 = f"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({LOWER}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+w AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM p),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+g AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS f FROM (SELECT lang, k, array_to_string(w[j:j + k - 1], ' ') AS phrase
+    FROM (SELECT lang, k, w, unnest(range(1, len(w) - k + 2)) AS j FROM w, unnest([1, 2, 3, 4]) t(k) WHERE len(w) >= k) q) q GROUP BY lang, k, phrase HAVING count(*) >= 30),
+c AS (SELECT lang, k, phrase, f, string_split(phrase, ' ') AS w FROM g WHERE k > 1),
+cuts AS (SELECT c.lang, c.phrase, c.f AS a, i, x.f AS l, y.f AS r, CAST((CAST(c.f AS HUGEINT) * 2000000) // (CAST(x.f AS HUGEINT) + y.f) AS BIGINT) AS score
+    FROM (SELECT *, unnest(range(1, k)) AS i FROM c) c JOIN g x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:i], ' ') JOIN g y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[i + 1:], ' ')),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, i) AS nth FROM cuts) q WHERE nth = 1),
+inside AS (SELECT lang, array_to_string(w[j:j + m - 1], ' ') AS phrase, max(f) AS most FROM (SELECT *, unnest(range(1, k - m + 2)) AS j FROM (SELECT *, unnest(range(2, k)) AS m FROM c) q) q GROUP BY 1, 2),
+kept AS (SELECT best.* FROM best LEFT JOIN inside USING (lang, phrase) WHERE most IS NULL OR 100 * most < 80 * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase COLLATE "binary") AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+"""
+
 
 def _op13(rounds: int = 4) -> str:
     """Rounds of codebooks written out; dot products of doubles are exact below 2^53."""
@@ -68,4 +84,4 @@ SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT)
 """
 
 
-ORACLES = {"op2_minhash_near_dedup": OP2, "op9_benchmark_decontamination": OP9, "op10_embedding_near_dedup": OP10, "op13_vector_codes": _op13()}
+ORACLES = {"op2_minhash_near_dedup": OP2, "op9_benchmark_decontamination": OP9, "op10_embedding_near_dedup": OP10, "op12_phrase_collocations": OP12, "op13_vector_codes": _op13()}
