@@ -88,6 +88,45 @@ def spread_labels(nodes: DataFrame, edges: DataFrame, local_edges: int = 0, max_
     raise RuntimeError("labels did not settle; raise max_rounds")
 
 
+#: The number of the source that leads to all seeds; below all node numbers.
+SOURCE = -1
+
+
+def reached(edges: DataFrame, seeds: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+    """Nodes ``(id)`` that are reached from ``seeds(id)`` over directed ``edges(s, t)``; node numbers are not negative.
+
+    Nodes that are reached together are contracted until nothing leads out of
+    the source any more: the ends of edges both ways, a node and its only
+    predecessor, the source and what it leads to.  A graph of edges both ways is
+    done in one round, a long one-way lane in one round as well, since a class
+    is found by labels that spread in logarithmically many steps.
+    """
+    ends = saved(seeds.select(F.lit(SOURCE).cast("long").alias("s"), F.col("id").alias("t")).unionByName(edges.select("s", "t")).where("s <> t").distinct())
+    classes = None
+    for _ in range(max_rounds):
+        if not ends.where(F.col("s") == SOURCE).limit(1).count():
+            break
+        back = ends.select(F.col("t").alias("s"), F.col("s").alias("t"))
+        only = ends.groupBy("t").agg(F.count(F.lit(1)).alias("n"), F.max("s").alias("s")).where("n = 1").select("s", "t")
+        merged = ends.where(F.col("s") == SOURCE).unionByName(ends.join(back, ["s", "t"], "left_semi")).unionByName(only)
+        both = saved(merged.unionByName(merged.select(F.col("t").alias("s"), F.col("s").alias("t"))).distinct())
+        labels = saved(spread_labels(both.select(F.col("s").alias("id")).distinct(), both, LOCAL_EDGES))
+        if classes is None:
+            new = labels.select("id", F.col("label").alias("class"))
+        else:
+            own = classes.join(labels.select(F.col("id").alias("class"), "label"), "class", "left").select("id", F.coalesce("label", "class").alias("class"))
+            new = own.unionByName(labels.join(classes, "id", "left_anti").select("id", F.col("label").alias("class")))
+        new = saved(new)
+        of = lambda end: labels.select(F.col("id").alias(end), F.col("label").alias(f"of_{end}"))
+        led = ends.join(of("s"), "s", "left").join(of("t"), "t", "left").select(F.coalesce("of_s", "s").alias("s"), F.coalesce("of_t", "t").alias("t"))
+        led = saved(led.where(F.col("s") != F.col("t")).where(F.col("t") != SOURCE).distinct())
+        discard(both, labels, ends, *([classes] if classes is not None else []))
+        ends, classes = led, new
+    else:
+        raise RuntimeError("classes did not settle; raise max_rounds")
+    return seeds.select("id").limit(0) if classes is None else classes.where((F.col("class") == SOURCE) & (F.col("id") != SOURCE)).select("id")
+
+
 def components(cells: DataFrame, space: bool = False, by: str | None = None) -> DataFrame:
     """``(gy, gx)`` cells, or ``(vz, gy, gx)`` with ``space``, with ``component``.
 

@@ -1,8 +1,8 @@
-"""Coverage paths and shortest walks on maps: sequential searches, one grouped task a map.
+"""Coverage paths, shortest walks and poses on maps.
 
-Cells are ``(map_id, gy, gx)``, the free cells of each map.  Which cells a
-planner covers is relational and computed elsewhere; only the order of a path
-needs these searches, and a map's cells are bounded by its size.
+Cells are ``(map_id, gy, gx)``, the free cells of each map.  Poses are reached
+by contracting a graph in rounds of joins (``components.reached``); the order of
+a path is a sequential search, one grouped task a map.
 """
 
 from __future__ import annotations
@@ -10,7 +10,11 @@ from __future__ import annotations
 import heapq
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from wayfloor.functions.shared import saved
+from wayfloor.operators.components import PITCH, reached
 
 STEPS = ((1, 0), (-1, 0), (0, 1), (0, -1))  # down, up, right, left
 
@@ -228,38 +232,73 @@ def pose_moves(model: str, k: int) -> list[tuple[int, int]]:
     return [EIGHTHS[e]] if model == "differential" else [EIGHTHS[(e + i) % 8] for i in (0, 2, 4, 6)]
 
 
+def pose_groups(free: DataFrame) -> DataFrame:
+    """``free(map_id, k, gy, gx[, turn])`` with ``node``: the headings of a centre that turns connect are one node.
+
+    Headings go round: the last one turns to the first.  Nodes are numbered by
+    map, centre and least heading.
+    """
+    turn = F.col("turn") if "turn" in free.columns else F.lit(True)
+    centre = Window.partitionBy("map_id", "gy", "gx")
+    upto = centre.orderBy("k")
+    poses = free.select("map_id", F.col("k").cast("int").alias("k"), F.col("gy").cast("long").alias("gy"), F.col("gx").cast("long").alias("gx"), turn.alias("turn"))
+    begins = F.coalesce((F.lag("k").over(upto) != F.col("k") - 1) | ~F.lag("turn").over(upto), F.lit(True))
+    first = F.max(F.when(F.col("begins"), F.col("k"))).over(upto)
+    chained = poses.withColumn("begins", begins).withColumn("first", first)
+    round_ = F.max(((F.col("k") == HEADINGS - 1) & F.col("turn")).cast("int")).over(centre) == 1
+    chained = chained.withColumn("first", F.when(round_ & (F.min("k").over(centre) == 0) & (F.col("first") == F.max("first").over(centre)), 0).otherwise(F.col("first")))
+    number = ((F.col("map_id") * PITCH + F.col("gy")) * PITCH + F.col("gx")) * HEADINGS + F.col("first")
+    return chained.select("map_id", "k", "gy", "gx", number.cast("long").alias("node"))
+
+
+def pose_edges(nodes: DataFrame, model: str) -> DataFrame:
+    """Directed edges ``(s, t)`` between the nodes of ``pose_groups``: the translations of a motion model; a diagonal step needs both cells beside it."""
+    rows = [(k, y, x) for k in range(HEADINGS) for y, x in pose_moves(model, k)]
+    moves = F.broadcast(nodes.sparkSession.createDataFrame(rows, "k int, dy long, dx long"))
+    to = nodes.join(moves, "k").select("map_id", "k", F.col("node").alias("s"), "dy", "dx", "gy", "gx", (F.col("gy") + F.col("dy")).alias("ty"), (F.col("gx") + F.col("dx")).alias("tx"))
+    there = nodes.select("map_id", "k", F.col("gy").alias("ty"), F.col("gx").alias("tx"), F.col("node").alias("t"))
+    found = to.join(there, ["map_id", "k", "ty", "tx"])
+    straight = found.where("dy = 0 OR dx = 0").select("s", "t")
+    aslant = found.where("dy <> 0 AND dx <> 0")
+    for y, x in (("ty", "gx"), ("gy", "tx")):
+        beside = nodes.select("map_id", "k", F.col("gy").alias(y), F.col("gx").alias(x))
+        aslant = aslant.join(beside, ["map_id", "k", y, x], "left_semi")
+    return straight.unionByName(aslant.select("s", "t")).distinct()
+
+
+MODELS = ("differential", "combined", "holonomic", "holonomic_xy")
+
+
 def reachable_poses(free: DataFrame, seed: tuple[int, int], model: str = "differential") -> DataFrame:
     """``free(map_id, k, gy, gx[, turn])``, the poses without collision -> those reached from any heading at the seed.
 
     A seed without an open pose gives way to the nearest centre that has one.
     A turn goes to the next heading either way, if ``turn`` of the lower of the
-    two allows it; a diagonal step needs both cells beside it.
+    two allows it; a diagonal step needs both cells beside it.  All maps are
+    searched in the same rounds; ``map_id`` is a small integer, rows and
+    columns are below 2^24.
     """
-    turning = "turn" in free.columns
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        open_ = set(zip(pdf["k"].tolist(), pdf["gy"].tolist(), pdf["gx"].tolist()))
-        fixed = set(pdf.loc[~pdf["turn"], ["k", "gy", "gx"]].itertuples(index=False, name=None)) if turning else set()
-        if not open_:
-            return pdf.head(0)[["map_id", "k", "gy", "gx"]]
-        _, *at = min((abs(y - seed[0]) + abs(x - seed[1]), y, x) for _, y, x in open_)
-        seen = {(k, *at) for k in range(HEADINGS)} & open_
-        ring = list(seen)
-        while ring:
-            nxt = []
-            for k, y, x in ring:
-                back = ((k - 1) % HEADINGS, y, x)
-                to = [((k + 1) % HEADINGS, y, x)] if (k, y, x) not in fixed else []
-                to += [back] if back not in fixed else []
-                for dy, dx in pose_moves(model, k):
-                    if not (dy and dx) or ((k, y + dy, x) in open_ and (k, y, x + dx) in open_):
-                        to.append((k, y + dy, x + dx))
-                for p in to:
-                    if p in open_ and p not in seen:
-                        seen.add(p)
-                        nxt.append(p)
-            ring = nxt
-        out = sorted(seen)
-        return pd.DataFrame({"map_id": pdf["map_id"].iloc[0], "k": [p[0] for p in out], "gy": [p[1] for p in out], "gx": [p[2] for p in out]}).astype({"k": "int32"})
-
-    return free.groupBy("map_id").applyInPandas(run, "map_id long, k int, gy long, gx long")
+    if model not in MODELS:
+        raise ValueError(f"no model {model}; there are {', '.join(MODELS)}")
+    nodes = saved(pose_groups(free))
+    return _reached_poses(nodes, pose_edges(nodes, model), seed)
+
+
+def _reached_poses(nodes: DataFrame, edges: DataFrame, seed: tuple[int, int]) -> DataFrame:
+    far = F.abs(F.col("gy") - seed[0]) + F.abs(F.col("gx") - seed[1])
+    begin = nodes.groupBy("map_id").agg(F.min(F.struct(far.alias("far"), "gy", "gx")).alias("b")).select("map_id", "b.gy", "b.gx")
+    seeds = nodes.join(begin, ["map_id", "gy", "gx"], "left_semi").select(F.col("node").alias("id")).distinct()
+    seen = reached(edges, seeds).select(F.col("id").alias("node"))
+    return nodes.join(seen, "node", "left_semi").select(F.col("map_id").cast("long").alias("map_id"), "k", "gy", "gx")
+
+
+def reachable_by_model(free: DataFrame, seed: tuple[int, int]) -> DataFrame:
+    """``free(k, gy, gx[, turn])`` of one map -> ``(model, k, gy, gx)``: what every motion model reaches, all in the same rounds."""
+    number = F.explode(F.sequence(F.lit(0), F.lit(len(MODELS) - 1))).alias("map_id")
+    nodes = saved(pose_groups(free.drop("map_id").select("*", number)))
+    edges = None
+    for i, model in enumerate(MODELS):
+        own = pose_edges(nodes.where(F.col("map_id") == i), model)
+        edges = own if edges is None else edges.unionByName(own)
+    seen = _reached_poses(nodes, edges, seed)
+    return seen.select(F.element_at(F.array(*map(F.lit, MODELS)), F.col("map_id").cast("int") + 1).alias("model"), "k", "gy", "gx")
