@@ -1,7 +1,11 @@
 import hashlib
 import random
 import re
+import time
 
+import pytest
+
+from wayfloor.llm.lexing import Reader, Values
 from wayfloor.llm.secrets import find_secrets, redact_secrets, secrets_digest, spans_of
 
 
@@ -140,3 +144,81 @@ def test_lexed_spans_match_brute_force():
         got = sorted(a for a, b, k in spans_of(text) if k == 3)
         assert got == sorted(want), text
         assert all(b - a == 18 for a, b, k in spans_of(text) if k == 3), text
+
+
+MEGABYTE = {
+    "sums of sums": "\n".join(f"K{i} = " + " + ".join([f"K{i + 1}"] * 6) for i in range(20_000)) + f'\nK20000 = "{V}"\ndb_pwd = K0\n',
+    "one tag": "db_pwd <" + ' name="a"' * 110_000,
+    "closed tags": "db_pwd " + '<a name="b" value=' * 55_000,
+    "names of dots": "db_pwd <" + "a.b-" * 250_000,
+    "redefined in closed scopes": "{ K = 'abcdefgh12' }\n" * 48_000 + "db_pwd = K\n" * 100,
+    "used in closed scopes": "{ K = 'abcdefgh12' } db_pwd = K\n" * 30_000,
+    "nested scopes": "{ K = 'abcdefgh12'; db_pwd = K;\n" * 30_000,
+    "defined after": "db_pwd = K\n" * 40_000 + "{ K = 'abcdefgh12' }\n" * 20_000,
+    "unclosed quotes": "db_pwd = \"\n" * 100_000,
+    "escaped quotes": "db_pwd = " + '\\"' * 500_000,
+    "unclosed triples": "db_pwd = '''" + '\\"""' * 250_000,
+    "marks": "db_pwd " + "-" * 1_000_000,
+    "brackets": "db_pwd" + '["x"]' * 200_000 + " = 1",
+    "parentheses": "db_pwd = " + "(" * 1_000_000,
+    "chain": "a = " * 250_000 + f'db_pwd = "{V}"',
+    "long sum": "db_pwd = " + '"ab" + ' * 140_000 + '"cd"',
+    "ring": "\n".join(f"db_pwd{i} = 'x' + db_pwd{(i * 7 + 1) % 20_000}" for i in range(20_000)),
+    "lines": "db_pwd: |\n" + "  x\n" * 250_000,
+    "elements": "<db_pwd>" * 120_000,
+    "spaces": "db_pwd" + " " * 1_000_000 + "= x",
+    "bare": "db_pwd=" + "&a" * 500_000,
+    "backticks": "db_pwd = `" + "a" * 1_000_000,
+}
+
+
+@pytest.mark.parametrize("kind", sorted(MEGABYTE))
+def test_a_megabyte_takes_seconds(kind):
+    began = time.time()
+    spans_of(MEGABYTE[kind])
+    assert time.time() - began < 12  # some two seconds on an idle machine
+
+
+def test_short_texts_of_many_sums():
+    text = "\n".join(f"K{i} = " + " + ".join([f"K{i + 1}"] * 6) for i in range(8)) + f'\nK8 = "{V}"\ndb_pwd = K0\n'
+    assert lexed(text) == [V]
+
+
+def plain_meant(reader, name, place, part):
+    """The rule, over all pairs in order."""
+    found = [p for p in reader.pairs if name in p.names and p.parts[0] != part and reader.scopes[p.scope][0] <= place < reader.scopes[p.scope][1]]
+    before = [p for p in found if p.at < place]
+    return before[-1] if before else found[0] if found else None
+
+
+def test_references_match_brute_force():
+    """Random scopes and constants: every reference leads where the plain rule does, and literals are those that can be reached."""
+    rng = random.Random(8)
+    for _ in range(300):
+        lines = []
+        for _ in range(rng.randint(1, 25)):
+            name, other = rng.choice("ABC"), rng.choice("ABCD")
+            lines.append(rng.choice(["{", "}", "def f():", "    ", "{ ", f"{name} = 'value{rng.randint(0, 9)}'", f"{name} = 'x' + {other}", f"{name} = ('a' + {other} + {name})", f"  {name} = {other}", f"db_pwd = {name}"]))
+        reader = Reader("\n".join(lines))
+        reader.read()
+        values = Values(reader)
+        for i, p in enumerate(reader.pairs):
+            leads, spans = [], []
+            for part in p.parts:
+                if isinstance(part[0], int):
+                    spans.append(part)
+                elif (q := plain_meant(reader, part[0], part[1], part)) is not None:
+                    leads.append(next(k for k, r in enumerate(reader.pairs) if r is q))
+                elif part[2]:
+                    spans.append(part[2])
+            assert values.leads[i] == leads and values.literals[i] == spans, lines
+        for found in values.classes(list(range(len(reader.pairs)))):
+            for i in found:
+                assert set(found) <= closure(values, i)
+
+
+def closure(values, i):
+    seen, ring = {i}, [i]
+    while ring:
+        ring = [j for k in ring for j in values.leads[k] if j not in seen and not seen.add(j)]
+    return seen

@@ -22,21 +22,28 @@ from __future__ import annotations
 import re
 from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
-from itertools import chain
 
 _TOKEN = re.compile(
-    r"""(?P<triple>[bBrRfFuU]{0,2}(?:\"\"\"(?:[^\\]|\\.)*?\"\"\"|'''(?:[^\\]|\\.)*?'''))
-    |(?P<string>(?:[bBrRfFuU]{1,2}|[$@L])?"(?:[^"\\\n]|\\.)*+"|(?:[bBrRfFuU]{1,2}|L)?'(?:[^'\\\n]|\\.)*+'|`[^`]*+`)
+    r"""(?P<triple>[bBrRfFuU]{0,2}(?:\"\"\"|'''))
+    |(?P<string>(?:[bBrRfFuU]{1,2}|[$@L])?"|(?:[bBrRfFuU]{1,2}|L)?'|`)
     |(?P<name>[A-Za-z_$][\w$]*+(?:(?:\.|::|->|-(?!>))[A-Za-z_$][\w$]*+)*+)
     |(?P<number>\d[\w.]*+)
     |(?P<line>\n)
     |(?P<op>:=|=>|\?=|[=!<>]=|::|->|&&|\|\||[^\s\w])""",
     re.X | re.S | re.A,
 )
+#: From behind the mark that opens a string to behind the one that closes it.
+_CLOSING = {
+    '"""': re.compile(r'(?:[^\\"]|\\.|"(?!""))*+"""', re.S), "'''": re.compile(r"(?:[^\\']|\\.|'(?!''))*+'''", re.S),
+    '"': re.compile(r'(?:[^"\\\n]|\\.)*+"', re.S), "'": re.compile(r"(?:[^'\\\n]|\\.)*+'", re.S), "`": re.compile(r"[^`]*+`"),
+}
 _BARE = re.compile(r"""(?:(?!&[\w.\-]+=)[^\s"'`,;#(){}\[\]<>])+""")
 _AFTER_BARE = re.compile(r"[ \t]*(?:$|[\n,;#)}\]&<]|//|\\\n)")
-_ELEMENT = re.compile(r"<([A-Za-z_][\w.:\-]*+)(?:\s[^<>]*+)?>\s*([^<>\s][^<>]*?)\s*</\1>", re.A)
-_KEYED = re.compile(r"""<[^<>]*?\b(?:key|name)\s*=\s*["']([\w.:\-]+)["'][^<>]*?\bvalue\s*=\s*(["'])([^<>]*?)\2""", re.A)
+_TAG = re.compile(r"<(/?)([A-Za-z_][\w.:\-]*+)(\s[^<>]*+)?>", re.A)
+_INSIDE = re.compile(r"<([^<>]*+)")
+_ATTRIBUTE = re.compile(r"""([\w.:\-]++)(?:\s*+=\s*+(?:"([^"<>]*+)"|'([^'<>]*+)'))?+""", re.A)
+_KEY_NAME, _VALUE_NAME = re.compile(r"(?:.*\W)?(?:key|name)", re.A), re.compile(r"(?:.*\W)?value", re.A)
+_KEY_VALUE = re.compile(r"[\w.:\-]+", re.A)
 _BLOCK = re.compile(r"[|>][+\-\d]*[ \t]*(?:#[^\n]*)?\n")
 _KEY = re.compile(r"[\w.\-]{1,80}", re.A)
 SEPARATORS = {"=", ":=", ":", "=>", "?="}
@@ -63,17 +70,54 @@ def _content(text: str, kind: str, a: int, b: int) -> tuple[int, int]:
     return a + n, b - n
 
 
+def _tokens(text: str) -> list[tuple[str, int, int]]:
+    """(kind, begin, end) of the tokens.
+
+    Where a string does not end, no later one of its mark does before the place
+    that the search has come to (what it skipped were escapes), so that nothing
+    is searched twice.
+    """
+    out, at, open_until = [], 0, {}
+    for m in iter(lambda: _TOKEN.search(text, at), None):
+        kind, a, at = m.lastgroup, m.start(), m.end()
+        if kind in ("triple", "string"):
+            mark = text[at - 3 : at] if kind == "triple" else text[at - 1]
+            end = _CLOSING[mark].match(text, at) if at >= open_until.get(mark, 0) else None
+            if end:
+                at = end.end()
+            else:
+                if at >= open_until.get(mark, 0):
+                    line = text.find("\n", at) if mark in "\"'" else len(text)
+                    open_until[mark] = _unclosed_end(text, at, mark) if mark in "\"'" and line >= 0 else len(text)
+                # The mark alone; letters before it are a name, and two marks of three an empty string.
+                letters = a + len(m[0]) - len(m[0].lstrip("bBrRfFuUL$@"))
+                if letters > a:
+                    out.append(("name" if text[a] not in "@" else "op", a, letters))
+                kind, a, at = ("string", letters, letters + 2) if kind == "triple" else ("op", letters, letters + 1)
+        out.append((kind, a, at))
+    return out
+
+
+_UNCLOSED = {q: re.compile(rf"(?:[^{q}\\\n]|\\.)*+", re.S) for q in "\"'"}
+
+
+def _unclosed_end(text: str, at: int, mark: str) -> int:
+    """Where the search for the end of a string without one stops."""
+    return max(at, _UNCLOSED[mark].match(text, at).end())
+
+
 class Reader:
     def __init__(self, text: str):
         self.text = text
-        self.tokens = [(m.lastgroup, m.start(), m.end()) for m in _TOKEN.finditer(text)]
+        self.tokens = _tokens(text)
         self.starts = [t[1] for t in self.tokens]
+        self.ops = [text[a:b] if kind == "op" else None for kind, a, b in self.tokens]
         self.pairs: list[Pair] = []
         #: Where every scope begins and ends; the first is the whole text.
         self.scopes: list[list[int]] = [[0, len(text) + 1]]
 
     def is_op(self, i: int, *marks: str) -> bool:
-        return i < len(self.tokens) and self.tokens[i][0] == "op" and self.text[self.tokens[i][1] : self.tokens[i][2]] in marks
+        return i < len(self.ops) and self.ops[i] in marks
 
     def kind(self, i: int) -> str:
         return self.tokens[i][0] if i < len(self.tokens) else "line"
@@ -88,7 +132,7 @@ class Reader:
 
     def read(self) -> list[Pair]:
         open_: list[tuple[int, str, int]] = []  # (number, kind, indentation)
-        begins, i = True, 0
+        begins, i, line = True, 0, 0
 
         def enter(kind: str, at: int, indent: int):
             open_.append((len(self.scopes), kind, indent))
@@ -100,10 +144,10 @@ class Reader:
         while i < len(self.tokens):
             kind, a, b = self.tokens[i]
             if kind == "line":
-                begins, i = True, i + 1
+                begins, i, line = True, i + 1, b
                 continue
             if begins:
-                indent = a - (self.text.rfind("\n", 0, a) + 1)
+                indent = a - line
                 while open_ and open_[-1][1] == "def" and indent <= open_[-1][2]:
                     leave(a)
             word = self.text[a:b]
@@ -114,15 +158,38 @@ class Reader:
                     leave(b)
             if begins and kind == "name" and word in ("def", "class", "async"):
                 enter("def", a, indent)
-            i = self.target(i, begins, open_[-1][0] if open_ else 0)
+            was, i = i, i + 1 if kind in ("op", "number") else self.target(i, begins, open_[-1][0] if open_ else 0)
+            if kind != "op":
+                for j in range(was, min(i, len(self.tokens))):  # a value may hold line ends
+                    if self.tokens[j][0] in ("line", "string", "triple") and (end := self.text.rfind("\n", *self.tokens[j][1:])) >= 0:
+                        line = end + 1
             begins = begins and (kind == "op" and word in "-#/*;{," or kind == "name" and word.lower() in _OPENERS) or kind == "op" and word in "{,;&?("
-        for m in _ELEMENT.finditer(self.text):
-            self.pairs.append(Pair([m[1]], [m.span(2)], m.start()))
-        for m in _KEYED.finditer(self.text):
-            self.pairs.append(Pair([m[1]], [m.span(3)], m.start()))
+        self.tags()
         self.pairs.sort(key=lambda p: p.at)
         return self.pairs
 
+    def tags(self):
+        """Pairs of elements that hold text alone, and of key and value attributes of one tag."""
+        before = None
+        for m in _TAG.finditer(self.text):
+            if before and m[1] and not before[1] and m[2] == before[2]:
+                inner = self.text[before.end() : m.start()]
+                if inner.strip() and "<" not in inner and ">" not in inner:
+                    begin = before.end() + len(inner) - len(inner.lstrip())
+                    self.pairs.append(Pair([m[2]], [(begin, begin + len(inner.strip()))], before.start()))
+            before = m
+        for m in _INSIDE.finditer(self.text):
+            key = None
+            for found in _ATTRIBUTE.finditer(self.text, *m.span(1)):
+                value = 2 if found[2] is not None else 3
+                if found[value] is None:
+                    continue
+                if key is None and _KEY_NAME.fullmatch(found[1]) and _KEY_VALUE.fullmatch(found[value]):
+                    key = found[value]
+                elif key is not None and _VALUE_NAME.fullmatch(found[1]):
+                    self.pairs.append(Pair([key], [found.span(value)], m.start()))
+                    break
+
     def target(self, i: int, begins: bool, scope: int) -> int:
         """Read a pair if one starts at token i; the token to go on with."""
         names: list[str] = []
@@ -174,15 +241,18 @@ class Reader:
             k = self.type_end(j + 1)
             if k and k > j + 1:
                 return self.word(j), k + 1
+        path = [name]
         while self.is_op(j, "["):
             if self.kind(j + 1) == "string" and self.is_op(j + 2, "]"):
-                name, j = f"{name}.{self.key(j + 1) or ''}", j + 3
+                path.append(self.key(j + 1) or "")
+                j += 3
             elif self.is_op(j + 1, "]"):
                 j += 2
             elif self.kind(j + 1) in ("number", "name") and self.is_op(j + 2, "]"):
                 j += 3
             else:
                 return None
+        name = ".".join(path)
         if self.is_op(j, "?", "!") and self.is_op(j + 1, ":"):
             j += 1
         if not self.is_op(j, *SEPARATORS):
@@ -225,7 +295,7 @@ class Reader:
         m = _BLOCK.match(text, before + len(text[before : before + 80]) - len(text[before : before + 80].lstrip(" \t")))
         if m and text[self.tokens[i - 1][1]] == ":":
             return self.block(m.end(), self.tokens[i - 1][1])
-        while self.is_op(i, "(") or (depth and self.kind(i) == "line"):
+        while self.is_op(i, "(") or (depth and i < len(self.tokens) and self.kind(i) == "line"):
             depth += self.is_op(i, "(")
             i += 1
         plain = not depth
@@ -284,46 +354,133 @@ class Reader:
         return parts, bisect_right(self.starts, at - 1), None
 
 
-def _resolver(reader: Reader):
-    """A function from the parts of a value to the literals that they stand for."""
-    given: dict[str, list[Pair]] = {}
-    for p in reader.pairs:
-        for n in p.names:
-            given.setdefault(n, []).append(p)
-    places = {n: [p.at for p in found] for n, found in given.items()}
-
-    def meant(name, place, part) -> Pair | None:
-        found = given.get(name, [])
-        at = bisect_left(places[name], place) if found else 0
-        for k in chain(range(at - 1, -1, -1), range(at, len(found))):
-            begin, end = reader.scopes[found[k].scope]
-            if begin <= place < end and found[k].parts[0] != part:
-                return found[k]
-        return None
-
-    def literals(parts, seen=()):
-        out = []
-        for part in parts:
-            if isinstance(part[0], int):
-                out.append(part)
-                continue
-            name, place, bare = part
-            if name in seen or len(seen) > 8:
+class _Given:
+    """The pairs that give one name a value, by place, searched by the scopes they are in."""
+
+    def __init__(self, pairs: list[int], reader: Reader):
+        self.pairs = pairs
+        self.places = [reader.pairs[i].at for i in pairs]
+        scopes = [reader.scopes[reader.pairs[i].scope] for i in pairs]
+        self.size = 1 << len(pairs).bit_length()  # more than there are pairs
+        # Trees of the furthest end and the nearest begin of a stretch of pairs.
+        far = max(e for _, e in scopes) + 1
+        self.ends = [0] * self.size + [e for _, e in scopes] + [0] * (self.size - len(pairs))
+        self.begins = [0] * self.size + [b for b, _ in scopes] + [far] * (self.size - len(pairs))
+        for i in range(self.size - 1, 0, -1):
+            self.ends[i] = max(self.ends[2 * i], self.ends[2 * i + 1])
+            self.begins[i] = min(self.begins[2 * i], self.begins[2 * i + 1])
+
+    def before(self, k: int, place: int) -> int:
+        """The last pair below k whose scope ends behind the place, or -1."""
+        i = k + self.size
+        while i > 1:
+            if i & 1 and self.ends[i - 1] > place:
+                i -= 1
+                while i < self.size:
+                    i = 2 * i + (self.ends[2 * i + 1] > place)
+                return i - self.size
+            i >>= 1
+        return -1
+
+    def after(self, k: int, place: int) -> int:
+        """The first pair from k on whose scope begins before the place, or -1."""
+        if k >= len(self.pairs):
+            return -1
+        i = k + self.size
+        while not self.begins[i] <= place:
+            while i & 1:
+                i >>= 1
+            if not i:
+                return -1
+            i += 1
+            if i & (i - 1) == 0:  # past the last one of its row
+                return -1
+        while i < self.size:
+            i = 2 * i + (not self.begins[2 * i] <= place)
+        return i - self.size
+
+
+class Values:
+    """What the names in the values of a text stand for: every reference is resolved once."""
+
+    def __init__(self, reader: Reader):
+        self.pairs = reader.pairs
+        names: dict[str, list[int]] = {}
+        for i, p in enumerate(reader.pairs):
+            for n in dict.fromkeys(p.names):
+                names.setdefault(n, []).append(i)
+        given = {}
+        self.literals: list[list[tuple[int, int]]] = []
+        self.leads: list[list[int]] = []
+        for p in reader.pairs:
+            spans, leads = [], []
+            for part in p.parts:
+                if isinstance(part[0], int):
+                    spans.append(part)
+                    continue
+                name, place, bare = part
+                if name in names and name not in given:
+                    given[name] = _Given(names[name], reader)
+                meant = self._meant(given[name], place, part) if name in given else -1
+                if meant >= 0:
+                    leads.append(meant)
+                elif bare:
+                    spans.append(bare)
+            self.literals.append(spans)
+            self.leads.append(leads)
+
+    def _meant(self, given: _Given, place: int, part: tuple) -> int:
+        """The last value given before in a scope that the place can see, else the first given after; not its own."""
+        at = bisect_left(given.places, place)
+        k = given.before(at, place)
+        while k >= 0 and self.pairs[given.pairs[k]].parts[0] == part:
+            k = given.before(k, place)
+        if k < 0:
+            k = given.after(at, place)
+            while k >= 0 and self.pairs[given.pairs[k]].parts[0] == part:
+                k = given.after(k + 1, place)
+        return given.pairs[k] if k >= 0 else -1
+
+    def classes(self, pairs: list[int]) -> list[list[int]]:
+        """The pairs that these lead to, in classes that lead to each other, those led to first."""
+        number, low, stack, done, out = {}, {}, [], set(), []
+        for root in pairs:
+            if root in number:
                 continue
-            p = meant(name, place, part)
-            out += literals(p.parts, (*seen, name)) if p else [bare] if bare else []
+            number[root] = low[root] = len(number)
+            stack.append(root)
+            work = [(root, iter(self.leads[root]))]
+            while work:
+                i, leads = work[-1]
+                for j in leads:
+                    if j not in number:
+                        number[j] = low[j] = len(number)
+                        stack.append(j)
+                        work.append((j, iter(self.leads[j])))
+                        break
+                    if j not in done:
+                        low[i] = min(low[i], number[j])
+                else:
+                    work.pop()
+                    if work:
+                        low[work[-1][0]] = min(low[work[-1][0]], low[i])
+                    if low[i] == number[i]:
+                        found = []
+                        while not found or found[-1] != i:
+                            found.append(stack.pop())
+                        done.update(found)
+                        out.append(found)
         return out
 
-    return literals
-
-
-def name_literals(text: str) -> list[tuple[list[str], list[tuple[int, int]]]]:
-    """(target names, spans of the literals that make its value, in order) of every assignment."""
-    reader = Reader(text)
-    reader.read()
-    literals = _resolver(reader)
-    out = []
-    for p in reader.pairs:
-        if spans := literals(p.parts):
-            out.append((p.names, spans))
-    return out
+    def reached(self, pairs: list[int]) -> list[tuple[int, int]]:
+        """The literals that these pairs stand for, each once."""
+        seen, ring = set(pairs), list(pairs)
+        spans = {}
+        while ring:
+            i = ring.pop()
+            spans.update(dict.fromkeys(self.literals[i]))
+            for j in self.leads[i]:
+                if j not in seen:
+                    seen.add(j)
+                    ring.append(j)
+        return list(spans)

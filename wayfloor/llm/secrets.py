@@ -17,13 +17,15 @@ from __future__ import annotations
 
 import hashlib
 import re
+import string
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfloor.llm.common import small
-from wayfloor.llm.lexing import name_literals
+from wayfloor.llm.lexing import Reader, Values
 
 # The base patterns, their least lengths, and the order of kinds.
 ASSIGN = r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
@@ -70,30 +72,72 @@ def name_score(name: str) -> float:
     return sum(SENSITIVE.get(w, 0.0) for w in words)
 
 
-def literal_score(value: str) -> float:
-    """How much a literal looks like a credential: length, mixture and variety of characters."""
-    if len(value) < ASSIGN_LEAST or " " in value or PLACEHOLDER.match(value):
-        return 0.0
-    classes = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
-    variety = len(set(value)) / min(len(value), 16)
-    return 0.3 * classes * min(1.0, variety)
+@dataclass
+class Look:
+    """What a score needs to know of a value: of a sum, of all its parts."""
+
+    length: int = 0  #: up to 16
+    characters: frozenset = frozenset()  #: up to 96 of them
+    blank: bool = False
+    placeholder: bool = False  #: of a single literal
+    best: float = 0.0  #: the best score of a part alone
+
+    def plus(self, other: Look) -> Look:
+        if not other.length:
+            return self
+        if not self.length:
+            return other
+        characters = self.characters if other.characters <= self.characters else frozenset(sorted(self.characters | other.characters)[:96])
+        return Look(min(16, self.length + other.length), characters, self.blank or other.blank, False, max(self.best, other.best))
+
+    def score(self) -> float:
+        """How much it looks like a credential: length, mixture and variety of characters."""
+        if self.length < ASSIGN_LEAST or self.blank or self.placeholder:
+            return 0.0
+        classes = sum(any(test(c) for c in self.characters) for test in _CLASSES)
+        return 0.3 * classes * min(1.0, len(self.characters) / self.length)
+
+
+_LOWER, _UPPER, _DIGIT = (frozenset(x) for x in (string.ascii_lowercase, string.ascii_uppercase, string.digits))
+_CLASSES = (_LOWER.__contains__, _UPPER.__contains__, _DIGIT.__contains__, lambda c: c not in _LOWER and c not in _UPPER and c not in _DIGIT)
+
+
+def look_of(value: str) -> Look:
+    look = Look(min(16, len(value)), frozenset(sorted(set(value))[:96]), " " in value, bool(PLACEHOLDER.match(value)))
+    look.best = look.score()
+    return look
 
 
 def lexed_spans(text: str) -> list[tuple[int, int, int]]:
-    """Literals of assignments whose target name, or a name they flow to, is sensitive."""
+    """Literals of assignments whose target name, or a name they flow to, is sensitive.
+
+    A name may stand for a sum of sums; every reference, literal and pair is
+    looked at once, whatever leads to it.
+    """
     low = text.lower()
     if not any(w in low for w in _HINTS):
         return []
-    out = set()
-    for names, spans in name_literals(text):
-        by_name = max(map(name_score, names))
-        if not by_name:
-            continue
-        lines = [text[a:b] for a, b in spans]
-        by_value = max(literal_score("".join(lines)), *map(literal_score, lines))
-        if by_value and by_name + by_value >= LEXED_THRESHOLD:
-            out.update((a, b, 3) for a, b in spans if b > a)
-    return list(out)
+    reader = Reader(text)
+    reader.read()
+    by_name = {i: s for i, p in enumerate(reader.pairs) if (s := max(map(name_score, p.names)))}
+    if not by_name:
+        return []
+    values = Values(reader)
+    looks: dict[int, Look] = {}
+    of_span: dict[tuple[int, int], Look] = {}
+    for found in values.classes(list(by_name)):
+        inside, look = set(found), Look()
+        for i in sorted(found):
+            for span in values.literals[i]:
+                if span not in of_span:
+                    of_span[span] = look_of(text[slice(*span)])
+                look = look.plus(of_span[span])
+            for j in dict.fromkeys(values.leads[i]):
+                if j not in inside:
+                    look = look.plus(looks[j])
+        looks.update(dict.fromkeys(found, look))
+    secret = [i for i, s in by_name.items() if (v := max(looks[i].score(), looks[i].best)) and s + v >= LEXED_THRESHOLD]
+    return [(a, b, 3) for a, b in values.reached(secret) if b > a]
 
 
 def spans_of(text: str) -> list[tuple[int, int, int]]:
