@@ -9,9 +9,10 @@ stood alone.  Decoding concatenates the raw bytes of the ids.
 
 Why the ids are right: the first chunk is in step with the whole text.  A match
 depends only on where it begins and on what follows, so a chunk that shares a
-boundary with a neighbour in step is in step from there on.  The first chunk
-without a common point breaks the chain: what follows has boundaries that prove
-nothing, so the rest of the text stays one piece.  Cut points come after a
+boundary with a neighbour in step is in step from there on.  A chunk without a
+common point is pre-tokenised again from the last boundary in step, until a
+boundary is one of a chunk's own; a piece is longer than a chunk or two only
+where one match of the pattern is.  Cut points come after a
 character that is no white space: look-ahead for white space, the only context
 the pattern uses, then sees the same on both sides.
 
@@ -98,50 +99,62 @@ def _split(docs, pattern, id_col="doc_id", text_col="text", chunk_chars=CHUNK_CH
     return short, _pieces(rows.where(F.length("t") > chunk_chars), id_col, pattern, chunk_chars, overlap_chars)
 
 
+def _inner(part: str, pattern: str, whole: bool) -> np.ndarray:
+    """Boundaries of a text; where it goes on (not ``whole``), its last match may have been cut short."""
+    found = boundaries(part, pattern)
+    return found if whole or not len(found) else found[:-1]
+
+
 def _pieces(long: DataFrame, id_col: str, pattern: str, chunk: int, overlap: int) -> DataFrame:
     """Texts cut at the points where the chunks resynchronise."""
     id_type = long.schema[id_col].dataType.simpleString()
-    # Whole repeated rows share a key: they are cut once and counted.
-    docs = long.groupBy("doc_key").agg(F.first(id_col).alias(id_col), F.first("t").alias("t"), F.count(F.lit(1)).alias("copies"))
 
     def cut(batches):
         for batch in small(batches, 16):
             rows, ks, lasts, parts = [], [], [], []
-            for i, t in enumerate(batch.column(3).to_pylist()):
+            for i, t in enumerate(batch.column(2).to_pylist()):
                 starts = range(0, len(t), chunk)
                 rows += [i] * len(starts)
                 ks += range(len(starts))
                 lasts += [len(starts) - 1] * len(starts)
                 parts += [t[at : at + chunk + overlap] for at in starts]
             take = pa.array(rows, pa.int64())
-            kept = [batch.column(c).take(take) for c in range(3)]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(ks, pa.int64()), pa.array(lasts, pa.int64()), pa.array(parts, pa.string())], names=["doc_key", id_col, "copies", "k", "last", "part"])
+            kept = [batch.column(c).take(take) for c in range(2)]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(ks, pa.int64()), pa.array(lasts, pa.int64()), pa.array(parts, pa.string())], names=["doc_key", id_col, "k", "last", "part"])
 
-    chunks = docs.select("doc_key", id_col, "copies", "t").mapInArrow(cut, f"doc_key long, `{id_col}` {id_type}, copies long, k long, last long, part string")
-    chunks = materialize(chunks.repartition("doc_key", "k"), "chunks")
+    chunks = long.select("doc_key", id_col, "t").mapInArrow(cut, f"doc_key long, `{id_col}` {id_type}, k long, last long, part string")
+    # Whole repeated rows share a key: they are encoded once and counted.
+    chunks = materialize(chunks.groupBy("doc_key", "k").agg(F.first(id_col).alias(id_col), F.first("last").alias("last"), F.first("part").alias("part"), F.count(F.lit(1)).alias("copies")), "chunks")
 
     def bounds(batches):
         many = pa.list_(pa.int64())
         for batch in small(batches, 16):
-            heads, tails = [], []
-            for part in batch.column(2).to_pylist():
-                b = boundaries(part, pattern)
-                if len(part) == chunk + overlap and len(b):
-                    b = b[:-1]  # the last match may have been cut short by the chunk's end
-                heads.append(b[b < overlap].tolist())
-                tails.append((b[(b >= chunk) & (b < chunk + overlap)] - chunk).tolist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(heads, many), pa.array(tails, many)], names=["doc_key", "k", "heads", "tails"])
-
-    found = materialize(chunks.select("doc_key", "k", "part").mapInArrow(bounds, "doc_key long, k long, heads array<long>, tails array<long>"), "bounds")
-    before = found.select("doc_key", (F.col("k") + 1).alias("k"), F.col("tails").alias("before"))
-    common = found.join(before, ["doc_key", "k"], "left").select("doc_key", "k", F.array_min(F.array_intersect("before", "heads")).alias("cut"))
+            heads, tails, ends = [], [], []
+            for k, last, part in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3))):
+                b = _inner(part, pattern, k == last or len(part) < chunk + overlap)
+                heads.append(b[b < min(overlap, chunk)].tolist())
+                tails.append((b[(b >= chunk) & (b < 2 * chunk)] - chunk).tolist())
+                ends.append(int(b[-1]) if len(b) else 0)
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in range(3)), pa.array(heads, many), pa.array(tails, many), pa.array(ends, pa.int64())], names=["doc_key", "k", "last", "heads", "tails", "end"]
+            )
+
+    found = chunks.select("doc_key", "k", "last", "part").mapInArrow(bounds, "doc_key long, k long, last long, heads array<long>, tails array<long>, end long")
+    found = materialize(found, "bounds")
+    before = found.select("doc_key", (F.col("k") + 1).alias("k"), F.col("tails").alias("before"), F.col("end").alias("anchor"))
+    cuts = found.join(before, ["doc_key", "k"], "left").select("doc_key", "k", "last", F.array_min(F.array_intersect("before", "heads")).alias("cut"), "anchor")
+    cuts = _repaired(materialize(cuts, "cuts"), chunks, pattern, chunk, overlap)
+
     upto = Window.partitionBy("doc_key").orderBy("k")
-    cuts = common.withColumn("in_step", F.min(F.col("cut").isNotNull() | (F.col("k") == 0)).over(upto)).withColumn("cut", F.when(F.col("in_step"), F.col("cut")))
-    cuts = cuts.select("doc_key", "k", "cut", F.lead("cut").over(upto).alias("next"), F.count("cut").over(upto).alias("piece"), F.count("cut").over(Window.partitionBy("doc_key")).alias("last_piece"))
-    begin = F.coalesce("cut", F.lit(0))
-    end = F.when(F.col("k") == F.col("last"), F.length("part")).otherwise(chunk + F.coalesce("next", F.lit(0)))
-    text = F.substring(F.col("part"), (begin + 1).cast("int"), (end - begin).cast("int"))
-    segments = chunks.join(cuts, ["doc_key", "k"]).select("doc_key", id_col, "copies", "piece", "last_piece", F.struct("k", text.alias("text")).alias("segment"))
+    numbered = cuts.select("doc_key", "k", "cut", F.count("cut").over(upto).alias("piece"), F.count("cut").over(Window.partitionBy("doc_key")).alias("last_piece"))
+    own = F.substring("part", 1, chunk)
+    begin = F.coalesce("cut", F.lit(0)).cast("int")
+    sides = F.array(
+        F.struct(F.when(F.col("cut") > 0, F.col("piece") - 1).alias("piece"), F.substring(own, F.lit(1), begin).alias("text")),
+        F.struct(F.col("piece").alias("piece"), F.substring(own, begin + 1, F.lit(chunk)).alias("text")),
+    )
+    segments = chunks.join(numbered, ["doc_key", "k"]).select("doc_key", id_col, "copies", "last_piece", "k", F.explode(sides).alias("s")).where("s.piece IS NOT NULL")
+    segments = segments.select("doc_key", id_col, "copies", "last_piece", "s.piece", F.struct("k", F.col("s.text").alias("text")).alias("segment"))
     pieces = segments.groupBy("doc_key", "piece").agg(
         F.first(id_col).alias(id_col), F.first("copies").alias("copies"), F.first("last_piece").alias("last_piece"), F.sort_array(F.collect_list("segment")).alias("segments")
     )
@@ -149,6 +162,66 @@ def _pieces(long: DataFrame, id_col: str, pattern: str, chunk: int, overlap: int
     return pieces.select("doc_key", id_col, "piece", "last_piece", joined, F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).drop("col")
 
 
+def _repaired(cuts: DataFrame, chunks: DataFrame, pattern: str, chunk: int, overlap: int) -> DataFrame:
+    """``cuts(doc_key, k, last, cut, anchor)`` with every chunk joined in step to the one before.
+
+    A chunk without a common point is pre-tokenised again from the last boundary
+    of the chunk before (``anchor``), together with what follows it, until a
+    boundary is one of a chunk's own; the chunks passed by then are cut at the
+    boundaries found.  All such places of all texts are done in the same round;
+    those that are not in step by then look twice as far in the next one, so
+    rounds grow with the logarithm of the longest stretch out of step.
+    """
+    waiting, reach = None, 1
+    while True:
+        # The first of every run of chunks out of step; an anchor moves on with the boundaries that a round found.
+        follows = F.coalesce(F.lag("cut").over(Window.partitionBy("doc_key").orderBy("k")).isNull() & (F.col("k") > 1), F.lit(False))
+        todo = cuts.withColumn("follows", follows).where(F.col("cut").isNull() & (F.col("k") > 0) & ~F.col("follows")).select("doc_key", "k", "last", (F.col("k") - 1).alias("a"), F.coalesce("anchor", F.lit(0)).alias("p"))
+        if waiting is not None:
+            todo = waiting.unionByName(todo.join(waiting.select("doc_key").distinct(), "doc_key", "left_anti"))
+        todo = materialize(todo, "out-of-step")
+        if not todo.limit(1).count():
+            return cuts.select("doc_key", "k", F.when(F.col("cut") >= 0, F.col("cut")).alias("cut"))
+        reach *= 2
+        upto = F.least(F.col("k") + reach - 1, "last")
+        parts = todo.select("*", F.explode(F.sequence("a", upto)).alias("at")).join(chunks.select("doc_key", F.col("k").alias("at"), "part"), ["doc_key", "at"])
+        texts = parts.groupBy("doc_key", "k", "last", "a", "p").agg(F.sort_array(F.collect_list(F.struct("at", "part"))).alias("parts"))
+
+        def repair(batches):
+            for batch in small(batches, 4):
+                out = []
+                for key, k, last, a, p, found in zip(*(c.to_pylist() for c in batch.columns)):
+                    n = found[-1]["at"]
+                    text = "".join(x["part"][:chunk] for x in found[:-1]) + found[-1]["part"]
+                    new = _inner(text[p:], pattern, n == last or len(found[-1]["part"]) < chunk + overlap) + p
+                    synced = False
+                    for x in found:
+                        if x["at"] < k:
+                            continue
+                        zero = (x["at"] - a) * chunk
+                        here = new[(new >= zero) & (new < zero + chunk)] - zero
+                        own = _inner(x["part"], pattern, x["at"] == last or len(x["part"]) < chunk + overlap)
+                        both = np.intersect1d(here, own)
+                        synced = len(both) > 0
+                        # -1: no boundary in the whole chunk, which is settled all the same.
+                        out.append((key, x["at"], int(both[0]) if synced else int(here[0]) if len(here) else -1, None, None))
+                        if synced:
+                            break
+                    if not synced and n < last:
+                        end = int(new[new < (n + 1 - a) * chunk].max(initial=p))
+                        out.append((key, n + 1, None, a + end // chunk, end % chunk))
+                kinds = [pa.int64()] * 5
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=["doc_key", "k", "new", "a", "p"])
+
+        done = materialize(texts.select("doc_key", "k", "last", "a", "p", "parts").mapInArrow(repair, "doc_key long, k long, new long, a long, p long"), "repaired")
+        told = cuts.join(done.select("doc_key", "k", "new", F.col("a").isNotNull().alias("again")), ["doc_key", "k"], "left")
+        lasts = cuts.select("doc_key", "k", "last")
+        waiting = materialize(done.where("a IS NOT NULL").select("doc_key", "k", "a", "p").join(lasts, ["doc_key", "k"]).select("doc_key", "k", "last", "a", "p"), "waiting")
+        # A chunk behind one that is cut anew is out of step until it is looked at.
+        fresh = F.when(F.coalesce("again", F.lit(False)), F.lit(None)).otherwise(F.coalesce("new", "cut"))
+        cuts = materialize(told.select("doc_key", "k", "last", fresh.alias("cut"), "anchor"), "cuts")
+
+
 def _encode_pieces(pieces: DataFrame, id_col: str, path: str, pattern: str) -> DataFrame:
     id_type = pieces.schema[id_col].dataType.simpleString()
 
