@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from wayfloor.functions.shared import saved
 from wayfloor.operators import components as C
+from wayfloor.operators.greedy import apart, nearest_choice
 from wayfloor.operators.points import cell
+from wayfloor.streaming.replay import numbered
 
 
 def line_fit(groups: DataFrame, keys: list[str], x: str = "x", z: str = "z", flat_r2: float = 1.0) -> DataFrame:
@@ -148,25 +150,16 @@ def section_candidates(points: DataFrame, strip: float = 0.5, step: float = 0.20
 def radius_clusters(candidates: DataFrame, radius: float) -> DataFrame:
     """Adds ``cluster``: by heading, strip and place, the first free candidate takes all free ones nearer than the radius to it.
 
-    The rule is sequential and not transitive; candidates are few, a segment a
-    strip and heading, so they meet in one group.
+    The rule is not transitive.  The first of every cluster are a greedy choice
+    of candidates that are apart; each of the others belongs to the first of
+    those near it, whose number names the cluster.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["heading", "strip_y", "x0"], kind="stable").reset_index(drop=True)
-        mx, my = (pdf["wx0"] + pdf["wx1"]).to_numpy() / 2, (pdf["wy0"] + pdf["wy1"]).to_numpy() / 2
-        cluster = [-1] * len(pdf)
-        for i in range(len(pdf)):
-            if cluster[i] < 0:
-                near = ((mx - mx[i]) ** 2 + (my - my[i]) ** 2) ** 0.5 < radius
-                for j in range(i, len(pdf)):
-                    if cluster[j] < 0 and (j == i or near[j]):
-                        cluster[j] = i
-        pdf["cluster"] = cluster
-        return pdf
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in candidates.schema) + ", cluster long"
-    return candidates.groupBy(F.lit("all")).applyInPandas(run, schema)
+    middle = lambda a, b: (F.col(a) + F.col(b)) / 2
+    order = F.struct("heading", "strip_y", "x0", "x1", "wx0", "wy0", "wx1", "wy1")
+    placed = saved(numbered(candidates.withColumn("__order", order), "__order", "__id").withColumn("__id", F.col("__id") - 1).drop("__order"))
+    places = placed.select(F.col("__id").alias("id"), middle("wy0", "wy1").alias("y"), middle("wx0", "wx1").alias("x"), F.col("__id").alias("rank"))
+    own = nearest_choice(places, saved(apart(places, radius)), radius).select(F.col("id").alias("__id"), F.col("choice").cast("long").alias("cluster"))
+    return placed.join(own, "__id").drop("__id")
 
 
 def section_ramps(points: DataFrame, max_slope: float = 35.0, radius: float = 5.0, strip: float = 0.5, least_length: float = 1.0, least_rise: float = 0.10, least_width: float = 0.8) -> DataFrame:

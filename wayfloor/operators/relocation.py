@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfloor.functions.shared import saved
 from wayfloor.operators import grid as G
 from wayfloor.operators import horizontal as H
+from wayfloor.operators.greedy import apart
 
 #: Zones nearer than this (Manhattan, cells) to a better one are dropped; so many are tried.
 APART, TRIED = 20, 80
@@ -70,18 +70,12 @@ def doorways(cells: DataFrame) -> DataFrame:
 
 
 def _apart(candidates: DataFrame) -> DataFrame:
-    """Down the order of ``score``, candidates that are not near a better one, ``TRIED`` of them; sequential, one group for one object."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list[tuple[int, int]] = []
-        for y, x in pdf.sort_values(["score", "gy", "gx"], ascending=[False, True, True])[["gy", "gx"]].itertuples(index=False, name=None):
-            if len(kept) >= TRIED:
-                break
-            if all(abs(y - a) + abs(x - b) >= APART for a, b in kept):
-                kept.append((y, x))
-        return pd.DataFrame({"zone_id": range(len(kept)), "gy": [c[0] for c in kept], "gx": [c[1] for c in kept]}, columns=["zone_id", "gy", "gx"])
-
-    return candidates.groupBy(F.lit("all")).applyInPandas(run, "zone_id long, gy long, gx long")
+    """Down the order of ``score``, candidates ``(gy, gx, score)`` that are not near a better one, ``TRIED`` of them, numbered from 0."""
+    number = F.col("gy").cast("long") * (1 << 24) + F.col("gx")
+    places = saved(candidates.select("gy", "gx", "score").distinct().select("gy", "gx", number.alias("id"), F.col("gy").alias("y"), F.col("gx").alias("x"), F.struct(-F.col("score"), "gy", "gx").alias("rank")))
+    kept = places.join(apart(places, APART, manhattan=True), "id", "left_semi").orderBy("rank").limit(TRIED)
+    # The first few are one small group.
+    return kept.withColumn("zone_id", (F.row_number().over(Window.orderBy("rank")) - 1).cast("long")).select("zone_id", F.col("gy").cast("long").alias("gy"), F.col("gx").cast("long").alias("gx"))
 
 
 def relocation_zones(cells: DataFrame, thing: DataFrame, rx: int, ry: int, resolution: float, peers: DataFrame | None = None, relax: int = 0, k: int = 5) -> DataFrame:

@@ -12,9 +12,12 @@ from wayfloor.operators import grid as G
 from wayfloor.operators import maps as M
 from wayfloor.operators import robots as B
 from wayfloor.operators.planners import HEADINGS, MODELS, coverage_paths, pose_moves, reachable_by_model, reachable_poses
-from wayfloor.plans.grid_queries import obstacle_grid, occupancy_sql
+from wayfloor.operators.tours import tree_tours
+from wayfloor.plans.grid_queries import OCC, obstacle_grid, occupancy_sql
+from wayfloor.plans.reach_queries import cc_sql
 from wayfloor.plans.registry import query, rounded
 
+TILES = "tl AS (SELECT gy // 4 AS gy, gx // 4 AS gx FROM grid GROUP BY ALL HAVING bool_and(NOT occ) AND count(*) = 16)"
 OCC10 = occupancy_sql("1e-1")
 
 
@@ -31,7 +34,27 @@ def _planner(name, planner):
     return path
 
 
-for _name, _planner_name in (("p1_spanning_tree_path", "stc"), ("p2_column_sweep_path", "bcd"), ("p3_wavefront_path", "wavefront"), ("p4_column_runs_path", "morse"), ("p5_frontier_path", "frontier")):
+@query("p1_spanning_tree_path")
+def p1(spark, d):
+    return tree_tours(free_tiles(spark, d))
+
+
+@query(
+    "p1_spanning_tree_cover",
+    f", {OCC}, {TILES}, {cc_sql('tl', 'sp')}, s AS (SELECT c.l, CAST(sum(r.b - r.a + 1) AS BIGINT) AS n FROM spcc c JOIN spruns r USING (id) GROUP BY c.l), m AS (SELECT l, n FROM s ORDER BY n DESC, l LIMIT 1), cs AS (SELECT r.gy, unnest(range(r.a, r.b + 1)) AS gx FROM spcc c JOIN spruns r USING (id) JOIN m USING (l)) SELECT gy, gx, (SELECT n FROM m) AS tiles, 2 * (SELECT n FROM m) - 1 AS visits, 0 AS jumps FROM cs",
+    recursive=True,
+)
+def p1c(spark, d):
+    """The tiles that the tour covers, with how long it is and how many of its steps do not lead to a neighbour."""
+    path = saved(tree_tours(free_tiles(spark, d)))
+    after = path.select("map_id", (F.col("seq") - 1).alias("seq"), F.col("gy").alias("y2"), F.col("gx").alias("x2"))
+    step = F.abs(F.col("gy") - F.col("y2")) + F.abs(F.col("gx") - F.col("x2"))
+    jumps = path.join(after, ["map_id", "seq"]).agg(F.count_if(step != 1).alias("jumps"))
+    n = path.agg(F.count(F.lit(1)).alias("visits"), F.count_distinct("gy", "gx").alias("tiles"))
+    return path.select("gy", "gx").distinct().join(F.broadcast(n)).join(F.broadcast(jumps)).select("gy", "gx", "tiles", "visits", F.col("jumps").cast("int").alias("jumps"))
+
+
+for _name, _planner_name in (("p2_column_sweep_path", "bcd"), ("p3_wavefront_path", "wavefront"), ("p4_column_runs_path", "morse"), ("p5_frontier_path", "frontier")):
     _planner(_name, _planner_name)
 
 
