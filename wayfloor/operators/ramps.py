@@ -53,7 +53,7 @@ def slope_candidates(cells: DataFrame, size: float, least_slope: float = 5.0, le
 
 def slope_ramps(cells: DataFrame, size: float, least_length: float = 1.0, least_width: float = 0.5, least_area: float = 1.0, least_rise: float = 0.15) -> DataFrame:
     """Ramps from a grid of slopes: size, direction consistency and rise decide; angle is the median slope."""
-    c = slope_candidates(cells, size, least_area=least_area)
+    c = saved(slope_candidates(saved(cells), size, least_area=least_area))
     stats = c.groupBy("component").agg(F.median("slope").alias("angle"), (F.max("z") - F.min("z")).alias("rise"))
     found = principal_extent(c, ["component"], size).join(direction_consistency(c, ["component"]), "component").join(stats, "component")
     found = found.withColumn("area", F.col("cells") * size * size)

@@ -50,9 +50,14 @@ HEIGHTS = f"""{ANCHOR}, {meta_sql('2e-1')}, {CELLS}, obs AS (SELECT {bin_sql('2e
     hm AS (SELECT c.gy, c.gx, c.w, c.h, o.z FROM cells c LEFT JOIN obs o USING (gy, gx))"""
 
 
-def height_grid(spark, d, size=0.2, least=3):
-    """Dense ``(gy, gx, z)`` with nulls, and the geometry."""
+#: The same of the points without a class, so of floor without walls and things.
+FLOOR_HEIGHTS = HEIGHTS.replace("FROM scan, meta, anc WHERE", "FROM scan, meta, anc WHERE label = 0 AND")
+
+
+def height_grid(spark, d, size=0.2, least=3, label=None):
+    """Dense ``(gy, gx, z)`` with nulls, and the geometry; of the points of one label, if there is one."""
     df, facts = scan_facts(spark, d)
+    df = df if label is None else df.where(F.col("label") == label)
     meta = G.geometry(facts, size, 0.5)
     p = P.preset_of(facts).select(F.col("anchor").alias("z_min"), (F.col("anchor") + 1.0).alias("z_max"))
     band = df.join(F.broadcast(p)).where(F.col("z").between(F.col("z_min"), F.col("z_max")))
@@ -73,10 +78,12 @@ def a5(spark, d):
     return obstacle_grid(spark, d)
 
 
-@query("a10_internal_cell_size", ", r(res) AS (VALUES (5e-2), (1e-1), (3e-1)) SELECT res, round(res * greatest(1, ceil(2e-1 / res)), 6) AS size FROM r")
+@query("a10_internal_cell_size", ", r(res) AS (VALUES (5e-2), (1e-1), (3e-1)), z AS (SELECT res, res * greatest(1, ceil(2e-1 / res)) AS size FROM r), c AS (SELECT DISTINCT res, size, floor(y / size) AS gy, floor(x / size) AS gx FROM scan, z) SELECT res, round(size, 6) AS size, count(*) AS cells FROM c GROUP BY 1, 2")
 def a10(spark, d):
-    r = spark.createDataFrame([(0.05,), (0.1,), (0.3,)], "res double")
-    return rounded(r.select("res", (F.col("res") * F.greatest(F.lit(1).cast("long"), F.ceil(F.lit(0.2) / F.col("res")))).alias("size")))
+    """The cells of the scan at the size that terrain is judged on, for some resolutions of the map."""
+    r = spark.createDataFrame([(0.05,), (0.1,), (0.3,)], "res double").withColumn("size", F.col("res") * F.greatest(F.lit(1).cast("long"), F.ceil(F.lit(0.2) / F.col("res"))))
+    cells = scan(spark, d).join(F.broadcast(r)).select("res", "size", F.floor(F.col("y") / F.col("size")).alias("gy"), F.floor(F.col("x") / F.col("size")).alias("gx")).distinct()
+    return rounded(cells.groupBy("res", "size").agg(F.count(F.lit(1)).alias("cells")))
 
 
 @query("a18_obstacle_counts", f", {OCC} SELECT count(*) FILTER (occ) AS occupied, count(*) FILTER (NOT occ) AS free, round(count(*) FILTER (occ) * 25e-4, 4) AS occupied_area, round(count(*) FILTER (NOT occ) * 25e-4, 4) AS free_area FROM grid")
@@ -138,31 +145,48 @@ def f9(spark, d):
     return out.agg(F.sum(F.col("blocked").cast("long")).alias("blocked"), F.sum(F.col("floor").cast("long")).alias("floor"))
 
 
-@query(
-    "f10_selection_geometry",
-    f", {POLY_SQL}, s AS (SELECT sum(x1 * y2 - x2 * y1) AS a, sum((x1 + x2) * (x1 * y2 - x2 * y1)) AS cx, sum((y1 + y2) * (x1 * y2 - x2 * y1)) AS cy, min(x1) AS x_min, max(x1) AS x_max, min(y1) AS y_min, max(y1) AS y_max FROM pe) SELECT round(abs(a) / 2, 6) AS area, round(cx / (3 * a), 6) AS cx, round(cy / (3 * a), 6) AS cy, x_min, x_max, y_min, y_max FROM s",
-)
+BOXES = "bx AS (SELECT label, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM scan GROUP BY 1)"
+
+
+def label_boxes(spark, d):
+    """The box around the points of every label, as a user would draw it."""
+    return scan(spark, d).groupBy("label").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+
+
+@query("f10_selection_geometry", f", {BOXES} SELECT label AS id, round((x1 - x0) * (y1 - y0), 6) AS area, round((x0 + x1) / 2, 6) AS cx, round((y0 + y1) / 2, 6) AS cy, round(x0, 6) AS x_min, round(x1, 6) AS x_max, round(y0, 6) AS y_min, round(y1, 6) AS y_max FROM bx")
 def f10(spark, d):
+    """The geometry of a selection around each label."""
     from wayfloor.operators.selection import polygon_geometry
 
-    pts = spark.createDataFrame([(0, i, x, y) for i, (x, y) in enumerate(POLY)], "id int, i int, x double, y double")
-    return rounded(polygon_geometry(pts).drop("id"))
+    corners = F.array(*(F.struct(F.lit(i).alias("i"), F.col(x).alias("x"), F.col(y).alias("y")) for i, (x, y) in enumerate((("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1")))))
+    return rounded(polygon_geometry(label_boxes(spark, d).select(F.col("label").alias("id"), F.explode(corners).alias("c")).select("id", "c.*")))
+
+
+# Bodies of robots that would fill the boxes of things: a rectangle for most, a circle for pallets, none for walls.
+BODIES = f"{BOXES}, rb AS (SELECT label, CASE WHEN label NOT IN (1, 14) THEN round(x1 - x0, 3) END AS width, CASE WHEN label NOT IN (1, 14) THEN round(y1 - y0, 3) END AS length, CASE WHEN label = 14 THEN round((x1 - x0) / 2, 3) END AS radius FROM bx)"
+
+
+def bodies(spark, d):
+    b, rect = label_boxes(spark, d), ~F.col("label").isin(1, 14)
+    side = lambda a, c: F.round(F.col(a) - F.col(c), 3)
+    return b.select("label", F.when(rect, side("x1", "x0")).alias("width"), F.when(rect, side("y1", "y0")).alias("length"), F.when(F.col("label") == 14, F.round((F.col("x1") - F.col("x0")) / 2, 3)).alias("radius"))
 
 
-@query("f12_footprint_pixels", ", r(half_w, half_l, radius) AS (VALUES (2e-1, 3e-1, NULL), (NULL, NULL, 35e-3), (NULL, NULL, NULL)) SELECT half_w, half_l, radius, CAST(ceil(coalesce(half_w, radius, 35e-2) / 5e-2) AS BIGINT) AS infl_x, CAST(ceil(coalesce(half_l, radius, 35e-2) / 5e-2) AS BIGINT) AS infl_y, half_w IS NOT NULL AS is_rect FROM r")
+@query("f12_footprint_pixels", f", {BODIES} SELECT label, CAST(ceil(coalesce(width / 2, radius, 35e-2) / 5e-2) AS BIGINT) AS infl_x, CAST(ceil(coalesce(length / 2, radius, 35e-2) / 5e-2) AS BIGINT) AS infl_y, width IS NOT NULL AS is_rect FROM rb")
 def f12(spark, d):
     from wayfloor.operators.robots import footprint_pixels
 
-    r = spark.createDataFrame([(0.2, 0.3, None), (None, None, 0.035), (None, None, None)], "half_w double, half_l double, radius double")
-    return footprint_pixels(r, 0.05)
+    r = bodies(spark, d).select("label", (F.col("width") / 2).alias("half_w"), (F.col("length") / 2).alias("half_l"), "radius")
+    return footprint_pixels(r, 0.05).select("label", "infl_x", "infl_y", "is_rect")
 
 
-@query("f13_robot_parameters", ", r(name, shape, radius, width, length, inflation) AS (VALUES ('reference', 'circle', 35e-3, NULL, NULL, 0e0), ('actual', 'rectangle', NULL, 4e-1, 6e-1, 5e-2)) SELECT name, shape, round(CASE WHEN shape = 'circle' THEN radius ELSE sqrt(width * width / 4 + length * length / 4) END + inflation, 6) AS radius, round(CASE WHEN shape = 'circle' THEN radius ELSE width / 2 END + inflation, 6) AS half_w, round(CASE WHEN shape = 'circle' THEN radius ELSE length / 2 END + inflation, 6) AS half_l, inflation AS inflation_radius FROM r")
+@query("f13_robot_parameters", f", {BODIES}, r AS (SELECT label, CASE WHEN radius IS NULL THEN 'rectangle' ELSE 'circle' END AS shape, radius, width, length, CASE WHEN label = 14 THEN 0e0 ELSE 5e-2 END AS inflation FROM rb WHERE label <> 1) SELECT CAST(label AS VARCHAR) AS name, shape, round(CASE WHEN shape = 'circle' THEN radius ELSE sqrt(width * width / 4 + length * length / 4) END + inflation, 6) AS radius, round(CASE WHEN shape = 'circle' THEN radius ELSE width / 2 END + inflation, 6) AS half_w, round(CASE WHEN shape = 'circle' THEN radius ELSE length / 2 END + inflation, 6) AS half_l, inflation AS inflation_radius FROM r")
 def f13(spark, d):
     from wayfloor.operators.robots import parameters
 
-    rows = [("reference", "circle", 0.035, None, None, 0.0), ("actual", "rectangle", None, 0.4, 0.6, 0.05)]
-    return rounded(parameters(spark.createDataFrame(rows, "name string, shape string, radius double, width double, length double, inflation double")))
+    r = bodies(spark, d).where("label <> 1")
+    shape, margin = F.when(F.col("radius").isNull(), "rectangle").otherwise("circle"), F.when(F.col("label") == 14, 0.0).otherwise(0.05)
+    return rounded(parameters(r.select(F.col("label").cast("string").alias("name"), shape.alias("shape"), "radius", "width", "length", margin.alias("inflation"))))
 
 
 @query("f18_brush_edits", f", {OCC}, e(seq, cy, cx, r, val) AS (VALUES (1, 50, 60, 8, 0), (2, 52, 64, 5, 254), (3, 90, 30, 6, 0)), hit AS (SELECT gy, gx, arg_max(val, seq) AS val FROM grid, e WHERE (gy - cy) * (gy - cy) + (gx - cx) * (gx - cx) <= r * r GROUP BY ALL) SELECT coalesce(val, CASE WHEN occ THEN 0 ELSE 254 END) AS pixel, count(*) AS n FROM grid LEFT JOIN hit USING (gy, gx) GROUP BY 1")

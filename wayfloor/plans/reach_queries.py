@@ -166,11 +166,6 @@ def a15(spark, d):
     return rounded(S.gap_by_fixation(gap(spark, d)))
 
 
-@query("t1_recommendations", f", {GAP} SELECT * FROM (SELECT label, name, fixation, cells, row_number() OVER (ORDER BY priority, area DESC, label) AS rank FROM gap WHERE label NOT IN (-1, 0, 1)) q WHERE rank <= 3", recursive=True)
-def t1(spark, d):
-    return S.recommendations(gap(spark, d)).select("label", "name", "fixation", "cells", "rank")
-
-
 @query("a28_inflation_halo", f", {OCC}, w AS ({dilated_sql(5, 5)}), n AS ({dilated_sql(2, 2)}) SELECT {MASK.format('TRUE')} FROM w SEMI JOIN cells USING (gy, gx) ANTI JOIN n USING (gy, gx)")
 def a28(spark, d):
     cells = obstacle_grid(spark, d).withColumnRenamed("occupied", "blocked")
@@ -243,12 +238,31 @@ def j9(spark, d):
     return rounded(hit.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.sum("z").alias("sum_z")), 3)
 
 
-@query("a21_building_score", ", l(level, actual, reference) AS (VALUES ('1', 1e1, 2e1), ('2', 5e0, 2e1), ('3', NULL, 1e1), ('4', NULL, NULL)), r AS (SELECT *, actual IS NOT NULL AND reference IS NOT NULL AND reference > 0 AS ok FROM l) SELECT level, actual, reference, CASE WHEN ok THEN round(100e0 * actual / reference, 6) END AS rii, CASE WHEN ok THEN 'complete' WHEN actual IS NULL AND reference IS NULL THEN 'missing' ELSE 'partial' END AS status FROM r UNION ALL SELECT 'building', sum(actual), sum(reference), round(100e0 * sum(actual) / sum(reference), 6), 'total' FROM r WHERE ok")
-def a21(spark, d):
-    rows = [(1, 10.0, 20.0), (2, 5.0, 20.0), (3, None, 10.0), (4, None, None)]
-    return rounded(M.building_score(spark.createDataFrame(rows, "level int, actual double, reference double")))
+PARTS = "pt AS (SELECT label, avg(CASE WHEN z <= 1e0 THEN 1e0 ELSE 0e0 END) AS tcr, avg(CASE WHEN x <= 5e0 THEN 1e0 ELSE 0e0 END) AS oe, avg(CASE WHEN y <= 3e0 THEN 1e0 ELSE 0e0 END) AS sc, 100e0 * avg(CASE WHEN z BETWEEN 5e-2 AND 15e-1 THEN 1e0 ELSE 0e0 END) AS rii_h FROM scan GROUP BY 1)"
 
 
-@query("a27_d14_combined_score", ", s(rii_h, tcr, oe, sc) AS (VALUES (8e1, 5e-1, 9e-1, 1e0), (1e2, 0e0, 0e0, 0e0)) SELECT *, round(tcr * (5e-1 * oe + 5e-1 * sc) * 100, 6) + 0e0 AS combined, round(5e-1 * rii_h + 5e-1 * tcr * 100, 6) AS weighted FROM s")
+@query("a27_d14_combined_score", f", {PARTS} SELECT label, round(rii_h, 6) AS rii_h, round(tcr, 6) AS tcr, round(oe, 6) AS oe, round(sc, 6) AS sc, round(tcr * (5e-1 * oe + 5e-1 * sc) * 100, 6) + 0e0 AS combined, round(5e-1 * rii_h + 5e-1 * tcr * 100, 6) AS weighted FROM pt")
 def a27(spark, d):
-    return rounded(M.combined(spark.createDataFrame([(80.0, 0.5, 0.9, 1.0), (100.0, 0.0, 0.0, 0.0)], "rii_h double, tcr double, oe double, sc double")))
+    """The combined scores of shares that are taken of the points of every label."""
+    share = lambda test: F.avg(F.when(test, 1.0).otherwise(0.0))
+    parts = scan(spark, d).groupBy("label").agg(
+        share(F.col("z") <= 1.0).alias("tcr"), share(F.col("x") <= 5.0).alias("oe"), share(F.col("y") <= 3.0).alias("sc"), (100.0 * share(F.col("z").between(0.05, 1.5))).alias("rii_h")
+    )
+    return rounded(M.combined(parts))
+
+
+OPENED = f"""open_ AS (SELECT g.gy, g.gx, occ AND NOT coalesce(fixation <> 'Fixed', FALSE) AS occ FROM grid g LEFT JOIN lbl USING (gy, gx) LEFT JOIN dim USING (label)), {reach_sql(1, 1, 'v').replace('FROM grid', 'FROM open_')},
+    lost AS (SELECT gy, gx FROM vbig ANTI JOIN abig USING (gy, gx)), mc AS (SELECT gy, gx, label, count(*) AS n FROM (SELECT {bin_sql('5e-2')}, label FROM scan, meta) q GROUP BY ALL),
+    own AS (SELECT gy, gx, label FROM lost JOIN (SELECT gy, gx, label FROM mc QUALIFY row_number() OVER (PARTITION BY gy, gx ORDER BY n DESC, label) = 1) ml USING (gy, gx)),
+    og AS (SELECT coalesce(n.label, -1) AS label, coalesce(name, 'No semantic data') AS name, coalesce(fixation, 'Unknown') AS fixation, coalesce(priority, 4) AS priority, count(*) AS cells FROM lost LEFT JOIN own n USING (gy, gx) LEFT JOIN dim ON dim.label = n.label WHERE name IS NOT NULL OR n.label IS NULL GROUP BY 1, 2, 3, 4)"""
+
+
+@query("t1_recommendations", f", {BOTH}, {NAMES}, {OPENED} SELECT * FROM (SELECT label, name, fixation, cells, row_number() OVER (ORDER BY priority, cells DESC, label) AS rank FROM og WHERE label NOT IN (-1, 0, 1)) q WHERE rank <= 3", recursive=True)
+def t1(spark, d):
+    """What to clear first of the floor that the robot misses against the site without things that can be moved."""
+    grid, named = saved(obstacle_grid(spark, d)), S.label_dimension(spark).where("fixation <> 'Fixed'").select("label")
+    things = labels(spark, d).join(F.broadcast(named), "label", "left_semi").select("gy", "gx", F.lit(True).alias("thing"))
+    opened = saved(grid.join(things, ["gy", "gx"], "left").withColumn("occupied", F.col("occupied") & F.col("thing").isNull()).drop("thing"))
+    ref = reached(spark, d, 1, 1, opened).where("accessible").select("gy", "gx")
+    missed = saved(ref.join(reached(spark, d, 4, 6, grid).where("accessible").select("gy", "gx"), ["gy", "gx"], "left_anti"))
+    return S.recommendations(S.gap_by_label(missed, map_labels(spark, d), S.label_dimension(spark), 0.0025)).select("label", "name", "fixation", "cells", "rank")

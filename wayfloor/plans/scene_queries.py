@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ from wayfloor.operators import points as P
 from wayfloor.operators import ramps as R
 from wayfloor.operators import robots as B
 from wayfloor.operators import vertical as V
-from wayfloor.plans.grid_queries import HEIGHTS, OCC, fill_sql, grad_sql, height_grid, obstacle_grid
+from wayfloor.plans.grid_queries import FLOOR_HEIGHTS, HEIGHTS, MASK, OCC, fill_sql, grad_sql, height_grid, mask_sum, obstacle_grid
 from wayfloor.plans.reach_queries import PITCH, cc_sql, reach_sql, reached
 from wayfloor.plans.registry import query, rounded
 
@@ -50,9 +52,9 @@ def d4(spark, d):
     return rounded(L.levels(scan(spark, d)))
 
 
-@query("a22_line_fit", f", {HEIGHTS} SELECT gy, count(*) AS n, round(regr_slope(z, gx * 2e-1), 9) + 0e0 AS slope, round(regr_intercept(z, gx * 2e-1), 9) + 0e0 AS intercept, round(CASE WHEN var_pop(z) < 1e-12 THEN 1e0 ELSE regr_r2(z, gx * 2e-1) END, 9) AS r2 FROM hm WHERE z IS NOT NULL AND gx BETWEEN 33 AND 41 GROUP BY gy HAVING count(*) >= 3")
+@query("a22_line_fit", f", {HEIGHTS} SELECT gy, count(*) AS n, round(regr_slope(z, gx * 2e-1), 9) + 0e0 AS slope, round(regr_intercept(z, gx * 2e-1), 9) + 0e0 AS intercept, round(CASE WHEN var_pop(z) < 1e-12 THEN 1e0 ELSE regr_r2(z, gx * 2e-1) END, 9) AS r2 FROM hm WHERE z IS NOT NULL GROUP BY gy HAVING count(*) >= 3")
 def a22(spark, d):
-    cells = height_grid(spark, d)[0].where("z IS NOT NULL AND gx BETWEEN 33 AND 41").withColumn("x", F.col("gx") * 0.2)
+    cells = height_grid(spark, d)[0].where("z IS NOT NULL").withColumn("x", F.col("gx") * 0.2)
     return rounded(R.line_fit(cells, ["gy"]).where("n >= 3"), 9)
 
 
@@ -60,8 +62,11 @@ RAMPC = f"""{HEIGHTS}, {fill_sql('hm', 4)}, {grad_sql('f3')}, mask AS (SELECT gy
     lab AS (SELECT r.gy, unnest(range(r.a, r.b + 1)) AS gx, c.l FROM cc c JOIN runs r USING (id)), keep AS (SELECT l FROM lab GROUP BY l HAVING count(*) >= 24), cand AS (SELECT lab.l AS component, sl.* FROM lab JOIN keep USING (l) JOIN sl USING (gy, gx))"""
 
 
-def sloped(spark, d):
-    cells, meta = height_grid(spark, d)
+FLOOR_RAMPC = RAMPC.replace(HEIGHTS, FLOOR_HEIGHTS)
+
+
+def sloped(spark, d, label=None):
+    cells, meta = height_grid(spark, d, label=label)
     return G.gradients(G.fill_holes(cells, 4, meta), 0.2)
 
 
@@ -88,19 +93,20 @@ def a24(spark, d):
 RAMPS = "st AS (SELECT component, median(slope) AS angle, max(z) - min(z) AS rise FROM cand GROUP BY 1), rmp AS (SELECT *, cells * 2e-1 * 2e-1 AS area FROM ext JOIN dirs USING (component) JOIN st USING (component) WHERE length >= 1 AND width >= 5e-1 AND cells * 2e-1 * 2e-1 >= 1 AND consistency >= CASE WHEN cells * 2e-1 * 2e-1 > 5 THEN 4e-1 ELSE 6e-1 END AND rise >= 15e-2)"
 
 
-@query("d1_slope_ramps", f", {RAMPC}, {AXIS}, {DIRS}, {RAMPS} SELECT component, cells, round(length, 6) AS length, round(width, 6) AS width, round(consistency, 6) AS consistency, round(angle, 6) AS angle, round(rise, 6) AS rise, round(area, 6) AS area FROM rmp", recursive=True)
+@query("d1_slope_ramps", f", {FLOOR_RAMPC}, {AXIS}, {DIRS}, {RAMPS} SELECT component, cells, round(length, 6) AS length, round(width, 6) AS width, round(consistency, 6) AS consistency, round(angle, 6) AS angle, round(rise, 6) AS rise, round(area, 6) AS area FROM rmp", recursive=True)
 def d1(spark, d):
-    return rounded(R.slope_ramps(sloped(spark, d), 0.2))
+    """The ramps of the floor, which its labels tell from walls and things."""
+    return rounded(R.slope_ramps(sloped(spark, d, 0), 0.2))
 
 
 STEPS = f"nb AS (SELECT gy + dy AS gy, gx + dx AS gx, z AS q FROM hm, (VALUES (-1, 0), (1, 0), (0, -1), (0, 1)) o(dy, dx) WHERE z IS NOT NULL), stp AS (SELECT gy, gx, max(abs(z - q)) AS step FROM hm JOIN nb USING (gy, gx) WHERE z IS NOT NULL GROUP BY ALL HAVING max(abs(z - q)) >= 15e-2), {cc_sql('stp', 'sp')}, sc AS (SELECT c.l AS component, r.gy, unnest(range(r.a, r.b + 1)) AS gx FROM spcc c JOIN spruns r USING (id))"
 
 
-@query("d2_assessed_transitions", f", {RAMPC}, {AXIS}, {DIRS}, {RAMPS}, {STEPS}, t AS (SELECT 'ramp' AS kind, component, angle, rise AS height FROM rmp UNION ALL SELECT 'step', component, NULL, max(step) FROM sc JOIN stp USING (gy, gx) GROUP BY component) SELECT kind, component, round(angle, 6) AS angle, round(height, 6) AS height, CASE kind WHEN 'ramp' THEN angle <= 35e0 WHEN 'step' THEN height <= 25e-2 ELSE FALSE END AS traversable FROM t", recursive=True)
+@query("d2_assessed_transitions", f", {FLOOR_RAMPC}, {AXIS}, {DIRS}, {RAMPS}, {STEPS}, t AS (SELECT 'ramp' AS kind, component, angle, rise AS height FROM rmp UNION ALL SELECT 'step', component, NULL, max(step) FROM sc JOIN stp USING (gy, gx) GROUP BY component) SELECT kind, component, round(angle, 6) AS angle, round(height, 6) AS height, CASE kind WHEN 'ramp' THEN angle <= 35e0 WHEN 'step' THEN height <= 25e-2 ELSE FALSE END AS traversable FROM t", recursive=True)
 def d2(spark, d):
     """The ramps of the scan by their angle, and components of cells with a step by the highest."""
-    ramps = R.slope_ramps(sloped(spark, d), 0.2).select(F.lit("ramp").alias("kind"), "component", "angle", F.col("rise").alias("height"))
-    cells = G.step_height(height_grid(spark, d)[0]).where("z IS NOT NULL AND step >= 0.15")
+    ramps = R.slope_ramps(sloped(spark, d, 0), 0.2).select(F.lit("ramp").alias("kind"), "component", "angle", F.col("rise").alias("height"))
+    cells = saved(G.step_height(height_grid(spark, d, label=0)[0]).where("z IS NOT NULL AND step >= 0.15"))
     steps = C.components(cells.select("gy", "gx")).join(cells.select("gy", "gx", "step"), ["gy", "gx"]).groupBy("component").agg(F.max("step").alias("height"))
     found = ramps.unionByName(steps.select(F.lit("step").alias("kind"), "component", F.lit(None).cast("double").alias("angle"), "height"))
     return rounded(R.assessed(found, 35.0, 0.25))
@@ -243,27 +249,37 @@ def p2(spark, d):
     return way.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("seq") * F.col("gy")).alias("by_gy"), F.sum(F.col("seq") * F.col("gx")).alias("by_gx"))
 
 
-@query("g16_circle_footprint", ", c AS (SELECT a.i AS dy, b.i AS dx FROM range(-10, 11) a(i), range(-10, 11) b(i)) SELECT dy, dx FROM c WHERE (dy * dy + dx * dx) * 5e-2 * 5e-2 <= (2e-1 + 25e-3) * (2e-1 + 25e-3)")
+def grown_sql(offsets: str) -> str:
+    """The occupied cells of the map, grown by the offsets ``c(dy, dx)``."""
+    return f"{OCC}, {offsets}, o AS (SELECT DISTINCT gy + dy AS gy, gx + dx AS gx FROM grid, c WHERE occ) SELECT {MASK.format('TRUE')} FROM o SEMI JOIN cells USING (gy, gx)"
+
+
+def grown(spark, d, offsets):
+    df = obstacle_grid(spark, d)
+    on = G.dilate(df.where("occupied").select("gy", "gx"), offsets).join(df.select("gy", "gx"), ["gy", "gx"], "left_semi")
+    return mask_sum(on.withColumn("on", F.lit(True)), "on")
+
+
+@query("g16_circle_footprint", f", {grown_sql('c AS (SELECT a.i AS dy, b.i AS dx FROM range(-10, 11) a(i), range(-10, 11) b(i) WHERE (a.i * a.i + b.i * b.i) * 5e-2 * 5e-2 <= (2e-1 + 25e-3) * (2e-1 + 25e-3))')}")
 def g16(spark, d):
-    return spark.createDataFrame(B.circle_offsets(0.2, 0.05), "dy long, dx long")
+    """Where a round body would touch what is occupied."""
+    return grown(spark, d, B.circle_offsets(0.2, 0.05))
 
 
 SUB = "s(o) AS (VALUES (1e0 / 6 - 5e-1), (0e0), (5e0 / 6 - 5e-1))"
 RECT = "abs((b.i + q.o) * 5e-2 * cos({0}) + (a.i + p.o) * 5e-2 * sin({0})) <= 3e-1 + 1e-9 AND abs((a.i + p.o) * 5e-2 * cos({0}) - (b.i + q.o) * 5e-2 * sin({0})) <= 2e-1 + 1e-9"
 
 
-@query("g16_rectangle_footprint", f", {SUB} SELECT DISTINCT a.i AS dy, b.i AS dx FROM range(-12, 13) a(i), range(-12, 13) b(i), s p, s q WHERE {RECT.format('radians(225e-1)')}")
+@query("g16_rectangle_footprint", f", {SUB}, {grown_sql('c AS (SELECT DISTINCT a.i AS dy, b.i AS dx FROM range(-12, 13) a(i), range(-12, 13) b(i), s p, s q WHERE ' + RECT.format('radians(225e-1)') + ')')}")
 def g16r(spark, d):
-    import math
-
-    return spark.createDataFrame(B.rectangle_offsets(0.2, 0.3, math.radians(22.5), 0.05), "dy long, dx long")
+    """Where a turned rectangle would touch what is occupied."""
+    return grown(spark, d, B.rectangle_offsets(0.2, 0.3, math.radians(22.5), 0.05))
 
 
-@query("g17_rotation_sweep", f", {SUB}, th AS (SELECT radians(225e-1 * k / 4) AS t FROM range(5) r(k)) SELECT DISTINCT a.i AS dy, b.i AS dx FROM range(-12, 13) a(i), range(-12, 13) b(i), s p, s q, th WHERE {RECT.format('t')}")
+@query("g17_rotation_sweep", f", {SUB}, th AS (SELECT radians(225e-1 * k / 4) AS t FROM range(5) r(k)), {grown_sql('c AS (SELECT DISTINCT a.i AS dy, b.i AS dx FROM range(-12, 13) a(i), range(-12, 13) b(i), s p, s q, th WHERE ' + RECT.format('t') + ')')}")
 def g17(spark, d):
-    import math
-
-    return spark.createDataFrame(B.sweep_offsets(0.2, 0.3, 0.0, math.radians(22.5), 0.05), "dy long, dx long")
+    """Where a rectangle would touch what is occupied while it turns."""
+    return grown(spark, d, B.sweep_offsets(0.2, 0.3, 0.0, math.radians(22.5), 0.05))
 
 
 @query(

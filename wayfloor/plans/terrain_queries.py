@@ -11,6 +11,7 @@ from wayfloor.operators import components as C
 from wayfloor.operators import grid as G
 from wayfloor.operators import horizontal as H
 from wayfloor.operators import levels as L
+from wayfloor.operators import maps as M
 from wayfloor.operators import points as P
 from wayfloor.operators import ramps as R
 from wayfloor.operators import relocation as X
@@ -18,7 +19,7 @@ from wayfloor.operators import semantic as S
 from wayfloor.operators import terrain as T
 from wayfloor.operators import vertical as V
 from wayfloor.plans.grid_queries import CELLS, HEIGHTS, MASK, MEDIAN, OCC, bin_sql, fill_sql, grad_sql, height_grid, mask_sum, meta_sql, obstacle_grid
-from wayfloor.plans.reach_queries import BOTH, NAMES, cc_sql, labels, reach_sql, reached
+from wayfloor.plans.reach_queries import BOTH, NAMES, cc_sql, labels, largest_sql, reach_sql, reached
 from wayfloor.plans.registry import query, rounded
 from wayfloor.plans.scene_queries import AXIS, DIRS, LEVELS_SQL, RAMPC, RAMPS, RECT, SUB
 
@@ -69,11 +70,12 @@ def j8(spark, d):
     return T.blocked_by_ramps(grid, at, 0.2, 0.05).agg(F.count_if("blocked").alias("blocked"))
 
 
-@query("f19_manual_ramp", ", r(y0, x0, y1, x1, angle) AS (VALUES (10, 20, 14, 29, 1e1), (40, 40, 41, 41, 4e1)) SELECT angle, angle <= 35e0 AS traversable, count(*) AS cells, CAST(sum(gy * 1000 + gx) AS BIGINT) AS where_ FROM (SELECT angle, unnest(range(y0, y1 + 1)) AS gy, x0, x1 FROM r) a, LATERAL (SELECT unnest(range(a.x0, a.x1 + 1)) AS gx) b GROUP BY 1, 2")
+@query("f19_manual_ramp", f", {OCC}, r(y0, x0, y1, x1, angle) AS (VALUES (10, 20, 14, 29, 1e1), (40, 40, 41, 41, 4e1), (50, 150, 90, 260, 15e0)) SELECT angle, angle <= 35e0 AS traversable, count(*) AS cells, count(*) FILTER (occ) AS occupied, CAST(sum(gy * 1000 + gx) AS BIGINT) AS where_ FROM grid JOIN r ON gy BETWEEN y0 AND y1 AND gx BETWEEN x0 AND x1 GROUP BY 1, 2")
 def f19(spark, d):
-    r = spark.createDataFrame([(10, 20, 14, 29, 10.0), (40, 40, 41, 41, 40.0)], "y0 int, x0 int, y1 int, x1 int, angle double")
-    cells = r.select("*", F.explode(F.sequence("y0", "y1")).alias("gy")).select("*", F.explode(F.sequence("x0", "x1")).alias("gx"))
-    return cells.groupBy("angle", (F.col("angle") <= 35.0).alias("traversable")).agg(F.count(F.lit(1)).alias("cells"), F.sum(F.col("gy") * 1000 + F.col("gx")).alias("where_"))
+    """Ramps that a user drew, laid over the map of the scan."""
+    r = spark.createDataFrame([(10, 20, 14, 29, 10.0), (40, 40, 41, 41, 40.0), (50, 150, 90, 260, 15.0)], "y0 int, x0 int, y1 int, x1 int, angle double")
+    cells = obstacle_grid(spark, d).join(F.broadcast(r), F.col("gy").between(F.col("y0"), F.col("y1")) & F.col("gx").between(F.col("x0"), F.col("x1")))
+    return cells.groupBy("angle", (F.col("angle") <= 35.0).alias("traversable")).agg(F.count(F.lit(1)).alias("cells"), F.count_if("occupied").alias("occupied"), F.sum(F.col("gy") * 1000 + F.col("gx")).alias("where_"))
 
 
 @query(
@@ -119,9 +121,10 @@ def g21(spark, d):
 
 @query("d11_ranked_zones")
 def d11(spark, d):
-    """Places for the object whose removal opens most floor, with the rules as far relaxed as needed."""
-    cells = saved(obstacle_grid(spark, d, 0.1).select("gy", "gx", F.col("occupied").alias("blocked"), (~F.col("occupied")).alias("floor")))
-    named = labels(spark, d, 0.1)
+    """Places for the largest object of a selected lane that it bars, with the rules as far relaxed as needed."""
+    lane = F.col("gx").between(8, 60) & F.col("gy").between(22, 34)
+    cells = saved(obstacle_grid(spark, d, 0.1).select("gy", "gx", (F.col("occupied") | ~lane).alias("blocked"), (~F.col("occupied") & lane).alias("floor")))
+    named = labels(spark, d, 0.1).where(lane)
     objects = saved(H.removable_objects(cells, named, S.label_dimension(spark)))
     first = C.sizes(objects).orderBy(F.desc("n"), "component").limit(1)
     thing = saved(objects.join(F.broadcast(first), "component", "left_semi").select("label", "gy", "gx"))
@@ -145,6 +148,20 @@ def level_cells(spark, d, size=0.1):
     return L.level_maps(scan(spark, d), L.levels(scan(spark, d)), size, 0.5).select("level", "gy", "gx", F.col("occupied").alias("blocked"), (~F.col("occupied")).alias("floor"))
 
 
+@query(
+    "a21_building_score",
+    f""", {BY_LEVEL}, ldi AS (SELECT DISTINCT level, gy + a.i AS gy, gx + b.i AS gx FROM lg, range(-3, 4) a(i), range(-2, 3) b(i) WHERE occ), lmask AS (SELECT level, gy, gx FROM lg ANTI JOIN ldi USING (level, gy, gx)), {cc_sql('lmask', 'lv', by='level')}, {largest_sql('lv', by='level')},
+    l AS (SELECT level, (SELECT count(*) FROM lvbig b WHERE b.level = la.level) * 1e-2 AS actual, (SELECT count(*) FROM lg WHERE lg.level = la.level AND NOT occ) * 1e-2 AS reference FROM la)
+    SELECT CAST(level AS VARCHAR) AS level, round(actual, 6) AS actual, round(reference, 6) AS reference, round(100e0 * actual / reference, 6) AS rii, 'complete' AS status FROM l UNION ALL SELECT 'building', round(sum(actual), 6), round(sum(reference), 6), round(100e0 * sum(actual) / sum(reference), 6), 'total' FROM l""",
+    recursive=True,
+)
+def a21(spark, d):
+    """The floor that the robot reaches on every level the heights show, and in the building."""
+    cells = saved(level_cells(spark, d))
+    n = H.reach(cells, 2, 3, "level").groupBy("level").agg((F.count_if("accessible") * 0.01).alias("actual"), (F.count_if("floor") * 0.01).alias("reference"))
+    return rounded(M.building_score(n))
+
+
 @query("d17_points_by_level", f", {BY_LEVEL} SELECT level, count(*) FILTER (occ) AS occupied, count(*) FILTER (NOT occ) AS free FROM lg GROUP BY 1", recursive=True)
 def d17(spark, d):
     """The obstacle map of every floor level that the heights show, in one job."""
