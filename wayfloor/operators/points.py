@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfloor.functions.shared import saved
+from wayfloor.operators.percentiles import percentile_row
 
 
 def cell(value: Column, size: float, origin: Column | float = 0.0) -> Column:
@@ -36,12 +37,12 @@ def z_band(points: DataFrame, low: float | None, high: float | None) -> DataFram
 
 def floor_preset(points: DataFrame) -> DataFrame:
     """One row: floor percentiles and the bands for cleaning and mapping that follow from them."""
-    return preset_of(points.agg(floor_percentiles()))
+    return preset_of(floor_percentiles(points))
 
 
-def floor_percentiles() -> Column:
-    """The aggregate that ``preset_of`` needs."""
-    return F.percentile("z", F.array(F.lit(0.02), F.lit(0.05))).alias("p")
+def floor_percentiles(points: DataFrame) -> DataFrame:
+    """The row that ``preset_of`` needs."""
+    return percentile_row(points, "z", [0.02, 0.05])
 
 
 def preset_of(p: DataFrame) -> DataFrame:
@@ -58,7 +59,7 @@ def projection_bounds(requests: DataFrame, points: DataFrame, percentile: float
 
     ``auto`` is relative to the floor anchor unless a bound is negative; a missing bound is infinite.
     """
-    anchor = points.agg(F.percentile("z", F.lit(percentile)).alias("anchor"))
+    anchor = percentile_row(points, "z", [percentile]).select(F.col("p")[0].alias("anchor"))
     negative = (F.coalesce("low", F.lit(0.0)) < 0) | (F.coalesce("high", F.lit(0.0)) < 0)
     relative = (F.col("mode") == "floor_relative") | ((F.col("mode") == "auto") & ~negative)
     shift = F.when(relative, F.col("anchor")).otherwise(0.0)
@@ -135,8 +136,7 @@ def noise_filter_2d(points: DataFrame, radius: float = 0.5, least: int = 100) ->
 def z_summary(points: DataFrame) -> DataFrame:
     p = points.agg(
         F.count("z").alias("n"), F.min("z").alias("z_min"), F.max("z").alias("z_max"), F.avg("z").alias("z_mean"),
-        F.percentile("z", F.array(*(F.lit(q) for q in (0.02, 0.05, 0.5, 0.95)))).alias("p"),
-    )
+    ).join(F.broadcast(percentile_row(points, "z", [0.02, 0.05, 0.5, 0.95])))
     return p.select("n", "z_min", "z_max", "z_mean", F.col("p")[0].alias("p2"), F.col("p")[1].alias("p5"), F.col("p")[2].alias("median"), F.col("p")[3].alias("p95"))
 
 
@@ -170,7 +170,7 @@ def height_colours(points: DataFrame) -> DataFrame:
     """Colour by height between the 5th and 95th percentile, along five stops."""
     # The stops of the ramp (position, red, green, blue).
     stops = [(0.0, 0.0, 0.0, 1.0), (0.25, 0.0, 1.0, 1.0), (0.5, 1.0, 1.0, 0.0), (0.75, 1.0, 0.0, 0.0), (1.0, 1.0, 0.0, 0.0)]
-    p = points.agg(F.percentile("z", F.array(F.lit(0.05), F.lit(0.95))).alias("__p"))
+    p = percentile_row(points, "z", [0.05, 0.95], "__p")
     span = F.when(F.col("__p")[1] > F.col("__p")[0], F.col("__p")[1] - F.col("__p")[0]).otherwise(1.0)
     t = points.join(F.broadcast(p)).withColumn("t", F.least(F.greatest((F.col("z") - F.col("__p")[0]) / span, F.lit(0.0)), F.lit(1.0))).drop("__p")
     for i, name in enumerate(("r", "g", "b"), 1):

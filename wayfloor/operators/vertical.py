@@ -14,12 +14,19 @@ from pyspark.sql import functions as F
 
 from wayfloor.functions.shared import saved
 from wayfloor.operators import components as C
+from wayfloor.operators.percentiles import percentile_row
 from wayfloor.operators.points import cell
+from wayfloor.streaming.replay import numbered
+
+
+def _floor(points: DataFrame) -> DataFrame:
+    """One row: the height of the floor, the 5th percentile."""
+    return percentile_row(points, "z", [0.05]).select(F.col("p")[0].alias("floor"))
 
 
 def wall_voxels(points: DataFrame, size: float = 0.05, majority: float = 0.60, low: float = 0.40, high: float = 2.00, wall_label: int = 1) -> DataFrame:
     """``(vx, vy, vz, n, wall, in_band)``: occupied voxels, walls by the share of wall points; the band is over the floor (5th percentile)."""
-    o = points.agg((F.min("x") - size).alias("ox"), (F.min("y") - size).alias("oy"), (F.min("z") - size).alias("oz"), F.percentile("z", F.lit(0.05)).alias("floor"))
+    o = points.agg((F.min("x") - size).alias("ox"), (F.min("y") - size).alias("oy"), (F.min("z") - size).alias("oz")).join(F.broadcast(_floor(points)))
     keyed = points.join(F.broadcast(o)).select(*(cell(F.col(c), size, F.col(f"o{c}")).alias(f"v{c}") for c in "xyz"), "label", "oz", "floor")
     v = keyed.groupBy("vx", "vy", "vz").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") == wall_label).alias("n_wall"), F.first("oz").alias("oz"), F.first("floor").alias("floor"))
     z = F.col("oz") + (F.col("vz") + 0.5) * size
@@ -32,7 +39,7 @@ def tool_origins(reached: DataFrame, meta: DataFrame, points: DataFrame, resolut
 
     ``reached(gy, gx)`` are cells of the map that ``meta(ox, oy)`` places; heights are over the floor of the points.
     """
-    o = points.agg((F.min("x") - size).alias("vx0"), (F.min("y") - size).alias("vy0"), (F.min("z") - size).alias("vz0"), F.percentile("z", F.lit(0.05)).alias("floor"))
+    o = points.agg((F.min("x") - size).alias("vx0"), (F.min("y") - size).alias("vy0"), (F.min("z") - size).alias("vz0")).join(F.broadcast(_floor(points)))
     at = reached.where((F.col("gy") % stride == 0) & (F.col("gx") % stride == 0)).select("gy", "gx")
     at = at.join(F.broadcast(meta.select("ox", "oy"))).join(F.broadcast(o))
     levels = F.sequence(F.lit(0), F.lit(round((high - low) / step)))
@@ -43,6 +50,21 @@ def tool_origins(reached: DataFrame, meta: DataFrame, points: DataFrame, resolut
     return at.select(number.alias("oid"), centre("gx", "ox", "vx0").alias("px"), centre("gy", "oy", "vy0").alias("py"), F.floor((z - F.col("vz0")) / F.lit(size)).cast("long").alias("vz"))
 
 
+def capped_origins(origins: DataFrame, most: int = 60_000) -> DataFrame:
+    """``origins(oid, ...)`` thinned evenly to ``most`` of them, in the order of their numbers; all of them where they are no more.
+
+    The i-th kept is the one at place floor(i * n / most), as a stride that need not be whole would take it.
+    """
+    n = origins.count()
+    if n <= most:
+        return origins
+    placed = numbered(origins, "oid", "__place")
+    i = F.col("__place") - 1
+    # A place is taken if some i * n / most falls on it: the number of these up to it grows there.
+    upto = lambda k: F.expr(f"CAST((CAST({k} AS DECIMAL(38, 0)) * {most} + {n - 1}) DIV {n} AS LONG)")
+    return placed.withColumn("__at", i).where(upto("__at + 1") > upto("__at")).drop("__place", "__at")
+
+
 def wall_colours(points: DataFrame, cells: DataFrame, focused: DataFrame, selected: DataFrame, wall_label: int = 1, size: float = 0.20) -> DataFrame:
     """Points with r, g, b: walls orange, those of the focused segments cyan, of the selected ones pink, the rest grey.
 

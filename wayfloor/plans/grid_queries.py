@@ -37,7 +37,7 @@ OCC20 = occupancy_sql("2e-1")
 def scan_facts(spark, d):
     """The scan, with one row of its extremes and floor percentiles: read once, written, and used from there."""
     df = scan(spark, d)
-    return df, saved(df.agg(*G.extremes(), P.floor_percentiles()), "facts")
+    return df, saved(df.agg(*G.extremes()).join(F.broadcast(P.floor_percentiles(df))), "facts")
 
 
 def obstacle_grid(spark, d, size=0.05):

@@ -164,7 +164,7 @@ def hits(spark, d):
     """First voxels of the rays from the floor that the robot reaches, at every tool height."""
     points = scan(spark, d)
     floor = reached(spark, d, 4, 6).where("accessible").select("gy", "gx")
-    o = V.tool_origins(floor, G.bounds(points, 0.05, 0.5), points, 0.05, 0.1)
+    o = V.capped_origins(saved(V.tool_origins(floor, G.bounds(points, 0.05, 0.5), points, 0.05, 0.1)))
     voxels = V.wall_voxels(points, 0.1)
     return saved(V.first_hits(o, voxels, 0.1)), voxels, o
 
