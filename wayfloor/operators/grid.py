@@ -58,9 +58,12 @@ def occupancy(points: DataFrame, band: DataFrame, resolution: float = 0.05, padd
     return grid.select("gy", "gx", F.coalesce("n", F.lit(0)).alias("n"), (edge | (F.coalesce("n", F.lit(0)) >= max(1, least))).alias("occupied"))
 
 
-def height_map(points: DataFrame, meta: DataFrame, resolution: float, percentile: float = 0.10, least: int = 1) -> DataFrame:
-    """``(gy, gx, n, z)``: a low percentile of the heights in every observed cell of ``least`` points."""
-    cells = binned(points.select("x", "y", "z"), meta, resolution).groupBy("gy", "gx")
+def height_map(points: DataFrame, meta: DataFrame, resolution: float, percentile: float = 0.10, least: int = 1, by: tuple[str, ...] = ()) -> DataFrame:
+    """``(gy, gx, n, z)``: a low percentile of the heights in every observed cell of ``least`` points.
+
+    ``by`` names columns (of levels, or scenarios) whose values are maps of their own, here and below.
+    """
+    cells = binned(points.select(*by, "x", "y", "z"), meta, resolution).groupBy(*by, "gy", "gx")
     return cells.agg(F.count(F.lit(1)).alias("n"), F.percentile("z", F.lit(percentile)).alias("z")).where(F.col("n") >= least)
 
 
@@ -70,30 +73,41 @@ def offsets(cells: DataFrame, steps, weights=None) -> DataFrame:
     return F.broadcast(cells.sparkSession.createDataFrame(rows, "dy int, dx int, w double"))
 
 
-def gathered(cells: DataFrame, value: str, steps, weights=None) -> DataFrame:
+def gathered(cells: DataFrame, value: str, steps, weights=None, by: tuple[str, ...] = ()) -> DataFrame:
     """For every cell, one row per step that meets a known neighbour: ``(gy, gx, dy, dx, w, near)``."""
     moved = cells.where(F.col(value).isNotNull()).join(offsets(cells, steps, weights))
-    return moved.select((F.col("gy") - F.col("dy")).alias("gy"), (F.col("gx") - F.col("dx")).alias("gx"), "dy", "dx", "w", F.col(value).alias("near"))
+    return moved.select(*by, (F.col("gy") - F.col("dy")).alias("gy"), (F.col("gx") - F.col("dx")).alias("gx"), "dy", "dx", "w", F.col(value).alias("near"))
 
 
-def median3(cells: DataFrame, value: str = "z") -> DataFrame:
+def median3(cells: DataFrame, value: str = "z", by: tuple[str, ...] = ()) -> DataFrame:
     """Median of the known values in the 3 by 3 square, for known cells."""
-    m = gathered(cells, value, SQUARE).groupBy("gy", "gx").agg(F.percentile("near", F.lit(0.5)).alias("__m"))
-    return cells.join(m, ["gy", "gx"], "left").withColumn(value, F.when(F.col(value).isNotNull(), F.col("__m"))).drop("__m")
+    m = gathered(cells, value, SQUARE, by=by).groupBy(*by, "gy", "gx").agg(F.percentile("near", F.lit(0.5)).alias("__m"))
+    return cells.join(m, [*by, "gy", "gx"], "left").withColumn(value, F.when(F.col(value).isNotNull(), F.col("__m"))).drop("__m")
+
 
+def gaussian(cells: DataFrame, sigma: float, value: str = "z", by: tuple[str, ...] = ()) -> DataFrame:
+    """Gaussian mean of the known values within ceil(2 sigma), weights made to sum to one, for known cells of a dense grid.
 
-def gaussian(cells: DataFrame, sigma: float, value: str = "z") -> DataFrame:
-    """Gaussian mean of the known values within ceil(2 sigma), weights made to sum to one, for known cells."""
+    The kernel is the product of one along the rows and one along the columns:
+    two passes of windows, and no join.
+    """
     import math
 
     r = math.ceil(2 * sigma)
-    steps = [(dy, dx) for dy in range(-r, r + 1) for dx in range(-r, r + 1)]
-    weights = [math.exp(-(dy * dy + dx * dx) / (2 * sigma * sigma)) for dy, dx in steps]
-    m = gathered(cells, value, steps, weights).groupBy("gy", "gx").agg((F.sum(F.col("w") * F.col("near")) / F.sum("w")).alias("__m"))
-    return cells.join(m, ["gy", "gx"], "left").withColumn(value, F.when(F.col(value).isNotNull(), F.col("__m"))).drop("__m")
+    weights = [math.exp(-(d * d) / (2 * sigma * sigma)) for d in range(-r, r + 1)]
+
+    def pass_(df, columns, line, axis):
+        order = Window.partitionBy(*by, line).orderBy(axis)
+        at = lambda c, d: F.lag(c, d).over(order) if d > 0 else F.lead(c, -d).over(order) if d < 0 else F.col(c)
+        blur = lambda c: sum((F.coalesce(at(c, d), F.lit(0.0)) * F.lit(w) for d, w in zip(range(-r, r + 1), weights)), F.lit(0.0))
+        return df.withColumns({c: blur(c) for c in columns})
+
+    df = cells.withColumns({"__v": F.coalesce(value, F.lit(0.0)), "__k": F.col(value).isNotNull().cast("double")})
+    df = pass_(pass_(df, ("__v", "__k"), "gy", "gx"), ("__v", "__k"), "gx", "gy")
+    return df.withColumn(value, F.when(F.col(value).isNotNull(), F.col("__v") / F.col("__k"))).drop("__v", "__k")
 
 
-def fill_holes(cells: DataFrame, rounds: int, meta: DataFrame, value: str = "z") -> DataFrame:
+def fill_holes(cells: DataFrame, rounds: int, meta: DataFrame, value: str = "z", by: tuple[str, ...] = ()) -> DataFrame:
     """Unknown cells of a dense grid take the mean of their known 4-neighbours, round by round; neighbours wrap around the map.
 
     Each round is a window along the rows and one along the columns; the plan grows by those two alone.
@@ -102,7 +116,7 @@ def fill_holes(cells: DataFrame, rounds: int, meta: DataFrame, value: str = "z")
     for _ in range(rounds):
         near = []
         for line, axis, size in (("gy", "gx", "__w"), ("gx", "gy", "__h")):
-            order = Window.partitionBy(line).orderBy(axis)
+            order = Window.partitionBy(*by, line).orderBy(axis)
             whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
             before, after = f"__{axis}0", f"__{axis}1"
             cells = cells.withColumns(
@@ -118,9 +132,9 @@ def fill_holes(cells: DataFrame, rounds: int, meta: DataFrame, value: str = "z")
     return cells.drop("__w", "__h")
 
 
-def gradients(cells: DataFrame, size: float, value: str = "z") -> DataFrame:
+def gradients(cells: DataFrame, size: float, value: str = "z", by: tuple[str, ...] = ()) -> DataFrame:
     """Adds dzdx, dzdy (central differences, one-sided at the map's edge) and the slope in degrees."""
-    row, column = Window.partitionBy("gy").orderBy("gx"), Window.partitionBy("gx").orderBy("gy")
+    row, column = Window.partitionBy(*by, "gy").orderBy("gx"), Window.partitionBy(*by, "gx").orderBy("gy")
 
     def d(window, axis):
         back, on = F.lag(value).over(window), F.lead(value).over(window)
@@ -132,11 +146,12 @@ def gradients(cells: DataFrame, size: float, value: str = "z") -> DataFrame:
     return out.withColumn("slope", F.degrees(F.atan(F.sqrt(F.col("dzdx") * F.col("dzdx") + F.col("dzdy") * F.col("dzdy")))))
 
 
-def step_height(cells: DataFrame, value: str = "z") -> DataFrame:
+def step_height(cells: DataFrame, value: str = "z", by: tuple[str, ...] = ()) -> DataFrame:
     """Adds the largest difference to a known 4-neighbour, 0 if there is none."""
-    near = gathered(cells, value, FOUR)
-    most = near.join(cells.select("gy", "gx", F.col(value).alias("__z")), ["gy", "gx"]).groupBy("gy", "gx").agg(F.max(F.abs(F.col("near") - F.col("__z"))).alias("step"))
-    return cells.join(most, ["gy", "gx"], "left").withColumn("step", F.coalesce("step", F.lit(0.0)))
+    keys = [*by, "gy", "gx"]
+    near = gathered(cells, value, FOUR, by=by)
+    most = near.join(cells.select(*keys, F.col(value).alias("__z")), keys).groupBy(*keys).agg(F.max(F.abs(F.col("near") - F.col("__z"))).alias("step"))
+    return cells.join(most, keys, "left").withColumn("step", F.coalesce("step", F.lit(0.0)))
 
 
 def rectangle(rx: int, ry: int) -> list[tuple[int, int]]:
@@ -147,9 +162,9 @@ def disc(r: int) -> list[tuple[int, int]]:
     return [(dy, dx) for dy, dx in rectangle(r, r) if dy * dy + dx * dx <= r * r]
 
 
-def dilate(mask: DataFrame, steps) -> DataFrame:
+def dilate(mask: DataFrame, steps, by: tuple[str, ...] = ()) -> DataFrame:
     """The cells within ``steps`` of a cell of the mask ``(gy, gx)``, not clipped."""
-    return mask.join(offsets(mask, steps)).select((F.col("gy") + F.col("dy")).alias("gy"), (F.col("gx") + F.col("dx")).alias("gx")).distinct()
+    return mask.join(offsets(mask, steps)).select(*by, (F.col("gy") + F.col("dy")).alias("gy"), (F.col("gx") + F.col("dx")).alias("gx")).distinct()
 
 
 def dilate_rectangle(cells: DataFrame, flag: str, rx: int, ry: int, by: tuple[str, ...] = ()) -> DataFrame:
@@ -159,13 +174,14 @@ def dilate_rectangle(cells: DataFrame, flag: str, rx: int, ry: int, by: tuple[st
     return cells.withColumn(flag, F.max(flag).over(row)).withColumn(flag, F.max(flag).over(column))
 
 
-def close(cells: DataFrame, flag: str, radius: int) -> DataFrame:
+def close(cells: DataFrame, flag: str, radius: int, by: tuple[str, ...] = ()) -> DataFrame:
     """Morphological closing with a cross: outside counts as empty while growing and as set while shrinking."""
+    keys = [*by, "gy", "gx"]
     shape = [(dy, dx) for dy, dx in rectangle(radius, radius) if abs(dy) + abs(dx) <= radius]
-    grown = dilate(cells.where(F.col(flag)).select("gy", "gx"), shape).withColumn("__on", F.lit(True))
-    grown = cells.join(grown, ["gy", "gx"], "left").withColumn("__on", F.coalesce("__on", F.lit(False)))
-    gaps = dilate(grown.where(~F.col("__on")).select("gy", "gx"), shape).withColumn("__off", F.lit(True))
-    return grown.join(gaps, ["gy", "gx"], "left").withColumn(flag, F.col("__on") & F.col("__off").isNull()).drop("__on", "__off")
+    grown = dilate(cells.where(F.col(flag)).select(*keys), shape, by).withColumn("__on", F.lit(True))
+    grown = cells.join(grown, keys, "left").withColumn("__on", F.coalesce("__on", F.lit(False)))
+    gaps = dilate(grown.where(~F.col("__on")).select(*keys), shape, by).withColumn("__off", F.lit(True))
+    return grown.join(gaps, keys, "left").withColumn(flag, F.col("__on") & F.col("__off").isNull()).drop("__on", "__off")
 
 
 def tiles(cells: DataFrame, flag: str, step: int, rule: str) -> DataFrame:

@@ -10,26 +10,30 @@ from wayfloor.operators import components as C
 from wayfloor.operators import grid as G
 
 
-def _kept(cells: DataFrame, flag: str, least: int) -> DataFrame:
+def _kept(cells: DataFrame, flag: str, least: int, by: str | None = None) -> DataFrame:
     """``flag`` without components under ``least`` cells."""
-    kept = C.drop_small(C.components(cells.where(flag).select("gy", "gx")), least).select("gy", "gx").withColumn("__k", F.lit(True))
-    return cells.join(kept, ["gy", "gx"], "left").withColumn(flag, F.coalesce("__k", F.lit(False))).drop("__k")
+    keys = [*([by] if by else []), "gy", "gx"]
+    kept = C.drop_small(C.components(cells.where(flag).select(*keys), by=by), least).select(*keys).withColumn("__k", F.lit(True))
+    return cells.join(kept, keys, "left").withColumn(flag, F.coalesce("__k", F.lit(False))).drop("__k")
 
 
-def masks(heights: DataFrame, meta: DataFrame, size: float, max_slope: float = 35.0, max_step: float = 0.25, least: int = 20, rounds: int = 4, close: int = 3) -> DataFrame:
+def masks(heights: DataFrame, meta: DataFrame, size: float, max_slope: float = 35.0, max_step: float = 0.25, least: int = 20, rounds: int = 4, close: int = 3, by: str | None = None) -> DataFrame:
     """Dense ``(gy, gx, z)`` -> ``(gy, gx, known, traversable)``.
 
     Known cells have a height; traversable ones are known, not steep, without a
-    step, in components of ``least`` cells, with small gaps closed.
+    step, in components of ``least`` cells, with small gaps closed.  ``by`` names
+    a column (of levels) whose values are maps of their own, all in the same jobs.
     """
-    smooth = saved(G.gaussian(G.median3(heights), 2.0))
-    shape = G.gradients(G.fill_holes(smooth, rounds, meta), size).select("gy", "gx", "slope")
-    step = G.step_height(smooth).select("gy", "gx", "step")
-    cells = heights.select("gy", "gx", F.col("z").isNotNull().alias("known")).join(shape, ["gy", "gx"]).join(step, ["gy", "gx"])
-    cells = cells.select("gy", "gx", "known", (F.col("known") & F.coalesce(F.col("slope") <= max_slope, F.lit(False)) & (F.col("step") <= max_step)).alias("traversable"))
-    cells = _kept(saved(cells), "known", least)
-    cells = _kept(saved(cells.withColumn("traversable", F.col("traversable") & F.col("known"))), "traversable", least)
-    return G.close(saved(cells), "traversable", close).withColumn("traversable", F.col("traversable") & F.col("known"))
+    keys = (by,) if by else ()
+    at = [*keys, "gy", "gx"]
+    smooth = saved(G.gaussian(G.median3(heights, by=keys), 2.0, by=keys))
+    shape = G.gradients(G.fill_holes(smooth, rounds, meta, by=keys), size, by=keys).select(*at, "slope")
+    step = G.step_height(smooth, by=keys).select(*at, "step")
+    cells = heights.select(*at, F.col("z").isNotNull().alias("known")).join(shape, at).join(step, at)
+    cells = cells.select(*at, "known", (F.col("known") & F.coalesce(F.col("slope") <= max_slope, F.lit(False)) & (F.col("step") <= max_step)).alias("traversable"))
+    cells = _kept(saved(cells), "known", least, by)
+    cells = _kept(saved(cells.withColumn("traversable", F.col("traversable") & F.col("known"))), "traversable", least, by)
+    return G.close(saved(cells), "traversable", close, keys).withColumn("traversable", F.col("traversable") & F.col("known"))
 
 
 def map_pixels(cells: DataFrame, flag: str) -> DataFrame:

@@ -169,6 +169,29 @@ def d17(spark, d):
     return n.select(F.col("level").cast("long").alias("level"), "occupied", "free")
 
 
+def level_terrain_sql(level: int) -> str:
+    """The terrain of one level, in a scope of its own, on cells of two by two of the map's."""
+    heights = f"""meta AS (SELECT ox, oy, CAST(ceil(w / 2e0) AS BIGINT) AS w, CAST(ceil(h / 2e0) AS BIGINT) AS h FROM map10), {CELLS}, lp AS (SELECT x, y, z FROM scan, slab WHERE level = {level} AND z BETWEEN z_low AND z_high), anc AS (SELECT quantile_cont(z, 5e-2) AS a FROM lp),
+    obs AS (SELECT {bin_sql('2e-1')}, count(*) AS n, quantile_cont(z, 1e-1) AS z FROM lp, meta, anc WHERE z BETWEEN a AND a + 1e0 GROUP BY ALL HAVING count(*) >= 3), hm AS (SELECT c.gy, c.gx, c.w, c.h, o.z FROM cells c LEFT JOIN obs o USING (gy, gx))"""
+    return f"(WITH RECURSIVE {TERRAIN.replace(HEIGHTS, heights)} SELECT {level} AS level, k.gy AS ty, k.gx AS tx, t.gy IS NOT NULL AS trav FROM knk k LEFT JOIN trav t USING (gy, gx))"
+
+
+#: The scan shows two levels; more would have no rows in a third scope.
+@query(
+    "d16_d17_level_layers",
+    f""", {BY_LEVEL}, slab AS MATERIALIZED (SELECT level, z_low, z_high FROM sl), map10 AS (SELECT * FROM meta), tl AS MATERIALIZED ({' UNION ALL '.join('SELECT * FROM ' + level_terrain_sql(i) + f' q{i}' for i in range(3))})
+    SELECT lg.level, count(*) FILTER (occ) AS occupied, count(*) FILTER (t.ty IS NOT NULL) AS known, count(*) FILTER (coalesce(trav, FALSE)) AS traversable, count(*) FILTER (coalesce(trav, FALSE) AND NOT occ) AS floor, CAST(coalesce(sum(gy * 1000 + gx) FILTER (coalesce(trav, FALSE) AND NOT occ), 0) AS BIGINT) AS where_
+    FROM lg LEFT JOIN tl t ON t.level = lg.level AND t.ty = lg.gy // 2 AND t.tx = lg.gx // 2 GROUP BY 1""",
+    recursive=True,
+)
+def d16(spark, d):
+    """Obstacle, terrain and floor layers of every level that the heights show."""
+    layers = M.build_levels(scan(spark, d), L.levels(scan(spark, d)), 0.1)
+    on = {c: F.count_if(c).alias(c) for c in ("occupied", "known", "traversable", "floor")}
+    where = F.coalesce(F.sum(F.when(F.col("floor"), F.col("gy") * 1000 + F.col("gx"))), F.lit(0)).alias("where_")
+    return layers.groupBy(F.col("level").cast("long").alias("level")).agg(*on.values(), where)
+
+
 TILES = "tl AS (SELECT gy // 4 AS gy, gx // 4 AS gx FROM grid GROUP BY ALL HAVING bool_and(NOT occ) AND count(*) = 16)"
 
 
