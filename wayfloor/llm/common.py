@@ -19,6 +19,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return saved(df, name)
 
 
+def shared_model(spark: SparkSession, model):
+    """A function that gives tasks the model: its data are broadcast as plain arrays and dicts, its class travels with the task."""
+    data, kind = spark.sparkContext.broadcast(dict(vars(model))), type(model)
+
+    def there():
+        found = kind.__new__(kind)
+        found.__dict__.update(data.value)
+        return found
+
+    return there
+
+
 def process_cache() -> dict:
     """A cache that lasts as long as the worker process: functions are pickled by value, so module globals would not."""
     return sys.modules.setdefault("_wayfloor_process_cache", types.ModuleType("_wayfloor_process_cache")).__dict__

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfloor.llm.common import materialize, row_key, small
+from wayfloor.llm.common import materialize, row_key, shared_model, small
 
 WINDOW = 13
 #: Words of benchmark items that one automaton may hold; more items go in further passes.
@@ -187,12 +187,12 @@ _SCHEMA = (
 
 def _one_pass(docs: DataFrame, auto: SuffixAutomaton, id_col: str) -> DataFrame:
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(auto)
+    shared = shared_model(spark, auto)
     id_type = docs.schema[id_col].dataType
     pair = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches):
-        a = shared.value
+        a = shared()
         for batch in small(batches):
             texts = batch.column(2).cast(pa.binary()).to_pylist()
             n, ranges, spans, items = [], [], [], []
@@ -335,11 +335,11 @@ def _with_hits(docs, benchmark, text_col, how, max_span_words=WINDOW, max_covera
 
 
 def _apply(docs, auto, text_col, how, max_span_words, max_coverage):
-    shared = docs.sparkSession.sparkContext.broadcast(auto)
+    shared = shared_model(docs.sparkSession, auto)
     at = docs.columns.index(text_col)
 
     def run(batches):
-        a = shared.value
+        a = shared()
         for batch in small(batches):
             texts = batch.column(at).cast(pa.binary()).to_pylist()
             keep, new = [], []

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfloor.llm.common import process_cache, small
+from wayfloor.llm.common import process_cache, shared_model, small
 
 #: Length of a profile, longest n-gram, and the bound of the learning sample.
 PROFILE, MAX_N, MAX_DOCS_PER_LANGUAGE = 400, 3, 20_000
@@ -152,11 +152,11 @@ def learn_profiles(docs: DataFrame, lang_col: str = "lang", text_col: str = "tex
 def identify(docs: DataFrame, profiles: Profiles, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` (all but the text if not given), ``lang_pred`` and ``score``."""
     keep = [c for c in docs.columns if c != text_col] if keep is None else keep
-    shared = docs.sparkSession.sparkContext.broadcast(profiles)
+    shared = shared_model(docs.sparkSession, profiles)
     rows = docs.select(*keep, F.col(text_col).cast("string").alias("__wf_text"))
 
     def run(batches):
-        p = shared.value
+        p = shared()
         for batch in small(batches):
             found = [p.predict(t) for t in batch.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays(
@@ -182,11 +182,11 @@ def keep_identified(docs: DataFrame, profiles: Profiles, text_col: str = "text",
 
     A text without a letter goes; where nothing could be learned, no other does.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(profiles)
+    shared = shared_model(docs.sparkSession, profiles)
     at = docs.columns.index(text_col)
 
     def run(batches):
-        p = shared.value
+        p = shared()
 
         def stays(text):
             if not p.languages:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfloor.llm.common import process_cache, small
+from wayfloor.llm.common import process_cache, shared_model, small
 
 #: Bound of the fitting sample.
 MAX_ROWS = 20_000
@@ -230,11 +230,11 @@ def held_out():
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = learn(docs, labels.where(~held_out()))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = shared_model(docs.sparkSession, model)
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def finish(columns, x):
-        s = shared.value.score(x)
+        s = shared().score(x)
         return pa.RecordBatch.from_arrays([*columns, pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select("doc_id", held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
