@@ -58,6 +58,18 @@ def translated(cells: DataFrame, dy: int, dx: int) -> DataFrame:
     return moved.where(F.col("gy").between(0, F.col("height") - 1) & F.col("gx").between(0, F.col("width") - 1))
 
 
+def relocated(cells: DataFrame, thing: DataFrame, dy: int, dx: int) -> DataFrame:
+    """The map ``cells(gy, gx, blocked, floor)`` after an object ``thing(gy, gx)`` is moved by hand.
+
+    Where it stood is free floor, where it stands now is not; what of it would
+    leave the map is gone.
+    """
+    to = thing.select((F.col("gy") + dy).alias("gy"), (F.col("gx") + dx).alias("gx"))
+    out = _flag(_flag(cells, thing, "__own"), to, "__now")
+    blocked = (F.col("blocked") & ~F.col("__own")) | F.col("__now")
+    return out.select("gy", "gx", blocked.alias("blocked"), ((F.col("floor") | F.col("__own")) & ~F.col("__now")).alias("floor"))
+
+
 def _flag(cells: DataFrame, marked: DataFrame, name: str) -> DataFrame:
     on = marked.select("gy", "gx").distinct().withColumn("__on", F.lit(True))
     return cells.join(on, ["gy", "gx"], "left").withColumn(name, F.coalesce("__on", F.lit(False))).drop("__on")

@@ -139,6 +139,22 @@ def d15(spark, d):
     return X.translated(df, 30, -60).agg(F.count(F.lit(1)).alias("n"), F.sum("gy").alias("sum_gy"), F.sum("gx").alias("sum_gx"))
 
 
+MOVED = f"own AS (SELECT gy, gx FROM lbl SEMI JOIN (SELECT gy, gx FROM grid WHERE occ) o USING (gy, gx) WHERE label = 13), now AS (SELECT gy + 40 AS gy, gx - 30 AS gx FROM own), gmoved AS (SELECT g.gy, g.gx, (occ AND own.gy IS NULL) OR now.gy IS NOT NULL AS occ FROM grid g LEFT JOIN own ON own.gy = g.gy AND own.gx = g.gx LEFT JOIN now ON now.gy = g.gy AND now.gx = g.gx), {reach_sql(4, 6, 'm').replace('FROM grid', 'FROM gmoved')}"
+
+
+@query(
+    "d15_relocation_score",
+    f", {BOTH}, {MOVED}, s AS (SELECT 'before' AS state, (SELECT count(*) FROM abig SEMI JOIN (SELECT gy, gx FROM grid WHERE NOT occ) f USING (gy, gx)) AS acc, (SELECT count(*) FROM grid WHERE NOT occ) AS fl UNION ALL SELECT 'after', (SELECT count(*) FROM mbig SEMI JOIN (SELECT gy, gx FROM gmoved WHERE NOT occ) f USING (gy, gx)), (SELECT count(*) FROM gmoved WHERE NOT occ)) SELECT state, round(acc * 25e-4, 6) AS accessible_area, round(fl * 25e-4, 6) AS floor_area, round(100e0 * acc / fl, 6) AS rii FROM s",
+    recursive=True,
+)
+def d15s(spark, d):
+    """The score before and after the movable objects are moved by hand."""
+    cells = saved(obstacle_grid(spark, d).select("gy", "gx", F.col("occupied").alias("blocked"), (~F.col("occupied")).alias("floor")))
+    thing = saved(labels(spark, d).where("label = 13").join(cells.where("blocked").select("gy", "gx"), ["gy", "gx"], "left_semi").select("gy", "gx"))
+    score = lambda c, state: M.score(H.reach(c, 4, 6), 0.05).withColumn("state", F.lit(state))
+    return rounded(score(cells, "before").unionByName(score(saved(X.relocated(cells, thing, 40, -30)), "after")))
+
+
 BY_LEVEL = f"""{LEVELS_SQL}, {meta_sql('1e-1')}, {CELLS}, pl AS (SELECT level, x, y, z FROM sl JOIN scan ON z BETWEEN z_low AND z_high), la AS (SELECT level, quantile_cont(z, 5e-2) AS a FROM pl GROUP BY 1),
     lc AS (SELECT level, {bin_sql('1e-1')}, count(*) AS n FROM pl JOIN la USING (level), meta WHERE z BETWEEN a + 5e-2 AND a + 1e0 GROUP BY ALL),
     lg AS (SELECT level, gy, gx, (gy = 0 OR gx = 0 OR gy = h - 1 OR gx = w - 1 OR n IS NOT NULL) AS occ FROM (SELECT level, gy, gx, w, h FROM la, cells) q LEFT JOIN lc USING (level, gy, gx))"""
