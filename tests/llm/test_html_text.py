@@ -99,7 +99,13 @@ def test_unmarked_pages_by_their_lines():
     assert main_text(page_) == "\n".join(map(clean, text))
 
 
+def test_short_pages():
+    assert main_text("<body><div><a href=x>Menu</a></div><h1>Tiny</h1><p>One line.</p><div class=footer>Imprint of all</div></body>") == "Tiny\nOne line."
+    assert main_text("<body><nav>a</nav><a href=x>only links</a></body>") == ""
+
+
 def test_surge_and_dive():
+    assert kept_lines([0, 10, 12, 0, 0, 0], 50, 0.0) == [(1, 3)]
     assert kept_lines([0, 0, 5, 100, 0, 0, 7, 0, 0, 0, 3], 50, 0.0) == [(2, 7)]
     assert kept_lines([0, 0, 0], 1, 0.0) == [] == kept_lines([], 1, 0.0)
     assert kept_lines([90, 0, 0, 0, 0, 200, 10], 50, 0.5) == [(5, 7)]

@@ -15,7 +15,7 @@ is shuffled.
 
 Defined cases: null or empty html has no text; broken markup is read as far as
 it goes (an unclosed comment or script runs to the end, an end tag without a
-start is ignored); a page without a surge has no text.  ``<br>`` and table cells
+start is ignored); a page without text outside of links and named parts has none.  ``<br>`` and table cells
 count as white space inside their block, no-break spaces as white space.  A
 class or form mark around the article itself, or around most of a page that
 marks none, is ignored.  Repeated rows give repeated results, null ids and urls
@@ -281,10 +281,14 @@ def article_of(page: _Page) -> tuple[list[bool], list[bool] | None]:
 
 
 def kept_lines(weights: list[int], surge: int, share: float, window: int = WINDOW) -> list[tuple[int, int]]:
-    """Stretches of lines between the surge and dive points of the windows' sums that have ``share`` of the largest weight."""
+    """Stretches of lines between the surge and dive points of the windows' sums that have ``share`` of the largest weight.
+
+    Where no window comes up to ``surge``, the highest one is the surge.
+    """
     n = len(weights)
     upto = [0, *accumulate(weights)]
     sums = [upto[min(n, i + window)] - upto[i] for i in range(n)]
+    surge = max(1, min(surge, max(sums, default=0)))
     found, i = [], 0
     while i < n:
         if sums[i] >= surge and weights[i]:
