@@ -12,7 +12,7 @@ QUERIES, ORACLES = catalog.queries(), catalog.oracle_sql()
 #: Sequential rules without a SQL counterpart; test_scene, test_coverage, test_relocation and test_planners hold them.
 WITHOUT = {
     "w4_greedy_segments", "w9_d3_profile_ramps", "c7_surface_continuity", "d14_vertical_score", "p6_spiral_path", "c14_c16_swept_poses", "d6_footprint_fit", "d6_coverage_path",
-    "a26_spiral_traffic", "d11_ranked_zones",
+    "a26_spiral_traffic", "d11_ranked_zones", "d12_relocated",
 }
 
 

@@ -66,3 +66,26 @@ def test_greedy_relocation(spark):
     assert len(moves) == 1 and moves[0]["gain"] > 0
     now = {(r.gy, r.gx) for r in after.where("blocked").collect()}
     assert not now & set(THING) and len(now) == sum(c != "." for r in ROOM for c in r)
+
+
+def test_objects_compete_for_a_place(spark):
+    """Two objects bar two passages; each goes to the place that is best on the map the one before has left."""
+    room = [r.replace("O", ".") for r in ROOM]
+    room[7:10] = [r[:40] + "..." + r[43:] for r in room[7:10]]
+    things = {1: THING, 2: [(y, x) for y in (8, 9) for x in (40, 41, 42)]}
+    filled = {c for t in things.values() for c in t}
+    rows = [(y, x, room[y][x] == "#" or (y, x) in filled, room[y][x] != "#") for y in range(H) for x in range(W)]
+    objects = spark.createDataFrame([(i, y, x) for i, t in things.items() for y, x in t], "component long, gy long, gx long")
+    start = spark.createDataFrame(rows, "gy long, gx long, blocked boolean, floor boolean")
+    after, moves = X.relocate(start, objects, [1, 2], 1, 1, 0.1)
+    cells_ = start
+    for m in moves:
+        thing = objects.where(f"component = {m['component']}").select("gy", "gx")
+        for relax in (0, 1, 2):
+            best = X.relocation_zones(cells_, thing, 1, 1, 0.1, relax=relax, k=1).collect()
+            if best:
+                break
+        assert (best[0].gy, best[0].gx, relax) == (m["gy"], m["gx"], m["relax"])
+        cells_ = X.relocated(cells_, thing, m["gy"] - min(y for y, _ in things[m["component"]]), m["gx"] - min(x for _, x in things[m["component"]]))
+    assert moves and moves[0]["component"] == 1
+    assert sorted((r.gy, r.gx) for r in cells_.where("blocked").collect()) == sorted((r.gy, r.gx) for r in after.where("blocked").collect())

@@ -46,7 +46,8 @@ def ranked(zones: DataFrame, peer_weight: float = 0.05, distance_weight: float =
     """``(zone_id, gain, peer, distance)`` -> the best k: net gain first, near its like, not far away."""
     score = F.col("gain") + peer_weight * F.col("peer") - distance_weight * F.col("distance")
     ties = [F.desc("walls")] if "walls" in zones.columns else []
-    by = (F.desc("score"), F.desc("peer"), "distance", *ties, "zone_id")
+    relaxed = ["relax"] if "relax" in zones.columns else []
+    by = (*relaxed, F.desc("score"), F.desc("peer"), "distance", *ties, "zone_id")
     kept = zones.where((F.col("gain") > 0) & (F.col("distance") <= farthest)).withColumn("score", score)
     # The best k are few rows; only those are numbered.
     return kept.orderBy(*by).limit(k).withColumn("rank", F.row_number().over(Window.orderBy(*by)))
@@ -90,13 +91,14 @@ def _apart(candidates: DataFrame) -> DataFrame:
     return kept.withColumn("zone_id", (F.row_number().over(Window.orderBy("rank")) - 1).cast("long")).select("zone_id", F.col("gy").cast("long").alias("gy"), F.col("gx").cast("long").alias("gx"))
 
 
-def relocation_zones(cells: DataFrame, thing: DataFrame, rx: int, ry: int, resolution: float, peers: DataFrame | None = None, relax: int = 0, k: int = 5) -> DataFrame:
+def relocation_zones(cells: DataFrame, thing: DataFrame, rx: int, ry: int, resolution: float, peers: DataFrame | None = None, relax: int | tuple[int, ...] = 0, k: int = 5) -> DataFrame:
     """The best places for an object ``thing(gy, gx)`` of a dense map ``cells(gy, gx, blocked, floor)``.
 
     A place fits the object's box into floor that is reached once the object is
     gone; below ``relax`` 2 it keeps clear of the robot's present floor, below 1
     of doorways.  Of those, best first by walls around, no two near each other,
-    each is tried: all maps with the object at its place are scored in one job.
+    each is tried: all maps with the object at its place are scored in one job,
+    those of several values of ``relax`` too; the less relaxed zones rank first.
     Places count that open floor within eight metres; gain, nearness to
     ``peers(gy, gx)`` and distance rank them.
     """
@@ -113,22 +115,32 @@ def relocation_zones(cells: DataFrame, thing: DataFrame, rx: int, ry: int, resol
     walls = G.gathered(cells.withColumn("__b", F.col("blocked").cast("int")), "__b", [c for c in G.SQUARE if c != (0, 0)]).groupBy("gy", "gx").agg(F.sum("near").alias("walls"))
     flags = saved(_flag(_flag(cells, near, "busy"), doorways(cells), "door").join(walls, ["gy", "gx"], "left"))
     fits = saved(placements(then.withColumn("free", F.col("accessible") & ~F.col("blocked")), tall, wide))
-    for flag, rule in (("busy", relax < 2), ("door", relax < 1)):
-        if rule:
+    levels = (relax,) if isinstance(relax, int) else tuple(relax)
+    need = F.lit(2)
+    if min(levels) < 2:
+        number = F.col("gy") * (1 << 24) + F.col("gx")
+        boxes = fits.select(number.alias("id"), F.col("gy").alias("y0"), F.col("gx").alias("x0"), (F.col("gy") + tall - 1).alias("y1"), (F.col("gx") + wide - 1).alias("x1"))
+        fits = fits.withColumn("id", number)
+        for flag in ("busy", "door"):
             sums = G.prefix_sums(flags.withColumn("__v", F.col(flag).cast("long")), "__v")
-            number = F.col("gy") * (1 << 24) + F.col("gx")
-            boxes = fits.select(number.alias("id"), F.col("gy").alias("y0"), F.col("gx").alias("x0"), (F.col("gy") + tall - 1).alias("y1"), (F.col("gx") + wide - 1).alias("x1"))
-            clear = G.rectangle_sums(sums, boxes).where("total = 0").select("id")
-            fits = fits.withColumn("id", number).join(clear, "id", "left_semi").drop("id")
-    scored = fits.join(flags.select("gy", "gx", "busy", F.coalesce("walls", F.lit(0)).alias("walls")), ["gy", "gx"])
-    zones = saved(_apart(scored.withColumn("score", F.when(F.col("busy"), -1000.0).otherwise(0.0) + F.col("walls"))))
-
-    spots = F.broadcast(zones.select(F.col("zone_id").cast("int").alias("zone"), F.col("gy").alias("zy"), F.col("gx").alias("zx")))
+            fits = fits.join(G.rectangle_sums(sums, boxes).select("id", (F.col("total") == 0).alias(f"{flag}_clear")), "id")
+        need = F.when(F.col("busy_clear") & F.col("door_clear"), 0).when(F.col("busy_clear"), 1).otherwise(2)
+    fits = fits.select("gy", "gx", need.alias("need"))
+    scored = saved(fits.join(flags.select("gy", "gx", "busy", F.coalesce("walls", F.lit(0)).alias("walls")), ["gy", "gx"]).withColumn("score", F.when(F.col("busy"), -1000.0).otherwise(0.0) + F.col("walls")))
+    zones = None
+    for i, level in enumerate(levels):
+        own = _apart(scored.where(F.col("need") <= level)).select((F.col("zone_id") + i * TRIED).alias("zone_id"), F.lit(level).alias("relax"), "gy", "gx")
+        zones = own if zones is None else zones.unionByName(own)
+    zones = saved(zones)
+
+    # A place is tried once, whatever rules allow it.
+    places = saved(zones.groupBy("gy", "gx").agg(F.min("zone_id").alias("place")))
+    spots = F.broadcast(places.select(F.col("place").cast("int").alias("zone"), F.col("gy").alias("zy"), F.col("gx").alias("zx")))
     inside = F.col("gy").between(F.col("zy"), F.col("zy") + tall - 1) & F.col("gx").between(F.col("zx"), F.col("zx") + wide - 1)
     tries = cleared.join(spots).select("zone", "gy", "gx", (F.col("blocked") | inside).alias("blocked"), "floor")
-    after = H.reach(tries, rx, ry, "zone").groupBy(F.col("zone").cast("long").alias("zone_id")).agg(F.sum(F.col("accessible").cast("long")).alias("n"))
+    after = H.reach(tries, rx, ry, "zone").groupBy(F.col("zone").cast("long").alias("place")).agg(F.sum(F.col("accessible").cast("long")).alias("n"))
     away = F.sqrt((F.col("gy") + tall / 2.0 - box["avg_gy"]) ** 2 + (F.col("gx") + wide / 2.0 - box["avg_gx"]) ** 2) * resolution
-    out = zones.join(after, "zone_id").join(flags.select("gy", "gx", F.coalesce("walls", F.lit(0)).alias("walls")), ["gy", "gx"])
+    out = zones.join(places, ["gy", "gx"]).join(after, "place").join(flags.select("gy", "gx", F.coalesce("walls", F.lit(0)).alias("walls")), ["gy", "gx"])
     out = out.withColumns({"gain": (F.col("n") - before) * resolution * resolution, "distance": away})
     if peers is None:
         out = out.withColumn("peer", F.lit(0.0))
@@ -137,26 +149,21 @@ def relocation_zones(cells: DataFrame, thing: DataFrame, rx: int, ry: int, resol
         middle = zones.select("zone_id", (F.col("gy") + tall // 2).alias("gy"), (F.col("gx") + wide // 2).alias("gx"))
         reach = peer_distance(middle.select("gy", "gx").distinct(), others, 50.0, resolution)
         out = out.join(middle.join(reach, ["gy", "gx"]).select("zone_id", (1.0 / (1.0 + F.col("distance"))).alias("peer")), "zone_id")
-    return ranked(out.select("zone_id", "gy", "gx", F.lit(tall).alias("height"), F.lit(wide).alias("width"), "gain", "peer", "distance", "walls"), k=k)
+    return ranked(out.select("zone_id", "relax", "gy", "gx", F.lit(tall).alias("height"), F.lit(wide).alias("width"), "gain", "peer", "distance", "walls"), k=k)
 
 
 def relocate(cells: DataFrame, objects: DataFrame, order: list, rx: int, ry: int, resolution: float) -> tuple[DataFrame, list[dict]]:
     """Move objects ``(component, gy, gx)`` one after the other to their best places; the map after that, and the moves.
 
     Each move changes the map that the next is judged on, so objects follow one
-    another, each through jobs over the whole map.  Rules are relaxed step by
-    step until a place is found; without one the object stays.
+    another; all places of one are scored in one job, under all rules, of which
+    the strictest that finds a place counts.  Without one the object stays.
     """
     moves = []
     for component in order:
         thing = saved(objects.where(F.col("component") == component).select("gy", "gx"))
-        for relax in range(4):
-            found = relocation_zones(cells, thing, rx, ry, resolution, relax=relax, k=1).collect()
-            if found:
-                z = found[0]
-                inside = F.col("gy").between(z["gy"], z["gy"] + z["height"] - 1) & F.col("gx").between(z["gx"], z["gx"] + z["width"] - 1)
-                moved = _flag(cells, thing, "__own").withColumn("blocked", (F.col("blocked") & ~F.col("__own")) | inside).drop("__own")
-                cells = saved(moved)
-                moves.append({"component": component, "gy": z["gy"], "gx": z["gx"], "relax": relax, "gain": z["gain"], "distance": z["distance"]})
-                break
+        for z in relocation_zones(cells, thing, rx, ry, resolution, relax=(0, 1, 2), k=1).collect():
+            inside = F.col("gy").between(z["gy"], z["gy"] + z["height"] - 1) & F.col("gx").between(z["gx"], z["gx"] + z["width"] - 1)
+            cells = saved(_flag(cells, thing, "__own").withColumn("blocked", (F.col("blocked") & ~F.col("__own")) | inside).drop("__own"))
+            moves.append({"component": component, "gy": z["gy"], "gx": z["gx"], "relax": z["relax"], "gain": z["gain"], "distance": z["distance"]})
     return cells, moves

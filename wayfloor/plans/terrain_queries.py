@@ -133,6 +133,18 @@ def d11(spark, d):
     return rounded(zones.select("rank", "gy", "gx", "height", "width", "gain", "peer", "distance", "score"))
 
 
+@query("d12_relocated")
+def d12(spark, d):
+    """The things of a lane that they bar, moved one after the other to their best places."""
+    lane = F.col("gx").between(8, 60) & F.col("gy").between(22, 34)
+    cells = saved(obstacle_grid(spark, d, 0.1).select("gy", "gx", (F.col("occupied") | ~lane).alias("blocked"), (~F.col("occupied") & lane).alias("floor")))
+    objects = saved(H.removable_objects(cells, labels(spark, d, 0.1).where(lane), S.label_dimension(spark)))
+    order = [r["component"] for r in C.sizes(objects).orderBy(F.desc("n"), "component").limit(2).collect()]
+    _, moves = X.relocate(cells, objects, order, 2, 3, 0.1)
+    rows = [(i, int(m["gy"]), int(m["gx"]), int(m["relax"]), float(m["gain"]), float(m["distance"])) for i, m in enumerate(moves)]
+    return rounded(spark.createDataFrame(rows, "move long, gy long, gx long, relax long, gain double, distance double"))
+
+
 @query("d15_manual_relocation", f", {OCC} SELECT count(*) AS n, CAST(sum(gy + 30) AS BIGINT) AS sum_gy, CAST(sum(gx - 60) AS BIGINT) AS sum_gx FROM grid WHERE occ AND gy + 30 BETWEEN 0 AND (SELECT max(gy) FROM grid) AND gx - 60 BETWEEN 0 AND (SELECT max(gx) FROM grid)")
 def d15(spark, d):
     df = obstacle_grid(spark, d).where("occupied").join(F.broadcast(G.bounds(scan(spark, d), 0.05, 0.5).select("height", "width")))
