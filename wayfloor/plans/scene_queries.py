@@ -93,10 +93,10 @@ def a24(spark, d):
 RAMPS = "st AS (SELECT component, median(slope) AS angle, max(z) - min(z) AS rise FROM cand GROUP BY 1), rmp AS (SELECT *, cells * 2e-1 * 2e-1 AS area FROM ext JOIN dirs USING (component) JOIN st USING (component) WHERE length >= 1 AND width >= 5e-1 AND cells * 2e-1 * 2e-1 >= 1 AND consistency >= CASE WHEN cells * 2e-1 * 2e-1 > 5 THEN 4e-1 ELSE 6e-1 END AND rise >= 15e-2)"
 
 
-@query("d1_slope_ramps", f", {FLOOR_RAMPC}, {AXIS}, {DIRS}, {RAMPS} SELECT component, cells, round(length, 6) AS length, round(width, 6) AS width, round(consistency, 6) AS consistency, round(angle, 6) AS angle, round(rise, 6) AS rise, round(area, 6) AS area FROM rmp", recursive=True)
+@query("d1_slope_ramps", f", {RAMPC}, {AXIS}, {DIRS}, {RAMPS} SELECT component, cells, round(length, 6) AS length, round(width, 6) AS width, round(consistency, 6) AS consistency, round(angle, 6) AS angle, round(rise, 6) AS rise, round(area, 6) AS area FROM rmp", recursive=True)
 def d1(spark, d):
-    """The ramps of the floor, which its labels tell from walls and things."""
-    return rounded(R.slope_ramps(sloped(spark, d, 0), 0.2))
+    """The ramps of the scan, of all its points."""
+    return rounded(R.slope_ramps(sloped(spark, d), 0.2))
 
 
 STEPS = f"nb AS (SELECT gy + dy AS gy, gx + dx AS gx, z AS q FROM hm, (VALUES (-1, 0), (1, 0), (0, -1), (0, 1)) o(dy, dx) WHERE z IS NOT NULL), stp AS (SELECT gy, gx, max(abs(z - q)) AS step FROM hm JOIN nb USING (gy, gx) WHERE z IS NOT NULL GROUP BY ALL HAVING max(abs(z - q)) >= 15e-2), {cc_sql('stp', 'sp')}, sc AS (SELECT c.l AS component, r.gy, unnest(range(r.a, r.b + 1)) AS gx FROM spcc c JOIN spruns r USING (id))"
