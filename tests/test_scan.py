@@ -19,3 +19,8 @@ def labelled_ramp(spark, monkeypatch):
 def test_slope_ramps_are_of_points_of_every_label(spark, labelled_ramp):
     (r,) = scene_queries.d1(spark, DIR).collect()
     assert 11 < r.angle < 12 and r.length >= r.width > 2.5 and r.rise > 0.5
+
+
+def test_transitions_are_of_points_of_every_label(spark, labelled_ramp):
+    (r,) = scene_queries.d2(spark, DIR).collect()
+    assert r.kind == "ramp" and 11 < r.angle < 12 and r.traversable

@@ -17,7 +17,7 @@ from wayfloor.operators import points as P
 from wayfloor.operators import ramps as R
 from wayfloor.operators import robots as B
 from wayfloor.operators import vertical as V
-from wayfloor.plans.grid_queries import FLOOR_HEIGHTS, HEIGHTS, MASK, OCC, fill_sql, grad_sql, height_grid, mask_sum, obstacle_grid
+from wayfloor.plans.grid_queries import HEIGHTS, MASK, OCC, fill_sql, grad_sql, height_grid, mask_sum, obstacle_grid
 from wayfloor.plans.reach_queries import PITCH, cc_sql, reach_sql, reached
 from wayfloor.plans.registry import query, rounded
 
@@ -62,11 +62,8 @@ RAMPC = f"""{HEIGHTS}, {fill_sql('hm', 4)}, {grad_sql('f3')}, mask AS (SELECT gy
     lab AS (SELECT r.gy, unnest(range(r.a, r.b + 1)) AS gx, c.l FROM cc c JOIN runs r USING (id)), keep AS (SELECT l FROM lab GROUP BY l HAVING count(*) >= 24), cand AS (SELECT lab.l AS component, sl.* FROM lab JOIN keep USING (l) JOIN sl USING (gy, gx))"""
 
 
-FLOOR_RAMPC = RAMPC.replace(HEIGHTS, FLOOR_HEIGHTS)
-
-
-def sloped(spark, d, label=None):
-    cells, meta = height_grid(spark, d, label=label)
+def sloped(spark, d):
+    cells, meta = height_grid(spark, d)
     return G.gradients(G.fill_holes(cells, 4, meta), 0.2)
 
 
@@ -102,11 +99,11 @@ def d1(spark, d):
 STEPS = f"nb AS (SELECT gy + dy AS gy, gx + dx AS gx, z AS q FROM hm, (VALUES (-1, 0), (1, 0), (0, -1), (0, 1)) o(dy, dx) WHERE z IS NOT NULL), stp AS (SELECT gy, gx, max(abs(z - q)) AS step FROM hm JOIN nb USING (gy, gx) WHERE z IS NOT NULL GROUP BY ALL HAVING max(abs(z - q)) >= 15e-2), {cc_sql('stp', 'sp')}, sc AS (SELECT c.l AS component, r.gy, unnest(range(r.a, r.b + 1)) AS gx FROM spcc c JOIN spruns r USING (id))"
 
 
-@query("d2_assessed_transitions", f", {FLOOR_RAMPC}, {AXIS}, {DIRS}, {RAMPS}, {STEPS}, t AS (SELECT 'ramp' AS kind, component, angle, rise AS height FROM rmp UNION ALL SELECT 'step', component, NULL, max(step) FROM sc JOIN stp USING (gy, gx) GROUP BY component) SELECT kind, component, round(angle, 6) AS angle, round(height, 6) AS height, CASE kind WHEN 'ramp' THEN angle <= 35e0 WHEN 'step' THEN height <= 25e-2 ELSE FALSE END AS traversable FROM t", recursive=True)
+@query("d2_assessed_transitions", f", {RAMPC}, {AXIS}, {DIRS}, {RAMPS}, {STEPS}, t AS (SELECT 'ramp' AS kind, component, angle, rise AS height FROM rmp UNION ALL SELECT 'step', component, NULL, max(step) FROM sc JOIN stp USING (gy, gx) GROUP BY component) SELECT kind, component, round(angle, 6) AS angle, round(height, 6) AS height, CASE kind WHEN 'ramp' THEN angle <= 35e0 WHEN 'step' THEN height <= 25e-2 ELSE FALSE END AS traversable FROM t", recursive=True)
 def d2(spark, d):
     """The ramps of the scan by their angle, and components of cells with a step by the highest."""
-    ramps = R.slope_ramps(sloped(spark, d, 0), 0.2).select(F.lit("ramp").alias("kind"), "component", "angle", F.col("rise").alias("height"))
-    cells = saved(G.step_height(height_grid(spark, d, label=0)[0]).where("z IS NOT NULL AND step >= 0.15"))
+    ramps = R.slope_ramps(sloped(spark, d), 0.2).select(F.lit("ramp").alias("kind"), "component", "angle", F.col("rise").alias("height"))
+    cells = saved(G.step_height(height_grid(spark, d)[0]).where("z IS NOT NULL AND step >= 0.15"))
     steps = C.components(cells.select("gy", "gx")).join(cells.select("gy", "gx", "step"), ["gy", "gx"]).groupBy("component").agg(F.max("step").alias("height"))
     found = ramps.unionByName(steps.select(F.lit("step").alias("kind"), "component", F.lit(None).cast("double").alias("angle"), "height"))
     return rounded(R.assessed(found, 35.0, 0.25))
