@@ -1,7 +1,12 @@
-"""The scan as the queries read it: whole."""
+"""The scan as the queries read it: whole, and with filters that stay above its expressions."""
+
+import contextlib
+import io
 
 import pytest
 
+from wayfloor.functions.fixtures import scan
+from wayfloor.operators import points as P
 from wayfloor.plans import grid_queries, scene_queries
 
 DIR = "/root/testdata/sf0.001"
@@ -24,3 +29,12 @@ def test_slope_ramps_are_of_points_of_every_label(spark, labelled_ramp):
 def test_transitions_are_of_points_of_every_label(spark, labelled_ramp):
     (r,) = scene_queries.d2(spark, DIR).collect()
     assert r.kind == "ramp" and 11 < r.angle < 12 and r.traversable
+
+
+def test_filters_stay_above_the_expressions_of_the_scan(spark):
+    """A filter that is pushed below them repeats the CASE of a column wherever it names it, which is too long to be compiled."""
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        P.z_band(P.finite(scan(spark, DIR)), 0.05, 1.0).explain()
+    filters = [line for line in out.getvalue().splitlines() if "Filter" in line.split("(")[0]]
+    assert filters and not any("CASE" in line for line in filters)
