@@ -11,21 +11,23 @@ from __future__ import annotations
 
 import itertools
 import math
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 #: Rows up to which the built-in aggregate is used, which keeps every distinct value; bins of a pass; values that are fetched.
 DIRECT_ROWS, BINS, FETCHED = 1 << 20, 4096, 1 << 14
 
 
-def percentiles(rows: DataFrame, column: str, shares: list[float], direct_rows: int = DIRECT_ROWS, bins: int = BINS, fetched: int = FETCHED) -> list[float] | None:
+def percentiles(rows: DataFrame, column: str, shares: list[float], direct_rows: int = DIRECT_ROWS, bins: int = BINS, fetched: int = FETCHED, first: tuple | None = None) -> list[float] | None:
     """The values at ``shares`` of the order of a column of finite numbers, between two values in proportion; nulls do not count.
 
-    None where there are no values.
+    None where there are no values.  ``first`` has their count, the least and the greatest, if they are known.
     """
     values = rows.select(F.col(column).cast("double").alias("v")).where("v IS NOT NULL")
-    n, low, high = values.agg(F.count(F.lit(1)), F.min("v"), F.max("v")).head()
+    n, low, high = values.agg(F.count(F.lit(1)), F.min("v"), F.max("v")).head() if first is None else first
     if not n:
         return None
     if n <= direct_rows:
@@ -94,6 +96,10 @@ def _histograms(values: DataFrame, bounds: list[tuple], bins: int, by_size: bool
     return [sorted(x) for x in out]
 
 
-def percentile_row(rows: DataFrame, column: str, shares: list[float], name: str = "p") -> DataFrame:
-    """One row with the percentiles as an array."""
-    return rows.sparkSession.createDataFrame([(percentiles(rows, column, shares),)], f"{name} array<double>")
+def percentile_row(rows: DataFrame, column: str, shares: list[float], name: str = "p", also: Sequence[Column] = ()) -> DataFrame:
+    """One row with the percentiles as an array, and aggregates ``also`` that are taken in the first pass."""
+    v = F.col(column).cast("double")
+    found = rows.agg(F.count(v), F.min(v), F.max(v), *also)
+    n, low, high, *others = found.head()
+    kinds = StructType([StructField(name, ArrayType(DoubleType())), *found.schema.fields[3:]])
+    return rows.sparkSession.createDataFrame([(percentiles(rows, column, shares, first=(n, low, high)), *others)], kinds)

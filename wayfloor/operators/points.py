@@ -6,6 +6,8 @@ hash aggregation on integer cell keys, or a join on such keys.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,9 +42,9 @@ def floor_preset(points: DataFrame) -> DataFrame:
     return preset_of(floor_percentiles(points))
 
 
-def floor_percentiles(points: DataFrame) -> DataFrame:
-    """The row that ``preset_of`` needs."""
-    return percentile_row(points, "z", [0.02, 0.05])
+def floor_percentiles(points: DataFrame, also: Sequence[Column] = ()) -> DataFrame:
+    """The row that ``preset_of`` needs, and aggregates ``also`` from the same pass."""
+    return percentile_row(points, "z", [0.02, 0.05], also=also)
 
 
 def preset_of(p: DataFrame) -> DataFrame:

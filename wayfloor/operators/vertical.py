@@ -19,14 +19,23 @@ from wayfloor.operators.points import cell
 from wayfloor.streaming.replay import numbered
 
 
-def _floor(points: DataFrame) -> DataFrame:
-    """One row: the height of the floor, the 5th percentile."""
-    return percentile_row(points, "z", [0.05]).select(F.col("p")[0].alias("floor"))
+def corner(points: DataFrame, size: float) -> DataFrame:
+    """One row ``(ox, oy, oz, floor)``: the corner of the voxels, one below the least coordinates, and the height of the floor, the 5th percentile."""
+    least = [F.min(c).alias(f"{c}0") for c in "xyz"]
+    return corner_of(percentile_row(points, "z", [0.05], also=least).select("*", F.col("p")[0].alias("floor")), size)
 
 
-def wall_voxels(points: DataFrame, size: float = 0.05, majority: float = 0.60, low: float = 0.40, high: float = 2.00, wall_label: int = 1) -> DataFrame:
-    """``(vx, vy, vz, n, wall, in_band)``: occupied voxels, walls by the share of wall points; the band is over the floor (5th percentile)."""
-    o = points.agg((F.min("x") - size).alias("ox"), (F.min("y") - size).alias("oy"), (F.min("z") - size).alias("oz")).join(F.broadcast(_floor(points)))
+def corner_of(least: DataFrame, size: float) -> DataFrame:
+    """The same from a row of least coordinates and the floor."""
+    return least.select(*((F.col(f"{c}0") - size).alias(f"o{c}") for c in "xyz"), "floor")
+
+
+def wall_voxels(points: DataFrame, size: float = 0.05, majority: float = 0.60, low: float = 0.40, high: float = 2.00, wall_label: int = 1, at: DataFrame | None = None) -> DataFrame:
+    """``(vx, vy, vz, n, wall, in_band)``: occupied voxels, walls by the share of wall points; the band is over the floor (5th percentile).
+
+    ``at`` is the row of ``corner``, if it is known.
+    """
+    o = corner(points, size) if at is None else at
     keyed = points.join(F.broadcast(o)).select(*(cell(F.col(c), size, F.col(f"o{c}")).alias(f"v{c}") for c in "xyz"), "label", "oz", "floor")
     v = keyed.groupBy("vx", "vy", "vz").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") == wall_label).alias("n_wall"), F.first("oz").alias("oz"), F.first("floor").alias("floor"))
     z = F.col("oz") + (F.col("vz") + 0.5) * size
@@ -34,12 +43,13 @@ def wall_voxels(points: DataFrame, size: float = 0.05, majority: float = 0.60, l
     return v.select("vx", "vy", "vz", "n", wall.alias("wall"), (wall & z.between(F.col("floor") + low, F.col("floor") + high)).alias("in_band"))
 
 
-def tool_origins(reached: DataFrame, meta: DataFrame, points: DataFrame, resolution: float, size: float, stride: int = 3, low: float = 0.40, high: float = 2.00, step: float = 0.20) -> DataFrame:
+def tool_origins(reached: DataFrame, meta: DataFrame, points: DataFrame, resolution: float, size: float, stride: int = 3, low: float = 0.40, high: float = 2.00, step: float = 0.20, at: DataFrame | None = None) -> DataFrame:
     """``(oid, px, py, vz)`` in voxel units: every ``stride``-th reached cell of a map in both directions, at every tool height.
 
     ``reached(gy, gx)`` are cells of the map that ``meta(ox, oy)`` places; heights are over the floor of the points.
+    ``at`` is the row of ``corner``, if it is known.
     """
-    o = points.agg((F.min("x") - size).alias("vx0"), (F.min("y") - size).alias("vy0"), (F.min("z") - size).alias("vz0")).join(F.broadcast(_floor(points)))
+    o = (corner(points, size) if at is None else at).select(*(F.col(f"o{c}").alias(f"v{c}0") for c in "xyz"), "floor")
     at = reached.where((F.col("gy") % stride == 0) & (F.col("gx") % stride == 0)).select("gy", "gx")
     at = at.join(F.broadcast(meta.select("ox", "oy"))).join(F.broadcast(o))
     levels = F.sequence(F.lit(0), F.lit(round((high - low) / step)))

@@ -35,15 +35,16 @@ OCC20 = occupancy_sql("2e-1")
 
 
 def scan_facts(spark, d):
-    """The scan, with one row of its extremes and floor percentiles: read once, written, and used from there."""
+    """The scan, with one row of its extremes and floor percentiles."""
     df = scan(spark, d)
-    return df, saved(df.agg(*G.extremes()).join(F.broadcast(P.floor_percentiles(df))), "facts")
+    return df, P.floor_percentiles(df, [*G.extremes(), F.min("z").alias("z0")])
 
 
-def obstacle_grid(spark, d, size=0.05):
-    df, facts = scan_facts(spark, d)
+def obstacle_grid(spark, d, size=0.05, known=None):
+    """The dense map, written, so that the points are read once for it; ``known`` is of ``scan_facts``, if there."""
+    df, facts = known or scan_facts(spark, d)
     band = P.preset_of(facts).select(F.col("map_min").alias("z_min"), F.col("map_max").alias("z_max"))
-    return G.occupancy(df, band, size, meta=G.geometry(facts, size, 0.5))
+    return saved(G.occupancy(df, band, size, meta=G.geometry(facts, size, 0.5)), "grid")
 
 
 HEIGHTS = f"""{ANCHOR}, {meta_sql('2e-1')}, {CELLS}, obs AS (SELECT {bin_sql('2e-1')}, count(*) AS n, quantile_cont(z, 1e-1) AS z FROM scan, meta, anc WHERE z BETWEEN a AND a + 1e0 GROUP BY ALL HAVING count(*) >= 3),
@@ -51,13 +52,13 @@ HEIGHTS = f"""{ANCHOR}, {meta_sql('2e-1')}, {CELLS}, obs AS (SELECT {bin_sql('2e
 
 
 def height_grid(spark, d, size=0.2, least=3):
-    """Dense ``(gy, gx, z)`` with nulls, and the geometry."""
+    """Dense ``(gy, gx, z)`` with nulls, written, so that the points are read once for it, and the geometry."""
     df, facts = scan_facts(spark, d)
     meta = G.geometry(facts, size, 0.5)
     p = P.preset_of(facts).select(F.col("anchor").alias("z_min"), (F.col("anchor") + 1.0).alias("z_max"))
     band = df.join(F.broadcast(p)).where(F.col("z").between(F.col("z_min"), F.col("z_max")))
     known = G.height_map(band, meta, size, 0.10, least)
-    return G.scaffold(meta).select("gy", "gx").join(known.select("gy", "gx", "z"), ["gy", "gx"], "left"), meta
+    return saved(G.scaffold(meta).select("gy", "gx").join(known.select("gy", "gx", "z"), ["gy", "gx"], "left"), "heights"), meta
 
 
 def mask_sum(df, flag):

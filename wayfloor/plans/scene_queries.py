@@ -17,7 +17,7 @@ from wayfloor.operators import points as P
 from wayfloor.operators import ramps as R
 from wayfloor.operators import robots as B
 from wayfloor.operators import vertical as V
-from wayfloor.plans.grid_queries import HEIGHTS, MASK, OCC, fill_sql, grad_sql, height_grid, mask_sum, obstacle_grid
+from wayfloor.plans.grid_queries import HEIGHTS, MASK, OCC, fill_sql, grad_sql, height_grid, mask_sum, obstacle_grid, scan_facts
 from wayfloor.plans.reach_queries import PITCH, cc_sql, reach_sql, reached
 from wayfloor.plans.registry import query, rounded
 
@@ -158,12 +158,17 @@ RAYS = f"""{VOX}, {ORIGINS}, fan AS (SELECT * FROM og, rays), cr AS (
 
 
 def hits(spark, d):
-    """First voxels of the rays from the floor that the robot reaches, at every tool height."""
-    points = scan(spark, d)
-    floor = reached(spark, d, 4, 6).where("accessible").select("gy", "gx")
-    o = V.capped_origins(saved(V.tool_origins(floor, G.bounds(points, 0.05, 0.5), points, 0.05, 0.1)))
-    voxels = V.wall_voxels(points, 0.1)
-    return saved(V.first_hits(o, voxels, 0.1)), voxels, o
+    """First voxels of the rays from the floor that the robot reaches, at every tool height; the voxels, and the floor.
+
+    The points are read for their extremes and percentiles, for the map and for the voxels, all of which are written.
+    """
+    points, facts = known = scan_facts(spark, d)
+    at = V.corner_of(facts.select("*", F.col("p")[1].alias("floor")), 0.1)
+    cells = saved(reached(spark, d, 4, 6, obstacle_grid(spark, d, known=known)))
+    floor = cells.where("accessible").select("gy", "gx")
+    o = V.capped_origins(saved(V.tool_origins(floor, G.geometry(facts, 0.05, 0.5), points, 0.05, 0.1, at=at)))
+    voxels = saved(V.wall_voxels(points, 0.1, at=at))
+    return saved(V.first_hits(o, voxels, 0.1)), voxels, cells
 
 
 @query("d13_ray_hits", f", {RAYS} SELECT in_band, count(*) AS rays, count(DISTINCT oid) AS origins FROM hits GROUP BY 1", recursive=True)
@@ -187,11 +192,11 @@ def c7(spark, d):
 @query("d14_vertical_score")
 def d14(spark, d):
     """The combined score of the scan: reached floor, painted wall, rays that met wall rather than obstacles, continuity."""
-    h, voxels, _ = hits(spark, d)
+    h, voxels, cells = hits(spark, d)
     done = saved(V.painted(h, voxels, 0.1))
     share = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
     parts = done.agg(F.count(F.lit(1)).alias("painted")).join(voxels.agg(F.count_if("in_band").alias("wall"))).join(V.continuity(done).select("largest"))
-    parts = parts.join(h.agg(F.count_if("in_band").alias("met"), F.count(F.lit(1)).alias("rays"))).join(M.score(reached(spark, d, 4, 6), 0.05).select("rii"))
+    parts = parts.join(h.agg(F.count_if("in_band").alias("met"), F.count(F.lit(1)).alias("rays"))).join(M.score(cells, 0.05).select("rii"))
     n = F.col
     scores = parts.select(n("rii").alias("rii_h"), share(n("painted"), n("wall")).alias("tcr"), share(n("met"), n("rays")).alias("oe"), share(n("largest"), n("painted")).alias("sc"))
     return rounded(M.combined(scores))
