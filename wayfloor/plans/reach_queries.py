@@ -103,7 +103,7 @@ BOTH = f"{OCC}, {reach_sql(1, 1, 'r')}, {reach_sql(4, 6, 'a')}, lc AS (SELECT gy
 
 
 def two_robots(spark, d):
-    grid = saved(obstacle_grid(spark, d))
+    grid = obstacle_grid(spark, d)
     ref = reached(spark, d, 1, 1, grid).select("gy", "gx", "blocked", "floor", F.col("accessible").alias("ref"))
     act = reached(spark, d, 4, 6, grid).select("gy", "gx", F.col("accessible").alias("act"))
     return ref.join(act, ["gy", "gx"])
@@ -124,15 +124,16 @@ def a13(spark, d):
     return labels(spark, d)
 
 
-def labels(spark, d, size=0.05):
+def labels(spark, d, size=0.05, known=None):
+    """The most frequent label of every cell of the mapping band, written; ``known`` is of ``scan_facts``, if there."""
     from wayfloor.operators import points as P
 
-    df, facts = scan_facts(spark, d)
+    df, facts = known or scan_facts(spark, d)
     band = df.join(F.broadcast(P.preset_of(facts))).where(F.col("z").between(F.col("map_min"), F.col("map_max")))
     binned = G.binned(band.select("x", "y", "label"), G.geometry(facts, size, 0.5), size)
     counts = binned.groupBy("gy", "gx", "label").agg(F.count(F.lit(1)).alias("n"))
     best = counts.groupBy("gy", "gx").agg(F.max(F.struct("n", (-F.col("label")).alias("l"))).alias("m"))
-    return best.select("gy", "gx", (-F.col("m.l")).cast("int").alias("label"))
+    return saved(best.select("gy", "gx", (-F.col("m.l")).cast("int").alias("label")), "labels")
 
 
 def map_labels(spark, d, size=0.05):
@@ -182,9 +183,10 @@ LAYERED = f"""{OCC}, lc AS (SELECT gy, gx, label, count(*) AS n FROM (SELECT {bi
 
 def scenario_cells(spark, d):
     """Dense cells per scenario; what is removed is floor from then on."""
-    grid = saved(obstacle_grid(spark, d).select("gy", "gx", F.col("occupied").alias("was")))
+    known = scan_facts(spark, d)
+    grid = obstacle_grid(spark, d, known=known).select("gy", "gx", F.col("occupied").alias("was"))
     scenarios, dim = S.layer_scenarios(spark), S.label_dimension(spark)
-    left = S.without_groups(grid.where("was").select("gy", "gx").join(labels(spark, d), ["gy", "gx"], "left"), scenarios, dim).withColumn("on", F.lit(True))
+    left = S.without_groups(grid.where("was").select("gy", "gx").join(labels(spark, d, known=known), ["gy", "gx"], "left"), scenarios, dim).withColumn("on", F.lit(True))
     dense = grid.join(F.broadcast(scenarios.select("scenario"))).join(left, ["scenario", "gy", "gx"], "left")
     return dense.select("scenario", "gy", "gx", F.coalesce("on", F.lit(False)).alias("blocked"), F.col("on").isNull().alias("floor"))
 
@@ -215,7 +217,9 @@ def d8(spark, d):
     recursive=True,
 )
 def d9(spark, d):
-    return rounded(H.removal_candidates(reached(spark, d, 4, 6), labels(spark, d), S.label_dimension(spark), 0.05, 6))
+    known = scan_facts(spark, d)
+    cells = saved(reached(spark, d, 4, 6, obstacle_grid(spark, d, known=known)))
+    return rounded(H.removal_candidates(cells, labels(spark, d, known=known), S.label_dimension(spark), 0.05, 6))
 
 
 @query("j1_label_lookup", f", {NAMES} SELECT scan.label, coalesce(name, 'Label ' || scan.label) AS name, fixation, count(*) AS n FROM (SELECT CASE WHEN point_id % 50 = 0 THEN 16 ELSE label END AS label FROM scan) scan LEFT JOIN dim USING (label) GROUP BY ALL")
@@ -260,7 +264,7 @@ OPENED = f"""open_ AS (SELECT g.gy, g.gx, occ AND NOT coalesce(fixation <> 'Fixe
 @query("t1_recommendations", f", {BOTH}, {NAMES}, {OPENED} SELECT * FROM (SELECT label, name, fixation, cells, row_number() OVER (ORDER BY priority, cells DESC, label) AS rank FROM og WHERE label NOT IN (-1, 0, 1)) q WHERE rank <= 3", recursive=True)
 def t1(spark, d):
     """What to clear first of the floor that the robot misses against the site without things that can be moved."""
-    grid, named = saved(obstacle_grid(spark, d)), S.label_dimension(spark).where("fixation <> 'Fixed'").select("label")
+    grid, named = obstacle_grid(spark, d), S.label_dimension(spark).where("fixation <> 'Fixed'").select("label")
     things = labels(spark, d).join(F.broadcast(named), "label", "left_semi").select("gy", "gx", F.lit(True).alias("thing"))
     opened = saved(grid.join(things, ["gy", "gx"], "left").withColumn("occupied", F.col("occupied") & F.col("thing").isNull()).drop("thing"))
     ref = reached(spark, d, 1, 1, opened).where("accessible").select("gy", "gx")
