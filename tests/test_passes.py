@@ -25,7 +25,7 @@ def counted(spark):
 @pytest.mark.parametrize(
     "name, most",
     {
-        "d14_vertical_score": 4, "c7_surface_continuity": 4, "j11_painted_walls": 4, "d9_removal_candidates": 4,
+        "d14_vertical_score": 4, "c7_surface_continuity": 4, "j11_painted_walls": 4, "d9_removal_candidates": 4, "d12_relocated": 4,
         "a19_coverage_counts": 3, "p7_swept_floor": 3, "p7_sweep_stripes": 3, "j6_p4_overlapping_runs": 3,
     }.items(),
 )

@@ -18,7 +18,7 @@ from wayfloor.operators import relocation as X
 from wayfloor.operators import semantic as S
 from wayfloor.operators import terrain as T
 from wayfloor.operators import vertical as V
-from wayfloor.plans.grid_queries import CELLS, HEIGHTS, MASK, MEDIAN, OCC, bin_sql, fill_sql, grad_sql, height_grid, mask_sum, meta_sql, obstacle_grid
+from wayfloor.plans.grid_queries import CELLS, HEIGHTS, MASK, MEDIAN, OCC, bin_sql, fill_sql, grad_sql, height_grid, mask_sum, meta_sql, obstacle_grid, scan_facts
 from wayfloor.plans.reach_queries import BOTH, NAMES, cc_sql, labels, largest_sql, reach_sql, reached
 from wayfloor.plans.registry import query, rounded
 from wayfloor.plans.scene_queries import AXIS, DIRS, LEVELS_SQL, RAMPC, RAMPS, RECT, SUB
@@ -122,9 +122,9 @@ def g21(spark, d):
 @query("d11_ranked_zones")
 def d11(spark, d):
     """Places for the largest object of a selected lane that it bars, with the rules as far relaxed as needed."""
-    lane = F.col("gx").between(8, 60) & F.col("gy").between(22, 34)
-    cells = saved(obstacle_grid(spark, d, 0.1).select("gy", "gx", (F.col("occupied") | ~lane).alias("blocked"), (~F.col("occupied") & lane).alias("floor")))
-    named = labels(spark, d, 0.1).where(lane)
+    lane, known = F.col("gx").between(8, 60) & F.col("gy").between(22, 34), scan_facts(spark, d)
+    cells = saved(obstacle_grid(spark, d, 0.1, known).select("gy", "gx", (F.col("occupied") | ~lane).alias("blocked"), (~F.col("occupied") & lane).alias("floor")))
+    named = labels(spark, d, 0.1, known).where(lane)
     objects = saved(H.removable_objects(cells, named, S.label_dimension(spark)))
     first = C.sizes(objects).orderBy(F.desc("n"), "component").limit(1)
     thing = saved(objects.join(F.broadcast(first), "component", "left_semi").select("label", "gy", "gx"))
@@ -136,9 +136,9 @@ def d11(spark, d):
 @query("d12_relocated")
 def d12(spark, d):
     """The things of a lane that they bar, moved one after the other to their best places."""
-    lane = F.col("gx").between(8, 60) & F.col("gy").between(22, 34)
-    cells = saved(obstacle_grid(spark, d, 0.1).select("gy", "gx", (F.col("occupied") | ~lane).alias("blocked"), (~F.col("occupied") & lane).alias("floor")))
-    objects = saved(H.removable_objects(cells, labels(spark, d, 0.1).where(lane), S.label_dimension(spark)))
+    lane, known = F.col("gx").between(8, 60) & F.col("gy").between(22, 34), scan_facts(spark, d)
+    cells = saved(obstacle_grid(spark, d, 0.1, known).select("gy", "gx", (F.col("occupied") | ~lane).alias("blocked"), (~F.col("occupied") & lane).alias("floor")))
+    objects = saved(H.removable_objects(cells, labels(spark, d, 0.1, known).where(lane), S.label_dimension(spark)))
     order = [r["component"] for r in C.sizes(objects).orderBy(F.desc("n"), "component").limit(2).collect()]
     _, moves = X.relocate(cells, objects, order, 2, 3, 0.1)
     rows = [(i, int(m["gy"]), int(m["gx"]), int(m["relax"]), float(m["gain"]), float(m["distance"])) for i, m in enumerate(moves)]
