@@ -5,7 +5,9 @@ import random
 import numpy as np
 import pytest
 
-from wayfloor.operators.percentiles import percentile_row, percentiles
+from pyspark.sql import functions as F
+
+from wayfloor.operators.percentiles import by_group, percentile_row, percentiles
 
 SHARES = [0.0, 0.02, 0.05, 0.333, 0.5, 0.95, 1.0]
 
@@ -46,3 +48,20 @@ def test_origins_are_thinned_evenly(spark):
     for n, most in ((100, 100), (100, 7), (101, 33), (50, 49), (9, 1)):
         df = spark.createDataFrame([(i * 3 + 5, i) for i in range(n)], "oid long, px int").repartition(4)
         assert sorted(r.px for r in capped_origins(df, most).collect()) == sorted({i * n // most for i in range(most)})
+
+
+def test_percentiles_of_groups_are_of_counted_values(spark):
+    rng = random.Random(3)
+    rows = [(rng.randrange(300), rng.choice([None, 0.25, 0.5, rng.random()])) for _ in range(6000)]
+    df = spark.createDataFrame(rows, "k int, z double")
+    found = by_group(df, ["k"], "z", 0.1)
+    plain = df.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.percentile("z", F.lit(0.1)).alias("z"))
+    assert sorted(found.collect()) == sorted(plain.collect())
+    held = df.groupBy("k", "z").count().count()
+    assert spark.createDataFrame([(1, 2.0)] * 50, "k int, z double").transform(by_group, ["k"], "z", 0.1).collect() == [(1, 50, 2.0)] and held < len(rows)
+
+
+def test_rows_of_a_percentile_row_are_read_with_other_aggregates(spark):
+    df = spark.createDataFrame([(float(i), -float(i)) for i in range(101)], "z double, x double")
+    (r,) = percentile_row(df, "z", [0.05], also=[F.min("x").alias("x0")]).collect()
+    assert r.p == [5.0] and r.x0 == -100.0

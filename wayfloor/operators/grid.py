@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayfloor.operators.percentiles import by_group
 from wayfloor.operators.points import cell
 
 CROSS = [(0, 0), (-1, 0), (1, 0), (0, -1), (0, 1)]
@@ -63,8 +64,8 @@ def height_map(points: DataFrame, meta: DataFrame, resolution: float, percentile
 
     ``by`` names columns (of levels, or scenarios) whose values are maps of their own, here and below.
     """
-    cells = binned(points.select(*by, "x", "y", "z"), meta, resolution).groupBy(*by, "gy", "gx")
-    return cells.agg(F.count(F.lit(1)).alias("n"), F.percentile("z", F.lit(percentile)).alias("z")).where(F.col("n") >= least)
+    cells = binned(points.select(*by, "x", "y", "z"), meta, resolution)
+    return by_group(cells, [*by, "gy", "gx"], "z", percentile).where(F.col("n") >= least)
 
 
 def offsets(cells: DataFrame, steps, weights=None) -> DataFrame:

@@ -103,3 +103,13 @@ def percentile_row(rows: DataFrame, column: str, shares: list[float], name: str
     n, low, high, *others = found.head()
     kinds = StructType([StructField(name, ArrayType(DoubleType())), *found.schema.fields[3:]])
     return rows.sparkSession.createDataFrame([(percentiles(rows, column, shares, first=(n, low, high)), *others)], kinds)
+
+
+def by_group(rows: DataFrame, keys: Sequence[str], column: str, share: float) -> DataFrame:
+    """``(keys, n, column)``: the rows of every group and a percentile of its values.
+
+    Equal values are counted first, with partial sums; the percentile is of these counts, so that rows are neither sorted nor
+    held by group.
+    """
+    held = rows.groupBy(*keys, column).agg(F.count(F.lit(1)).alias("__n"))
+    return held.groupBy(*keys).agg(F.sum("__n").alias("n"), F.percentile(column, F.lit(share), F.col("__n")).alias(column))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from wayfloor.functions.shared import saved
 from wayfloor.operators import components as C
 from wayfloor.operators.greedy import apart, nearest_choice
+from wayfloor.operators.percentiles import by_group
 from wayfloor.operators.points import cell
 from wayfloor.streaming.replay import numbered
 
@@ -74,8 +75,9 @@ def profiles(points: DataFrame, strip: float = 0.5, step: float = 0.20, least_st
 
 def _profiles(keyed: DataFrame, step: float, least_strip: int, least_bin: int, least_profile: int, percentile: float) -> DataFrame:
     starts = keyed.groupBy("strip").agg(F.min("x").alias("x0"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_strip).select("strip", "x0")
-    bins = keyed.join(starts, "strip").groupBy("strip", "x0", F.floor((F.col("x") - F.col("x0")) / F.lit(step)).alias("bin"))
-    z = bins.agg(F.count(F.lit(1)).alias("n"), F.percentile("z", F.lit(percentile)).alias("z")).where(F.col("n") >= least_bin)
+    # A row a strip: as few as the map is wide.
+    bins = keyed.join(F.broadcast(starts), "strip").withColumn("bin", F.floor((F.col("x") - F.col("x0")) / F.lit(step)))
+    z = by_group(bins, ["strip", "x0", "bin"], "z", percentile).where(F.col("n") >= least_bin)
     z = z.select("strip", "bin", (F.col("x0") + (F.col("bin") + 0.5) * step).alias("x"), "z")
     return z.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy("strip"))).where(F.col("__n") >= least_profile).drop("__n")
 
@@ -188,8 +190,8 @@ def refined_angles(ramps: DataFrame, points: DataFrame, margin: float = 2.0, str
     sides = at.groupBy("ramp").agg(F.count(F.lit(1)).alias("n"), F.min("u").alias("u0"), F.greatest(F.lit(1), F.floor((F.max("u") - F.min("u")) / strip)).alias("strips")).where(F.col("n") >= least_points)
     cut = at.join(F.broadcast(sides.drop("n")), "ramp").withColumn("strip", F.floor((F.col("u") - F.col("u0")) / strip)).where(F.col("strip") < F.col("strips"))
     lines = cut.groupBy("ramp", "strip").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("t0"), F.greatest(F.lit(1), F.floor((F.max("t") - F.min("t")) / step)).alias("bins")).where("n >= 10")
-    bins = cut.join(lines.drop("n"), ["ramp", "strip"]).withColumn("bin", F.floor((F.col("t") - F.col("t0")) / step)).where(F.col("bin") < F.col("bins")).groupBy("ramp", "strip", "t0", "bin")
-    rows = bins.agg(F.count(F.lit(1)).alias("n"), F.percentile("z", F.lit(0.10)).alias("z")).where("n >= 3").withColumn("x", F.col("t0") + (F.col("bin") + 0.5) * step)
+    bins = cut.join(lines.drop("n"), ["ramp", "strip"]).withColumn("bin", F.floor((F.col("t") - F.col("t0")) / step)).where(F.col("bin") < F.col("bins"))
+    rows = by_group(bins, ["ramp", "strip", "t0", "bin"], "z", 0.10).where("n >= 3").withColumn("x", F.col("t0") + (F.col("bin") + 0.5) * step)
     fits = line_fit(rows, ["ramp", "strip"], flat_r2=0.0).where((F.col("n") >= least_bins) & (F.col("r2") >= least_r2))
     angle = fits.groupBy("ramp").agg(F.percentile(F.degrees(F.atan(F.abs("slope"))), F.lit(0.5)).alias("refined"))
     return ramps.join(angle, "ramp", "left").withColumn("refined", F.coalesce("refined", "angle"))

@@ -64,7 +64,7 @@ RAMPC = f"""{HEIGHTS}, {fill_sql('hm', 4)}, {grad_sql('f3')}, mask AS (SELECT gy
 
 def sloped(spark, d):
     cells, meta = height_grid(spark, d)
-    return G.gradients(G.fill_holes(cells, 4, meta), 0.2)
+    return saved(G.gradients(G.fill_holes(cells, 4, meta), 0.2), "slopes")
 
 
 @query("c9_ramp_candidates", f", {RAMPC} SELECT component, count(*) AS n FROM cand GROUP BY 1", recursive=True)
