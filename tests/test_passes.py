@@ -28,6 +28,8 @@ def counted(spark):
         "d14_vertical_score": 4, "c7_surface_continuity": 4, "j11_painted_walls": 4, "d9_removal_candidates": 4, "d12_relocated": 4,
         "a19_coverage_counts": 3, "p7_swept_floor": 3, "p7_sweep_stripes": 3, "j6_p4_overlapping_runs": 3,
         "g8_step_height": 3, "c9_ramp_candidates": 3, "g13_terrain_masks": 3, "a8_ramp_height": 3,
+        # Their range, their levels, the extremes, the floors, and two tables of cells.
+        "d16_d17_level_layers": 7,
     }.items(),
 )
 def test_points_are_read_once_for_each_table(spark, monkeypatch, counted, name, most):

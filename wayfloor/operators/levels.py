@@ -6,13 +6,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfloor.functions.shared import saved
+from wayfloor.operators.percentiles import by_group
 
 BIN, PROMINENCE, SEPARATION, CEILING = 0.10, 0.15, 1.8, 3.0
 
 
-def histogram(points: DataFrame, width: float = BIN) -> DataFrame:
-    """``(bin, n, low, size)``: equal bins over the whole range, 8 at least, the last one closed; empty bins are rows too."""
-    r = points.agg(F.min("z").alias("z0"), F.max("z").alias("z1"))
+def histogram(points: DataFrame, width: float = BIN, ends: DataFrame | None = None) -> DataFrame:
+    """``(bin, n, low, size)``: equal bins over the whole range, 8 at least, the last one closed; empty bins are rows too.
+
+    ``ends`` is the row of the least and the greatest height, if it is known.
+    """
+    r = height_range(points) if ends is None else ends
     r = r.withColumn("bins", F.greatest(F.lit(8).cast("long"), F.ceil((F.col("z1") - F.col("z0")) / F.lit(width)))).withColumn("size", (F.col("z1") - F.col("z0")) / F.col("bins"))
     index = F.least(F.floor((F.col("z") - F.col("z0")) / F.col("size")), F.col("bins") - 1)
     n = points.select("z").join(F.broadcast(r)).groupBy(index.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
@@ -20,6 +24,11 @@ def histogram(points: DataFrame, width: float = BIN) -> DataFrame:
     return all_bins.join(n, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"), (F.col("z0") + F.col("bin") * F.col("size")).alias("low"), "size")
 
 
+def height_range(points: DataFrame) -> DataFrame:
+    """One row ``(z0, z1)`` of the least and the greatest height, written."""
+    return saved(points.agg(F.min("z").alias("z0"), F.max("z").alias("z1")), "ends")
+
+
 def smoothed(bins: DataFrame) -> DataFrame:
     """Adds ``s``: the mean of three neighbours, outside counting as 0.  A histogram is short, so one window is enough."""
     return bins.withColumn("s", F.sum("n").over(Window.orderBy("bin").rowsBetween(-1, 1)) / 3.0)
@@ -48,9 +57,9 @@ def merged(found: DataFrame, separation: float = SEPARATION) -> DataFrame:
 
 def levels(points: DataFrame) -> DataFrame:
     """``(level, anchor, z_low, z_high, n)``: slabs between the peaks; the top one ends at the ceiling or the last point."""
-    kept = merged(peaks(smoothed(histogram(points))))
+    ends = height_range(points)
+    kept = merged(peaks(smoothed(histogram(points, ends=ends))))
     order = Window.orderBy("anchor")
-    ends = points.agg(F.min("z").alias("z0"), F.max("z").alias("z1"))
     slabs = kept.select(
         (F.row_number().over(order) - 1).alias("level"), "anchor", F.lag("anchor").over(order).alias("below"), F.lead("anchor").over(order).alias("above")
     ).join(F.broadcast(ends))
@@ -61,19 +70,27 @@ def levels(points: DataFrame) -> DataFrame:
     return inside.groupBy("level", "anchor", "z_low", "z_high").agg(F.count(F.lit(1)).alias("n"))
 
 
-def level_maps(points: DataFrame, slabs: DataFrame, resolution: float = 0.05, padding: float = 0.5, least: int = 1) -> DataFrame:
+def level_floors(points: DataFrame, slabs: DataFrame) -> DataFrame:
+    """``(level, z_low, z_high, floor)``: slabs with the 5th percentile of their heights, null without any, a row a level, written."""
+    inside = points.select("z").join(F.broadcast(slabs), F.col("z").between(F.col("z_low"), F.col("z_high"))).select("level", "z")
+    floor = by_group(inside, ["level"], "z", 0.05).select("level", F.col("z").alias("floor"))
+    return saved(slabs.join(floor, "level", "left").select("level", "z_low", "z_high", "floor"), "floors")
+
+
+def level_maps(points: DataFrame, slabs: DataFrame, resolution: float = 0.05, padding: float = 0.5, least: int = 1, meta: DataFrame | None = None, floors: DataFrame | None = None) -> DataFrame:
     """``(level, gy, gx, n, occupied)``: the obstacle map of every level's slab, all on the map of all points, in one job.
 
     The band of a level is over its own floor, the 5th percentile of its heights.
+    ``meta`` is the map's geometry and ``floors`` of ``level_floors``, if they are known.
     """
     from wayfloor.operators import grid as G
 
-    slabs = saved(slabs.select("level", "z_low", "z_high"))  # a row a level
-    meta = G.bounds(points, resolution, padding)
-    inside = points.select("x", "y", "z").join(F.broadcast(slabs), F.col("z").between(F.col("z_low"), F.col("z_high"))).drop("z_low", "z_high")
-    floors = inside.groupBy("level").agg(F.percentile("z", F.lit(0.05)).alias("floor"))
-    band = inside.join(F.broadcast(floors), "level").where(F.col("z").between(F.col("floor") + 0.05, F.col("floor") + 1.0))
-    counts = G.binned(band.select("level", "x", "y"), meta, resolution).groupBy("level", "gy", "gx").agg(F.count(F.lit(1)).alias("n"))
+    floors = level_floors(points, saved(slabs.select("level", "z_low", "z_high"))) if floors is None else floors
+    slabs = floors.select("level")
+    meta = saved(G.bounds(points, resolution, padding)) if meta is None else meta
+    inside = points.select("x", "y", "z").join(F.broadcast(floors), F.col("z").between(F.col("z_low"), F.col("z_high")))
+    band = inside.where(F.col("z").between(F.col("floor") + 0.05, F.col("floor") + 1.0)).select("level", "x", "y")
+    counts = G.binned(band, meta, resolution).groupBy("level", "gy", "gx").agg(F.count(F.lit(1)).alias("n"))
     edge = (F.col("gy") == 0) | (F.col("gx") == 0) | (F.col("gy") == F.col("height") - 1) | (F.col("gx") == F.col("width") - 1)
-    grid = G.scaffold(meta).join(F.broadcast(slabs.select("level"))).join(counts, ["level", "gy", "gx"], "left")
+    grid = G.scaffold(meta).join(F.broadcast(slabs)).join(counts, ["level", "gy", "gx"], "left")
     return grid.select("level", "gy", "gx", F.coalesce("n", F.lit(0)).alias("n"), (edge | (F.coalesce("n", F.lit(0)) >= max(1, least))).alias("occupied"))
