@@ -64,6 +64,7 @@ def capped_origins(origins: DataFrame, most: int = 60_000) -> DataFrame:
     """``origins(oid, ...)`` thinned evenly to ``most`` of them, in the order of their numbers; all of them where they are no more.
 
     The i-th kept is the one at place floor(i * n / most), as a stride that need not be whole would take it.
+    For a quick look at a wide floor; no query thins its origins.
     """
     n = origins.count()
     if n <= most:

@@ -166,7 +166,7 @@ def hits(spark, d):
     at = V.corner_of(facts.select("*", F.col("p")[1].alias("floor")), 0.1)
     cells = saved(reached(spark, d, 4, 6, obstacle_grid(spark, d, known=known)))
     floor = cells.where("accessible").select("gy", "gx")
-    o = V.capped_origins(saved(V.tool_origins(floor, G.geometry(facts, 0.05, 0.5), points, 0.05, 0.1, at=at)))
+    o = saved(V.tool_origins(floor, G.geometry(facts, 0.05, 0.5), points, 0.05, 0.1, at=at))
     voxels = saved(V.wall_voxels(points, 0.1, at=at))
     return saved(V.first_hits(o, voxels, 0.1)), voxels, cells
 
