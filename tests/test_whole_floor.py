@@ -58,6 +58,13 @@ def test_rays_leave_from_all_of_the_floor(ask, truth):
     assert sorted(tuple(r) for r in ask("d13_ray_hits")) == sorted(truth["d13_ray_hits"])
 
 
+def test_the_score_is_of_all_rays(ask, truth):
+    (r,) = ask("d14_vertical_score")
+    rays = dict((band, n) for band, n, _ in truth["d13_ray_hits"])
+    ((painted, wall),) = truth["j11_painted_walls"]
+    assert (r.tcr, r.oe) == pytest.approx((painted / wall, rays[True] / sum(rays.values())), abs=1e-6)
+
+
 def test_continuity_is_of_all_painted_walls(ask, truth):
     (r,) = ask("c7_surface_continuity")
     assert r.painted == truth["j11_painted_walls"][0][0]
