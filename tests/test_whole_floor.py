@@ -58,6 +58,10 @@ def test_rays_leave_from_all_of_the_floor(ask, truth):
     assert sorted(tuple(r) for r in ask("d13_ray_hits")) == sorted(truth["d13_ray_hits"])
 
 
+def test_walls_are_painted_from_all_of_the_floor(ask, truth):
+    assert [tuple(r) for r in ask("j11_painted_walls")] == truth["j11_painted_walls"]
+
+
 def test_the_score_is_of_all_rays(ask, truth):
     (r,) = ask("d14_vertical_score")
     rays = dict((band, n) for band, n, _ in truth["d13_ray_hits"])
