@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from wayfloor.functions.shared import saved
 from wayfloor.operators import components as C
 from wayfloor.operators import grid as G
+from wayfloor.streaming.replay import numbered
 
 
 def reach(cells: DataFrame, rx: int, ry: int, by: str | None = None) -> DataFrame:
@@ -63,12 +64,12 @@ def selected_objects(objects: DataFrame, dimension: DataFrame, fixations: list[s
     return found.where(F.col("__share") >= share).drop("__share")
 
 
-def removal_candidates(cells: DataFrame, labels: DataFrame, dimension: DataFrame, resolution: float, margin: int, least_area: float = 0.04, most: int = 120) -> DataFrame:
-    """Objects whose removal could open floor, best first.
+def removal_candidates(cells: DataFrame, labels: DataFrame, dimension: DataFrame, resolution: float, margin: int, least_area: float = 0.04) -> DataFrame:
+    """All objects whose removal could open floor, ranked from 1, the best.
 
     Objects are components of blocked cells of one removable label; what an
     object may open is the floor not accessible within its bounding box, grown
-    by ``margin`` cells, from prefix sums.  ``cells`` has blocked, floor, accessible.
+    by ``margin`` cells, from prefix sums.  Ranks come from sorted ranges.  ``cells`` has blocked, floor, accessible.
     """
     names = dimension.where(F.col("fixation") != "Fixed")
     labelled = removable_objects(cells, labels, dimension)
@@ -84,7 +85,7 @@ def removal_candidates(cells: DataFrame, labels: DataFrame, dimension: DataFrame
     )
     unlock = G.rectangle_sums(G.prefix_sums(lost, "lost"), grown)
     found = boxes.join(unlock.withColumnRenamed("id", "component"), "component").where("total > 0").join(F.broadcast(names), "label")
-    order = Window.orderBy("priority", F.desc("total"), F.desc("cells"), "component")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select(
+    best = F.struct("priority", -F.col("total"), -F.col("cells"), "component")
+    return numbered(saved(found.withColumn("__best", best)), "__best", "rank").select(
         "rank", "label", "name", "fixation", "cells", (F.col("cells") * resolution**2).alias("area"), (F.col("total") * resolution**2).alias("unlock_area"), "y0", "x0", "y1", "x1"
     )
